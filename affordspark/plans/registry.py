@@ -4,6 +4,8 @@ from __future__ import annotations
 
 _MODULES = [
     "affordspark.plans.catalog",
+    "affordspark.plans.q_prepare",
+    "affordspark.plans.q_profile",
 ]
 
 

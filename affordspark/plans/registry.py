@@ -6,6 +6,7 @@ _MODULES = [
     "affordspark.plans.catalog",
     "affordspark.plans.q_prepare",
     "affordspark.plans.q_profile",
+    "affordspark.plans.q_metrics",
 ]
 
 

@@ -7,6 +7,7 @@ _MODULES = [
     "affordspark.plans.q_prepare",
     "affordspark.plans.q_profile",
     "affordspark.plans.q_metrics",
+    "affordspark.plans.q_models",
 ]
 
 

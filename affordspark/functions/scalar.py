@@ -43,6 +43,14 @@ def to_numeric_safe(c) -> Column:
     return F.when(F.abs(v) <= F.lit(MAX_DOUBLE), v)
 
 
+def extracted_number(c) -> Column:
+    """``to_numeric_safe(extract_number(c))`` with one regex: the extracted
+    text holds only digits and dots, for which a plain cast already is the
+    strict grammar ('58.0.0' and '.' fail, '1.' and '.5' parse)."""
+    v = extract_number(c).try_cast("double")
+    return F.when(F.abs(v) <= F.lit(MAX_DOUBLE), v)
+
+
 def nan_to_null(c) -> Column:
     c = _c(c)
     return F.when(~F.isnan(c), c)

@@ -13,8 +13,7 @@ import warnings
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affordspark.functions.scalar import (clamp, extract_number, gender_code,
-                                          to_numeric_safe)
+from affordspark.functions.scalar import clamp, extracted_number, gender_code, to_numeric_safe
 from affordspark.schema import (DOMAIN_CLIPS, EMI_RULES, KEY, NUMERIC_COLS, P99_COLS,
                                 P99_QUANTILE, RULES_SCHEMA)
 
@@ -62,9 +61,9 @@ def parse_and_cast(df: DataFrame, parse_all_numeric: bool = False) -> DataFrame:
     cols = set(df.columns)
     exprs = {}
     if "Age" in cols:
-        exprs["Age"] = to_numeric_safe(extract_number("Age"))
+        exprs["Age"] = extracted_number("Age")
     if "Bank_Balance" in cols:
-        exprs["Bank_Balance"] = to_numeric_safe(extract_number("Bank_Balance"))
+        exprs["Bank_Balance"] = extracted_number("Bank_Balance")
     if "Monthly_Salary" in cols:
         exprs["Monthly_Salary"] = to_numeric_safe("Monthly_Salary")
     if "Gender" in cols:

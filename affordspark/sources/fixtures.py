@@ -10,20 +10,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from affordspark.sources.io import read_table
+from affordspark.sources.io import ingest_snapshot, read_table
 
 
-def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw applications: 27 loan columns plus ``application_id``.
-
-    Built with one parameterised ``spark.sql`` call: the parquet DataFrames
-    are passed in (no session-global views), and the whole projection is
-    parsed JVM-side in one go."""
+def applications_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw applications: 27 loan columns plus ``application_id``, as a lazy
+    plan over orders x customer. Built with one parameterised ``spark.sql``
+    call: the parquet DataFrames are passed in (no session-global views)."""
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
     return spark.sql(APPLICATIONS_TEMPLATE, orders=orders, customer=customer)
 
 
+def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw applications as an ingested snapshot table (the ingestion
+    stage): written once per source version into the shared checkpoint
+    folder with enough files for every core, then scanned by every stage.
+    Cleaning filters push down onto this parallel scan."""
+    sources = [f"{sf_dir}/orders.parquet", f"{sf_dir}/customer.parquet"]
+    return ingest_snapshot(spark, "applications", sources, lambda: applications_view(spark, sf_dir))
+
+
 # The table in SQL; ``{orders}`` / ``{customer}`` are filled with DataFrames
 # on Spark and with the view names on DuckDB.
 APPLICATIONS_TEMPLATE = r"""

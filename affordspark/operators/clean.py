@@ -7,6 +7,7 @@ needs an extra aggregate pass (one job for all columns at once).
 
 from __future__ import annotations
 
+import math
 import re
 import warnings
 
@@ -135,13 +136,19 @@ def domain_clip(df: DataFrame, clips: dict | None = None) -> DataFrame:
 
 # ---- quantiles / winsorize ----------------------------------------------------
 
-def quantiles(df: DataFrame, cols, q: float, method: str = "exact",
+def quantiles(df: DataFrame, cols, q: float, method: str = "select",
               accuracy: int = 100_000) -> dict:
-    """One aggregate pass for all columns -> {col: quantile}. ``exact`` is
-    the linear-interpolated order statistic; ``approx`` is Greenwald-Khanna
-    with a bounded sketch per column (rank error <= n / accuracy)."""
+    """{col: q-quantile} for all columns at once.
+
+    ``select`` (default): exact linear-interpolated order statistic by
+    distributed histogram narrowing (``select_quantiles``), bounded memory
+    per task at any scale. ``exact``: Spark's ``percentile`` (a value->count
+    map per column merged in one task; fine for bounded cardinality).
+    ``approx``: Greenwald-Khanna sketch (rank error <= n / accuracy)."""
     if not cols:
         return {}
+    if method == "select":
+        return select_quantiles(df, cols, q)
     if method == "exact":
         aggs = [F.percentile(F.col(c), F.lit(q)).alias(c) for c in cols]
     elif method == "approx":
@@ -152,7 +159,94 @@ def quantiles(df: DataFrame, cols, q: float, method: str = "exact",
     return {c: row[c] for c in cols}
 
 
-def winsorize_p99(df: DataFrame, cols=None, q: float = P99_QUANTILE, method: str = "exact",
+def select_quantiles(df: DataFrame, cols, q: float, bins: int = 4096,
+                     max_collect: int = 100_000, max_rounds: int = 30) -> dict:
+    """Exact quantiles without a single-task value map.
+
+    Ranks: p = q (n - 1); the answer interpolates the order statistics at
+    floor(p) and ceil(p). Each round is one job over all still-open columns:
+    count of values below the bracket [lo, hi] plus an equal-width
+    ``bins``-bucket histogram inside it (partial counts are combined
+    map-side, so the shuffle carries at most columns x bins rows per task).
+    The bracket shrinks to the bins holding the two ranks; once it holds at
+    most ``max_collect`` values they are collected and read off directly."""
+    spark = df.sparkSession
+    x = {c: F.col(c).cast("double") for c in cols}
+    st = df.agg(*[a for c in cols for a in (F.count(x[c]).alias(f"{c}__n"), F.min(x[c]).alias(f"{c}__lo"),
+                                          F.max(x[c]).alias(f"{c}__hi"))]).first()
+    state = {}
+    for c in cols:
+        n = st[f"{c}__n"]
+        if not n:
+            continue
+        p = q * (n - 1)
+        state[c] = {"n": n, "p": p, "ranks": (math.floor(p), math.ceil(p)),
+                    "lo": st[f"{c}__lo"], "hi": st[f"{c}__hi"], "cnt": n}
+    out = {c: None for c in cols}
+    for _ in range(max_rounds):
+        open_cols = [c for c, s_ in state.items() if s_["cnt"] > max_collect and s_["lo"] < s_["hi"]]
+        if not open_cols:
+            break
+        pairs = []
+        for i, c in enumerate(open_cols):
+            s_ = state[c]
+            lo, hi = s_["lo"], s_["hi"]
+            w = (hi - lo) / bins
+            b = F.least(F.floor((x[c] - F.lit(lo)) / F.lit(w)).cast("int"), F.lit(bins - 1))
+            inside = (x[c] >= F.lit(lo)) & (x[c] <= F.lit(hi))
+            below = x[c] < F.lit(lo)
+            pairs.append(F.when(inside, F.struct(F.lit(i).alias("c"), b.alias("b")))
+                         .when(below, F.struct(F.lit(i).alias("c"), F.lit(-1).alias("b"))))
+        hist = df.select(F.explode(F.array_compact(F.array(*pairs))).alias("h")) \
+            .groupBy("h.c", "h.b").agg(F.count(F.lit(1)).alias("k")).collect()
+        counts = {}
+        for r in hist:
+            counts.setdefault(r["c"], {})[r["b"]] = r["k"]
+        for i, c in enumerate(open_cols):
+            s_ = state[c]
+            h = counts.get(i, {})
+            acc = h.get(-1, 0)
+            w = (s_["hi"] - s_["lo"]) / bins
+            first_b = last_b = None
+            for bi in range(bins):
+                k = h.get(bi, 0)
+                if first_b is None and acc + k > s_["ranks"][0]:
+                    first_b = bi
+                if acc + k > s_["ranks"][1]:
+                    last_b = bi
+                    break
+                acc += k
+            if first_b is None or last_b is None:  # float edge case: keep exact fallback
+                s_["cnt"] = 0
+                s_["fallback"] = True
+                continue
+            new_lo = s_["lo"] + first_b * w
+            new_hi = s_["hi"] if last_b == bins - 1 else s_["lo"] + (last_b + 1) * w
+            s_["cnt"] = sum(h.get(bi, 0) for bi in range(first_b, last_b + 1)) + 2
+            s_["lo"], s_["hi"] = new_lo, new_hi
+    # final: exact read-off inside each bracket
+    aggs = []
+    for c, s_ in state.items():
+        if s_.get("fallback"):
+            continue
+        inside = (x[c] >= F.lit(s_["lo"])) & (x[c] <= F.lit(s_["hi"]))
+        aggs += [F.count_if(x[c] < F.lit(s_["lo"])).alias(f"{c}__below"),
+                 F.array_sort(F.collect_list(F.when(inside, x[c]))).alias(f"{c}__vals")]
+    row = df.agg(*aggs).first() if aggs else None
+    for c, s_ in state.items():
+        lo_r, hi_r = s_["ranks"]
+        vals = None if s_.get("fallback") else row[f"{c}__vals"]
+        below = None if s_.get("fallback") else row[f"{c}__below"]
+        if vals is None or not (0 <= lo_r - below and hi_r - below < len(vals)):
+            out[c] = df.agg(F.percentile(x[c], F.lit(q))).first()[0]
+            continue
+        v_lo, v_hi = vals[lo_r - below], vals[hi_r - below]
+        p = s_["p"]
+        out[c] = v_lo if lo_r == hi_r else (hi_r - p) * v_lo + (p - lo_r) * v_hi
+    return out
+
+
+def winsorize_p99(df: DataFrame, cols=None, q: float = P99_QUANTILE, method: str = "select",
                   uppers: dict | None = None) -> DataFrame:
     """Cap each listed column at its q-quantile, then floor it at 0. The
     quantiles are taken over the input as given (after the domain clips),
@@ -181,7 +275,7 @@ def dedup_exact(df: DataFrame, key: str | None = KEY) -> DataFrame:
 
 # ---- the whole cleaning chain (clean_pipeline) --------------------------------
 
-def clean_applications(df: DataFrame, rules: dict | None = None, quantile_method: str = "exact",
+def clean_applications(df: DataFrame, rules: dict | None = None, quantile_method: str = "select",
                        parse_all_numeric: bool = False, dedup: bool = False) -> DataFrame:
     """drop_na -> names -> parse -> drop_na -> scenario_cap -> domain_clip -> p99.
 

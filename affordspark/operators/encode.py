@@ -73,6 +73,21 @@ def distinct_values(df: DataFrame, cols) -> DataFrame:
         .where(F.col("category").isNotNull()).distinct()
 
 
+def category_presence(df: DataFrame, cols, train_flag) -> list:
+    """One pass over all rows: every (col, category) with ``in_train`` =
+    whether it occurs in a row where ``train_flag`` holds. Bounded output
+    (one row per category), deduplicated map-side before the shuffle."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("col"),
+                                         F.col(c).cast("string").alias("category"))
+                                for c in cols]))
+    rows = df.select(pairs.alias("p"), train_flag.cast("int").alias("t")) \
+        .select("p.col", "p.category", "t").where(F.col("category").isNotNull()) \
+        .groupBy("col", "category").agg(F.max("t").alias("in_train")).collect()
+    if len(rows) > MAX_CATEGORIES:
+        raise ValueError(f"{len(rows)} categories exceed the one-hot width guard")
+    return rows
+
+
 def onehot_fit(df: DataFrame, cols) -> DataFrame:
     """Sorted distinct categories per column -> (col, idx, category)."""
     rows = distinct_values(df, cols).collect()  # bounded: one row per category

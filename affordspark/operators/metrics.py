@@ -82,9 +82,8 @@ def prefix_sum(df: DataFrame, part: str, order: str, values, suffix: str = "_bel
     Distributed: a range-partitioned sort splits even one huge ``part``
     across many tasks; each task's totals (one small row per task and part)
     give the offsets, and a window inside each task adds the local sums."""
-    from affordspark.session import checkpoint_dir
-    checkpoint_dir(df.sparkSession)
-    tagged = df.orderBy(part, order).withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
+    from affordspark.sources.io import materialize
+    tagged = materialize(df.orderBy(part, order).withColumn("_pid", F.spark_partition_id()), "prefix")
     tot = tagged.groupBy("_pid", part).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
     w_off = Window.partitionBy(part).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     # one row per (task, part): tiny, safe to window and broadcast

@@ -56,15 +56,13 @@ def split_70_15_15(df: DataFrame, key: str = KEY, seed: int = RANDOM_STATE,
 def ordered_index(df: DataFrame, order_cols, name: str = "_idx") -> DataFrame:
     """0-based global position in ``order_cols`` order, computed distributed:
     range-partitioned sort, per-partition counts (one small row per
-    partition), offsets broadcast back. The sorted, tagged rows are
-    checkpointed first so both passes see the same partitioning even if an
-    executor is lost in between."""
-    from affordspark.session import checkpoint_dir
-    checkpoint_dir(df.sparkSession)
-    tagged = df.orderBy(*order_cols) \
-        .withColumn("_pid", F.spark_partition_id()) \
-        .withColumn("_mid", F.monotonically_increasing_id()) \
-        .checkpoint(eager=True)
+    partition), offsets broadcast back. The sorted rows are written with
+    their (partition, position) tags first, so both passes see the same
+    positions even if an executor is lost in between."""
+    from affordspark.sources.io import materialize
+    tagged = materialize(df.orderBy(*order_cols)
+                         .withColumn("_pid", F.spark_partition_id())
+                         .withColumn("_mid", F.monotonically_increasing_id()), "ordered")
     counts = tagged.groupBy("_pid").count().collect()  # one row per partition
     offsets, acc = [], 0
     for r in sorted(counts, key=lambda r: r["_pid"]):

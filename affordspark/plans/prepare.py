@@ -17,18 +17,17 @@ from pyspark.sql import functions as F
 from affordspark.operators import clean, encode, features, split
 from affordspark.schema import (CATEGORICAL_COLS, KEY, NUMERIC_COLS, RANDOM_STATE, TARGET_CLF,
                                 TARGET_REG)
-from affordspark.session import checkpoint_dir
+from affordspark.sources.io import materialize
 
 
 def cut(df: DataFrame, enabled: bool = True) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
     if not enabled:
         return df
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return materialize(df)
 
 
-def clean_stage(raw: DataFrame, rules: dict | None = None, quantile_method: str = "exact",
+def clean_stage(raw: DataFrame, rules: dict | None = None, quantile_method: str = "select",
                 materialize: bool = True) -> DataFrame:
     """The cleaning chain with one cut before the two-pass p99 caps."""
     out = clean.drop_na_rows(raw)
@@ -64,15 +63,19 @@ def prepare_features(cleaned: DataFrame, key: str = KEY, seed: int = RANDOM_STAT
     df = cut(split.split_70_15_15(eng, key, seed, exact=exact_split), materialize)
     train = df.where(F.col("split") == "train")
 
-    classes = encode.label_fit(train, TARGET_CLF)
-    if check_unseen:
-        bad = encode.unseen_labels(df.where(F.col("split") != "train"), TARGET_CLF, classes)
-        if not bad.isEmpty():
-            raise ValueError("val/test contain labels not seen in train")
     num_cols = [c for c in NUMERIC_COLS if c in eng.columns and c not in (TARGET_REG, TARGET_CLF)]
     cat_cols = [c for c in CATEGORICAL_COLS if c in eng.columns]
+    # one pass for label classes, one-hot categories and the unseen-label check
+    seen = encode.category_presence(df, cat_cols + [TARGET_CLF], F.col("split") == "train")
+    spark = df.sparkSession
+    labels = sorted(r["category"] for r in seen if r["col"] == TARGET_CLF and r["in_train"])
+    if check_unseen and any(r["col"] == TARGET_CLF and not r["in_train"] for r in seen):
+        raise ValueError("val/test contain labels not seen in train")
+    classes = spark.createDataFrame(list(enumerate(labels)), encode.LABEL_SCHEMA)
+    cat_rows = [(c, i, v) for c in cat_cols for i, v in enumerate(
+        sorted(r["category"] for r in seen if r["col"] == c and r["in_train"]))]
+    cats = spark.createDataFrame(cat_rows, encode.OHE_SCHEMA)
     scaler = encode.robust_fit(train, num_cols)
-    cats = encode.onehot_fit(train, cat_cols)
 
     out = encode.label_encode(df, TARGET_CLF, classes)
     out = encode.robust_scale(out, scaler, num_cols)

@@ -62,10 +62,11 @@ def ingest_snapshot(spark: SparkSession, name: str, sources, build, file_bytes:
     """Materialise ``build()`` once per source version as parquet under the
     shared checkpoint folder and return a scan of it.
 
-    The snapshot gets max(default parallelism, input bytes / ``file_bytes``)
-    files, so the scan runs on every core for small inputs and in
-    ~64 MB splits for large ones. A complete snapshot (``_SUCCESS``) is
-    reused; an incomplete one is rewritten."""
+    The snapshot gets at least max(default parallelism, input bytes /
+    ``file_bytes``) files: an input plan with fewer partitions is spread
+    round-robin, a large one is written as it is partitioned (no extra
+    shuffle). A complete snapshot (``_SUCCESS``) is reused; an incomplete
+    one is rewritten."""
     import hashlib
 
     from affordspark.session import checkpoint_dir
@@ -75,7 +76,21 @@ def ingest_snapshot(spark: SparkSession, name: str, sources, build, file_bytes:
     fs, p = _fs(spark, f"{path}/_SUCCESS")
     if not fs.exists(p):
         n = max(spark.sparkContext.defaultParallelism, -(-size // file_bytes))
-        build().repartition(n).write.mode("overwrite").parquet(path)
+        spread(build(), n).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Cut lineage: write ``df`` once as parquet into the shared checkpoint
+    folder and return a scan of it. One pass (a reliable ``checkpoint()`` of
+    an unpersisted plan computes it twice), columnar, prunable on re-read,
+    and a lost executor recomputes from this table, not from the source."""
+    import uuid
+
+    from affordspark.session import checkpoint_dir
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
 
 

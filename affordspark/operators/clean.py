@@ -160,7 +160,7 @@ def quantiles(df: DataFrame, cols, q: float, method: str = "select",
 
 
 def select_quantiles(df: DataFrame, cols, q: float, bins: int = 4096,
-                     max_collect: int = 100_000, max_rounds: int = 30) -> dict:
+                     max_collect: int = 250_000, max_rounds: int = 30) -> dict:
     """Exact quantiles without a single-task value map.
 
     Ranks: p = q (n - 1); the answer interpolates the order statistics at
@@ -169,7 +169,8 @@ def select_quantiles(df: DataFrame, cols, q: float, bins: int = 4096,
     ``bins``-bucket histogram inside it (partial counts are combined
     map-side, so the shuffle carries at most columns x bins rows per task).
     The bracket shrinks to the bins holding the two ranks; once it holds at
-    most ``max_collect`` values they are collected and read off directly."""
+    most ``max_collect`` values (~2 MB per column) they are collected and
+    read off directly. Pass a materialised input: every round rescans it."""
     spark = df.sparkSession
     x = {c: F.col(c).cast("double") for c in cols}
     st = df.agg(*[a for c in cols for a in (F.count(x[c]).alias(f"{c}__n"), F.min(x[c]).alias(f"{c}__lo"),
@@ -247,13 +248,18 @@ def select_quantiles(df: DataFrame, cols, q: float, bins: int = 4096,
 
 
 def winsorize_p99(df: DataFrame, cols=None, q: float = P99_QUANTILE, method: str = "select",
-                  uppers: dict | None = None) -> DataFrame:
+                  uppers: dict | None = None, materialize: bool = True) -> DataFrame:
     """Cap each listed column at its q-quantile, then floor it at 0. The
     quantiles are taken over the input as given (after the domain clips),
-    all in one job; pass ``uppers`` to reuse quantiles fitted elsewhere
-    (e.g. on the train split only)."""
+    for all columns together; pass ``uppers`` to reuse quantiles fitted
+    elsewhere (e.g. on the train split only). The input is read by the
+    quantile passes and by the capping projection, so it is written once to
+    the shared checkpoint folder first (the parse upstream runs once)."""
     cols = [c for c in (cols or P99_COLS) if c in df.columns]
     if uppers is None:
+        if materialize:
+            from affordspark.sources.io import materialize as _materialize
+            df = _materialize(df, "clipped")
         uppers = quantiles(df, cols, q, method)
     out = {}
     for c in cols:
@@ -279,15 +285,17 @@ def clean_applications(df: DataFrame, rules: dict | None = None, quantile_method
                        parse_all_numeric: bool = False, dedup: bool = False) -> DataFrame:
     """drop_na -> names -> parse -> drop_na -> scenario_cap -> domain_clip -> p99.
 
-    The p99 caps need the capped table twice (quantile pass, then the
-    projection); on a cluster persist/checkpoint the result of the first five
-    steps (``affordspark.plans.prepare`` does) so the scan runs once."""
+    The p99 caps read the clipped table more than once (quantile passes,
+    then the projection); ``winsorize_p99`` writes it once first."""
     out = drop_na_rows(df)
     out = normalize_columns(out)
     out = parse_and_cast(out, parse_all_numeric=parse_all_numeric)
-    out = drop_na_rows(out, subset=parsed_columns(out, parse_all_numeric))
+    parsed = parsed_columns(out, parse_all_numeric)
+    out = domain_clip(scenario_cap(out, rules))
+    # clamps preserve NULL-ness, so the second NULL drop can follow them and
+    # run on the written table (plain IS NOT NULL at the scan, parse once)
+    from affordspark.sources.io import materialize
+    out = drop_na_rows(materialize(out, "clipped"), subset=parsed)
     if dedup:
         out = dedup_exact(out)
-    out = scenario_cap(out, rules)
-    out = domain_clip(out)
-    return winsorize_p99(out, method=quantile_method)
+    return winsorize_p99(out, method=quantile_method, materialize=False)

@@ -29,14 +29,20 @@ def cut(df: DataFrame, enabled: bool = True) -> DataFrame:
 
 def clean_stage(raw: DataFrame, rules: dict | None = None, quantile_method: str = "select",
                 materialize: bool = True) -> DataFrame:
-    """The cleaning chain with one cut before the two-pass p99 caps."""
+    """The cleaning chain; the clipped table is written once before the
+    multi-pass p99 caps (inside ``winsorize_p99``)."""
     out = clean.drop_na_rows(raw)
     out = clean.normalize_columns(out)
     out = clean.parse_and_cast(out)
-    out = clean.drop_na_rows(out, subset=clean.parsed_columns(out))
+    parsed = clean.parsed_columns(out)
     out = clean.domain_clip(clean.scenario_cap(out, rules))
+    # Clamps keep NULL as NULL and non-NULL as non-NULL, so dropping the rows
+    # the parser nulled can wait until after the clamps: on the written table
+    # it is a plain IS NOT NULL pushed into the parquet reader, instead of a
+    # filter that Catalyst pushes below the parse and evaluates it twice.
     out = cut(out, materialize)
-    return clean.winsorize_p99(out, method=quantile_method)
+    out = clean.drop_na_rows(out, subset=parsed)
+    return clean.winsorize_p99(out, method=quantile_method, materialize=False)
 
 
 @dataclass

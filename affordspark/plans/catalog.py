@@ -233,6 +233,22 @@ def q_clean_full(spark, sf_dir):
     return round_doubles(cleaned_apps(spark, sf_dir))
 
 
+@register("scan_csv", S.with_(S.CLEAN_CTES, select=f"SELECT {S.rnd(S.CLEAN_COLS)} FROM cleaned"))
+def q_scan_csv(spark, sf_dir):
+    """Raw applications as a headered CSV (derived once per source version),
+    scanned back with every column as text, then cleaned with the strict
+    parser on all numeric columns."""
+    from affordspark.schema import RAW_CSV_SCHEMA
+    from affordspark.sources.fixtures import applications_view
+    from affordspark.sources.io import ingest_snapshot, scan_csv
+    path = ingest_snapshot(spark, "applications", [f"{sf_dir}/orders.parquet",
+                                                   f"{sf_dir}/customer.parquet"],
+                           lambda: applications_view(spark, sf_dir), fmt="csv")
+    raw = scan_csv(spark, path, RAW_CSV_SCHEMA)
+    raw = raw.withColumn("application_id", F.col("application_id").cast("bigint"))
+    return round_doubles(clean.clean_applications(raw, parse_all_numeric=True))
+
+
 # ---------------------------------------------------------------------------
 # features group
 # ---------------------------------------------------------------------------

@@ -58,7 +58,8 @@ def input_bytes(spark: SparkSession, paths) -> tuple:
     return total, "|".join(parts)
 
 
-def ingest_snapshot(spark: SparkSession, name: str, sources, build, file_bytes: int = 64 << 20):
+def ingest_snapshot(spark: SparkSession, name: str, sources, build, file_bytes: int = 64 << 20,
+                    fmt: str = "parquet"):
     """Materialise ``build()`` once per source version as parquet under the
     shared checkpoint folder and return a scan of it.
 
@@ -74,10 +75,17 @@ def ingest_snapshot(spark: SparkSession, name: str, sources, build, file_bytes:
     key = hashlib.sha1(version.encode()).hexdigest()[:16]
     path = f"{checkpoint_dir(spark).rstrip('/')}/ingested/{name}-{key}"
     fs, p = _fs(spark, f"{path}/_SUCCESS")
+    if fmt == "csv":
+        path += "-csv"
+        fs, p = _fs(spark, f"{path}/_SUCCESS")
     if not fs.exists(p):
         n = max(spark.sparkContext.defaultParallelism, -(-size // file_bytes))
-        spread(build(), n).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+        w = spread(build(), n).write.mode("overwrite")
+        if fmt == "csv":
+            w.option("header", True).csv(path)
+        else:
+            w.parquet(path)
+    return path if fmt == "csv" else spark.read.parquet(path)
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -59,6 +59,8 @@ def parse_and_cast(df: DataFrame, parse_all_numeric: bool = False) -> DataFrame:
     number only; Gender: upper, strip, first letter. With
     ``parse_all_numeric`` every listed numeric column goes through the strict
     parser too (text in them becomes NULL and is dropped later)."""
+    from affordspark.session import prepare
+    prepare(df.sparkSession)  # alias-heavy chains need constraint propagation off
     cols = set(df.columns)
     exprs = {}
     if "Age" in cols:

@@ -62,9 +62,15 @@ class Prepared:
 
 
 def prepare_features(cleaned: DataFrame, key: str = KEY, seed: int = RANDOM_STATE,
-                     exact_split: bool = False, materialize: bool = True,
+                     exact_split: bool = False, materialize: bool = False,
                      check_unseen: bool = True) -> Prepared:
-    """create -> drop -> split -> labels -> fit(train) -> transform all."""
+    """create -> drop -> split -> labels -> fit(train) -> transform all.
+
+    The split table feeds two small fits and the transform. Upstream of it
+    is the written clipped table plus cheap projections (caps, ratios, an
+    md5 bucket), so by default it is recomputed from that table rather than
+    written again (a full-size write costs more than two projection scans);
+    ``materialize=True`` writes it when the input is not already cut."""
     eng = features.drop_redundant(features.engineered_features(cleaned))
     df = cut(split.split_70_15_15(eng, key, seed, exact=exact_split), materialize)
     train = df.where(F.col("split") == "train")

@@ -99,3 +99,27 @@ def prepare_features(cleaned: DataFrame, key: str = KEY, seed: int = RANDOM_STAT
     table = out.select(key, "split", *[F.col(c).cast("double").alias(c) for c in feats],
                        F.col(TARGET_REG).cast("double").alias(TARGET_REG), "label")
     return Prepared(table, feats, num_cols, cat_cols, remainder, scaler, cats, classes)
+
+
+def prepared_stage(spark, sf_dir: str, raw_builder) -> Prepared:
+    """The model-ready table as a stage hand-off (like the original's
+    processed split files + preprocessor): written once per source and code
+    version, partitioned by ``split`` (a split read prunes directories), with
+    the three parameter tables beside it; later stages scan it."""
+    from affordspark.schema import ENGINEERED_COLS
+    from affordspark.sources import io
+    sources = [f"{sf_dir}/orders.parquet", f"{sf_dir}/customer.parquet"]
+    path, _ = io.stage_path(spark, "prepared", sources)
+    fs, marker = io._fs(spark, f"{path}/table/_SUCCESS")  # table is written last
+    if not fs.exists(marker):
+        p = prepare_features(clean_stage(raw_builder()))
+        io.sink_preprocessor(p.params(), f"{path}/params")
+        io.sink_splits(p.table, f"{path}/table")
+    table = spark.read.parquet(f"{path}/table")
+    params = io.scan_preprocessor(spark, f"{path}/params")
+    cols = [c for c in table.columns if c not in (KEY, "split", TARGET_REG, "label")]
+    num = [c for c in NUMERIC_COLS if c in cols]
+    rem = [c for c in ENGINEERED_COLS if c in cols]
+    table = table.select(KEY, "split", *cols, TARGET_REG, "label")
+    return Prepared(table, cols, num, list(CATEGORICAL_COLS), rem, params["scaler_params"],
+                    params["ohe_categories"], params["label_classes"])

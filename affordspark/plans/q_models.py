@@ -36,7 +36,9 @@ QUICK_DISTS = {
 
 
 def prepared(spark, sf_dir):
-    return prepare.prepare_features(prepare.clean_stage(raw_apps(spark, sf_dir)))
+    """Model-ready table, reused across the training queries as a stage
+    hand-off (written once per source and code version)."""
+    return prepare.prepared_stage(spark, sf_dir, lambda: raw_apps(spark, sf_dir))
 
 
 @register("smote")

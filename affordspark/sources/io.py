@@ -58,6 +58,40 @@ def input_bytes(spark: SparkSession, paths) -> tuple:
     return total, "|".join(parts)
 
 
+_CODE_VERSION = None
+
+
+def code_version() -> str:
+    """Hash of this package's source, so stage tables written by other code
+    are never reused."""
+    global _CODE_VERSION
+    if _CODE_VERSION is None:
+        import hashlib
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        h = hashlib.sha1()
+        for d, _, files in sorted(os.walk(root)):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    with open(os.path.join(d, f), "rb") as fh:
+                        h.update(f.encode() + fh.read())
+        _CODE_VERSION = h.hexdigest()[:12]
+    return _CODE_VERSION
+
+
+def stage_path(spark: SparkSession, name: str, sources) -> tuple:
+    """(path, done) of a derived stage table under the shared checkpoint
+    folder, keyed by the sources' sizes / modification times and the code
+    version; ``done`` says a complete copy (``_SUCCESS``) exists."""
+    import hashlib
+
+    from affordspark.session import checkpoint_dir
+    _, version = input_bytes(spark, sources)
+    key = hashlib.sha1((version + code_version()).encode()).hexdigest()[:16]
+    path = f"{checkpoint_dir(spark).rstrip('/')}/stages/{name}-{key}"
+    fs, p = _fs(spark, f"{path}/_SUCCESS")
+    return path, fs.exists(p)
+
+
 def ingest_snapshot(spark: SparkSession, name: str, sources, build, file_bytes: int = 64 << 20,
                     fmt: str = "parquet"):
     """Materialise ``build()`` once per source version as parquet under the
@@ -68,12 +102,8 @@ def ingest_snapshot(spark: SparkSession, name: str, sources, build, file_bytes:
     round-robin, a large one is written as it is partitioned (no extra
     shuffle). A complete snapshot (``_SUCCESS``) is reused; an incomplete
     one is rewritten."""
-    import hashlib
-
-    from affordspark.session import checkpoint_dir
-    size, version = input_bytes(spark, sources)
-    key = hashlib.sha1(version.encode()).hexdigest()[:16]
-    path = f"{checkpoint_dir(spark).rstrip('/')}/ingested/{name}-{key}"
+    size, _ = input_bytes(spark, sources)
+    path, _ = stage_path(spark, name, sources)
     fs, p = _fs(spark, f"{path}/_SUCCESS")
     if fmt == "csv":
         path += "-csv"

@@ -73,10 +73,20 @@ def q_class_weights(spark, sf_dir):
     return round_doubles(resample.class_weights(c, "Emi_Eligibility"))
 
 
+def model_table(spark, sf_dir, p, task, splits, oversample):
+    """Model input (vector + label, resampled for classification) as a stage
+    table: the resampling runs once per source / code version and split set,
+    and every training query scans the result."""
+    from affordspark.sources.io import stage_table
+    name = f"input-{task}-{'-'.join(splits)}-{oversample or 'none'}"
+    return stage_table(spark, name, [f"{sf_dir}/orders.parquet", f"{sf_dir}/customer.parquet"],
+                       lambda: T.model_input(p, task, splits, oversample))
+
+
 def _inputs(spark, sf_dir, task, oversample="smote"):
     p = prepared(spark, sf_dir)
-    train = prepare.cut(T.model_input(p, task, ["train"], oversample))
-    val = prepare.cut(T.model_input(p, task, ["val"], None))
+    train = model_table(spark, sf_dir, p, task, ["train"], oversample if task == T.CLS else None)
+    val = model_table(spark, sf_dir, p, task, ["val"], None)
     return p, train, val
 
 
@@ -105,8 +115,8 @@ def q_tune_top(spark, sf_dir):
 
 def _final(spark, sf_dir, task):
     p = prepared(spark, sf_dir)
-    tv = prepare.cut(T.model_input(p, task, ["train", "val"], "smote" if task == T.CLS else None))
-    test = prepare.cut(T.model_input(p, task, ["test"], None))
+    tv = model_table(spark, sf_dir, p, task, ["train", "val"], "smote" if task == T.CLS else None)
+    test = model_table(spark, sf_dir, p, task, ["test"], None)
     name = "Random_Forest"
     return p, T.final_fit_eval(task, name, QUICK[name], tv, test)
 
@@ -129,8 +139,8 @@ def q_predictions(spark, sf_dir):
 @register("score_batch")
 def q_score_batch(spark, sf_dir):
     p = prepared(spark, sf_dir)
-    cls_in = prepare.cut(T.model_input(p, T.CLS, ["train", "val"], "smote"))
-    reg_in = prepare.cut(T.model_input(p, T.REG, ["train", "val"], None))
+    cls_in = model_table(spark, sf_dir, p, T.CLS, ["train", "val"], "smote")
+    reg_in = model_table(spark, sf_dir, p, T.REG, ["train", "val"], None)
     clf = models.model_factory("Random_Forest", T.CLS, QUICK["Random_Forest"]).fit(cls_in)
     reg = models.model_factory("Random_Forest", T.REG, QUICK["Random_Forest"]).fit(reg_in)
     test = T.model_input(p, T.CLS, ["test"], None)
@@ -141,6 +151,6 @@ def q_score_batch(spark, sf_dir):
 @register("feature_importance_topk")
 def q_feature_importance(spark, sf_dir):
     p = prepared(spark, sf_dir)
-    reg_in = prepare.cut(T.model_input(p, T.REG, ["train"], None))
+    reg_in = model_table(spark, sf_dir, p, T.REG, ["train"], None)
     reg = models.model_factory("Random_Forest", T.REG, QUICK["Random_Forest"]).fit(reg_in)
     return models.feature_importance_topk(reg, p.feature_cols, 10, spark)

@@ -92,6 +92,16 @@ def stage_path(spark: SparkSession, name: str, sources) -> tuple:
     return path, fs.exists(p)
 
 
+def stage_table(spark: SparkSession, name: str, sources, build) -> DataFrame:
+    """A derived stage written once per source and code version under the
+    shared checkpoint folder (``build()`` is only called when no complete
+    copy exists), then scanned."""
+    path, done = stage_path(spark, name, sources)
+    if not done:
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def ingest_snapshot(spark: SparkSession, name: str, sources, build, file_bytes: int = 64 << 20,
                     fmt: str = "parquet"):
     """Materialise ``build()`` once per source version as parquet under the

@@ -113,8 +113,11 @@ def prepared_stage(spark, sf_dir: str, raw_builder) -> Prepared:
     fs, marker = io._fs(spark, f"{path}/table/_SUCCESS")  # table is written last
     if not fs.exists(marker):
         p = prepare_features(clean_stage(raw_builder()))
-        io.sink_preprocessor(p.params(), f"{path}/params")
-        io.sink_splits(p.table, f"{path}/table")
+
+        def write(tmp):
+            io.sink_preprocessor(p.params(), f"{tmp}/params")
+            io.sink_splits(p.table, f"{tmp}/table")
+        io.publish(spark, path, write, marker="table/_SUCCESS")
     table = spark.read.parquet(f"{path}/table")
     params = io.scan_preprocessor(spark, f"{path}/params")
     cols = [c for c in table.columns if c not in (KEY, "split", TARGET_REG, "label")]

@@ -92,13 +92,33 @@ def stage_path(spark: SparkSession, name: str, sources) -> tuple:
     return path, fs.exists(p)
 
 
+def publish(spark: SparkSession, path: str, write, marker: str = "_SUCCESS") -> str:
+    """Write a stage into a unique temporary sibling, then rename it into
+    place. A failed or concurrent writer never leaves a half-written table
+    at ``path``; if another writer published first, its copy is kept."""
+    import uuid
+    tmp = f"{path}.tmp-{uuid.uuid4().hex}"
+    write(tmp)
+    fs, src = _fs(spark, tmp)
+    _, dst = _fs(spark, path)
+    if fs.exists(dst):
+        if fs.exists(_fs(spark, f"{path}/{marker}")[1]):
+            fs.delete(src, True)  # someone else published the same stage first
+            return path
+        fs.delete(dst, True)  # an old incomplete copy
+    # (renaming onto an existing directory would nest inside it, hence the checks)
+    if not fs.rename(src, dst):
+        fs.delete(src, True)
+    return path
+
+
 def stage_table(spark: SparkSession, name: str, sources, build) -> DataFrame:
     """A derived stage written once per source and code version under the
     shared checkpoint folder (``build()`` is only called when no complete
     copy exists), then scanned."""
     path, done = stage_path(spark, name, sources)
     if not done:
-        build().write.mode("overwrite").parquet(path)
+        publish(spark, path, lambda t: build().write.parquet(t))
     return spark.read.parquet(path)
 
 
@@ -120,11 +140,10 @@ def ingest_snapshot(spark: SparkSession, name: str, sources, build, file_bytes:
         fs, p = _fs(spark, f"{path}/_SUCCESS")
     if not fs.exists(p):
         n = max(spark.sparkContext.defaultParallelism, -(-size // file_bytes))
-        w = spread(build(), n).write.mode("overwrite")
         if fmt == "csv":
-            w.option("header", True).csv(path)
+            publish(spark, path, lambda t: spread(build(), n).write.option("header", True).csv(t))
         else:
-            w.parquet(path)
+            publish(spark, path, lambda t: spread(build(), n).write.parquet(t))
     return path if fmt == "csv" else spark.read.parquet(path)
 
 

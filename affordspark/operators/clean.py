@@ -163,50 +163,58 @@ def quantiles(df: DataFrame, cols, q: float, method: str = "select",
 
 def select_quantiles(df: DataFrame, cols, q: float, bins: int = 4096,
                      max_collect: int = 250_000, max_rounds: int = 30) -> dict:
-    """Exact quantiles without a single-task value map.
+    """{col: exact q-quantile}; see ``select_quantiles_multi``."""
+    got = select_quantiles_multi(df, [(c, q) for c in cols], bins, max_collect, max_rounds)
+    return {c: got[(c, q)] for c in cols}
+
+
+def select_quantiles_multi(df: DataFrame, targets, bins: int = 4096, max_collect: int = 250_000,
+                           max_rounds: int = 30) -> dict:
+    """Exact quantiles for many (column, q) targets without a single-task
+    value map: {(col, q): value}.
 
     Ranks: p = q (n - 1); the answer interpolates the order statistics at
-    floor(p) and ceil(p). Each round is one job over all still-open columns:
-    count of values below the bracket [lo, hi] plus an equal-width
-    ``bins``-bucket histogram inside it (partial counts are combined
-    map-side, so the shuffle carries at most columns x bins rows per task).
-    The bracket shrinks to the bins holding the two ranks; once it holds at
-    most ``max_collect`` values (~2 MB per column) they are collected and
-    read off directly. Pass a materialised input: every round rescans it."""
-    spark = df.sparkSession
+    floor(p) and ceil(p) (as Spark's ``percentile``). Each round is one job
+    over all still-open targets: the count of values below the target's
+    bracket [lo, hi] plus an equal-width ``bins``-bucket histogram inside it
+    (partial counts are combined map-side, so the shuffle carries at most
+    targets x bins rows per task). The bracket shrinks to the bins holding
+    the two ranks; once it holds at most ``max_collect`` values (~2 MB) they
+    are collected and read off. Pass a materialised input: every round
+    rescans it."""
+    targets = list(dict.fromkeys(targets))
+    cols = list(dict.fromkeys(c for c, _ in targets))
     x = {c: F.col(c).cast("double") for c in cols}
     st = df.agg(*[a for c in cols for a in (F.count(x[c]).alias(f"{c}__n"), F.min(x[c]).alias(f"{c}__lo"),
                                           F.max(x[c]).alias(f"{c}__hi"))]).first()
-    state = {}
-    for c in cols:
+    state, out = {}, {t: None for t in targets}
+    for t in targets:
+        c, q = t
         n = st[f"{c}__n"]
         if not n:
             continue
         p = q * (n - 1)
-        state[c] = {"n": n, "p": p, "ranks": (math.floor(p), math.ceil(p)),
+        state[t] = {"col": c, "p": p, "ranks": (math.floor(p), math.ceil(p)),
                     "lo": st[f"{c}__lo"], "hi": st[f"{c}__hi"], "cnt": n}
-    out = {c: None for c in cols}
     for _ in range(max_rounds):
-        open_cols = [c for c, s_ in state.items() if s_["cnt"] > max_collect and s_["lo"] < s_["hi"]]
-        if not open_cols:
+        open_t = [t for t, s_ in state.items() if s_["cnt"] > max_collect and s_["lo"] < s_["hi"]]
+        if not open_t:
             break
         pairs = []
-        for i, c in enumerate(open_cols):
-            s_ = state[c]
+        for i, t in enumerate(open_t):
+            s_, xc = state[t], x[state[t]["col"]]
             lo, hi = s_["lo"], s_["hi"]
             w = (hi - lo) / bins
-            b = F.least(F.floor((x[c] - F.lit(lo)) / F.lit(w)).cast("int"), F.lit(bins - 1))
-            inside = (x[c] >= F.lit(lo)) & (x[c] <= F.lit(hi))
-            below = x[c] < F.lit(lo)
-            pairs.append(F.when(inside, F.struct(F.lit(i).alias("c"), b.alias("b")))
-                         .when(below, F.struct(F.lit(i).alias("c"), F.lit(-1).alias("b"))))
+            b = F.least(F.floor((xc - F.lit(lo)) / F.lit(w)).cast("int"), F.lit(bins - 1))
+            pairs.append(F.when((xc >= F.lit(lo)) & (xc <= F.lit(hi)), F.struct(F.lit(i).alias("c"), b.alias("b")))
+                         .when(xc < F.lit(lo), F.struct(F.lit(i).alias("c"), F.lit(-1).alias("b"))))
         hist = df.select(F.explode(F.array_compact(F.array(*pairs))).alias("h")) \
             .groupBy("h.c", "h.b").agg(F.count(F.lit(1)).alias("k")).collect()
         counts = {}
         for r in hist:
             counts.setdefault(r["c"], {})[r["b"]] = r["k"]
-        for i, c in enumerate(open_cols):
-            s_ = state[c]
+        for i, t in enumerate(open_t):
+            s_ = state[t]
             h = counts.get(i, {})
             acc = h.get(-1, 0)
             w = (s_["hi"] - s_["lo"]) / bins
@@ -219,33 +227,33 @@ def select_quantiles(df: DataFrame, cols, q: float, bins: int = 4096,
                     last_b = bi
                     break
                 acc += k
-            if first_b is None or last_b is None:  # float edge case: keep exact fallback
-                s_["cnt"] = 0
-                s_["fallback"] = True
+            if first_b is None or last_b is None:  # float edge case: exact fallback below
+                s_["cnt"], s_["fallback"] = 0, True
                 continue
             new_lo = s_["lo"] + first_b * w
             new_hi = s_["hi"] if last_b == bins - 1 else s_["lo"] + (last_b + 1) * w
             s_["cnt"] = sum(h.get(bi, 0) for bi in range(first_b, last_b + 1)) + 2
             s_["lo"], s_["hi"] = new_lo, new_hi
-    # final: exact read-off inside each bracket
-    aggs = []
-    for c, s_ in state.items():
-        if s_.get("fallback"):
-            continue
-        inside = (x[c] >= F.lit(s_["lo"])) & (x[c] <= F.lit(s_["hi"]))
-        aggs += [F.count_if(x[c] < F.lit(s_["lo"])).alias(f"{c}__below"),
-                 F.array_sort(F.collect_list(F.when(inside, x[c]))).alias(f"{c}__vals")]
+    # final: exact read-off inside each bracket (one job for all targets)
+    aggs, live = [], [t for t, s_ in state.items() if not s_.get("fallback")]
+    for i, t in enumerate(live):
+        s_, xc = state[t], x[state[t]["col"]]
+        inside = (xc >= F.lit(s_["lo"])) & (xc <= F.lit(s_["hi"]))
+        aggs += [F.count_if(xc < F.lit(s_["lo"])).alias(f"t{i}__below"),
+                 F.array_sort(F.collect_list(F.when(inside, xc))).alias(f"t{i}__vals")]
     row = df.agg(*aggs).first() if aggs else None
-    for c, s_ in state.items():
+    for t, s_ in state.items():
         lo_r, hi_r = s_["ranks"]
-        vals = None if s_.get("fallback") else row[f"{c}__vals"]
-        below = None if s_.get("fallback") else row[f"{c}__below"]
+        vals = below = None
+        if t in live:
+            i = live.index(t)
+            vals, below = row[f"t{i}__vals"], row[f"t{i}__below"]
         if vals is None or not (0 <= lo_r - below and hi_r - below < len(vals)):
-            out[c] = df.agg(F.percentile(x[c], F.lit(q))).first()[0]
+            out[t] = df.agg(F.percentile(x[s_["col"]], F.lit(t[1]))).first()[0]
             continue
         v_lo, v_hi = vals[lo_r - below], vals[hi_r - below]
         p = s_["p"]
-        out[c] = v_lo if lo_r == hi_r else (hi_r - p) * v_lo + (p - lo_r) * v_hi
+        out[t] = v_lo if lo_r == hi_r else (hi_r - p) * v_lo + (p - lo_r) * v_hi
     return out
 
 

@@ -29,12 +29,20 @@ LABEL_SCHEMA = T.StructType([T.StructField("idx", T.IntegerType()),
 
 # ---- robust scaler ------------------------------------------------------------
 
-def robust_fit(df: DataFrame, cols) -> DataFrame:
-    """Median and IQR (25-75, linear interpolation) of each column in one
-    pass; a zero IQR scales by 1."""
-    aggs = [F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c)
-            for c in cols]
-    row = df.agg(*aggs).first()
+def robust_fit(df: DataFrame, cols, method: str = "select") -> DataFrame:
+    """Median and IQR (25-75, linear interpolation) of each column; a zero
+    IQR scales by 1. ``select``: exact quantiles by distributed narrowing
+    (all columns and quartiles in the same passes, bounded per task);
+    ``exact``: Spark ``percentile`` in one pass (single-task value map)."""
+    if method == "select":
+        from affordspark.operators.clean import select_quantiles_multi
+        got = select_quantiles_multi(df, [(c, q) for c in cols for q in (0.25, 0.5, 0.75)])
+        row = {c: (None if got[(c, 0.5)] is None else
+                   [got[(c, 0.25)], got[(c, 0.5)], got[(c, 0.75)]]) for c in cols}
+    else:
+        aggs = [F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c)
+                for c in cols]
+        row = df.agg(*aggs).first()
     rows = []
     for c in cols:
         q = row[c]

@@ -36,16 +36,26 @@ def coerce_columns(df: DataFrame, cols) -> DataFrame:
     return df.select(*[to_numeric_safe(c).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
-def describe_numeric(df: DataFrame, cols) -> DataFrame:
+def describe_numeric(df: DataFrame, cols, method: str = "select") -> DataFrame:
     """count, mean, std (sample), min, 25/50/75 % (exact, linear), max per
-    column; NULLs skipped. One aggregate pass, reshaped to one row per column
-    on the executors (``inline``), not on the driver."""
+    column; NULLs skipped. Moments in one aggregate pass; quartiles exact by
+    distributed narrowing (``select``, bounded per task) or Spark
+    ``percentile`` (``exact``). Reshaped to one row per column on the
+    executors (``inline``)."""
     aggs = []
+    quart = None
+    if method == "select":
+        from affordspark.operators.clean import select_quantiles_multi
+        quart = select_quantiles_multi(df, [(c, q) for c in cols for q in (0.25, 0.5, 0.75)])
     for c in cols:
         x = F.col(c).cast("double")
+        if quart is None:
+            qexpr = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        else:
+            qexpr = F.array(*[F.lit(quart[(c, q)]).cast("double") for q in (0.25, 0.5, 0.75)])
         aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
                  F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
-                 F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"{c}__q"),
+                 (qexpr if quart is None else F.first(qexpr)).alias(f"{c}__q"),
                  F.max(x).alias(f"{c}__max")]
     wide = df.agg(*aggs)
     rows = [F.struct(F.lit(c).alias("column"), F.col(f"{c}__count").alias("count"),

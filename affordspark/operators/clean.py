@@ -234,26 +234,40 @@ def select_quantiles_multi(df: DataFrame, targets, bins: int = 4096, max_collect
             new_hi = s_["hi"] if last_b == bins - 1 else s_["lo"] + (last_b + 1) * w
             s_["cnt"] = sum(h.get(bi, 0) for bi in range(first_b, last_b + 1)) + 2
             s_["lo"], s_["hi"] = new_lo, new_hi
-    # final: exact read-off inside each bracket (one job for all targets)
-    aggs, live = [], [t for t, s_ in state.items() if not s_.get("fallback")]
-    for i, t in enumerate(live):
-        s_, xc = state[t], x[state[t]["col"]]
-        inside = (xc >= F.lit(s_["lo"])) & (xc <= F.lit(s_["hi"]))
-        aggs += [F.count_if(xc < F.lit(s_["lo"])).alias(f"t{i}__below"),
-                 F.array_sort(F.collect_list(F.when(inside, xc))).alias(f"t{i}__vals")]
+    # final: exact read-off inside each bracket (one job for all targets).
+    # A bracket of one repeated value (lo == hi) is answered from two counts,
+    # never by collecting its rows; a wider bracket holds <= max_collect values.
+    aggs, live = [], []
+    for t, s_ in state.items():
+        if s_.get("fallback") or (s_["lo"] < s_["hi"] and s_["cnt"] > max_collect):
+            s_["fallback"] = True  # rounds exhausted: exact fallback below
+            continue
+        i, xc = len(live), x[s_["col"]]
+        live.append(t)
+        aggs.append(F.count_if(xc < F.lit(s_["lo"])).alias(f"t{i}__below"))
+        if s_["lo"] < s_["hi"]:
+            inside = (xc >= F.lit(s_["lo"])) & (xc <= F.lit(s_["hi"]))
+            aggs.append(F.array_sort(F.collect_list(F.when(inside, xc))).alias(f"t{i}__vals"))
+        else:
+            aggs.append(F.count_if(xc == F.lit(s_["lo"])).alias(f"t{i}__eq"))
     row = df.agg(*aggs).first() if aggs else None
     for t, s_ in state.items():
         lo_r, hi_r = s_["ranks"]
-        vals = below = None
+        value = None
         if t in live:
             i = live.index(t)
-            vals, below = row[f"t{i}__vals"], row[f"t{i}__below"]
-        if vals is None or not (0 <= lo_r - below and hi_r - below < len(vals)):
-            out[t] = df.agg(F.percentile(x[s_["col"]], F.lit(t[1]))).first()[0]
-            continue
-        v_lo, v_hi = vals[lo_r - below], vals[hi_r - below]
-        p = s_["p"]
-        out[t] = v_lo if lo_r == hi_r else (hi_r - p) * v_lo + (p - lo_r) * v_hi
+            below = row[f"t{i}__below"]
+            if s_["lo"] < s_["hi"]:
+                vals = row[f"t{i}__vals"]
+                if 0 <= lo_r - below and hi_r - below < len(vals):
+                    v_lo, v_hi = vals[lo_r - below], vals[hi_r - below]
+                    p = s_["p"]
+                    value = v_lo if lo_r == hi_r else (hi_r - p) * v_lo + (p - lo_r) * v_hi
+            elif below <= lo_r and hi_r < below + row[f"t{i}__eq"]:
+                value = float(s_["lo"])
+        if value is None:
+            value = df.agg(F.percentile(x[s_["col"]], F.lit(t[1]))).first()[0]
+        out[t] = value
     return out
 
 

@@ -101,3 +101,15 @@ def test_clean_invariants(spark):
     again = clean.clean_applications(c.select(*c.columns))
     assert again.count() == c.count()
     c.unpersist()
+
+
+def test_select_quantiles_duplicates_and_rounds(spark):
+    """Exact against Spark's percentile with heavy duplicates and forced
+    multi-round narrowing (tiny read-off limit)."""
+    rows = [(float(i % 3), float((i * 7919) % 1000) / 7.0) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    targets = [(c, q) for c in ("a", "b") for q in (0.0, 0.25, 0.5, 0.99, 1.0)]
+    got = clean.select_quantiles_multi(df, targets, bins=8, max_collect=10)
+    for c, q in targets:
+        exp = df.agg(F.percentile(c, F.lit(q))).first()[0]
+        assert abs(got[(c, q)] - exp) <= 1e-9 * max(1.0, abs(exp)), (c, q, got[(c, q)], exp)

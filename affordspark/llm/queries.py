@@ -21,3 +21,34 @@ def op9(spark, sf_dir):
     from affordspark.llm.fingerprints import compare_with_edits
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return compare_with_edits(docs, text_bytes_of(docs)[1])
+
+
+_LOWER = "translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all({t}, '[^\x20\x09-\x0D]+')"
+
+
+@query("op1_ngram_jaccard_join")
+def op1(spark, sf_dir):
+    from affordspark.llm.ngram_join import jaccard_components
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op1_ngram_jaccard_join"] = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, {_WORDS.format(t=_LOWER.format(t="coalesce(text, '')"))} AS w FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 4
+      THEN list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' '))
+      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g
+  FROM w
+), e AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(doc_id, c) AS (
+  SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.c = l.a
+)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, min(r.c) AS component_id
+FROM s JOIN r ON s.doc_id = r.doc_id GROUP BY ALL
+"""

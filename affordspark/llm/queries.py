@@ -52,3 +52,9 @@ r(doc_id, c) AS (
 SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, min(r.c) AS component_id
 FROM s JOIN r ON s.doc_id = r.doc_id GROUP BY ALL
 """
+
+
+@query("op8_lm_scoring")
+def op8(spark, sf_dir):
+    from affordspark.llm.lm_scoring import score_texts, sevenths
+    return score_texts(table(spark, sf_dir, "documents"), *sevenths())

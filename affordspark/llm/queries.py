@@ -58,3 +58,10 @@ FROM s JOIN r ON s.doc_id = r.doc_id GROUP BY ALL
 def op8(spark, sf_dir):
     from affordspark.llm.lm_scoring import score_texts, sevenths
     return score_texts(table(spark, sf_dir, "documents"), *sevenths())
+
+
+@query("op7_language_id")
+def op7(spark, sf_dir):
+    from affordspark.llm.language_id import fourths, identify
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", fourths() == 2)
+    return identify(docs, ~docs["held_out"], ["doc_id", "held_out"])

@@ -65,3 +65,11 @@ def op7(spark, sf_dir):
     from affordspark.llm.language_id import fourths, identify
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", fourths() == 2)
     return identify(docs, ~docs["held_out"], ["doc_id", "held_out"])
+
+
+@query("op4_token_counts")
+def op4(spark, sf_dir):
+    import public_tokenizers
+
+    from affordspark.llm.token_counts import token_counts
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)

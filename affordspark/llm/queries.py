@@ -73,3 +73,57 @@ def op4(spark, sf_dir):
 
     from affordspark.llm.token_counts import token_counts
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
+
+
+# fixed values: the rules of the contract
+_URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+              ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+@query("op5_url_filters")
+def op5(spark, sf_dir):
+    from affordspark.llm.url_filters import Rule, judge, link_edges
+    pages = table(spark, sf_dir, "pages")
+    return judge(pages.select("page_id", "url"), [Rule(*r) for r in _URL_RULES], link_edges(pages), ["page_id"])
+
+
+def _url_fit(host, path, h, p):
+    return f"(({host} = '{h}' OR ends_with({host}, '.{h}')) AND starts_with({path}, '{p}'))"
+
+
+def _url_case(host, path, value):
+    order = sorted(_URL_RULES, key=lambda r: (len(r[1]), len(r[2])), reverse=True)
+    return "CASE " + " ".join(f"WHEN {_url_fit(host, path, h, p)} THEN '{value(v, h, p)}'" for v, h, p in order) + " END"
+
+
+def _url_parts(url):
+    rest = f"CASE WHEN contains({url}, '://') THEN substr({url}, strpos({url}, '://') + 3) ELSE '' END"
+    host = f"translate(regexp_extract({rest}, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return host, f"regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1)"
+
+
+_NODE = r"""CASE WHEN contains({u}, '://') THEN lower(regexp_extract({u}, '^[^:]*://[^/?#]*')) ||
+  CASE WHEN regexp_extract({u}, '^[^:]*://[^/?#]*([^#]*)', 1) = '' THEN '/' ELSE regexp_extract({u}, '^[^:]*://[^/?#]*([^#]*)', 1) END END"""
+# tags with the link after the attribute that names its kind or before it; hrefs
+# of these tables are absolute
+ORACLES["op5_url_filters"] = rf"""
+WITH RECURSIVE h AS (
+  SELECT url, unnest(list_concat(
+      list_filter(regexp_extract_all(html, '(?i)<link\b[^>]*>'), t -> regexp_matches(t, '(?i)\brel\s*=\s*["'']?canonical\b')),
+      list_filter(regexp_extract_all(html, '(?i)<meta\b[^>]*>'), t -> regexp_matches(t, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b')))) AS tag
+  FROM pages
+), k AS (
+  SELECT {_NODE.format(u='url')} AS a, CASE WHEN lower(tag[2:5]) = 'link' THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+      ELSE regexp_extract(tag, '(?i)url\s*=\s*["'']?([^"''\s>]+)', 1) END AS href FROM h
+), e AS (
+  SELECT a, {_NODE.format(u='href')} AS b FROM k WHERE a IS NOT NULL AND contains(href, '://')
+), l AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(n, m) AS (SELECT a, a FROM l UNION SELECT r.n, l.b FROM r JOIN l ON r.m = l.a),
+v AS (SELECT n, {_url_case(*_url_parts('m'), lambda v, h, p: v)} AS own FROM r),
+c AS (SELECT n, CASE WHEN bool_or(own = 'allow') THEN 'allow' WHEN bool_or(own = 'block') THEN 'block' END AS alias FROM v GROUP BY n),
+p AS (SELECT page_id, url, {_url_parts("coalesce(url, '')")[0]} AS host, {_url_parts("coalesce(url, '')")[1]} AS path FROM pages),
+q AS (SELECT *, {_url_case('host', 'path', lambda v, h, p: h + p)} AS rule, {_url_case('host', 'path', lambda v, h, p: v)} AS own FROM p)
+SELECT page_id, host, path, rule, coalesce(own, alias, 'allow') AS verdict,
+  CASE WHEN rule IS NOT NULL THEN 'rule' WHEN alias IS NOT NULL THEN 'alias' ELSE 'default' END AS source
+FROM q LEFT JOIN c ON c.n = {_NODE.format(u='q.url')}
+"""

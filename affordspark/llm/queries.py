@@ -127,3 +127,9 @@ SELECT page_id, host, path, rule, coalesce(own, alias, 'allow') AS verdict,
   CASE WHEN rule IS NOT NULL THEN 'rule' WHEN alias IS NOT NULL THEN 'alias' ELSE 'default' END AS source
 FROM q LEFT JOIN c ON c.n = {_NODE.format(u='q.url')}
 """
+
+
+@query("op6_quality_rules")
+def op6(spark, sf_dir):
+    from affordspark.llm.quality_rules import judge
+    return judge(table(spark, sf_dir, "documents"), ["doc_id"])

@@ -21,6 +21,8 @@ copy, while no link between different components is left out.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,12 +30,14 @@ from pyspark.sql import functions as F
 
 from affordspark.llm import arrays
 from affordspark.llm.components import connected_components
-from affordspark.llm.storage import dropped, written
+from affordspark.llm.storage import dropped, parts_for, text_bytes_of, written
 
 U64 = np.uint64
-ORDER_BUCKETS = 1 << 20  # counters of the n-gram order: 8 MB, fixed
+ORDER_BUCKETS = 1 << 22  # counters of the n-gram order: 16 MB, fixed
 FILTER_BITS = 1 << 26  # bits of the filter before verification: 8 MB, fixed
 _SLICES = 32
+RANGE_BYTES = 4 << 20  # text bytes for each hash range of the postings
+MOST_RANGES = 1 << 16  # beyond 256 GB of text ranges grow instead of their number
 
 
 def least_size(n: int, threshold: int) -> int:
@@ -46,9 +50,21 @@ def prefix_size(n: int, threshold: int) -> int:
     return n - least_size(n, threshold) + 1 if n else 0
 
 
-def needed(n: str, m: str, threshold: int):
-    """SQL: least overlap of linked sets of sizes n and m."""
-    return F.ceil(F.lit(threshold) * (F.col(n) + F.col(m)) / F.lit(100 + threshold))
+def _may_link(n: str, pos: str, m: str, pos_m: str, threshold: int):
+    """Size and position filter: whether two sets of sizes n and m whose first
+    common n-gram stands at these places may still overlap enough."""
+    n, pos, m, pos_m = map(F.col, (n, pos, m, pos_m))
+    return ((100 * F.least(n, m) >= threshold * F.greatest(n, m))
+            & ((100 + threshold) * F.least(n - pos, m - pos_m) >= threshold * (n + m)))
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    kind = "<u1" if counts.max() < 256 else "<u8"
+    return kind[1:].encode() + zlib.compress(counts.astype(kind).tobytes(), 1)
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(blob[2:]), dtype="<" + blob[:2].decode()).astype(np.int64)
 
 
 def _bucket_counts(docs: DataFrame, k: int) -> np.ndarray:
@@ -67,25 +83,25 @@ def _bucket_counts(docs: DataFrame, k: int) -> np.ndarray:
         if table.any():
             yield pa.RecordBatch.from_arrays([
                 pa.array(range(_SLICES), pa.int32()),
-                pa.array([table[i * width:(i + 1) * width].astype("<u4").tobytes() for i in range(_SLICES)], pa.binary())],
+                pa.array([_packed(x) for x in np.split(table, _SLICES)], pa.binary())],
                 ["slice", "counts"])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for s, c in zip(batch.column("slice").to_pylist(), batch.column("counts")):
-                got = np.frombuffer(c.as_buffer(), dtype="<u4")
-                sums[s] = sums[s] + got if s in sums else got.astype(np.int64)
+                got = _unpacked(c.as_py())
+                sums[s] = sums[s] + got if s in sums else got
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()),
-                                              pa.array([np.minimum(v, 0xFFFFFFFF).astype("<u4").tobytes() for v in sums.values()], pa.binary())],
+                                              pa.array([_packed(v) for v in sums.values()], pa.binary())],
                                              ["slice", "counts"])
 
     rows = (docs.select("text").mapInArrow(count, "slice int, counts binary")
             .repartition(_SLICES, "slice").mapInArrow(add, "slice int, counts binary").collect())
     out = np.zeros(ORDER_BUCKETS, dtype=np.uint32)
     for r in rows:
-        out[r["slice"] * width:(r["slice"] + 1) * width] = np.frombuffer(r["counts"], dtype="<u4")
+        out[r["slice"] * width:(r["slice"] + 1) * width] = np.minimum(_unpacked(r["counts"]), 0xFFFFFFFF)
     return out
 
 
@@ -158,13 +174,16 @@ def _candidates(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame:
     """The pairs (a, b) of classes whose texts link, by the exact sets."""
     pairs = written(pairs, "pairs")
-    ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    wanted = written(ends.join(classes.select("cls", "doc_id", "th"), "cls"), "wanted")
-    found = _candidates(docs, wanted).withColumnsRenamed({"doc_id": "id", "th": "hash"})
-    texts = found.join(wanted, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("th"))).select("cls", "text")
-    a = texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.join(b, "b").join(a, "a")
+    row = classes.select("cls", F.struct("doc_id", "th").alias("row"))
+    named = (pairs.join(row.withColumnsRenamed({"cls": "a", "row": "row_a"}), "a")
+             .join(row.withColumnsRenamed({"cls": "b", "row": "row_b"}), "b"))
+    named = written(named, "named")
+    wanted = named.select("row_a.th").union(named.select("row_b.th"))
+    # a repeated row stands for its class once
+    texts = (_candidates(docs, wanted).select(F.struct("doc_id", "th").alias("row"), "text")
+             .groupBy("row").agg(F.min("text").alias("text")))
+    joined = (named.join(texts.withColumnsRenamed({"row": "row_b", "text": "text_b"}), "row_b")
+              .join(texts.withColumnsRenamed({"row": "row_a", "text": "text_a"}), "row_a"))
 
     def run(batches):
         for batch in batches:
@@ -193,11 +212,51 @@ def _open_pairs(entries: DataFrame, threshold: int) -> DataFrame:
     pairs = x.join(y, "gram").where(
         (F.col("comp_x") != F.col("comp_y"))
         & ((F.col("comp_y") == F.col("main")) | (F.col("cls_x") < F.col("cls_y")))
-        & (100 * F.least("n_x", "n_y") >= threshold * F.greatest("n_x", "n_y"))
-        & (1 + F.least(F.col("n_x") - F.col("pos_x") - 1, F.col("n_y") - F.col("pos_y") - 1) >= needed("n_x", "n_y", threshold)))
+        & _may_link("n_x", "pos_x", "n_y", "pos_y", threshold))
     return pairs.select(F.least("cls_x", "cls_y").alias("a"), F.greatest("cls_x", "cls_y").alias("b"))
 
 
+def _shared_postings(reps: DataFrame, bits: int) -> DataFrame:
+    """(gram, gid, n, pos) of the prefix n-grams that at least two groups have,
+    from reps (gid, n, prefix). Postings travel as sorted blobs by hash range;
+    n-grams of a single group, nearly all of them, end there."""
+
+    def post(batches):
+        for batch in batches:
+            prefix = batch.column("prefix")
+            sizes = np.diff(np.asarray(prefix.offsets))
+            grams = np.asarray(prefix.flatten()).view(U64)
+            gid = np.repeat(np.asarray(batch.column("gid")), sizes)
+            n = np.repeat(np.asarray(batch.column("n")), sizes)
+            pos = np.arange(len(grams)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            order = np.argsort(grams, kind="stable")
+            grams, gid, n, pos = grams[order], gid[order], n[order].astype("<u4"), pos[order].astype("<u4")
+            cuts = np.searchsorted(grams, np.arange(1 << bits, dtype=U64) << U64(64 - bits)) if bits else np.zeros(1, np.int64)
+            rows = [(r, grams[a:b].tobytes(), gid[a:b].tobytes(), n[a:b].tobytes(), pos[a:b].tobytes())
+                    for r, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(grams)])) if b > a]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))],
+                                                 ["rng", "grams", "gids", "ns", "places"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        read = lambda c, kind: np.concatenate([np.frombuffer(x.as_buffer(), dtype=kind) for x in table.column(c)])
+        grams, gid, n, pos = read("grams", "<u8"), read("gids", "<i8"), read("ns", "<u4"), read("places", "<u4")
+        order = np.lexsort((gid, grams))
+        grams, gid, n, pos = grams[order], gid[order], n[order], pos[order]
+        new = np.ones(len(grams), dtype=bool)  # a row that is there twice posts once
+        new[1:] = (grams[1:] != grams[:-1]) | (gid[1:] != gid[:-1])
+        grams, gid, n, pos = grams[new], gid[new], n[new], pos[new]
+        same = grams[1:] == grams[:-1]
+        keep = np.zeros(len(grams), dtype=bool)
+        keep[1:] |= same
+        keep[:-1] |= same
+        return pa.table([pa.array(grams[keep].view(np.int64)), pa.array(gid[keep]), pa.array(n[keep].astype(np.int64)), pa.array(pos[keep].astype(np.int64))],
+                        names=["gram", "gid", "n", "pos"])
+
+    sent = reps.mapInArrow(post, "rng int, grams binary, gids binary, ns binary, places binary")
+    return sent.groupBy("rng").applyInArrow(meet, "gram long, gid long, n long, pos long")
+
+
 def jaccard_components(docs: DataFrame, k: int = 4, threshold: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text).
 
@@ -213,25 +272,26 @@ def jaccard_components(docs: DataFrame, k: int = 4, threshold: int = 85) -> Data
     made = written(_prefixes(docs, k, threshold, order), "prefixes")
 
     # equal sets: one class, named by a hash of the set; one of its rows stands for it
-    keyed = made.where("n > 0").withColumn("cls", F.xxhash64("n", "set_a", "set_b"))
-    classes = written(keyed.groupBy("cls", "n").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("row"),
-                                                    F.min("prefix").alias("prefix"))
-                      .select("cls", "n", "least", "row.doc_id", "row.th", "prefix", F.xxhash64("prefix").alias("head")), "classes")
+    keyed = made.where("n > 0").select("doc_id", "th", "n", F.xxhash64("n", "set_a", "set_b").alias("cls"), F.xxhash64("prefix").alias("head"))
+    classes = written(keyed.groupBy("cls", "n", "head").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("row"))
+                      .select("cls", "n", "head", "least", "row.doc_id", "row.th"), "classes")
     # identical prefix and size: one group, named by its least class
-    groups = classes.groupBy("n", "head").agg(F.min("cls").alias("gid"), F.min("prefix").alias("prefix"))
-    members = written(classes.select("n", "head", "cls").join(groups.select("n", "head", "gid"), ["n", "head"])
+    groups = classes.groupBy("n", "head").agg(F.min(F.struct("cls", "doc_id", "th")).alias("g"))
+    members = written(classes.select("n", "head", "cls").join(groups.select("n", "head", F.col("g.cls").alias("gid")), ["n", "head"])
                       .select("gid", "cls", "n"), "members")
 
-    posted = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "gram"))
-    shared = (posted.groupBy("gram").agg(F.count(F.lit(1)).alias("df"), F.min(F.struct("gid", "n")).alias("hub"),
-                                         F.min(F.struct("pos", "gid", "n")).alias("light")).where("df > 1")
-              .select("gram", "hub", F.struct("light.gid", "light.n").alias("light")))
-    lists = written(posted.join(shared, "gram"), "lists")
+    heads = groups.select(F.col("g.cls").alias("gid"), F.col("g.doc_id").alias("id"), F.col("g.th").alias("hash"))
+    reps = (made.select("doc_id", "th", "n", "prefix").join(heads, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("hash")))
+            .select("gid", "n", "prefix"))
+    bits = min(MOST_RANGES, parts_for(text_bytes_of(docs)[1], RANGE_BYTES, 1)).bit_length() - 1
+    lists = written(_shared_postings(reps, bits), "lists")
 
     # pass 1: in every list each group against the two hubs; in every group each member against its first
-    hubs = (lists.select("gid", "n", F.explode(F.array("hub", "light")).alias("hub"))
-            .where(f"gid != hub.gid AND 100 * least(n, hub.n) >= {threshold} * greatest(n, hub.n)")
-            .select(F.least("gid", "hub.gid").alias("a"), F.greatest("gid", "hub.gid").alias("b")).distinct())
+    hub = lists.groupBy("gram").agg(F.min(F.struct("gid", "n", "pos")).alias("hub"), F.min(F.struct("pos", "gid", "n")).alias("light"))
+    hub = hub.select("gram", F.explode(F.array("hub", F.struct("light.gid", "light.n", "light.pos"))).alias("h")).distinct()
+    hubs = (lists.join(hub.select("gram", F.col("h.gid").alias("gid_h"), F.col("h.n").alias("n_h"), F.col("h.pos").alias("pos_h")), "gram")
+            .where((F.col("gid") != F.col("gid_h")) & _may_link("n", "pos", "n_h", "pos_h", threshold))
+            .select(F.least("gid", "gid_h").alias("a"), F.greatest("gid", "gid_h").alias("b")).distinct())
     inner = members.where("gid != cls").select(F.col("gid").alias("a"), F.col("cls").alias("b"))
     links = written(_verified(hubs.unionByName(inner), classes, docs, k, threshold), "links")
     comps = written(connected_components(links, "a", "b"), "components")
@@ -241,7 +301,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, threshold: int = 85) -> Data
                      .select("gid", "cls", "n", F.coalesce("component", "cls").alias("comp")), "placed")
     entries = lists.select("gram", "gid", "pos").join(placed, "gid").select("gram", "cls", "n", "pos", "comp")
     several = members.where("gid != cls").select("gid").distinct()
-    within = placed.join(several, "gid").select(F.col("gid").alias("gram"), "cls", "n", F.lit(0).alias("pos"), "comp")
+    within = placed.join(several, "gid").select(F.col("gid").alias("gram"), "cls", "n", F.lit(0).cast("long").alias("pos"), "comp")
     rest = _open_pairs(entries, threshold).unionByName(_open_pairs(within, threshold)).distinct()
     more = written(_verified(rest, classes, docs, k, threshold), "links")
     ends = placed.select("cls", "comp")

@@ -133,3 +133,74 @@ FROM q LEFT JOIN c ON c.n = {_NODE.format(u='q.url')}
 def op6(spark, sf_dir):
     from affordspark.llm.quality_rules import judge
     return judge(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+# fixed values: the target weights of the mix; sources by their number
+MIX_DOMAINS = {"web": 0.5, "books": 0.3, "reference": 0.2}
+MIX_LANGUAGES = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.1}
+MIX_OTHER = 0.1
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.6, 4, 20
+
+
+def mix_levels():
+    from pyspark.sql import functions as F
+    number = F.regexp_extract("source", r"(\d+)$", 1).cast("int")
+    domain = F.when(number < 10, "web").when(number < 15, "books").when(number.isNotNull(), "reference").otherwise("other")
+    return {"domain": domain, "lang": None, "source": None}
+
+
+def mix_weights():
+    from pyspark.sql import functions as F
+
+    from affordspark.llm.mixing import by_name
+    return [by_name("domain", MIX_DOMAINS, MIX_OTHER), by_name("lang", MIX_LANGUAGES, MIX_OTHER), lambda plain: F.lit(1.0)]
+
+
+@query("op10_source_mixing")
+def op10(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from affordspark.llm.mixing import mix
+    mixed = mix(table(spark, sf_dir, "documents"), mix_levels(), mix_weights(), F.floor(F.col("available") * MIX_SHARE), MIX_SEED, MIX_EPOCHS)
+    return mixed.select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
+
+
+def _case(column, table_, default):
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in table_.items()) + f" ELSE {default} END"
+
+
+def _sql_fill(path, parent, of, weight):
+    """SQL of one level: budgets of the children of every node."""
+    part = "PARTITION BY " + ", ".join(parent) if parent else ""
+    return f"""
+  SELECT {', '.join(path)}, least(lim, greatest(0, w * max(lvl) OVER ({part}))) AS share FROM (
+    SELECT *, (par - coalesce(sum(lim) OVER ({part} ORDER BY lim / w, {path[-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / sum(w) OVER ({part} ORDER BY lim / w, {path[-1]} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl FROM (
+      SELECT {', '.join('b.' + c for c in path)}, sum(b.lim) AS lim, CAST({weight} AS DOUBLE) AS w, any_value({of[1]}) AS par
+      FROM b {of[0]} GROUP BY {', '.join('b.' + c for c in path)}))"""
+
+
+ORACLES["op10_source_mixing"] = rf"""
+WITH n AS (SELECT *, TRY_CAST(regexp_extract(source, '(\d+)$', 1) AS INT) AS k FROM documents),
+d AS (
+  SELECT doc_id, CASE WHEN k < 10 THEN 'web' WHEN k < 15 THEN 'books' WHEN k IS NOT NULL THEN 'reference' ELSE 'other' END AS domain,
+    lang, source, coalesce('=' || lang, '') AS l, coalesce('=' || source, '') AS s,
+    CAST(len({_WORDS.format(t="coalesce(text, '')")}) AS BIGINT) AS n_tokens FROM n
+), leaf AS (SELECT domain, l, s, CAST(sum(n_tokens) AS BIGINT) AS a FROM d GROUP BY ALL),
+t AS (SELECT floor(sum(a) * {MIX_SHARE}) AS total FROM leaf),
+b AS (SELECT domain, l, s, CAST(a * {MIX_EPOCHS} AS DOUBLE) AS lim FROM leaf WHERE a > 0),
+x1 AS ({_sql_fill(['domain'], [], ('CROSS JOIN t', 't.total'), _case('b.domain', MIX_DOMAINS, MIX_OTHER))}),
+x2 AS ({_sql_fill(['domain', 'l'], ['domain'], ('JOIN x1 USING (domain)', 'x1.share'), _case('substr(b.l, 2)', MIX_LANGUAGES, MIX_OTHER))}),
+x3 AS ({_sql_fill(['domain', 'l', 's'], ['domain', 'l'], ('JOIN x2 USING (domain, l)', 'x2.share'), '1.0')}),
+p AS (
+  SELECT leaf.*, CAST(floor(share + 1e-6) AS BIGINT) AS bud, CAST(floor(share + 1e-6) AS BIGINT) // a AS whole
+  FROM leaf JOIN x3 USING (domain, l, s)
+), q AS (
+  SELECT d.*, p.whole, p.bud - p.whole * p.a AS rest, p.bud, md5(concat('{MIX_SEED}:', p.whole, ':', coalesce(CAST(doc_id AS VARCHAR), ''))) AS place
+  FROM d JOIN p USING (domain, l, s)
+), r AS (
+  SELECT *, sum(n_tokens) OVER (PARTITION BY domain, l, s ORDER BY place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS spent FROM q
+)
+SELECT doc_id, domain, lang, source, n_tokens, CAST(unnest(range(whole + CASE WHEN rest > 0 AND spent <= rest THEN 1 ELSE 0 END)) AS INT) AS epoch
+FROM r WHERE bud > 0
+"""

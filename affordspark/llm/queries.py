@@ -204,3 +204,37 @@ p AS (
 SELECT doc_id, domain, lang, source, n_tokens, CAST(unnest(range(whole + CASE WHEN rest > 0 AND spent <= rest THEN 1 ELSE 0 END)) AS INT) AS epoch
 FROM r WHERE bud > 0
 """
+
+
+@query("op2_chat_formatting")
+def op2(spark, sf_dir):
+    from affordspark.llm.chat_format import canonical_turns, formatted, read_back
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], talks.schema)  # fixed value: the contract's conversation
+    turns = canonical_turns(talks.unionByName(own), "conv_id")
+    return read_back(formatted(turns)).withColumnRenamed("key", "conv_id")
+
+
+def _sql_escaped(c, chars):
+    out = f"replace({c}, '\\', '\\\\')"
+    for x in chars:
+        out = f"replace({out}, '{x}', '\\{x}')"
+    return out
+
+
+ORACLES["op2_chat_formatting"] = rf"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), m AS (
+  SELECT *, CASE role WHEN 'system' THEN '### System: ' WHEN 'user' THEN '### User: ' WHEN 'assistant' THEN '### Assistant: '
+      ELSE '### =' || {_sql_escaped('role', '#<:')} || ': ' END || {_sql_escaped('text', '#<')} || '</turn>' || chr(10) AS seg FROM c
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, seg)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, seg)) AS loss_sha256,
+  CAST(sum(length(seg)) AS BIGINT) AS formatted_chars
+FROM m GROUP BY conv_id
+"""

@@ -22,6 +22,9 @@ is trained.
 
 from __future__ import annotations
 
+from collections import defaultdict
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,7 +36,10 @@ from affordspark.llm.token_counts import _words, encoder
 
 U64 = np.uint64
 _SPACE = "▁"
-_P = U64(0x100000001B3)
+_P = U64(0x9E3779B97F4A7C15)
+_SPREAD = U64(0xD1342543DE82EF95)
+_HIGHEST = 38.0  # above -log(-log u) for the largest u that _uniform gives
+_NEAR, _PER_CHAR = 100, 2.5  # characters from the end up to which mass is summed as such, scaled by exp(2.5) a character
 _opened: dict[tuple[str, float], "Vocabulary"] = {}
 
 
@@ -96,12 +102,12 @@ class Vocabulary:
         h = 0
         for c in text:
             h = (h * int(_P) + ord(c) + 1) & (2**64 - 1)
-        return int(arrays.mix(np.array([h], dtype=U64))[0])
+        return h * int(_SPREAD) & (2**64 - 1)
 
     def find(self, running: np.ndarray) -> np.ndarray:
         """For running hashes: the piece's id, -1 for a mere beginning of
         pieces, -2 if no piece begins so."""
-        h = arrays.mix(running)
+        h = running * _SPREAD  # odd: equal only for equal running hashes
         bucket = (h >> U64(46)).astype(np.int64)
         at, end = self.first[bucket], self.first[bucket + 1]
         out = np.full(len(h), -2, dtype=np.int64)
@@ -172,46 +178,51 @@ class Lattice:
         src, dst, piece = join(src), join(dst), join(piece)
         order = np.argsort(src, kind="stable")
         src, self.dst, self.piece = src[order], dst[order], piece[order]
-        self.row = np.searchsorted(src, np.arange(n + 1))
+        counts = np.bincount(src, minlength=n)
+        self.row = np.concatenate([[0], np.cumsum(counts)])
         weight = np.empty(len(src))
         known = self.piece >= 0
         weight[known] = v.weight[self.piece[known]]
         weight[~known] = v.weight[self._fallback(v)] * self._byte_counts(-self.piece[~known] - 1, v)
-        # backward log-sums, by distance from the end
-        beta = np.zeros(n)
-        by = np.argsort(left[src], kind="stable")
-        cuts = np.searchsorted(left[src][by], np.arange(1, int(left.max()) + 2 if n else 1))
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            if b > a:
-                e = by[a:b]
-                s = src[e]
-                new = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-                x = weight[e] + beta[self.dst[e]]
-                top = np.maximum.reduceat(x, new)
-                x = np.exp(x - np.repeat(top, np.diff(np.append(new, len(e)))))
-                beta[s[new]] = top + np.log(np.add.reduceat(x, new))
+        # backward sums, by distance from the end: scaled mass, far from the end its log
+        far = left[src]
+        by = np.argsort(far.astype(np.uint16) if n and int(left.max()) < 1 << 16 else far, kind="stable")
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(far)[1:])]) if len(far) else np.zeros(1, dtype=np.int64)
+        sizes = (self.dst - src).astype(np.float64)
+        near = np.exp(weight + _PER_CHAR * sizes)
+        mass, beta = np.ones(n), np.zeros(n)
+        for d, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]), start=1):
+            if b == a:
+                continue
+            e = by[a:b]
+            s = src[e]
+            new = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+            if d <= _NEAR:
+                mass[s[new]] = np.add.reduceat(near[e] * mass[self.dst[e]], new)
+                continue
+            if d == _NEAR + 1:
+                close = left <= _NEAR
+                beta[close] = np.log(mass[close]) - _PER_CHAR * left[close]
+            x = weight[e] + beta[self.dst[e]]
+            top = np.maximum.reduceat(x, new)
+            x = np.exp(x - np.repeat(top, np.diff(np.append(new, len(e)))))
+            beta[s[new]] = top + np.log(np.add.reduceat(x, new))
+        if len(cuts) <= _NEAR + 1:
+            beta = np.log(mass) - _PER_CHAR * left
         self.log_q = np.minimum(weight + beta[self.dst] - beta[src], 0.0)
         q = np.exp(self.log_q)
         # mass up to and with each edge, and of all other edges of its row
-        counts = np.diff(self.row)
-        rows = np.flatnonzero(counts)
-        rows = rows[np.argsort(-counts[rows], kind="stable")]
-        size = counts[rows]
-        self.upto = np.empty(len(q))
-        others = np.zeros(len(q))
-        acc = np.zeros(len(rows))
-        most = int(size[0]) if len(size) else 0
-        more = np.searchsorted(-size, -np.arange(1, most + 1), side="right")
-        for j in range(most):
-            e = self.row[rows[: more[j]]] + j
-            others[e] += acc[: more[j]]
-            acc[: more[j]] += q[e]
-            self.upto[e] = acc[: more[j]]
-        acc[:] = 0
-        for j in range(most):  # from the back
-            e = self.row[rows[: more[j]] + 1] - 1 - j
-            others[e] += acc[: more[j]]
-            acc[: more[j]] += q[e]
+        sums = np.cumsum(q)
+        begins = self.row[src]
+        self.upto = sums - (sums[begins] - q[begins])
+        others = 1.0 - q
+        others[counts[src] == 1] = 0.0
+        close = np.flatnonzero((others < 1e-7) & (counts[src] > 1))  # too close to 1 to subtract
+        others[close] = 0.0
+        for j in range(int(counts.max()) if n else 0):
+            e = begins[close] + j
+            ok = (j < counts[src[close]]) & (e != close)
+            others[close[ok]] += q[e[ok]]
         with np.errstate(divide="ignore"):
             self.log_others = np.log(others)
         self.q = q
@@ -274,19 +285,33 @@ class Paths:
         self.key, self.found, self.queue = key, [], []  # found: (value, edges, units' counts)
         self.ruled_out: dict[tuple[int, int], list[int]] = {}
 
-    def add(self, lat: Lattice, value: float, edges: np.ndarray, counts: np.ndarray, fresh: int):
-        """A new segmentation; nodes branch off at its edges from ``fresh`` on."""
+    def add(self, lat: Lattice, value: float, edges: np.ndarray, counts: np.ndarray, fresh: int, wanted: int):
+        """A new segmentation; nodes branch off at its edges from ``fresh`` on.
+
+        Only ``wanted`` more nodes are ever taken. A node's value is at most
+        its mass plus _HIGHEST, and masses fall along a path, so nodes after
+        the place where that bound is below ``wanted`` known values are not
+        made."""
         s = len(self.found)
         self.found.append((value, edges, counts))
-        if not len(edges):
+        if fresh >= len(edges):
             return
-        logs = lat.log_q[edges]
-        before = np.cumsum(logs) - logs
-        phi = (before + lat.log_others[edges])[fresh:]
-        if len(phi):
-            u = _uniform(_mixed(self.key, s), np.arange(fresh, len(edges)), 0xB0)
-            values = _truncated(phi, value, u)
-            self.queue.append([s, fresh, values])
+        base = _mixed(self.key, s)
+        before = float(lat.log_q[edges[:fresh]].sum())
+        values, at, size = [], fresh, 64
+        while at < len(edges):
+            part = edges[at:at + size]
+            logs = lat.log_q[part]
+            sums = np.cumsum(logs)
+            phi = before + (sums - logs) + lat.log_others[part]
+            values.append(_truncated(phi, value, _uniform(base, np.arange(at, at + len(part)), 0xB0)))
+            before += float(sums[-1])
+            at += len(part)
+            size *= 4
+            known = np.concatenate(values)
+            if len(known) >= wanted and np.partition(known, -wanted)[-wanted] > before + _HIGHEST:
+                break
+        self.queue.append([s, fresh, np.concatenate(values)])
 
     def pop(self):
         """(value, sample, edge number) of the best node left, or None."""
@@ -327,11 +352,9 @@ class Paths:
 
 def sample(texts: list[str], keys: np.ndarray, k: int, v: Vocabulary):
     """For each text its Paths with up to k segmentations, and the lattice."""
-    known: dict[str, int] = {}
-    units = []
-    for t in texts:
-        segments = (_words(t) if v.words_stand_alone else [t]) if t else []
-        units.append(np.array([known.setdefault(w, len(known)) for w in segments], dtype=np.int64))
+    known: defaultdict[str, int] = defaultdict(count().__next__)
+    number = known.__getitem__
+    units = [np.fromiter(map(number, (_words(t) if v.words_stand_alone else [t]) if t else ()), dtype=np.int64) for t in texts]
     lat = Lattice([_SPACE + w.replace(" ", _SPACE) for w in known], v)
     begin = lat.begin
     sizes = np.array([len(u) for u in units], dtype=np.int64)
@@ -374,7 +397,7 @@ def sample(texts: list[str], keys: np.ndarray, k: int, v: Vocabulary):
                 old = paths[d].found[parent][2]
                 own[0] += len(head) - int(old[:unit].sum())
                 own = np.concatenate([old[:unit], own])
-            paths[d].add(lat, value, np.concatenate([head, edges[ends[a]:ends[b]]]), own, max(0, len(head)))
+            paths[d].add(lat, value, np.concatenate([head, edges[ends[a]:ends[b]]]), own, len(head), k + 1 - s)
     return paths, lat
 
 
@@ -416,7 +439,7 @@ def sampled_segmentations(docs: DataFrame, model: str, k: int = 2, seed: int = 0
     def run(batches):
         v = vocabulary(model, temperature)
         for batch in batches:
-            for part in arrays.row_slices(batch, "t_", 4 << 20):
+            for part in arrays.row_slices(batch, "t_", 6 << 20):
                 texts = [t or "" for t in part.column("t_").to_pylist()]
                 keys = np.asarray(part.column("h_")).astype(np.int64).view(U64)
                 paths, lat = sample(texts, keys, k, v)

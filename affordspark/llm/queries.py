@@ -30,7 +30,7 @@ _WORDS = r"regexp_extract_all({t}, '[^\x20\x09-\x0D]+')"
 @query("op1_ngram_jaccard_join")
 def op1(spark, sf_dir):
     from affordspark.llm.ngram_join import jaccard_components
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 ORACLES["op1_ngram_jaccard_join"] = rf"""
@@ -238,3 +238,11 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(length(seg)) AS BIGINT) AS formatted_chars
 FROM m GROUP BY conv_id
 """
+
+
+@query("op3_sentencepiece_sampling")
+def op3(spark, sf_dir):
+    import public_tokenizers
+
+    from affordspark.llm.segmentations import sampled_segmentations
+    return sampled_segmentations(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), k=2, seed=11)

@@ -31,7 +31,7 @@ def brute(rows, k=4, threshold=85):
 
 
 def got(df, **more):
-    return sorted(map(tuple, ngram_join.jaccard_components(df, **more).collect()), key=str)
+    return sorted(map(tuple, ngram_join.jaccard_components(df, **more).drop("text_hash").collect()), key=str)
 
 
 @pytest.mark.parametrize("buckets", [ngram_join.ORDER_BUCKETS, 32])
@@ -63,3 +63,15 @@ def test_odd_tables(spark):
     assert got(frame(spark, [(3, None), (4, ""), (5, " \n")])) == [(3, 0, 3), (4, 0, 4), (5, 0, 5)]
     rows = [(1, "a b c d e f")] * 4 + [(None, "A b c d e f"), (None, "q r s t u"), (1, "k l m n o p q"), (0, "k l m n o p q")]
     assert got(frame(spark, rows)) == brute(rows)
+
+
+def test_one_of_each(spark, copies):
+    rows = [(i, t, "s") for i, t in enumerate(copies)] + [(3, copies[3], "s"), (None, copies[0], "s"), (900, "q w e r t y u", "s"), (900, "other text of the same name", "s"), (None, "alone in here", "s")]
+    df = frame(spark, rows, "doc_id long, text string, source string")
+    parts = brute([r[:2] for r in rows], 5, 80)
+    want = sorted({d for d, n, c in parts if n and c == d and d is not None and d != 900})
+    got = ngram_join.one_of_each(df)
+    ids = [r["doc_id"] for r in got.collect()]
+    assert got.columns == df.columns and ids.count(900) == 2 and ids.count(None) == 1
+    empty = {d for d, n, _ in parts if not n}
+    assert sorted(i for i in ids if i is not None and i != 900 and i not in empty) == want and empty <= set(ids)

@@ -51,11 +51,6 @@ def extracted_number(c) -> Column:
     return F.when(F.abs(v) <= F.lit(MAX_DOUBLE), v)
 
 
-def nan_to_null(c) -> Column:
-    c = _c(c)
-    return F.when(~F.isnan(c), c)
-
-
 def clamp(c, lo=None, hi=None) -> Column:
     """NULL-safe clip: a NULL stays NULL (greatest/least would skip it)."""
     c = _c(c)
@@ -76,11 +71,6 @@ def _lit(v) -> Column:
     return v if isinstance(v, Column) else F.lit(float(v))
 
 
-def strip_ws(c) -> Column:
-    """Strip leading/trailing whitespace of any kind (trim only strips spaces)."""
-    return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
-
-
 def gender_code(c) -> Column:
     """Upper-case, strip, first character (= first non-blank character of the
     upper-cased text); blank text becomes NULL."""
@@ -99,5 +89,4 @@ def format_currency(c) -> Column:
 
 def format_percent(c, decimals: int = 1) -> Column:
     """Percent text of a fraction, e.g. 0.972 -> '97.2%'."""
-    return F.concat(F.format_number(F.round(_c(c) * 100, decimals), decimals).cast("string"),
-                    F.lit("%"))
+    return F.concat(F.format_number(_c(c) * 100, decimals), F.lit("%"))

@@ -161,113 +161,77 @@ def quantiles(df: DataFrame, cols, q: float, method: str = "select",
     return {c: row[c] for c in cols}
 
 
-def select_quantiles(df: DataFrame, cols, q: float, bins: int = 4096,
-                     max_collect: int = 250_000, max_rounds: int = 30) -> dict:
+def select_quantiles(df: DataFrame, cols, q: float, bins: int = 4096) -> dict:
     """{col: exact q-quantile}; see ``select_quantiles_multi``."""
-    got = select_quantiles_multi(df, [(c, q) for c in cols], bins, max_collect, max_rounds)
+    got = select_quantiles_multi(df, [(c, q) for c in cols], bins)
     return {c: got[(c, q)] for c in cols}
 
 
-def select_quantiles_multi(df: DataFrame, targets, bins: int = 4096, max_collect: int = 250_000,
-                           max_rounds: int = 30) -> dict:
-    """Exact quantiles for many (column, q) targets without a single-task
-    value map: {(col, q): value}.
-
-    Ranks: p = q (n - 1); the answer interpolates the order statistics at
-    floor(p) and ceil(p) (as Spark's ``percentile``). Each round is one job
-    over all still-open targets: the count of values below the target's
-    bracket [lo, hi] plus an equal-width ``bins``-bucket histogram inside it
-    (partial counts are combined map-side, so the shuffle carries at most
-    targets x bins rows per task). The bracket shrinks to the bins holding
-    the two ranks; once it holds at most ``max_collect`` values (~2 MB) they
-    are collected and read off. Pass a materialised input: every round
-    rescans it."""
+def _bin(x, lo: float, hi: float, bins: int):
+    """Equal-width bin of x in [lo, hi]. lo and hi never share a bin, also
+    where they are infinite, NaN (the largest value) or next to each other."""
+    if math.isfinite(lo) and math.isfinite(hi) and (hi - lo) / bins > 0 and math.isfinite(hi - lo):
+        inner = F.floor((x - F.lit(lo)) / F.lit((hi - lo) / bins)).cast("int")
+        return F.when(x == F.lit(hi), bins - 1).when(x == F.lit(lo), 0).otherwise(F.least(F.greatest(inner, F.lit(0)), F.lit(bins - 1)))
+    middle = F.when(x == F.lit(lo), 1).when(x == F.lit(hi), 3).otherwise(2)
+    return (F.when(F.isnan(x), 5).when(x == F.lit(math.inf), 4).when(x == F.lit(-math.inf), 0)
+            .when(x < 0, middle if math.isfinite(hi - lo) else 2).otherwise(middle if math.isfinite(hi - lo) else 3))
+
+
+def select_quantiles_multi(df: DataFrame, targets, bins: int = 4096) -> dict:
+    """Exact quantiles for many (column, q) targets: {(col, q): value}.
+
+    p = q (n - 1); the answer interpolates the order statistics of the ranks
+    floor(p) and ceil(p) (as Spark's ``percentile``); each rank is narrowed on
+    its own. A round is one job: for every open bracket [lo, hi] the count, the
+    least and the largest value of each of its ``bins`` bins. The next bracket
+    is the observed range of the bin that holds the rank, so it ends on a
+    value (least = largest), however often values repeat; a bracket loses at
+    least one of its ends each round and usually all but 1/bins of its width.
+    What is sent to the driver is at most brackets x bins rows of four numbers,
+    whatever the number of rows. Pass a materialised input: each round scans
+    the columns that are still open."""
     targets = list(dict.fromkeys(targets))
     cols = list(dict.fromkeys(c for c, _ in targets))
     x = {c: F.col(c).cast("double") for c in cols}
     st = df.agg(*[a for c in cols for a in (F.count(x[c]).alias(f"{c}__n"), F.min(x[c]).alias(f"{c}__lo"),
-                                          F.max(x[c]).alias(f"{c}__hi"))]).first()
-    state, out = {}, {t: None for t in targets}
-    for t in targets:
-        c, q = t
+                                          F.max(x[c]).alias(f"{c}__hi"))]).first() if cols else None
+    bracket, found = {}, {}  # (column, rank) -> (lo, hi, values below lo) / value
+    for c, q in targets:
         n = st[f"{c}__n"]
-        if not n:
-            continue
-        p = q * (n - 1)
-        state[t] = {"col": c, "p": p, "ranks": (math.floor(p), math.ceil(p)),
-                    "lo": st[f"{c}__lo"], "hi": st[f"{c}__hi"], "cnt": n}
-    for _ in range(max_rounds):
-        open_t = [t for t, s_ in state.items() if s_["cnt"] > max_collect and s_["lo"] < s_["hi"]]
-        if not open_t:
+        if n:
+            p = q * (n - 1)
+            for rank in (math.floor(p), math.ceil(p)):
+                bracket[(c, rank)] = (st[f"{c}__lo"], st[f"{c}__hi"], 0)
+    while True:
+        for key in [k for k, (lo, hi, _) in bracket.items() if lo == hi or (math.isnan(lo) and math.isnan(hi))]:
+            found[key] = float(bracket.pop(key)[0])
+        if not bracket:
             break
-        pairs = []
-        for i, t in enumerate(open_t):
-            s_, xc = state[t], x[state[t]["col"]]
-            lo, hi = s_["lo"], s_["hi"]
-            w = (hi - lo) / bins
-            b = F.least(F.floor((xc - F.lit(lo)) / F.lit(w)).cast("int"), F.lit(bins - 1))
-            pairs.append(F.when((xc >= F.lit(lo)) & (xc <= F.lit(hi)), F.struct(F.lit(i).alias("c"), b.alias("b")))
-                         .when(xc < F.lit(lo), F.struct(F.lit(i).alias("c"), F.lit(-1).alias("b"))))
-        hist = df.select(F.explode(F.array_compact(F.array(*pairs))).alias("h")) \
-            .groupBy("h.c", "h.b").agg(F.count(F.lit(1)).alias("k")).collect()
-        counts = {}
-        for r in hist:
-            counts.setdefault(r["c"], {})[r["b"]] = r["k"]
-        for i, t in enumerate(open_t):
-            s_ = state[t]
-            h = counts.get(i, {})
-            acc = h.get(-1, 0)
-            w = (s_["hi"] - s_["lo"]) / bins
-            first_b = last_b = None
-            for bi in range(bins):
-                k = h.get(bi, 0)
-                if first_b is None and acc + k > s_["ranks"][0]:
-                    first_b = bi
-                if acc + k > s_["ranks"][1]:
-                    last_b = bi
+        spans = list(dict.fromkeys((c, lo, hi) for (c, _), (lo, hi, _) in bracket.items()))
+        parts = [F.when((x[c] >= F.lit(lo)) & (x[c] <= F.lit(hi)),
+                        F.struct(F.lit(i).alias("s"), _bin(x[c], lo, hi, bins).alias("b"), x[c].alias("x")))
+                 for i, (c, lo, hi) in enumerate(spans)]
+        cells = {}
+        for r in (df.select(F.explode(F.array_compact(F.array(*parts))).alias("h")).groupBy("h.s", "h.b")
+                  .agg(F.count(F.lit(1)).alias("k"), F.min("h.x").alias("lo"), F.max("h.x").alias("hi")).collect()):
+            cells.setdefault(r["s"], []).append((r["b"], r["k"], r["lo"], r["hi"]))
+        for (c, rank), (lo, hi, below) in list(bracket.items()):
+            for _, k, first, last in sorted(cells[spans.index((c, lo, hi))]):
+                if rank < below + k:
+                    bracket[(c, rank)] = (first, last, below)
                     break
-                acc += k
-            if first_b is None or last_b is None:  # float edge case: exact fallback below
-                s_["cnt"], s_["fallback"] = 0, True
-                continue
-            new_lo = s_["lo"] + first_b * w
-            new_hi = s_["hi"] if last_b == bins - 1 else s_["lo"] + (last_b + 1) * w
-            s_["cnt"] = sum(h.get(bi, 0) for bi in range(first_b, last_b + 1)) + 2
-            s_["lo"], s_["hi"] = new_lo, new_hi
-    # final: exact read-off inside each bracket (one job for all targets).
-    # A bracket of one repeated value (lo == hi) is answered from two counts,
-    # never by collecting its rows; a wider bracket holds <= max_collect values.
-    aggs, live = [], []
-    for t, s_ in state.items():
-        if s_.get("fallback") or (s_["lo"] < s_["hi"] and s_["cnt"] > max_collect):
-            s_["fallback"] = True  # rounds exhausted: exact fallback below
+                below += k
+    out = {}
+    for c, q in targets:
+        n = st[f"{c}__n"]
+        if not n:
+            out[(c, q)] = None
             continue
-        i, xc = len(live), x[s_["col"]]
-        live.append(t)
-        aggs.append(F.count_if(xc < F.lit(s_["lo"])).alias(f"t{i}__below"))
-        if s_["lo"] < s_["hi"]:
-            inside = (xc >= F.lit(s_["lo"])) & (xc <= F.lit(s_["hi"]))
-            aggs.append(F.array_sort(F.collect_list(F.when(inside, xc))).alias(f"t{i}__vals"))
-        else:
-            aggs.append(F.count_if(xc == F.lit(s_["lo"])).alias(f"t{i}__eq"))
-    row = df.agg(*aggs).first() if aggs else None
-    for t, s_ in state.items():
-        lo_r, hi_r = s_["ranks"]
-        value = None
-        if t in live:
-            i = live.index(t)
-            below = row[f"t{i}__below"]
-            if s_["lo"] < s_["hi"]:
-                vals = row[f"t{i}__vals"]
-                if 0 <= lo_r - below and hi_r - below < len(vals):
-                    v_lo, v_hi = vals[lo_r - below], vals[hi_r - below]
-                    p = s_["p"]
-                    value = v_lo if lo_r == hi_r else (hi_r - p) * v_lo + (p - lo_r) * v_hi
-            elif below <= lo_r and hi_r < below + row[f"t{i}__eq"]:
-                value = float(s_["lo"])
-        if value is None:
-            value = df.agg(F.percentile(x[s_["col"]], F.lit(t[1]))).first()[0]
-        out[t] = value
+        p = q * (n - 1)
+        lo_r, hi_r = math.floor(p), math.ceil(p)
+        v_lo, v_hi = found[(c, lo_r)], found[(c, hi_r)]
+        out[(c, q)] = v_lo if lo_r == hi_r or v_lo == v_hi else (hi_r - p) * v_lo + (p - lo_r) * v_hi
     return out
 
 
@@ -298,9 +262,12 @@ def winsorize_p99(df: DataFrame, cols=None, q: float = P99_QUANTILE, method: str
 # ---- dedup (optional) ---------------------------------------------------------
 
 def dedup_exact(df: DataFrame, key: str | None = KEY) -> DataFrame:
-    """Exact duplicate rows (ignoring the key column) removed; off by default."""
+    """Exact duplicate rows (ignoring the key column) removed, the one with the
+    least key stays; off by default."""
     cols = [c for c in df.columns if c != key]
-    return df.dropDuplicates(cols)
+    if key is None or key not in df.columns:
+        return df.dropDuplicates(cols)
+    return df.groupBy(*cols).agg(F.min(key).alias(key)).select(*df.columns)
 
 
 # ---- the whole cleaning chain (clean_pipeline) --------------------------------

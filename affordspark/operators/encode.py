@@ -90,17 +90,23 @@ def category_presence(df: DataFrame, cols, train_flag) -> list:
                                 for c in cols]))
     rows = df.select(pairs.alias("p"), train_flag.cast("int").alias("t")) \
         .select("p.col", "p.category", "t").where(F.col("category").isNotNull()) \
-        .groupBy("col", "category").agg(F.max("t").alias("in_train")).collect()
-    if len(rows) > MAX_CATEGORIES:
-        raise ValueError(f"{len(rows)} categories exceed the one-hot width guard")
+        .groupBy("col", "category").agg(F.max("t").alias("in_train"))
+    return bounded_rows(rows, "categories")
+
+
+def bounded_rows(df: DataFrame, what: str, most: int = MAX_CATEGORIES) -> list:
+    """The rows of a fitted table, at most ``most`` of them: each becomes a
+    column or a branch of an expression, so a larger table is an error, and
+    never more than ``most + 1`` rows are sent to the driver."""
+    rows = df.take(most + 1)
+    if len(rows) > most:
+        raise ValueError(f"more than {most} {what}")
     return rows
 
 
 def onehot_fit(df: DataFrame, cols) -> DataFrame:
     """Sorted distinct categories per column -> (col, idx, category)."""
-    rows = distinct_values(df, cols).collect()  # bounded: one row per category
-    if len(rows) > MAX_CATEGORIES:
-        raise ValueError(f"{len(rows)} categories exceed the one-hot width guard")
+    rows = bounded_rows(distinct_values(df, cols), "categories")
     by_col = {c: [] for c in cols}
     for r in rows:
         by_col[r["col"]].append(r["category"])
@@ -135,8 +141,8 @@ def onehot_encode(df: DataFrame, cats, cols, keep_source: bool = False) -> DataF
 
 def label_fit(df: DataFrame, target: str) -> DataFrame:
     """Sorted distinct labels -> (idx, label)."""
-    rows = df.select(F.col(target).cast("string").alias("label")).where(F.col("label").isNotNull()) \
-        .distinct().collect()
+    rows = bounded_rows(df.select(F.col(target).cast("string").alias("label")).where(F.col("label").isNotNull())
+                        .distinct(), "labels")
     labels = sorted(r["label"] for r in rows)
     return df.sparkSession.createDataFrame(list(enumerate(labels)), LABEL_SCHEMA)
 
@@ -169,6 +175,6 @@ def label_decode(df: DataFrame, idx_col: str, classes, out: str = "eligibility_l
 
 
 def unseen_labels(df: DataFrame, target: str, classes: DataFrame) -> DataFrame:
-    """Rows whose label is not in the fitted classes (left anti join against
-    the small class table, broadcast)."""
-    return df.join(F.broadcast(classes.select(F.col("label").alias(target))), target, "left_anti")
+    """Rows whose label is not in the fitted classes: a left anti join that
+    Spark broadcasts or shuffles by the size of the class table."""
+    return df.join(classes.select(F.col("label").alias(target)).distinct(), target, "left_anti")

@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affordspark.functions.scalar import ratio_plus_one
-from affordspark.schema import COLS_TO_DROP, EXPENSE_COLS, TARGET_CLF, TARGET_REG
+from affordspark.functions.scalar import format_currency, format_percent, ratio_plus_one
+from affordspark.schema import COLS_TO_DROP, EXPENSE_COLS, REPORT_LINES, TARGET_CLF, TARGET_REG
 
 _NEEDED = ["Monthly_Salary", "Current_Emi_Amount", "Bank_Balance", "Emergency_Fund",
            "Family_Size", "Dependents", "Requested_Amount", "Requested_Tenure"]
@@ -63,3 +63,19 @@ def loan_summary(df: DataFrame, emi: str = "emi_amount", label: str = "eligibili
         F.when(ok, total).alias("total_payment"),
         F.when(ok, total - F.col(amount)).alias("total_interest"),
     )
+
+
+def report_text(df: DataFrame, label: str = "eligibility_label", confidence: str = "confidence", emi: str = "emi_amount",
+                age: str = "Age", salary: str = "Monthly_Salary", credit: str = "Credit_Score", amount: str = "Requested_Amount",
+                tenure: str = "Requested_Tenure", out: str = "report") -> DataFrame:
+    """df plus the applicant's report as text; NULL if a value is missing."""
+    whole = lambda c: F.col(c).cast("bigint").cast("string")
+    values = {
+        "age": whole(age), "income": format_currency(salary), "credit_score": whole(credit),
+        "eligibility": F.upper(F.replace(F.col(label), F.lit("_"), F.lit(" "))), "confidence": format_percent(confidence),
+        "emi": format_currency(emi), "requested": format_currency(amount), "tenure": F.concat(whole(tenure), F.lit(" months")),
+        "total": format_currency(F.col(emi) * F.col(tenure)),
+    }
+    lines = [F.lit(text) if value is None else F.concat(F.lit(text), values[value]) for text, value in REPORT_LINES]
+    parts = [x for i, line in enumerate(lines) for x in ([F.lit("\n")] if i else []) + [line]]
+    return df.withColumn(out, F.concat(*parts))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from affordspark.functions.scalar import to_numeric_safe
+from affordspark.functions.scalar import MAX_DOUBLE, to_numeric_safe
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
                  T.DecimalType)
@@ -31,9 +31,15 @@ def dataset_overview(df: DataFrame) -> DataFrame:
 
 
 def coerce_columns(df: DataFrame, cols) -> DataFrame:
-    """Numeric-or-NULL on the listed columns that exist."""
-    cols = set(c for c in cols if c in df.columns)
-    return df.select(*[to_numeric_safe(c).alias(c) if c in cols else F.col(c) for c in df.columns])
+    """Numeric-or-NULL on the listed columns that exist. Numeric columns only
+    lose what is no finite number; text is parsed."""
+    numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC_TYPES)}
+
+    def number(c):
+        x = F.col(c).cast("double")
+        return F.when(F.abs(x) <= F.lit(MAX_DOUBLE), x) if c in numeric else to_numeric_safe(c)
+
+    return df.select(*[number(c).alias(c) if c in set(cols) else F.col(c) for c in df.columns])
 
 
 def describe_numeric(df: DataFrame, cols, method: str = "select") -> DataFrame:
@@ -98,31 +104,46 @@ def histogram(df: DataFrame, col: str, nbins: int = 50) -> DataFrame:
 
 def corr_matrix(df: DataFrame, cols) -> DataFrame:
     """Pearson correlation for every ordered pair, pairwise-complete rows.
-    A constant column (or pair with < 2 rows) gives NULL instead of a
-    division error. One aggregate pass for all n(n-1)/2 pairs."""
+    A constant column (or pair with < 2 rows) gives NULL.
+
+    Two passes whatever the number of columns: the means, then one Gramian
+    matrix of the vectors (x - mean, (x - mean)^2, x is present) of each row,
+    whose entries are all counts, sums, squares and products of the pairs. It
+    is added up on the executors; the driver gets 3 x 3 numbers per pair."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.mllib.linalg.distributed import RowMatrix
+    from pyspark.mllib.util import MLUtils
+    cols = list(cols)
     if len(cols) < 2:
         raise ValueError("corr_matrix needs at least two numeric columns")
-    aggs, pairs = [], []
+    x = {c: F.col(c).cast("double") for c in cols}
+    row = df.agg(*[F.avg(x[c]).alias(f"m{i}") for i, c in enumerate(cols)], *[F.max(F.abs(x[c])).alias(f"a{i}") for i, c in enumerate(cols)]).first()
+    mean = [0.0 if row[f"m{i}"] is None else row[f"m{i}"] for i in range(len(cols))]
+    top = [row[f"a{i}"] or 0.0 for i in range(len(cols))]
+    n = len(cols)
+    g = None
+    if any(row[f"m{i}"] is not None for i in range(n)):
+        # divided by the largest magnitude, so that squares neither overflow nor vanish
+        z = [(x[c] - F.lit(mean[i])) / F.lit(top[i] or 1.0) for i, c in enumerate(cols)]
+        parts = [F.coalesce(v, F.lit(0.0)).alias(f"v{i}") for i, v in enumerate(z)]
+        parts += [F.coalesce(v * v, F.lit(0.0)).alias(f"s{i}") for i, v in enumerate(z)]
+        parts += [x[c].isNotNull().cast("double").alias(f"p{i}") for i, c in enumerate(cols)]
+        names = [f"{k}{i}" for k in "vsp" for i in range(n)]
+        vectors = VectorAssembler(inputCols=names, outputCol="w").transform(df.select(*parts)).select("w")
+        g = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "w")).computeGramianMatrix().toArray()
+    out = []
     for i, a in enumerate(cols):
-        for b in cols[i:]:
-            xa, xb = F.col(a).cast("double"), F.col(b).cast("double")
-            both = xa.isNotNull() & xb.isNotNull()
-            ya, yb = F.when(both, xa), F.when(both, xb)
-            sa, sb = F.stddev_pop(ya), F.stddev_pop(yb)
-            const = (F.min(ya) == F.max(ya)) | (F.min(yb) == F.max(yb))
-            r = F.when(const, F.lit(None).cast("double")) \
-                .otherwise(F.try_divide(F.covar_pop(ya, yb), sa * sb))
-            name = f"{a}__{b}"
-            aggs.append(r.alias(name))
-            pairs.append((a, b, name))
-            if a != b:
-                pairs.append((b, a, name))
-    wide = df.agg(*aggs)
-    rows = [F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                     (F.when(F.lit(a == b) & F.col(n).isNotNull(), F.lit(1.0))
-                      .otherwise(F.col(n))).alias("corr"))
-            for a, b, n in pairs]
-    return wide.select(F.inline(F.array(*rows)))
+        for j, b in enumerate(cols):
+            r = None
+            k = 0.0 if g is None else g[2 * n + i, 2 * n + j]
+            if k >= 2:
+                sa, sb = g[i, 2 * n + j], g[j, 2 * n + i]
+                va, vb = g[n + i, 2 * n + j] - sa * sa / k, g[n + j, 2 * n + i] - sb * sb / k
+                # below the rounding of the sums: constant
+                if va > 1e-24 * k and vb > 1e-24 * k:
+                    r = 1.0 if i == j else max(-1.0, min(1.0, float((g[i, j] - sa * sb / k) / (va * vb) ** 0.5)))
+            out.append((a, b, r))
+    return df.sparkSession.createDataFrame(out, "col_a string, col_b string, corr double")
 
 
 def sample_n(df: DataFrame, key: str, n: int = 1000, seed: int = 42) -> DataFrame:

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from affordspark.functions.scalar import format_currency
 from affordspark.operators import features, metrics, selection, validate
 from affordspark.plans import sqlparts as S
 from affordspark.plans.catalog import parsed_apps, raw_apps, register
@@ -342,20 +341,19 @@ def q_loan_summary(spark, sf_dir):
                                     "total_payment", "total_interest"))
 
 
+# the confidence of a label that is given stands in for a classifier's: the credit score's share of 1000
 @register("report_text", S.with_(S.RAW_CTE, S.PARSED_CTE, S.DROPPED_CTE, select="""
-SELECT application_id, concat_ws(chr(10),
-  'EMI Prediction Report',
-  '- Income: ' || '₹ ' || format('{:,.2f}', Monthly_Salary),
-  '- Eligibility: ' || upper(replace(Emi_Eligibility, '_', ' ')),
-  '- Requested Loan: ' || '₹ ' || format('{:,.2f}', Requested_Amount),
-  '- Tenure: ' || CAST(CAST(Requested_Tenure AS BIGINT) AS VARCHAR) || ' months') AS report
+SELECT application_id, concat('EMI Prediction Report', chr(10), repeat(' ', 16), chr(10), 'Applicant Details:', chr(10),
+  '- Age: ', CAST(Age AS BIGINT), chr(10),
+  '- Income: ₹ ', format('{:,.2f}', Monthly_Salary), chr(10),
+  '- Credit Score: ', CAST(Credit_Score AS BIGINT), chr(10), chr(10), 'Prediction Results:', chr(10),
+  '- Eligibility: ', upper(replace(Emi_Eligibility, '_', ' ')), chr(10),
+  '- Confidence: ', format('{:.1f}', Credit_Score / 1000.0 * 100), '%', chr(10),
+  '- Maximum EMI: ₹ ', format('{:,.2f}', Max_Monthly_Emi), chr(10),
+  '- Requested Loan: ₹ ', format('{:,.2f}', Requested_Amount), chr(10),
+  '- Tenure: ', CAST(Requested_Tenure AS BIGINT), ' months', chr(10),
+  '- Total Payment: ₹ ', format('{:,.2f}', Max_Monthly_Emi * Requested_Tenure), chr(10), repeat(' ', 16)) AS report
 FROM dropped"""))
 def q_report_text(spark, sf_dir):
-    df = parsed_apps(spark, sf_dir)
-    return df.select("application_id", F.concat_ws(
-        "\n", F.lit("EMI Prediction Report"),
-        F.concat(F.lit("- Income: "), format_currency("Monthly_Salary")),
-        F.concat(F.lit("- Eligibility: "), F.upper(F.replace(F.col("Emi_Eligibility"), F.lit("_"), F.lit(" ")))),
-        F.concat(F.lit("- Requested Loan: "), format_currency("Requested_Amount")),
-        F.concat(F.lit("- Tenure: "), F.col("Requested_Tenure").cast("bigint").cast("string"),
-                 F.lit(" months"))).alias("report"))
+    df = parsed_apps(spark, sf_dir).withColumn("confidence", F.col("Credit_Score") / 1000.0)
+    return features.report_text(df, "Emi_Eligibility", emi="Max_Monthly_Emi").select("application_id", "report")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from affordspark.operators import profile
 from affordspark.plans import sqlparts as S
-from affordspark.plans.catalog import raw_apps, register
+from affordspark.plans.catalog import parsed_apps, raw_apps, register
 from affordspark.plans.common import round_doubles
-from affordspark.sources.io import read_table
+from affordspark.schema import NUMERIC_COLS
+from affordspark.sources.io import materialize, read_table
 
-LI_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+LI_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 APP_CATS = ["gender", "marital_status", "education", "employment_type", "company_type",
             "house_type", "existing_loans", "emi_scenario", "emi_eligibility"]
 COERCE = ["monthly_salary", "years_of_employment", "monthly_rent", "family_size", "dependents",
@@ -17,12 +18,16 @@ COERCE = ["monthly_salary", "years_of_employment", "monthly_rent", "family_size"
           "requested_amount", "requested_tenure", "max_monthly_emi"]
 
 
-@register("describe_numeric", " UNION ALL ".join(
-    f"SELECT '{c}' AS column, count({c}) AS count, {S.R(f'avg({c})')} AS mean, "
-    f"{S.R(f'stddev_samp({c})')} AS std, {S.R(f'min({c})')} AS min, "
-    f"{S.R(f'quantile_cont({c}, 0.25)')} AS p25, {S.R(f'quantile_cont({c}, 0.5)')} AS p50, "
-    f"{S.R(f'quantile_cont({c}, 0.75)')} AS p75, {S.R(f'max({c})')} AS max FROM lineitem"
-    for c in LI_NUM))
+def _describe_sql(cols, source):
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS column, count({c}) AS count, {S.R(f'avg({c})')} AS mean, "
+        f"{S.R(f'stddev_samp({c})')} AS std, {S.R(f'min({c})')} AS min, "
+        f"{S.R(f'quantile_cont({c}, 0.25)')} AS p25, {S.R(f'quantile_cont({c}, 0.5)')} AS p50, "
+        f"{S.R(f'quantile_cont({c}, 0.75)')} AS p75, {S.R(f'max({c})')} AS max FROM {source}"
+        for c in cols)
+
+
+@register("describe_numeric", _describe_sql(LI_NUM, "lineitem"))
 def q_describe_numeric(spark, sf_dir):
     return round_doubles(profile.describe_numeric(read_table(spark, sf_dir, "lineitem"), LI_NUM))
 
@@ -46,20 +51,34 @@ def q_histogram(spark, sf_dir):
     return round_doubles(profile.histogram(read_table(spark, sf_dir, "lineitem"), "l_extendedprice", 50))
 
 
-def _corr_sql() -> str:
-    parts = []
-    for a in LI_NUM:
-        for b in LI_NUM:
-            v = f"max(1.0)" if a == b else f"corr({a}, {b})"
-            parts.append(f"SELECT '{a}' AS col_a, '{b}' AS col_b, {S.R(v)} AS corr FROM lineitem")
-    return " UNION ALL ".join(parts)
+def _corr_sql(cols, source) -> str:
+    """One pass for all pairs, then a row for each."""
+    cell = {}
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols[i:], start=i):
+            cell[i, j] = cell[j, i] = f"corr({a}, {b})" if i != j else f"CASE WHEN min({a}) < max({a}) THEN 1.0 END"
+    picks = ", ".join(f"{cell[i, j]} AS c{i}_{j}" for i in range(len(cols)) for j in range(i, len(cols)))
+    rows = " UNION ALL ".join(f"SELECT '{a}' AS col_a, '{b}' AS col_b, {S.R(f'c{min(i, j)}_{max(i, j)}')} AS corr FROM pairs"
+                              for i, a in enumerate(cols) for j, b in enumerate(cols))
+    return f"pairs AS (SELECT {picks} FROM {source})", rows
 
 
-@register("corr_matrix", _corr_sql())
+@register("corr_matrix", "WITH {} {}".format(*_corr_sql(LI_NUM, "lineitem")))
 def q_corr_matrix(spark, sf_dir):
     return round_doubles(profile.corr_matrix(read_table(spark, sf_dir, "lineitem"), LI_NUM))
 
 
+@register("describe_applications", S.with_(S.RAW_CTE, S.PARSED_CTE, S.DROPPED_CTE, select=_describe_sql(NUMERIC_COLS, "dropped")))
+def q_describe_applications(spark, sf_dir):
+    return round_doubles(profile.describe_numeric(materialize(parsed_apps(spark, sf_dir).select(*NUMERIC_COLS), "panel"), NUMERIC_COLS))
+
+
+@register("corr_applications", S.with_(S.RAW_CTE, S.PARSED_CTE, S.DROPPED_CTE, _corr_sql(NUMERIC_COLS, "dropped")[0],
+                                       select=_corr_sql(NUMERIC_COLS, "dropped")[1]))
+def q_corr_applications(spark, sf_dir):
+    return round_doubles(profile.corr_matrix(materialize(parsed_apps(spark, sf_dir).select(*NUMERIC_COLS), "panel"), NUMERIC_COLS))
+
+
 @register("dataset_overview", """
 SELECT count(*) AS n_rows, CAST(11 AS BIGINT) AS n_columns, CAST(8 AS BIGINT) AS n_numeric,
   CAST(2 AS BIGINT) AS n_text FROM lineitem""")

@@ -149,3 +149,22 @@ RULES_SCHEMA = T.StructType([
     T.StructField("tenure_min", T.DoubleType(), False),
     T.StructField("tenure_max", T.DoubleType(), False),
 ])
+
+# FIXED VALUES: the lines of the downloadable report, as (text, value) pairs
+REPORT_LINES = [
+    ("EMI Prediction Report", None),
+    ("                ", None),
+    ("Applicant Details:", None),
+    ("- Age: ", "age"),
+    ("- Income: ", "income"),
+    ("- Credit Score: ", "credit_score"),
+    ("", None),
+    ("Prediction Results:", None),
+    ("- Eligibility: ", "eligibility"),
+    ("- Confidence: ", "confidence"),
+    ("- Maximum EMI: ", "emi"),
+    ("- Requested Loan: ", "requested"),
+    ("- Tenure: ", "tenure"),
+    ("- Total Payment: ", "total"),
+    ("                ", None),
+]

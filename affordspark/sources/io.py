@@ -31,10 +31,13 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     is one task. If the input has fewer partitions than the cluster's
     default parallelism it is redistributed round-robin (even sizes, no key
     skew); a large input that already has enough splits is returned as is,
-    so no shuffle is added at scale. Reading the partition count plans the
-    scan but runs no job."""
+    so no shuffle is added at scale. A plan that is more than a scan is
+    returned as is too: counting its partitions would run its joins."""
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.children().size() == 1 and plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().apply(0)
+    if plan.children().size() or df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target)
 
@@ -108,7 +111,9 @@ def publish(spark: SparkSession, path: str, write, marker: str = "_SUCCESS") ->
         fs.delete(dst, True)  # an old incomplete copy
     # (renaming onto an existing directory would nest inside it, hence the checks)
     if not fs.rename(src, dst):
-        fs.delete(src, True)
+        if not fs.exists(_fs(spark, f"{path}/{marker}")[1]):
+            raise OSError(f"could not publish {path}; the complete copy is {tmp}")
+        fs.delete(src, True)  # another writer was first
     return path
 
 
@@ -166,15 +171,24 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
              nrows: int | None = None) -> DataFrame:
     """Headered CSV read with every column as text (no inference pass over
-    the data); typing is the cleaner's job. ``nrows`` keeps the first rows
-    (``limit_scan``). A missing path is an error raised by Spark at planning."""
+    the data); typing is the cleaner's job. ``nrows`` keeps the first rows in
+    file order (``limit_scan``). A missing path is an error raised by Spark at
+    planning."""
     reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
     reader = reader.schema(schema or RAW_CSV_SCHEMA)
-    df = spread(reader.csv(path))
-    df = scan_na_tokens(df)
+    df = reader.csv(path)
     if nrows is not None:
-        df = df.limit(nrows)
-    return df
+        df = first_rows(df, nrows)
+    return scan_na_tokens(spread(df))
+
+
+def first_rows(df: DataFrame, n: int) -> DataFrame:
+    """The first n rows of a file scan, files in order of their paths. A top-n
+    over (path, block, row in the block): partial per task, no full sort."""
+    where = ["_metadata.file_path", "_metadata.file_block_start", "row_"]
+    placed = df.select("*", F.col(where[0]).alias("path_"), F.col(where[1]).alias("block_"),
+                       F.monotonically_increasing_id().alias("row_"))
+    return placed.orderBy("path_", "block_", "row_").limit(n).select(*df.columns)
 
 
 def scan_na_tokens(df: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from affordspark.functions.scalar import extract_number, gender_code, na_to_null, to_numeric_safe
 from affordspark.operators import clean
+from affordspark.sources.io import materialize
 
 
 def _col(spark, values, f, typ="string"):
@@ -105,11 +106,37 @@ def test_clean_invariants(spark):
 
 def test_select_quantiles_duplicates_and_rounds(spark):
     """Exact against Spark's percentile with heavy duplicates and forced
-    multi-round narrowing (tiny read-off limit)."""
+    multi-round narrowing (few bins)."""
     rows = [(float(i % 3), float((i * 7919) % 1000) / 7.0) for i in range(3000)]
     df = spark.createDataFrame(rows, "a double, b double")
     targets = [(c, q) for c in ("a", "b") for q in (0.0, 0.25, 0.5, 0.99, 1.0)]
-    got = clean.select_quantiles_multi(df, targets, bins=8, max_collect=10)
+    got = clean.select_quantiles_multi(df, targets, bins=8)
     for c, q in targets:
         exp = df.agg(F.percentile(c, F.lit(q))).first()[0]
         assert abs(got[(c, q)] - exp) <= 1e-9 * max(1.0, abs(exp)), (c, q, got[(c, q)], exp)
+
+
+def test_select_quantiles_half_zeros_in_few_rounds(spark, monkeypatch):
+    """A rank on a heavy value ends the search; nothing falls back to a map of
+    all values."""
+    df = spark.range(400_000).select(F.when(F.col("id") % 2 == 0, 0.0).otherwise((F.col("id") * 7919 % 1_000_003) / 13.0).alias("x"))
+    df = materialize(df.withColumn("one", F.lit(4.5)).withColumn("none", F.lit(None).cast("double")), "halfzero")
+    targets = [("x", q) for q in (0.1, 0.25, 0.5, 0.75, 0.99)] + [("one", 0.5), ("none", 0.5)]
+    exp = {q: df.agg(F.percentile("x", F.lit(q))).first()[0] for _, q in targets}
+    rounds = []
+    explode = F.explode
+    monkeypatch.setattr(clean.F, "explode", lambda c: rounds.append(1) or explode(c))
+    monkeypatch.setattr(clean.F, "percentile", None)
+    got = clean.select_quantiles_multi(df, targets)
+    assert len(rounds) <= 6
+    assert all(abs(got[("x", q)] - exp[q]) < 1e-9 for c, q in targets if c == "x")
+    assert got[("one", 0.5)] == 4.5 and got[("none", 0.5)] is None
+
+
+def test_select_quantiles_odd_values(spark):
+    inf = float("inf")
+    rows = [(v,) for v in (-inf, -inf, -1e308, -1.0, 0.0, 5e-324, 1e-323, 1.0, 1e308, inf, inf, float("nan"))]
+    df = spark.createDataFrame(rows, "x double")
+    got = clean.select_quantiles_multi(df, [("x", i / 11) for i in range(11)], bins=4)
+    assert [got[("x", i / 11)] for i in (0, 1, 9, 10)] == [-inf, -inf, inf, inf]
+    assert got[("x", 2 / 11)] == -1e308 and abs(got[("x", 3 / 11)] + 1.0) < 1e-9 and got[("x", 0.0)] == -inf

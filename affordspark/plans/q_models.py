@@ -15,23 +15,16 @@ from affordspark.plans.common import round_doubles
 from affordspark.schema import KEY
 from affordspark.sources.io import read_table
 
-# Query budgets (the functions' defaults follow the original: 20 draws x 3
-# folds, 100+ trees); the registered checks use smaller learners so the
-# whole suite stays interactive at sf0.01.
-QUICK = {
-    "Random_Forest": {"n_estimators": 20, "max_depth": 8},
-    "Gradient_Boosting": {"n_estimators": 10, "max_depth": 4},
-    "Decision_Tree": {"max_depth": 8},
-}
-QUICK_DISTS = {
-    T.CLS: {"Random_Forest": {"n_estimators": [10, 20], "max_depth": [5, 8]},
-            "Logistic_Regression": {"C": [0.1, 1, 10], "penalty": ["l2"]},
-            "Decision_Tree": {"max_depth": [5, 8], "min_samples_split": [2, 10]},
-            "Gradient_Boosting": {"n_estimators": [5, 10], "max_depth": [3]}},
-    T.REG: {"Random_Forest": {"n_estimators": [10, 20], "max_depth": [5, 8]},
-            "Linear_Regression": {"alpha": [0.0, 0.1], "l1_ratio": [0.0]},
-            "Decision_Tree": {"max_depth": [5, 8], "min_samples_split": [2, 10]},
-            "Gradient_Boosting": {"n_estimators": [5, 10], "max_depth": [3]}},
+# Baselines run with the learners' own defaults. A full search (20 draws x 3
+# folds x top 2 of up to 500 trees, the functions' defaults) takes hours on one
+# machine, so the registered training flow passes these smaller budgets.
+FLOW = {"n_iter": 2, "folds": 3, "base_params": {"Random_Forest": {"n_estimators": 20, "max_depth": 8},
+                                                 "Gradient_Boosting": {"n_estimators": 10, "max_depth": 4}, "Decision_Tree": {"max_depth": 8}}}
+FLOW_SPACES = {
+    T.CLS: {"Random_Forest": {"n_estimators": [10, 20], "max_depth": [5, 8]}, "Decision_Tree": {"max_depth": [5, 8], "min_samples_split": [2, 10]},
+            "Logistic_Regression": {"C": [0.1, 1, 10], "penalty": ["l2"]}, "Gradient_Boosting": {"n_estimators": [5, 10], "max_depth": [3]}},
+    T.REG: {"Random_Forest": {"n_estimators": [10, 20], "max_depth": [5, 8]}, "Decision_Tree": {"max_depth": [5, 8], "min_samples_split": [2, 10]},
+            "Linear_Regression": {"fit_intercept": [True, False]}, "Gradient_Boosting": {"n_estimators": [5, 10], "max_depth": [3]}},
 }
 
 
@@ -93,13 +86,13 @@ def _inputs(spark, sf_dir, task, oversample="smote"):
 @register("train_cls_baseline")
 def q_train_cls(spark, sf_dir):
     _, train, val = _inputs(spark, sf_dir, T.CLS)
-    return T.train_baseline(T.CLS, train, val, base_params=QUICK).metrics_frame(spark)
+    return T.train_baseline(T.CLS, train, val).metrics_frame(spark)
 
 
 @register("train_reg_baseline")
 def q_train_reg(spark, sf_dir):
     _, train, val = _inputs(spark, sf_dir, T.REG)
-    return T.train_baseline(T.REG, train, val, base_params=QUICK).metrics_frame(spark)
+    return T.train_baseline(T.REG, train, val).metrics_frame(spark)
 
 
 @register("tune_top")
@@ -107,33 +100,36 @@ def q_tune_top(spark, sf_dir):
     out = []
     for task in (T.CLS, T.REG):
         _, train, val = _inputs(spark, sf_dir, task)
-        res = T.train_baseline(task, train, val, base_params=QUICK)
-        T.tune_top(res, train, val, top_n=2, n_iter=2, folds=3, distributions=QUICK_DISTS[task])
+        res = T.train_baseline(task, train, val, base_params=FLOW["base_params"])
+        T.tune_top(res, train, val, top_n=2, n_iter=FLOW["n_iter"], folds=FLOW["folds"], distributions=FLOW_SPACES[task])
         out += res.rows
     return spark.createDataFrame(out, T.RUN_METRICS_SCHEMA)
 
 
-def _final(spark, sf_dir, task):
-    p = prepared(spark, sf_dir)
-    tv = model_table(spark, sf_dir, p, task, ["train", "val"], "smote" if task == T.CLS else None)
-    test = model_table(spark, sf_dir, p, task, ["test"], None)
-    name = "Random_Forest"
-    return p, T.final_fit_eval(task, name, QUICK[name], tv, test)
+def _flow(spark, sf_dir, task):
+    """The training flow of one task, written under a folder of its own."""
+    import uuid
+
+    from affordspark.session import checkpoint_dir
+    from affordspark.sources.io import delete_at_exit
+    p, train, val = _inputs(spark, sf_dir, task)
+    smote = "smote" if task == T.CLS else None
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/tables/flow-{task}-{uuid.uuid4().hex}"
+    delete_at_exit(spark, folder)
+    return T.run_task(spark, task, train, val, model_table(spark, sf_dir, p, task, ["train", "val"], smote),
+                      model_table(spark, sf_dir, p, task, ["test"], None), folder, distributions=FLOW_SPACES[task],
+                      smote_applied=bool(smote) if task == T.CLS else None, **FLOW)
 
 
 @register("final_fit_eval")
 def q_final_fit_eval(spark, sf_dir):
-    rows = []
-    for task in (T.CLS, T.REG):
-        _, (model, r, _pred) = _final(spark, sf_dir, task)
-        rows += r
-    return spark.createDataFrame(rows, T.RUN_METRICS_SCHEMA)
+    """Metrics log of the whole flow of both tasks: baseline, tuning, final."""
+    return _flow(spark, sf_dir, T.CLS)[0].unionByName(_flow(spark, sf_dir, T.REG)[0])
 
 
 @register("sink_predictions")
 def q_predictions(spark, sf_dir):
-    _, (_m, _r, pred) = _final(spark, sf_dir, T.REG)
-    return pred
+    return _flow(spark, sf_dir, T.REG)[1]
 
 
 @register("score_batch")
@@ -141,8 +137,8 @@ def q_score_batch(spark, sf_dir):
     p = prepared(spark, sf_dir)
     cls_in = model_table(spark, sf_dir, p, T.CLS, ["train", "val"], "smote")
     reg_in = model_table(spark, sf_dir, p, T.REG, ["train", "val"], None)
-    clf = models.model_factory("Random_Forest", T.CLS, QUICK["Random_Forest"]).fit(cls_in)
-    reg = models.model_factory("Random_Forest", T.REG, QUICK["Random_Forest"]).fit(reg_in)
+    clf = models.model_factory("Random_Forest", T.CLS, FLOW["base_params"]["Random_Forest"]).fit(cls_in)
+    reg = models.model_factory("Random_Forest", T.REG, FLOW["base_params"]["Random_Forest"]).fit(reg_in)
     test = T.model_input(p, T.CLS, ["test"], None)
     return models.score_batch(test, clf, reg, [r["label"] for r in
                                                p.label_classes.orderBy("idx").collect()])
@@ -152,5 +148,5 @@ def q_score_batch(spark, sf_dir):
 def q_feature_importance(spark, sf_dir):
     p = prepared(spark, sf_dir)
     reg_in = model_table(spark, sf_dir, p, T.REG, ["train"], None)
-    reg = models.model_factory("Random_Forest", T.REG, QUICK["Random_Forest"]).fit(reg_in)
+    reg = models.model_factory("Random_Forest", T.REG, FLOW["base_params"]["Random_Forest"]).fit(reg_in)
     return models.feature_importance_topk(reg, p.feature_cols, 10, spark)

@@ -8,6 +8,7 @@ _MODULES = [
     "affordspark.plans.q_profile",
     "affordspark.plans.q_metrics",
     "affordspark.plans.q_models",
+    "affordspark.plans.q_stages",
 ]
 
 

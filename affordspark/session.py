@@ -62,10 +62,13 @@ def get_session(master: str | None = None, app: str = "affordspark",
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts: ``spark.checkpoint.dir`` if the cluster
-    names one, else a fresh local folder (local mode / tests only)."""
+    names one, else a fresh local folder; on a cluster without one, an error
+    (executors would write to their own disks)."""
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="affordspark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)

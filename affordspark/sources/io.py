@@ -51,13 +51,17 @@ def _fs(spark: SparkSession, path: str):
 def input_bytes(spark: SparkSession, paths) -> tuple:
     """(total bytes, version key) of the inputs, from the file system
     metadata (works for any Hadoop file system; no job)."""
+    import hashlib
     total, parts = 0, []
     for path in paths:
         fs, p = _fs(spark, path)
-        st = fs.getFileStatus(p)
-        n = fs.getContentSummary(p).getLength()
-        total += n
-        parts.append(f"{path}:{n}:{st.getModificationTime()}")
+        listed = []  # a directory's own time says nothing on object stores
+        files = fs.listFiles(p, True)
+        while files.hasNext():
+            f = files.next()
+            listed.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+        total += sum(n for _, n, _ in listed)
+        parts.append(f"{path}:{hashlib.sha1(repr(sorted(listed)).encode()).hexdigest()}")
     return total, "|".join(parts)
 
 
@@ -162,10 +166,33 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     from affordspark.session import checkpoint_dir
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    delete_at_exit(spark, path)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
 
 
+_made: dict = {}
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Intermediate tables belong to the application that made them: they are
+    deleted when its driver ends (lazy results may read them until then)."""
+    import atexit
+    key = spark.sparkContext.applicationId
+    if key not in _made:
+        _made[key] = []
+        atexit.register(_delete_made, spark, key)
+    _made[key].append(path)
+
+
+def _delete_made(spark: SparkSession, key: str) -> None:
+    if spark.sparkContext._jsc is None:  # stopped before; the folder is the cluster's to clear
+        return
+    for path in _made.pop(key, []):
+        fs, p = _fs(spark, path)
+        fs.delete(p, True)
+
+
 # ---- scan_csv / scan_na_tokens ------------------------------------------------
 
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,

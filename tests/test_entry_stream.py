@@ -16,7 +16,8 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 ORACLE_SAMPLE = ["scenario_means", "extract_number", "parse_and_cast", "scenario_cap", "cap_audit",
                  "clean_full", "engineered_features", "split_70_15_15", "robust_fit", "onehot_fit",
                  "describe_numeric", "corr_matrix", "histogram", "cls_metrics", "roc_auc_ovr",
-                 "reg_metrics", "leaderboard", "validate_input", "report_text"]
+                 "reg_metrics", "leaderboard", "validate_input", "report_text", "limit_scan", "sink_snapshot", "sink_splits", "sink_preprocessor",
+                 "metrics_log", "dedup_exact", "corr_applications", "describe_applications"]
 
 
 def test_entry(spark):
@@ -32,7 +33,9 @@ def test_contract_names():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     assert len(q) >= 60
-    for name in q:
+    from affordspark.plans.registry import all_queries
+    assert set(all_queries()) <= set(q)
+    for name in all_queries():
         assert "pipeline" not in name and not name.startswith("op")
 
 

@@ -38,7 +38,7 @@ WITH RECURSIVE w AS (
   SELECT doc_id, {_WORDS.format(t=_LOWER.format(t="coalesce(text, '')"))} AS w FROM documents
 ), s AS (
   SELECT doc_id, list_distinct(CASE WHEN len(w) >= 4
-      THEN list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' '))
+      THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
       WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g
   FROM w
 ), e AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
@@ -102,15 +102,15 @@ def _url_parts(url):
     return host, f"regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1)"
 
 
-_NODE = r"""CASE WHEN contains({u}, '://') THEN lower(regexp_extract({u}, '^[^:]*://[^/?#]*')) ||
+_NODE = r"""CASE WHEN contains({u}, '://') THEN translate(regexp_extract({u}, '^[^:]*://[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ||
   CASE WHEN regexp_extract({u}, '^[^:]*://[^/?#]*([^#]*)', 1) = '' THEN '/' ELSE regexp_extract({u}, '^[^:]*://[^/?#]*([^#]*)', 1) END END"""
 # tags with the link after the attribute that names its kind or before it; hrefs
 # of these tables are absolute
 ORACLES["op5_url_filters"] = rf"""
 WITH RECURSIVE h AS (
   SELECT url, unnest(list_concat(
-      list_filter(regexp_extract_all(html, '(?i)<link\b[^>]*>'), t -> regexp_matches(t, '(?i)\brel\s*=\s*["'']?canonical\b')),
-      list_filter(regexp_extract_all(html, '(?i)<meta\b[^>]*>'), t -> regexp_matches(t, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b')))) AS tag
+      list_filter(regexp_extract_all(html, '(?i)<link\b[^>]*>'), lambda t: regexp_matches(t, '(?i)\brel\s*=\s*["'']?canonical\b')),
+      list_filter(regexp_extract_all(html, '(?i)<meta\b[^>]*>'), lambda t: regexp_matches(t, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b')))) AS tag
   FROM pages
 ), k AS (
   SELECT {_NODE.format(u='url')} AS a, CASE WHEN lower(tag[2:5]) = 'link' THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)

@@ -31,24 +31,17 @@ class Rule:
         return self.host + self.path
 
 
-def _rest(url: Column) -> Column:
-    """What follows the first ://, empty without one."""
-    at = F.instr(url, "://")
-    return F.when(at > 0, F.substr(url, at + 3)).otherwise(F.lit(""))
+_URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
 def host_of(url: Column) -> Column:
-    """Up to the first /, ? or # after ://, A-Z in lower case; null: empty."""
-    raw = F.substring_index(F.substring_index(F.substring_index(_rest(F.coalesce(url, F.lit(""))), "/", 1), "?", 1), "#", 1)
-    return F.translate(raw, _UP, _LOW)
+    """From the first :// up to /, ? or #, A-Z in lower case; null: empty."""
+    return F.translate(F.coalesce(F.regexp_extract(url, _URL, 1), F.lit("")), _UP, _LOW)
 
 
 def path_of(url: Column) -> Column:
     """From the end of the host up to ? or #; null or no ://: empty."""
-    rest = _rest(F.coalesce(url, F.lit("")))
-    plain = F.substring_index(F.substring_index(rest, "?", 1), "#", 1)
-    at = F.instr(plain, "/")
-    return F.when(at > 0, F.substr(plain, at)).otherwise(F.lit(""))
+    return F.coalesce(F.regexp_extract(url, _URL, 2), F.lit(""))
 
 
 def _fits(rule: Rule, host: Column, path: Column) -> Column:
@@ -73,25 +66,22 @@ def with_rules(df: DataFrame, rules: list[Rule], url: str = "url") -> DataFrame:
 def node_of(url: Column) -> Column:
     """The URL as a node of the alias graph: without its fragment, scheme and
     host in lower case. Null without ://."""
-    plain = F.substring_index(url, "#", 1)
-    at = F.instr(plain, "://")
-    rest = _rest(plain)
-    host = F.regexp_extract(rest, "^[^/?]*", 0)
-    tail = F.substr(rest, F.char_length(host) + 1)
-    return F.when(at > 0, F.concat(F.translate(F.substr(plain, F.lit(1), at + 2), _UP, _LOW), F.translate(host, _UP, _LOW),
-                                   F.when(tail == "", "/").otherwise(tail)))
+    whole = r"(?s)^(.*?://[^/?#]*)([^#]*)"
+    tail = F.regexp_extract(url, whole, 2)
+    return F.when(F.contains(url, F.lit("://")),
+                  F.concat(F.translate(F.regexp_extract(url, whole, 1), _UP, _LOW), F.when(tail == "", "/").otherwise(tail)))
 
 
 def _absolute(href: Column, base: Column) -> Column:
     """href resolved against the URL of its page."""
-    scheme = F.substring_index(base, "://", 1)
-    origin = F.regexp_extract(base, "^[^:]*://[^/?#]*", 0)
-    folder = F.concat(origin, F.regexp_replace(F.concat(path_of(base), F.when(path_of(base) == "", "/").otherwise("")), "[^/]*$", ""))
+    origin = F.regexp_extract(base, r"(?s)^.*?://[^/?#]*", 0)
+    folder = F.regexp_extract(base, r"(?s)^.*?://[^/?#]*([^?#]*/)", 1)
     return (F.when(F.rlike(href, F.lit("^[A-Za-z][A-Za-z0-9+.-]*://")), href)
-            .when(F.startswith(href, F.lit("//")), F.concat(scheme, F.lit(":"), href))
+            .when(F.startswith(href, F.lit("//")), F.concat(F.substring_index(base, "://", 1), F.lit(":"), href))
             .when(F.startswith(href, F.lit("/")), F.concat(origin, href))
             .when(F.startswith(href, F.lit("?")), F.concat(F.regexp_extract(base, "^[^?#]*", 0), href))
-            .when((href != "") & ~F.startswith(href, F.lit("#")) & ~F.rlike(href, F.lit("^[A-Za-z][A-Za-z0-9+.-]*:")), F.concat(folder, href)))
+            .when((href != "") & ~F.startswith(href, F.lit("#")) & ~F.rlike(href, F.lit("^[A-Za-z][A-Za-z0-9+.-]*:")),
+                  F.concat(origin, F.when(folder == "", "/").otherwise(folder), href)))
 
 
 _CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""

@@ -13,6 +13,7 @@ import base64
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ from affordspark.llm.storage import parts_for
 
 SHINGLE = 5
 FRACTION = 0.25
+MOST_PARTS = 8192  # ranges of doc_id; beyond 16 GB of text they grow (they are read as streams)
 U64 = np.uint64
 
 
@@ -87,20 +89,24 @@ def fingerprint(df: DataFrame, key: str = "doc_id", text: str = "text", k: int =
 
 def _ordered_parts(docs: DataFrame, parts: int) -> DataFrame:
     """docs (doc_id, text) plus ``part``: ranges of doc_id numbered in
-    descending order of doc_id, cut at quantiles of doc_id. The cuts are
-    ``parts`` numbers, however many documents there are."""
+    descending order of doc_id, cut at quantiles of doc_id; nulls come last.
+    The cuts are at most MOST_PARTS numbers, however many documents there are."""
+    parts = min(parts, MOST_PARTS)
     cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100 * parts).alias("c")).first()["c"] \
         if parts > 1 else []
-    cuts = sorted(set(cuts or []))
-    if not cuts:
-        return docs.withColumn("part", F.lit(0))
-    # the array is a constant; a binary search would save little at this size
-    above = F.aggregate(F.array(*[F.lit(c) for c in cuts]), F.lit(0),
-                        lambda n, c: n + F.when(F.col("doc_id") <= c, 1).otherwise(0))
-    return docs.withColumn("part", F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(above))
+    cuts = np.array(sorted(set(cuts or [])), dtype=np.int64)
 
+    @F.pandas_udf("int")
+    def part(ids: pd.Series) -> pd.Series:
+        # the ids alone go through Python, not the texts
+        return pd.Series((len(cuts) - np.searchsorted(cuts, ids.to_numpy(), side="left")).astype(np.int32))
 
-def with_next(docs: DataFrame, run, schema, nbytes: int, part_bytes: int = 16 << 20) -> DataFrame:
+    # without nulls, so that ids stay 64-bit integers
+    found = part(F.coalesce("doc_id", F.lit(0).cast("long")))
+    return docs.withColumn("part", F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(found))
+
+
+def with_next(docs: DataFrame, run, schema, nbytes: int, part_bytes: int = 2 << 20) -> DataFrame:
     """Apply ``run(texts, next_texts, ids)`` to all documents in descending
     order of doc_id, the next of the last being the first.
 
@@ -127,7 +133,8 @@ def with_next(docs: DataFrame, run, schema, nbytes: int, part_bytes: int = 16 <<
     late = (first.join(F.broadcast(before), "part")
             .select(F.col("before").alias("part"), F.lit(1).alias("late"), F.col("h.doc_id").alias("doc_id"), F.col("h.text").alias("text")))
     both = rows.unionByName(late)
-    stream = (both.repartition(len(places), "part")
+    # several ranges a task, so that tasks are even
+    stream = (both.repartition(parts_for(nbytes, 8 * part_bytes, 1), "part")
               .sortWithinPartitions("part", "late", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first()))
 
     def walk(batches):

@@ -38,17 +38,18 @@ U64 = np.uint64
 _SPACE = "▁"
 _P = U64(0x9E3779B97F4A7C15)
 _SPREAD = U64(0xD1342543DE82EF95)
+_A, _B = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
+# second counters of the draws that are not steps of a walk
+_ROOT, _NODE, _PICK, _REST = (x << 40 for x in (1, 2, 3, 4))
 _HIGHEST = 38.0  # above -log(-log u) for the largest u that _uniform gives
 _NEAR, _PER_CHAR = 100, 2.5  # characters from the end up to which mass is summed as such, scaled by exp(2.5) a character
 _opened: dict[tuple[str, float], "Vocabulary"] = {}
 
 
-def _uniform(*parts) -> np.ndarray:
-    """In (0, 1), from integers that are hashed together."""
+def _uniform(base, a=0, b=0) -> np.ndarray:
+    """In (0, 1), from a hashed base and two counters."""
     with np.errstate(over="ignore"):
-        h = np.asarray(parts[0], dtype=U64)
-        for p in parts[1:]:
-            h = arrays.mix(h * U64(0x9E3779B97F4A7C15) + np.asarray(p, dtype=U64))
+        h = arrays.mix(np.asarray(base, dtype=U64) + np.asarray(a, dtype=U64) * _A + np.asarray(b, dtype=U64) * _B)
     return ((h >> U64(11)).astype(np.float64) + 0.5) * 2.0 ** -53
 
 
@@ -59,6 +60,8 @@ class Vocabulary:
         n = m.get_piece_size()
         pieces = [m.id_to_piece(i) for i in range(n)]
         self.words_stand_alone = e.words_stand_alone
+        # neighbouring characters inside pieces; no piece crosses any other place
+        self.inside = np.sort(np.array([(ord(p[0]) << 32) | ord(p[1]) for p in e.inside], dtype=np.int64))
         self.unknown = m.unk_id()
         self.bytes_at = {}
         weight = np.zeros(n)
@@ -131,6 +134,37 @@ class Vocabulary:
         return [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
+def split_units(units: list[str], v: Vocabulary) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Units cut at all places that no piece crosses: the distinct parts, the
+    parts of all units one after the other, and where each unit's begin."""
+    lengths = np.array([len(u) for u in units], dtype=np.int64)
+    ends = np.cumsum(lengths)
+    code = np.frombuffer("".join(units).encode("utf-32-le"), dtype="<u4").astype(np.int64) if units else np.zeros(0, np.int64)
+    pair = (code[:-1] << 32) | code[1:]
+    at = np.minimum(np.searchsorted(v.inside, pair), len(v.inside) - 1)
+    cut = v.inside[at] != pair
+    cut[ends[:-1] - 1] = False  # between two units
+    places = np.flatnonzero(cut) + 1
+    owner = np.searchsorted(ends, places, side="right")
+    known: defaultdict[str, int] = defaultdict(count().__next__)
+    number = known.__getitem__
+    amount = np.bincount(owner, minlength=len(units)) + 1
+    first = np.concatenate([[0], np.cumsum(amount)])
+    local = (places - (ends - lengths)[owner]).tolist()
+    flat = np.empty(int(first[-1]), dtype=np.int64)
+    begin = first.tolist()
+    done = 0
+    for i, (u, n) in enumerate(zip(units, amount.tolist())):
+        if n == 1:
+            flat[begin[i]] = number(u)
+            continue
+        cuts = [0, *local[done:done + n - 1], len(u)]
+        done += n - 1
+        for j in range(n):
+            flat[begin[i] + j] = number(u[cuts[j]:cuts[j + 1]])
+    return list(known), flat, first
+
+
 def vocabulary(path: str, temperature: float) -> Vocabulary:
     if (path, temperature) not in _opened:
         _opened[path, temperature] = Vocabulary(path, temperature)
@@ -155,7 +189,6 @@ class Lattice:
         live = np.flatnonzero(left > 0)
         running = np.zeros(n, dtype=U64)
         src, dst, piece = [], [], []
-        single = np.zeros(n, dtype=bool)
         with np.errstate(over="ignore"):
             for size in range(1, v.longest + 1):
                 live = live[left[live] >= size]
@@ -164,20 +197,20 @@ class Lattice:
                 running[live] = running[live] * _P + code[live + size - 1] + U64(1)
                 found = v.find(running[live])
                 hit = found >= 0
-                src.append(live[hit])
-                dst.append(live[hit] + size)
-                piece.append(found[hit])
+                src.append(live[hit].astype(np.int32))
+                dst.append((live[hit] + size).astype(np.int32))
+                piece.append(found[hit].astype(np.int32))
                 if size == 1:
-                    single[live[hit]] = True
                     alone = live[~hit]  # no piece of their own: bytes, or unknown
-                    src.append(alone)
-                    dst.append(alone + 1)
-                    piece.append(-code[alone].astype(np.int64) - 1)
+                    src.append(alone.astype(np.int32))
+                    dst.append((alone + 1).astype(np.int32))
+                    piece.append(-code[alone].astype(np.int32) - 1)
                 live = live[found != -2]
-        join = lambda x: np.concatenate(x) if x else np.zeros(0, dtype=np.int64)
+        join = lambda x: np.concatenate(x) if x else np.zeros(0, dtype=np.int32)
         src, dst, piece = join(src), join(dst), join(piece)
         order = np.argsort(src, kind="stable")
         src, self.dst, self.piece = src[order], dst[order], piece[order]
+        del order, dst, piece, running, live
         counts = np.bincount(src, minlength=n)
         self.row = np.concatenate([[0], np.cumsum(counts)])
         weight = np.empty(len(src))
@@ -188,8 +221,7 @@ class Lattice:
         far = left[src]
         by = np.argsort(far.astype(np.uint16) if n and int(left.max()) < 1 << 16 else far, kind="stable")
         cuts = np.concatenate([[0], np.cumsum(np.bincount(far)[1:])]) if len(far) else np.zeros(1, dtype=np.int64)
-        sizes = (self.dst - src).astype(np.float64)
-        near = np.exp(weight + _PER_CHAR * sizes)
+        near = np.exp(weight + _PER_CHAR * (self.dst - src))
         mass, beta = np.ones(n), np.zeros(n)
         for d, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]), start=1):
             if b == a:
@@ -209,12 +241,15 @@ class Lattice:
             beta[s[new]] = top + np.log(np.add.reduceat(x, new))
         if len(cuts) <= _NEAR + 1:
             beta = np.log(mass) - _PER_CHAR * left
+        del near, by, far, cuts
         self.log_q = np.minimum(weight + beta[self.dst] - beta[src], 0.0)
+        del weight, beta, mass
         q = np.exp(self.log_q)
         # mass up to and with each edge, and of all other edges of its row
         sums = np.cumsum(q)
         begins = self.row[src]
         self.upto = sums - (sums[begins] - q[begins])
+        del sums
         others = 1.0 - q
         others[counts[src] == 1] = 0.0
         close = np.flatnonzero((others < 1e-7) & (counts[src] > 1))  # too close to 1 to subtract
@@ -298,13 +333,13 @@ class Paths:
             return
         base = _mixed(self.key, s)
         before = float(lat.log_q[edges[:fresh]].sum())
-        values, at, size = [], fresh, 64
+        values, at, size = [], fresh, 256
         while at < len(edges):
             part = edges[at:at + size]
             logs = lat.log_q[part]
             sums = np.cumsum(logs)
             phi = before + (sums - logs) + lat.log_others[part]
-            values.append(_truncated(phi, value, _uniform(base, np.arange(at, at + len(part)), 0xB0)))
+            values.append(_truncated(phi, value, _uniform(base, np.arange(at, at + len(part)), _NODE)))
             before += float(sums[-1])
             at += len(part)
             size *= 4
@@ -336,14 +371,14 @@ class Paths:
         a = int(np.searchsorted(lat.row, edges[j], side="right")) - 1
         left = [e for e in range(int(lat.row[a]), int(lat.row[a + 1])) if e not in gone]
         q = lat.q[left]
-        u = float(_uniform(_mixed(self.key, len(self.found)), j, 0xE1)) * q.sum()
+        u = float(_uniform(_mixed(self.key, len(self.found)), j, _PICK)) * q.sum()
         e = left[min(int(np.searchsorted(np.cumsum(q), u, side="right")), len(left) - 1)]
         gone.append(e)
         left.remove(e)
         if left:
             logs = lat.log_q[edges[:j]].sum()
             phi = logs + np.log(lat.q[left].sum()) if lat.q[left].sum() > 0 else -np.inf
-            again = _truncated(np.array([phi]), value, _uniform(_mixed(self.key, len(self.found)), np.array([j]), 0xC7))
+            again = _truncated(np.array([phi]), value, _uniform(_mixed(self.key, len(self.found)), np.array([j]), _REST))
             for entry in self.queue:
                 if entry[0] == s and entry[1] <= j:
                     entry[2][j - entry[1]] = again[0]
@@ -355,19 +390,22 @@ def sample(texts: list[str], keys: np.ndarray, k: int, v: Vocabulary):
     known: defaultdict[str, int] = defaultdict(count().__next__)
     number = known.__getitem__
     units = [np.fromiter(map(number, (_words(t) if v.words_stand_alone else [t]) if t else ()), dtype=np.int64) for t in texts]
-    lat = Lattice([_SPACE + w.replace(" ", _SPACE) for w in known], v)
-    begin = lat.begin
-    sizes = np.array([len(u) for u in units], dtype=np.int64)
-    first = np.concatenate([[0], np.cumsum(sizes)])
-    which = np.arange(first[-1]) - np.repeat(first[:-1], sizes)
-    start = begin[np.concatenate(units)] if len(units) else np.zeros(0, dtype=np.int64)
+    distinct, parts, part_at = split_units([_SPACE + w.replace(" ", _SPACE) for w in known], v)
+    lat = Lattice(distinct, v)
+    flat = np.concatenate(units) if units else np.zeros(0, dtype=np.int64)
+    amount = part_at[flat + 1] - part_at[flat]
+    ends = np.cumsum(amount)
+    start = lat.begin[parts[np.repeat(part_at[flat] - (ends - amount), amount) + np.arange(ends[-1] if len(ends) else 0)]]
+    # from here on a unit is a part: first are the texts' first ones
+    first = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(u) for u in units])]).astype(np.int64)]
+    which = np.arange(first[-1]) - np.repeat(first[:-1], np.diff(first))
     paths = [Paths(int(x)) for x in keys]
     for s in range(k):
         # where each text's next path leaves the known ones: units before it are kept
         plan = {}
         for d, p in enumerate(paths):
             if s == 0:
-                g = float(-np.log(-np.log(_uniform(_mixed(p.key, 0), 0xA0))))
+                g = float(-np.log(-np.log(_uniform(_mixed(p.key, 0), 0, _ROOT))))
                 plan[d] = (g, np.zeros(0, dtype=np.int64), 0, None, 0)
                 continue
             node = p.pop() if len(p.found) == s else None
@@ -402,7 +440,7 @@ def sample(texts: list[str], keys: np.ndarray, k: int, v: Vocabulary):
 
 
 def _ids(lat: Lattice, v: Vocabulary, edges: np.ndarray) -> np.ndarray:
-    ids = lat.piece[edges]
+    ids = lat.piece[edges].astype(np.int64)
     bare = np.flatnonzero(ids < 0)
     if not len(bare):
         return ids
@@ -439,7 +477,7 @@ def sampled_segmentations(docs: DataFrame, model: str, k: int = 2, seed: int = 0
     def run(batches):
         v = vocabulary(model, temperature)
         for batch in batches:
-            for part in arrays.row_slices(batch, "t_", 6 << 20):
+            for part in arrays.row_slices(batch, "t_", 3 << 20):
                 texts = [t or "" for t in part.column("t_").to_pylist()]
                 keys = np.asarray(part.column("h_")).astype(np.int64).view(U64)
                 paths, lat = sample(texts, keys, k, v)

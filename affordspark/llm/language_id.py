@@ -30,11 +30,15 @@ U64 = np.uint64
 TABLE = 1 << 17  # rows of the weight table
 PER_LANGUAGE = 150  # labelled texts of each language that the field is fitted on
 MOST_LANGUAGES = 64  # more labels than these are an error, not a silent cut
-_LETTER = re.compile(r"[^\W\d_]")
+BLOCK = 512  # words of a text that a chain advances over by itself
 _NO_LETTER = re.compile(r"[\W\d_]+")
 _SEED = arrays.salts(8, 303)
 
 
+def _has_letter(word: str) -> bool:
+    return any(map(str.isalpha, word))
+
+
 @dataclass
 class Field:
     languages: list[str]
@@ -106,40 +110,79 @@ def emissions(field_weights: np.ndarray, words: list[str]) -> np.ndarray:
     return out
 
 
-def forward_backward(e: np.ndarray, first: np.ndarray, start: np.ndarray, moves: np.ndarray, pairs: bool = False):
+def _blocks(first: np.ndarray, size: int):
+    """Texts cut into blocks of ``size`` words: the blocks' first words (and
+    the end), their numbers within the text, and each text's first block."""
+    lengths = np.diff(first)
+    amount = -(-lengths // size)
+    at = np.concatenate([[0], np.cumsum(amount)])
+    number = np.arange(at[-1]) - np.repeat(at[:-1], amount)
+    return np.append(np.repeat(first[:-1], amount) + number * size, first[-1]), number, at
+
+
+def _entries(x, cuts, number, at, init, step):
+    """What enters each block from before it and from after it, as k-vectors
+    up to a factor: products of the blocks' transfer matrices."""
+    m, k = len(number), len(init)
+    before, after = np.tile(init, (m, 1)), np.ones((m, k))
+    several = np.flatnonzero(np.repeat(np.diff(at) > 1, np.diff(at)))
+    if not len(several):
+        return before, after
+    lengths = np.diff(cuts)[several]
+    order = np.argsort(-lengths, kind="stable")
+    through = np.empty((m, k, k))
+    live, lengths = several[order], lengths[order]
+    s = np.eye(k) * x[cuts[live]][:, None, :]
+    for t in range(1, int(lengths[0])):
+        n = int(np.searchsorted(-lengths, -t, side="left"))  # blocks with more than t words
+        s[:n] = (s[:n] @ step) * x[cuts[live[:n]] + t][:, None, :]
+        s[:n] /= s[:n].sum(axis=(1, 2), keepdims=True)
+    through[live] = s
+    for j in range(1, int(number.max()) + 1):
+        b = np.flatnonzero(number == j)
+        v = np.einsum("bk,bkl->bl", before[b - 1], through[b - 1]) @ step
+        before[b] = v / v.sum(axis=1, keepdims=True)
+    for j in range(int(number.max()), 0, -1):
+        b = np.flatnonzero(number == j)
+        v = np.einsum("bkl,bl->bk", through[b], after[b]) @ step.T
+        after[b - 1] = v / v.sum(axis=1, keepdims=True)
+    return before, after
+
+
+def forward_backward(e: np.ndarray, first: np.ndarray, start: np.ndarray, moves: np.ndarray, pairs: bool = False, block: int = BLOCK):
     """Word marginals [words, languages] of the texts whose words begin at
     ``first`` (one more entry for the end), from word potentials e (log). With
     ``pairs`` also the expected transitions, expected first labels and the
     log partition sum.
 
-    All texts advance together, one word a step, longest first, so a step
-    works on exactly the texts that still have words."""
-    lengths = np.diff(first)
-    order = np.argsort(-lengths, kind="stable")
-    begins, lengths = first[:-1][order], lengths[order]
+    Texts are cut into blocks; transfer matrices say exactly what enters a
+    block on both sides, and then all blocks advance together, one word a
+    step, longest first. So a long text takes no more steps than a short one."""
     n, k = e.shape
+    cuts, number, at = _blocks(first, max(1, n) if pairs else block)
     top = e.max(axis=1, keepdims=True) if n else e[:, :1]
     x = np.exp(e - top)
     step, init = np.exp(moves), np.exp(start)
+    before, after = _entries(x, cuts, number, at, init, step)
+    lengths = np.diff(cuts)
+    order = np.argsort(-lengths, kind="stable")
+    begins, lengths, before, after = cuts[:-1][order], lengths[order], before[order], after[order]
     alpha, beta = np.empty((n, k)), np.empty((n, k))
     scale = np.ones(n)
     most = int(lengths[0]) if len(lengths) else 0
-    active = np.searchsorted(-lengths, -np.arange(1, most + 1), side="right")  # texts with more than t words
+    active = np.searchsorted(-lengths, -np.arange(1, most + 1), side="right")  # blocks with more than t words
     for t in range(most):
-        at = begins[: active[t]] + t
-        a = x[at] * (init if t == 0 else alpha[at - 1] @ step)
+        now = begins[: active[t]] + t
+        a = x[now] * (before if t == 0 else alpha[now - 1] @ step)
         s = a.sum(axis=1)
-        alpha[at] = a / s[:, None]
-        scale[at] = s
+        alpha[now] = a / s[:, None]
+        scale[now] = s
     for t in range(most - 1, -1, -1):
-        at = begins[: active[t]] + t
-        if t + 1 < most:
-            more = active[t + 1]
-            nxt = at[:more] + 1
-            beta[at[:more]] = ((x[nxt] * beta[nxt]) @ step.T) / scale[nxt][:, None]
-            beta[at[more:]] = 1.0
-        else:
-            beta[at] = 1.0
+        now = begins[: active[t]] + t
+        more = active[t + 1] if t + 1 < most else 0
+        nxt = now[:more] + 1
+        beta[now[:more]] = ((x[nxt] * beta[nxt]) @ step.T) / scale[nxt][:, None]
+        beta[now[more:]] = after[more: active[t]]
     marginals = alpha * beta
     marginals /= marginals.sum(axis=1, keepdims=True)
     if not pairs:
@@ -166,7 +209,7 @@ def fit(texts: list[str], labels: list[str], seed: int = 7, epochs: int = 12, ra
     known: dict[str, int] = {}
     runs = []
     for t, lab in zip(texts, labels):
-        ids = [known.setdefault(w, len(known)) for w in t.split() if _LETTER.search(w)]
+        ids = [known.setdefault(w, len(known)) for w in t.split() if _has_letter(w)]
         at = 0
         while at < len(ids):
             size = int(r.integers(5, 61))
@@ -254,7 +297,7 @@ def _word_rows(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
             i = known.get(w)
             if i is None:
                 i = known[w] = len(letter)
-                letter.append(_LETTER.search(w) is not None)
+                letter.append(_has_letter(w))
             ids.append(i)
         positions.append(np.array(ids, dtype=np.int64))
         first.append(len(ids))

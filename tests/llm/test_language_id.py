@@ -32,6 +32,19 @@ def test_forward_backward_against_enumeration():
             for x, y in zip(p, p[1:]):
                 wm[x, y] += v
     assert np.allclose(m, want) and np.allclose(moved, wm) and np.allclose(opened, wo) and abs(log_z - wz) < 1e-9
+    for block in (1, 2, 3, 100):
+        assert np.allclose(li.forward_backward(e, first, start, moves, block=block), want)
+
+
+def test_blocks_of_long_texts():
+    r = np.random.default_rng(3)
+    sizes = [0, 1, 700, 3000, 64, 65, 1]
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    e, start, moves = 5 * r.normal(size=(first[-1], 4)), r.normal(size=4), r.normal(size=(4, 4))
+    whole = li.forward_backward(e, first, start, moves, block=10**6)
+    for block in (7, 64, 512):
+        assert np.allclose(li.forward_backward(e, first, start, moves, block=block), whole, atol=1e-9)
+    assert li.forward_backward(np.zeros((0, 4)), np.array([0, 0]), start, moves).shape == (0, 4)
 
 
 def test_held_out_accuracy_and_code_switching(spark):

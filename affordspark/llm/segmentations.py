@@ -41,6 +41,9 @@ _SPREAD = U64(0xD1342543DE82EF95)
 _A, _B = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
 # second counters of the draws that are not steps of a walk
 _ROOT, _NODE, _PICK, _REST = (x << 40 for x in (1, 2, 3, 4))
+SLICE = 1 << 20  # text bytes whose lattices are built together; a longer text is a slice of its own
+_DECODED = 1 << 16  # tokens decoded at a time, unless a run has more
+_FIRST = 512  # edges of a path whose nodes are made with those of the other paths
 _HIGHEST = 38.0  # above -log(-log u) for the largest u that _uniform gives
 _NEAR, _PER_CHAR = 100, 2.5  # characters from the end up to which mass is summed as such, scaled by exp(2.5) a character
 _opened: dict[tuple[str, float], "Vocabulary"] = {}
@@ -127,6 +130,10 @@ class Vocabulary:
 
     def decode(self, ids: np.ndarray, first: np.ndarray) -> list[bytes]:
         """Bytes of each run of ids, spaces still marked."""
+        if len(first) > 2 and first[-1] - first[0] > _DECODED:  # the index arrays below take 24 bytes for each byte
+            half = max(1, min(len(first) - 2, int(np.searchsorted(first, (first[0] + first[-1]) // 2))))
+            return self.decode(ids, first[:half + 1]) + self.decode(ids, first[half:])
+        ids, first = ids[first[0]:first[-1]], first - first[0]
         sizes = self.sizes[ids]
         ends = np.cumsum(sizes)
         flat = self.flat[np.repeat(self.at[ids] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
@@ -134,35 +141,30 @@ class Vocabulary:
         return [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
-def split_units(units: list[str], v: Vocabulary) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Units cut at all places that no piece crosses: the distinct parts, the
-    parts of all units one after the other, and where each unit's begin."""
+def split_units(units: list[str], v: Vocabulary):
+    """Units cut at all places that no piece crosses. Returns the code points
+    and lengths of the distinct parts, the parts of all units one after the
+    other, and where each unit's begin. Parts are told apart by 64-bit hashes."""
     lengths = np.array([len(u) for u in units], dtype=np.int64)
     ends = np.cumsum(lengths)
-    code = np.frombuffer("".join(units).encode("utf-32-le"), dtype="<u4").astype(np.int64) if units else np.zeros(0, np.int64)
+    code = np.frombuffer("".join(units).encode("utf-32-le"), dtype="<u4").astype(np.int64)
+    if not len(code):
+        return code, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(units) + 1, np.int64)
     pair = (code[:-1] << 32) | code[1:]
     at = np.minimum(np.searchsorted(v.inside, pair), len(v.inside) - 1)
-    cut = v.inside[at] != pair
-    cut[ends[:-1] - 1] = False  # between two units
-    places = np.flatnonzero(cut) + 1
-    owner = np.searchsorted(ends, places, side="right")
-    known: defaultdict[str, int] = defaultdict(count().__next__)
-    number = known.__getitem__
-    amount = np.bincount(owner, minlength=len(units)) + 1
-    first = np.concatenate([[0], np.cumsum(amount)])
-    local = (places - (ends - lengths)[owner]).tolist()
-    flat = np.empty(int(first[-1]), dtype=np.int64)
-    begin = first.tolist()
-    done = 0
-    for i, (u, n) in enumerate(zip(units, amount.tolist())):
-        if n == 1:
-            flat[begin[i]] = number(u)
-            continue
-        cuts = [0, *local[done:done + n - 1], len(u)]
-        done += n - 1
-        for j in range(n):
-            flat[begin[i] + j] = number(u[cuts[j]:cuts[j + 1]])
-    return list(known), flat, first
+    begins = np.ones(len(code), dtype=bool)
+    begins[1:] = v.inside[at] != pair
+    begins[ends - lengths] = True
+    start = np.flatnonzero(begins)
+    size = np.diff(np.append(start, len(code)))
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, U64), np.cumsum(arrays.mix(code.astype(U64)) * arrays._power(arrays._BASE, len(code)))])
+        h = (sums[start + size] - sums[start]) * arrays._power(arrays._INVERSE, len(code))[start] + size.astype(U64)
+    _, one, parts = np.unique(h, return_index=True, return_inverse=True)
+    part_size = size[one]
+    upto = np.cumsum(part_size)
+    chars = code[np.repeat(start[one] - (upto - part_size), part_size) + np.arange(upto[-1])]
+    return chars, part_size, parts, np.append(np.searchsorted(start, ends - lengths), len(start))
 
 
 def vocabulary(path: str, temperature: float) -> Vocabulary:
@@ -179,12 +181,11 @@ class Lattice:
     through it. A unit's positions are ``begin[u] .. begin[u + 1] - 1``, the last
     one is its end."""
 
-    def __init__(self, units: list[str], v: Vocabulary):
-        text = "\n".join(units) + "\n"  # one position more for each unit's end
-        code = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(U64) if units else np.zeros(0, U64)
-        lengths = np.array([len(u) for u in units], dtype=np.int64)
-        self.begin = np.concatenate([[0], np.cumsum(lengths + 1)])
-        n = len(code)
+    def __init__(self, chars: np.ndarray, lengths: np.ndarray, v: Vocabulary):
+        self.begin = np.concatenate([[0], np.cumsum(lengths + 1)])  # one position more for each unit's end
+        n = int(self.begin[-1])
+        code = np.zeros(n, dtype=U64)
+        code[np.arange(len(chars)) + np.repeat(np.arange(len(lengths)), lengths)] = chars
         left = np.repeat(self.begin[1:] - 1, lengths + 1) - np.arange(n)  # characters up to the unit's end
         live = np.flatnonzero(left > 0)
         running = np.zeros(n, dtype=U64)
@@ -320,21 +321,21 @@ class Paths:
         self.key, self.found, self.queue = key, [], []  # found: (value, edges, units' counts)
         self.ruled_out: dict[tuple[int, int], list[int]] = {}
 
-    def add(self, lat: Lattice, value: float, edges: np.ndarray, counts: np.ndarray, fresh: int, wanted: int):
-        """A new segmentation; nodes branch off at its edges from ``fresh`` on.
+    def extend(self, lat: Lattice, s: int, fresh: int, values: list, before: float, at: int, size: int, wanted: int):
+        """Queues the nodes that branch off path s at its edges from ``fresh``
+        on; ``values`` are those up to edge ``at``, before which the path has
+        the log-probability ``before``.
 
         Only ``wanted`` more nodes are ever taken. A node's value is at most
         its mass plus _HIGHEST, and masses fall along a path, so nodes after
         the place where that bound is below ``wanted`` known values are not
         made."""
-        s = len(self.found)
-        self.found.append((value, edges, counts))
-        if fresh >= len(edges):
-            return
+        value, edges, _ = self.found[s]
         base = _mixed(self.key, s)
-        before = float(lat.log_q[edges[:fresh]].sum())
-        values, at, size = [], fresh, 256
-        while at < len(edges):
+        while True:
+            known = np.concatenate(values) if len(values) > 1 else values[0]
+            if at >= len(edges) or len(known) >= wanted and np.partition(known, -wanted)[-wanted] > before + _HIGHEST:
+                break
             part = edges[at:at + size]
             logs = lat.log_q[part]
             sums = np.cumsum(logs)
@@ -343,10 +344,7 @@ class Paths:
             before += float(sums[-1])
             at += len(part)
             size *= 4
-            known = np.concatenate(values)
-            if len(known) >= wanted and np.partition(known, -wanted)[-wanted] > before + _HIGHEST:
-                break
-        self.queue.append([s, fresh, np.concatenate(values)])
+        self.queue.append([s, fresh, known])
 
     def pop(self):
         """(value, sample, edge number) of the best node left, or None."""
@@ -385,13 +383,37 @@ class Paths:
         return e
 
 
+def add_paths(lat: Lattice, new: list, wanted: int):
+    """New segmentations (paths, value, edges, units' counts, fresh): the
+    nodes at the first _FIRST edges of all of them are made together."""
+    new = [x for x in new if not x[0].found.append((x[1], x[2], x[3])) and x[4] < len(x[2])]
+    if not new:
+        return
+    heads = [x[2][x[4]:x[4] + _FIRST] for x in new]
+    sizes = np.array([len(h) for h in heads], dtype=np.int64)
+    ends = np.cumsum(sizes)
+    edges = np.concatenate(heads)
+    logs = lat.log_q[edges]
+    sums = np.cumsum(logs)
+    skip = sums[ends - 1] - np.add.reduceat(logs, ends - sizes)  # before each path's first edge here
+    before = np.array([float(lat.log_q[x[2][:x[4]]].sum()) if x[4] else 0.0 for x in new])
+    fresh = np.array([x[4] for x in new], dtype=np.int64)
+    base = np.array([_mixed(x[0].key, len(x[0].found) - 1) for x in new], dtype=U64)
+    phi = sums - logs + np.repeat(before - skip, sizes) + lat.log_others[edges]
+    index = np.arange(len(edges)) + np.repeat(fresh - (ends - sizes), sizes)
+    values = _truncated(phi, np.repeat([x[1] for x in new], sizes), _uniform(np.repeat(base, sizes), index, _NODE))
+    after = before + sums[ends - 1] - skip
+    for x, a, n, e in zip(new, after, sizes, ends):
+        x[0].extend(lat, len(x[0].found) - 1, x[4], [values[e - n:e]], float(a), x[4] + int(n), 4 * _FIRST, wanted)
+
+
 def sample(texts: list[str], keys: np.ndarray, k: int, v: Vocabulary):
     """For each text its Paths with up to k segmentations, and the lattice."""
     known: defaultdict[str, int] = defaultdict(count().__next__)
     number = known.__getitem__
     units = [np.fromiter(map(number, (_words(t) if v.words_stand_alone else [t]) if t else ()), dtype=np.int64) for t in texts]
-    distinct, parts, part_at = split_units([_SPACE + w.replace(" ", _SPACE) for w in known], v)
-    lat = Lattice(distinct, v)
+    chars, sizes, parts, part_at = split_units([_SPACE + w.replace(" ", _SPACE) for w in known], v)
+    lat = Lattice(chars, sizes, v)
     flat = np.concatenate(units) if units else np.zeros(0, dtype=np.int64)
     amount = part_at[flat + 1] - part_at[flat]
     ends = np.cumsum(amount)
@@ -428,6 +450,7 @@ def sample(texts: list[str], keys: np.ndarray, k: int, v: Vocabulary):
         owner = np.repeat([paths[d].key for d in plan], sizes_now).astype(U64) if len(ask) else np.zeros(0, U64)
         edges, counts = lat.walk(position, owner, s, which[ask].astype(U64))
         ends = np.concatenate([[0], np.cumsum(counts)])
+        new = []
         for (d, x), a, b in zip(plan.items(), offset[:-1], offset[1:]):
             value, head, unit, parent, _ = x
             own = counts[a:b].copy()
@@ -435,7 +458,8 @@ def sample(texts: list[str], keys: np.ndarray, k: int, v: Vocabulary):
                 old = paths[d].found[parent][2]
                 own[0] += len(head) - int(old[:unit].sum())
                 own = np.concatenate([old[:unit], own])
-            paths[d].add(lat, value, np.concatenate([head, edges[ends[a]:ends[b]]]), own, len(head), k + 1 - s)
+            new.append((paths[d], value, np.concatenate([head, edges[ends[a]:ends[b]]]), own, len(head)))
+        add_paths(lat, new, k + 1 - s)
     return paths, lat
 
 
@@ -474,34 +498,38 @@ def sampled_segmentations(docs: DataFrame, model: str, k: int = 2, seed: int = 0
         ("sample", T.IntegerType()), ("n_pieces", T.LongType()), ("ids", T.ArrayType(T.IntegerType())), ("log_prob", T.DoubleType()),
         ("perturbed", T.DoubleType()), ("log_inclusion", T.DoubleType()), ("round_trip", T.BooleanType()))])
 
+    def rows_of(part: pa.RecordBatch, v: Vocabulary) -> pa.RecordBatch:
+        texts = [t or "" for t in part.column("t_").to_pylist()]
+        keys = np.asarray(part.column("h_")).astype(np.int64).view(U64)
+        paths, lat = sample(texts, keys, k, v)
+        row, number, ids, logs, values, score = [], [], [], [], [], []
+        for d, p in enumerate(paths):
+            kappa = p.best()
+            for s, (value, edges, _) in enumerate(p.found):
+                log_p = float(lat.log_q[edges].sum())
+                x = log_p - kappa
+                row.append(d)
+                number.append(s + 1)
+                ids.append(_ids(lat, v, edges))
+                logs.append(log_p)
+                values.append(value)
+                score.append(0.0 if x > 30 else x if x < -30 else float(np.log(-np.expm1(-np.exp(x)))))
+        del paths, lat
+        sizes = [len(x) for x in ids]
+        first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int64)
+        marked = [((_SPACE + t) if t else "").replace(" ", _SPACE).encode() for t in texts]
+        same = [x == marked[d] for x, d in zip(v.decode(flat, first), row)]
+        return pa.RecordBatch.from_arrays([
+            part.column("k_").take(pa.array(row, pa.int64())), pa.array(number, pa.int32()), pa.array(sizes, pa.int64()),
+            pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(flat.astype(np.int32))), pa.array(logs, pa.float64()),
+            pa.array(values, pa.float64()), pa.array(score, pa.float64()), pa.array(same, pa.bool_())], schema.fieldNames())
+
     def run(batches):
         v = vocabulary(model, temperature)
         for batch in batches:
-            for part in arrays.row_slices(batch, "t_", 3 << 20):
-                texts = [t or "" for t in part.column("t_").to_pylist()]
-                keys = np.asarray(part.column("h_")).astype(np.int64).view(U64)
-                paths, lat = sample(texts, keys, k, v)
-                row, number, ids, logs, values, score = [], [], [], [], [], []
-                for d, p in enumerate(paths):
-                    kappa = p.best()
-                    for s, (value, edges, _) in enumerate(p.found):
-                        log_p = float(lat.log_q[edges].sum())
-                        x = log_p - kappa
-                        row.append(d)
-                        number.append(s + 1)
-                        ids.append(_ids(lat, v, edges))
-                        logs.append(log_p)
-                        values.append(value)
-                        score.append(0.0 if x > 30 else x if x < -30 else float(np.log(-np.expm1(-np.exp(x)))))
-                sizes = [len(x) for x in ids]
-                first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-                flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int64)
-                marked = [((_SPACE + t) if t else "").replace(" ", _SPACE).encode() for t in texts]
-                same = [x == marked[d] for x, d in zip(v.decode(flat, first), row)]
-                yield pa.RecordBatch.from_arrays([
-                    part.column("k_").take(pa.array(row, pa.int64())), pa.array(number, pa.int32()), pa.array(sizes, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(flat.astype(np.int32))), pa.array(logs, pa.float64()),
-                    pa.array(values, pa.float64()), pa.array(score, pa.float64()), pa.array(same, pa.bool_())], schema.fieldNames())
+            for part in arrays.row_slices(batch, "t_", SLICE):
+                yield rows_of(part, v)
 
     return docs.select(F.col(key).alias("k_"), F.xxhash64(F.lit(seed), F.col(key)).alias("h_"), F.col(text).alias("t_")).mapInArrow(run, schema)
 

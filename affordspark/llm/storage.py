@@ -26,9 +26,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: the lineage ends
-    in files that outlive any executor."""
+    in files that outlive any executor. They are deleted when the driver ends,
+    or by dropped() before."""
+    from affordspark.sources.io import delete_at_exit
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    delete_at_exit(spark, path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path

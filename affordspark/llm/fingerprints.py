@@ -126,9 +126,7 @@ def with_next(docs: DataFrame, run, schema, nbytes: int, part_bytes: int = 2 <<
     tops = spark.createDataFrame([(int(p), None if t is None else int(t)) for p, t in heads], "part int, top long")
     rows = ranged.select("part", F.lit(0).alias("late"), "doc_id", "text")
     # one row per range: at most as many as there are ranges
-    head_rows = (ranged.join(F.broadcast(tops), (ranged["part"] == tops["part"])
-                             & ranged["doc_id"].eqNullSafe(tops["top"]))
-                 .select(ranged["part"], "doc_id", "text"))
+    head_rows = docs.join(F.broadcast(tops), docs["doc_id"].eqNullSafe(tops["top"])).select("part", "doc_id", "text")
     first = head_rows.groupBy("part").agg(F.min(F.struct(F.col("text").isNotNull().alias("has"), "text", "doc_id")).alias("h"))
     late = (first.join(F.broadcast(before), "part")
             .select(F.col("before").alias("part"), F.lit(1).alias("late"), F.col("h.doc_id").alias("doc_id"), F.col("h.text").alias("text")))

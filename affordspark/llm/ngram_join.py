@@ -105,10 +105,11 @@ def _bucket_counts(docs: DataFrame, k: int) -> np.ndarray:
     return out
 
 
-def _prefixes(docs: DataFrame, k: int, threshold: int, order: np.ndarray) -> DataFrame:
+def _prefixes(docs: DataFrame, k: int, threshold: int, order: np.ndarray, used: list) -> DataFrame:
     """(doc_id, th, n, set_a, set_b, prefix): set size, 128-bit sum of the set, and
     the first n-grams in the common order."""
     shared = docs.sparkSession.sparkContext.broadcast(order)  # ORDER_BUCKETS counters
+    used.append(shared)
 
     def run(batches):
         rank = shared.value
@@ -132,7 +133,7 @@ def _prefixes(docs: DataFrame, k: int, threshold: int, order: np.ndarray) -> Dat
     return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, n long, set_a long, set_b long, prefix array<long>")
 
 
-def _candidates(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _candidates(docs: DataFrame, wanted: DataFrame, used: list) -> DataFrame:
     """The rows of docs (doc_id, th, text) whose th may be among wanted's: a
     bit table of fixed size keeps most other texts out of the shuffle. What it
     lets through by chance is dropped by the join that follows."""
@@ -162,6 +163,7 @@ def _candidates(docs: DataFrame, wanted: DataFrame) -> DataFrame:
               .mapInArrow(either, "slice int, bits binary").collect()):
         table[r["slice"] * width:(r["slice"] + 1) * width] = np.frombuffer(r["bits"], dtype=np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(table)  # FILTER_BITS bits
+    used.append(shared)
 
     def keep(batches):
         for batch in batches:
@@ -172,7 +174,9 @@ def _candidates(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) of classes whose texts link, by the exact sets."""
+    """The pairs (a, b) of classes whose texts link, by the exact sets; a
+    written table."""
+    used: list = []
     pairs = written(pairs, "pairs")
     row = classes.select("cls", F.struct("doc_id", "th").alias("row"))
     named = (pairs.join(row.withColumnsRenamed({"cls": "a", "row": "row_a"}), "a")
@@ -180,7 +184,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, thr
     named = written(named, "named")
     wanted = named.select("row_a.th").union(named.select("row_b.th"))
     # a repeated row stands for its class once
-    texts = (_candidates(docs, wanted).select(F.struct("doc_id", "th").alias("row"), "text")
+    texts = (_candidates(docs, wanted, used).select(F.struct("doc_id", "th").alias("row"), "text")
              .groupBy("row").agg(F.min("text").alias("text")))
     joined = (named.join(texts.withColumnsRenamed({"row": "row_b", "text": "text_b"}), "row_b")
               .join(texts.withColumnsRenamed({"row": "row_a", "text": "text_a"}), "row_a"))
@@ -196,7 +200,16 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, thr
                     keep.append(100 * both >= threshold * (len(x) + len(y) - both))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    out = written(joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "links")
+    _destroyed(used)
+    dropped(pairs, named)
+    return out
+
+
+def _destroyed(used: list) -> None:
+    """Frees broadcasts that no table needs any more."""
+    for b in used:
+        b.destroy()
 
 
 def _open_pairs(entries: DataFrame, threshold: int) -> DataFrame:
@@ -270,7 +283,10 @@ def jaccard_components(docs: DataFrame, k: int = 4, threshold: int = 85) -> Data
     columns are ignored; an empty table gives an empty result."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("th", F.xxhash64("text"))
     order = _bucket_counts(docs, k)
-    made = written(_prefixes(docs, k, threshold, order), "prefixes")
+    used: list = []
+    made = written(_prefixes(docs, k, threshold, order, used), "prefixes")
+    _destroyed(used)
+    del order
 
     # equal sets: one class, named by a hash of the set; one of its rows stands for it
     keyed = made.where("n > 0").select("doc_id", "th", "n", F.xxhash64("n", "set_a", "set_b").alias("cls"), F.xxhash64("prefix").alias("head"))
@@ -294,7 +310,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, threshold: int = 85) -> Data
             .where((F.col("gid") != F.col("gid_h")) & _may_link("n", "pos", "n_h", "pos_h", threshold))
             .select(F.least("gid", "gid_h").alias("a"), F.greatest("gid", "gid_h").alias("b")).distinct())
     inner = members.where("gid != cls").select(F.col("gid").alias("a"), F.col("cls").alias("b"))
-    links = written(_verified(hubs.unionByName(inner), classes, docs, k, threshold), "links")
+    links = _verified(hubs.unionByName(inner), classes, docs, k, threshold)
     comps = written(connected_components(links, "a", "b"), "components")
 
     # pass 2: pairs of one list (or group) that are not yet connected
@@ -304,7 +320,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, threshold: int = 85) -> Data
     several = members.where("gid != cls").select("gid").distinct()
     within = placed.join(several, "gid").select(F.col("gid").alias("gram"), "cls", "n", F.lit(0).cast("long").alias("pos"), "comp")
     rest = _open_pairs(entries, threshold).unionByName(_open_pairs(within, threshold)).distinct()
-    more = written(_verified(rest, classes, docs, k, threshold), "links")
+    more = _verified(rest, classes, docs, k, threshold)
     ends = placed.select("cls", "comp")
     upper = connected_components(
         more.join(ends.select(F.col("cls").alias("a"), F.col("comp").alias("ca")), "a")

@@ -8,8 +8,8 @@ line are the least sentence hash of its other lines, which documents that are
 copies of each other mostly share. So a line of many unrelated documents has
 about as many surroundings as documents, while a line of a large group of
 copies, exact or edited, has few, and copies are left to deduplication.
-Boilerplate lines are removed; a document that loses most of its words is
-rejected.
+``cleaned`` removes boilerplate lines from the texts; a document that loses most
+of its words is rejected.
 """
 
 from __future__ import annotations
@@ -36,6 +36,11 @@ def _words(trimmed: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, _RUN))
 
 
+def _line(x: Column) -> Column:
+    """Hash of a line, normalised."""
+    return F.xxhash64(F.lower(F.regexp_replace(_trimmed(x), _RUN, " ")))
+
+
 def _without(c: Column, chars: str) -> Column:
     for x in chars:
         c = F.replace(c, F.lit(x), F.lit(""))
@@ -60,7 +65,7 @@ def measures(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
         (F.size("l_") - F.size(F.array_distinct("l_"))).cast("long").alias("n_dup_lines"),
         F.xxhash64("t_").alias("content"), hashes.alias("h_"),
         F.transform("l_", lambda x: F.struct(
-            F.xxhash64(F.lower(F.regexp_replace(_trimmed(x), _RUN, " "))).alias("line"),
+            _line(x).alias("line"),
             F.size(F.split(_trimmed(x), _RUN)).alias("words"),
             F.array_min(F.transform(F.split(F.lower(_trimmed(x)), "[.!?]+[\\x09-\\x0D ]+"), lambda y: F.xxhash64(y))).alias("least"))).alias("lines"))
     rest = [*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "content", "lines"]
@@ -109,8 +114,13 @@ def judge(docs: DataFrame, keep: list[str], host: str = "source", least_left: fl
     A null text is empty and fails the base rules; rows with a null host are a
     host of their own; repeated rows get the same verdict; an empty table gives
     an empty result; kept columns named like a result get the suffix _in."""
+    return _judged(docs, keep, host, least_left, **limits).drop("marked_")
+
+
+def _judged(docs: DataFrame, keep: list[str], host: str, least_left: float, **limits) -> DataFrame:
+    """judge() plus marked_, the hashes of the row's boilerplate lines (null: none)."""
     made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_words_left", "kept",
-            "host", "content", "lines", "windows_", "t_", "trim_", "w_", "l_", "h_", "s_", "p_"}
+            "host", "content", "lines", "marked_", "windows_", "t_", "trim_", "w_", "l_", "h_", "s_", "p_"}
     names = [f"{c}_in" if c in made else c for c in keep]
     named = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.coalesce(F.col(host), F.lit("")).alias("host"),
                         F.when(F.col(host).isNull(), True).alias("lines"), F.col("text").alias("text_"))
@@ -119,18 +129,29 @@ def judge(docs: DataFrame, keep: list[str], host: str = "source", least_left: fl
     marked = boilerplate(measured, "host", **limits)
     lost = (measured.where(~base_failed()).select("host", "content", "lines").dropDuplicates(["host", "content"])
             .select("host", "content", F.explode("lines").alias("l")).select("host", "content", F.col("l.line").alias("line"), F.col("l.words").alias("words"))
-            .join(marked, ["host", "line"]).groupBy("host", "content").agg(F.sum("words").alias("lost")))
+            .join(marked, ["host", "line"]).groupBy("host", "content")
+            .agg(F.sum("words").alias("lost"), F.collect_set("line").alias("marked_")))
     left = F.col("n_words") - F.coalesce("lost", F.lit(0))
     failed = base_failed()
     return (measured.join(lost, ["host", "content"], "left")
             .select(*names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-                    left.cast("long").alias("n_words_left"), (~failed & (left >= least_left * F.col("n_words"))).alias("kept")))
+                    left.cast("long").alias("n_words_left"), (~failed & (left >= least_left * F.col("n_words"))).alias("kept"), "marked_"))
 
 
 def cleaned(docs: DataFrame, host: str = "source", least_left: float = LEAST_LEFT, **limits) -> DataFrame:
-    """The kept rows of docs, all columns as they were (their texts whole)."""
+    """The kept rows of docs, their texts without the boilerplate lines of their
+    host; n_chars, where docs has it, is that of the text that is left. All else
+    stays as it was, so do texts without such lines."""
     import uuid
     key = f"row_{uuid.uuid4().hex[:8]}"
-    keyed = docs.withColumn(key, F.xxhash64("text", host))
-    bad = judge(keyed, [key], host, least_left, **limits).where(~F.col("kept")).select(key).distinct()
-    return keyed.join(bad, key, "left_anti").drop(key)
+    bad, out = f"bad_{key}", f"out_{key}"
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit("")), F.lit("|"), host))  # equal where text and host are
+    touched = (_judged(keyed, [key], host, least_left, **limits).where(~F.col("kept") | F.col("marked_").isNotNull())
+               .select(key, (~F.col("kept")).alias(bad), F.col("marked_").alias(out)).dropDuplicates([key]))
+    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains(out, _line(x))), "\n")
+    kept = (keyed.join(touched, key, "left").where(~F.coalesce(bad, F.lit(False)))
+            .withColumn("text", F.when(F.col(out).isNull(), F.col("text")).otherwise(left)))
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(F.col(out).isNull(), F.col("n_chars"))
+                               .otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
+    return kept.select(*docs.columns)

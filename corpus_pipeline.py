@@ -20,8 +20,8 @@ SAMPLES, SEED = 2, 11
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that fail the base rules or lose most of their words
-    with the boilerplate lines of their source."""
+    """Removes the boilerplate lines of each source from its texts and drops
+    documents that fail the base rules or lose most of their words with them."""
     return quality_rules.cleaned(docs)
 
 

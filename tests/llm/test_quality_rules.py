@@ -97,3 +97,22 @@ def test_only_jvm_functions_and_empty(spark):
     out = qr.judge(df, ["doc_id"])
     assert out.collect() == []
     assert "Python" not in out._jdf.queryExecution().toString()
+
+
+def test_cleaned_texts_against_brute_force(spark):
+    rows = corpus()
+    rows.append((len(rows), rows[1][1] + "\n\n \nlast line\n", "h1"))  # blank lines and the end stay
+    rows += [(len(rows) + i, *rows[1][1:]) for i in range(3)]
+    df = frame(spark, [(d, t, s, -1 if t is None else len(t)) for d, t, s in rows], "doc_id long, text string, source string, n_chars int")
+    judged, marked = brute(rows, 10, 0.05)
+    norm = lambda x: " ".join(WORD.findall(x)).lower()
+    want = []
+    for (d, t, s), v in zip(sorted(rows, key=lambda r: r[0]), sorted(judged, key=lambda x: x[0])):
+        if v[-1]:
+            t = "\n".join(x for x in t.split("\n") if (s, norm(x)) not in marked)
+            want.append((d, t, s, len(t)))
+    got = qr.cleaned(df, min_documents=10, min_share=0.05)
+    assert got.schema.simpleString() == df.schema.simpleString() and sorted(map(tuple, got.collect())) == want
+    texts = {d: t for d, t, _ in rows}
+    assert sum(t != texts[d] for d, t, _, _ in want) > 40 and sum(t == texts[d] for d, t, _, _ in want) > 40
+    assert "Python" not in got._jdf.queryExecution().toString()

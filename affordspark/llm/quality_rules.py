@@ -3,11 +3,16 @@
 A line of a host (the source) is boilerplate if it stands in many of the host's
 documents that have nothing else in common: normalised lines are hashed, and
 for each host and line two numbers are counted, the distinct documents with the
-line and the distinct *surroundings* among them. A document's surroundings of a
-line are the least sentence hash of its other lines, which documents that are
-copies of each other mostly share. So a line of many unrelated documents has
-about as many surroundings as documents, while a line of a large group of
-copies, exact or edited, has few, and copies are left to deduplication.
+line and the distinct *surroundings* among them. Surroundings come from a
+document's own lines only, those that few documents of the host share, so that
+several template lines do not pass for each other's surroundings. A line is
+known by its sketch, the three least hashes of its three-word shingles, of which
+an edited line mostly keeps one: in a group of copies, exact or edited, the
+edited lines still count as shared. A document's surroundings are the least hash
+of its own lines; documents with next to no own words are near copies of each
+other and have one and the same surroundings, none. So a line of many unrelated
+documents has about as many surroundings as documents, while a line of a large
+group of copies has few, and copies are left to deduplication.
 ``cleaned`` removes boilerplate lines from the texts; a document that loses most
 of its words is rejected.
 """
@@ -22,8 +27,12 @@ from affordspark.llm.storage import written
 WINDOW = 8
 SPACES = " \t\n\x0b\f\r"
 _RUN = "[\\x09-\\x0D ]+"
-# documents with the line: at least so many, and so large a share of the host
-MIN_DOCUMENTS, MIN_SHARE = 10, 0.01
+SHINGLE, SKETCH = 3, 3  # words of a shingle, hashes of a line's sketch
+# documents with the line: at least so many, and so large a share of the host,
+# or so many in a host of any size
+MIN_DOCUMENTS, MIN_SHARE, MANY_DOCUMENTS = 10, 0.01, 1000
+# share of own words: documents with less are alike by a Jaccard similarity of 0.8, (1 - 0.8) / (1 + 0.8)
+MIN_OWN = 1 / 9
 MIN_SURROUNDINGS = 0.5  # surroundings for each document
 LEAST_LEFT = 0.3  # share of the words that must remain
 
@@ -41,6 +50,15 @@ def _line(x: Column) -> Column:
     return F.xxhash64(F.lower(F.regexp_replace(_trimmed(x), _RUN, " ")))
 
 
+def _sketch(x: Column) -> Column:
+    """Least hashes of the line's shingles; a shorter line is one shingle."""
+    def of(w):
+        hashes = F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - (SHINGLE - 1), F.lit(1))), lambda _, i: F.xxhash64(F.slice(w, i + 1, SHINGLE)))
+        return F.slice(F.sort_array(F.array_distinct(hashes)), 1, SKETCH)
+    # an array of one, so that the words are split once and not for each shingle
+    return F.get(F.transform(F.array(F.split(F.lower(_trimmed(x)), _RUN)), of), F.lit(0))
+
+
 def _without(c: Column, chars: str) -> Column:
     for x in chars:
         c = F.replace(c, F.lit(x), F.lit(""))
@@ -50,7 +68,7 @@ def _without(c: Column, chars: str) -> Column:
 def measures(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """keep columns plus n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words (long), content (hash of the text) and lines (hash, words
-    and least sentence hash of each line with a word), computed row by row."""
+    and sketch of each line with a word), computed row by row."""
     t = F.coalesce(F.col(text), F.lit(""))
     df = docs.select(*keep, t.alias("t_"))
     df = df.select(*keep, "t_", _trimmed(F.col("t_")).alias("trim_"))
@@ -64,10 +82,8 @@ def measures(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
         (F.char_length("t_") - F.char_length(_without(F.col("t_"), "#*$%&|<>"))).cast("long").alias("n_symbols"),
         (F.size("l_") - F.size(F.array_distinct("l_"))).cast("long").alias("n_dup_lines"),
         F.xxhash64("t_").alias("content"), hashes.alias("h_"),
-        F.transform("l_", lambda x: F.struct(
-            _line(x).alias("line"),
-            F.size(F.split(_trimmed(x), _RUN)).alias("words"),
-            F.array_min(F.transform(F.split(F.lower(_trimmed(x)), "[.!?]+[\\x09-\\x0D ]+"), lambda y: F.xxhash64(y))).alias("least"))).alias("lines"))
+        F.transform("l_", lambda x: F.struct(_line(x).alias("line"), F.size(F.split(_trimmed(x), _RUN)).alias("words"),
+                                             _sketch(x).alias("sketch"))).alias("lines"))
     rest = [*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "content", "lines"]
     df = df.select(*rest, F.size("h_").alias("windows_"),
                    # only where a window occurs twice: windows by hash and place
@@ -87,22 +103,32 @@ def base_failed() -> Column:
 
 
 def boilerplate(measured: DataFrame, host: str, min_documents: int = MIN_DOCUMENTS, min_share: float = MIN_SHARE,
-                min_surroundings: float = MIN_SURROUNDINGS) -> DataFrame:
+                min_surroundings: float = MIN_SURROUNDINGS, many_documents: int = MANY_DOCUMENTS, min_own: float = MIN_OWN) -> DataFrame:
     """(host, line) of the lines above the limits. Equal texts of a host are
     one document. Counts are pre-aggregated by surroundings, so the commonest
     line of the largest host is no hot key."""
-    contents = measured.select(F.col(host).alias("host"), "content", "lines").dropDuplicates(["host", "content"])
+    contents = (measured.select(F.col(host).alias("host"), F.xxhash64(host, "content").alias("doc"), "lines").dropDuplicates(["doc"])
+                .select("host", "doc", F.transform("lines", lambda x: F.struct(
+                    x["line"].alias("line"), x["words"].alias("words"),
+                    F.transform(x["sketch"], lambda y: F.xxhash64("host", y)).alias("sketch"))).alias("lines")))
     sizes = contents.groupBy("host").agg(F.count(F.lit(1)).alias("of_host"))
-    unit = F.sort_array(F.array_distinct(F.transform("lines", lambda x: F.struct(x["least"].alias("least"), x["line"].alias("line")))))
-    units = contents.select("host", unit.alias("u"))
-    other = F.when(F.col("x.line") == F.get("u", F.lit(0))["line"], F.get("u", F.lit(1))["least"]).otherwise(F.get("u", F.lit(0))["least"])
-    lines = (units.select("host", "u", F.explode("u").alias("x"))
-             .select("host", F.col("x.line").alias("line"), other.alias("surroundings")))
+    n = F.col("documents")
+    above = (n >= min_documents) & ((n >= min_share * F.col("of_host")) | (n >= many_documents))
+    # first the hashes that many documents share, then each document's own lines, those without one
+    hashes = contents.select("host", "doc", F.explode(F.array_distinct(F.flatten("lines.sketch"))).alias("hash"))
+    shared = (hashes.groupBy("hash").agg(F.min("host").alias("host"), F.count(F.lit(1)).alias("documents")).where(n >= min_documents)
+              .join(sizes, "host").where(above).select("hash"))
+    met = hashes.select("doc", "hash").join(shared, "hash").groupBy("doc").agg(F.collect_set("hash").alias("met"))
+    common = lambda x: F.arrays_overlap(x["sketch"], F.col("met"))
+    words = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x["words"])
+    pages = contents.join(met, "doc").select("host", "lines", F.filter("lines", common).alias("common"), F.filter("lines", lambda x: ~common(x)).alias("own"))
+    least = F.array_min(F.transform("own", lambda x: F.array_min(x["sketch"])))
+    lines = pages.select("host", F.when(words(F.col("own")) >= min_own * words(F.col("lines")), least).alias("surroundings"),
+                         F.explode(F.array_distinct(F.col("common.line"))).alias("line"))
     counts = (lines.groupBy("host", "line", "surroundings").agg(F.count(F.lit(1)).alias("n"))
               .groupBy("host", "line").agg(F.sum("n").alias("documents"), F.count(F.lit(1)).alias("kinds"))
-              .where(F.col("documents") >= min_documents))
-    return (counts.join(sizes, "host")
-            .where((F.col("documents") >= min_share * F.col("of_host")) & (F.col("kinds") >= min_surroundings * F.col("documents")))
+              .where(n >= min_documents))
+    return (counts.join(sizes, "host").where(above & (F.col("kinds") >= min_surroundings * n))
             .select("host", "line"))
 
 

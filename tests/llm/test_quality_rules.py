@@ -116,3 +116,33 @@ def test_cleaned_texts_against_brute_force(spark):
     texts = {d: t for d, t, _ in rows}
     assert sum(t != texts[d] for d, t, _, _ in want) > 40 and sum(t == texts[d] for d, t, _, _ in want) > 40
     assert "Python" not in got._jdf.queryExecution().toString()
+
+
+def test_templates_of_several_lines_next_to_copies(spark):
+    r = random.Random(3)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(r.randint(3, 8))) for _ in range(3000)]
+    line = lambda n=12: " ".join(r.choice(vocabulary) for _ in range(n))
+    rows, template = [], {}
+    for s, own in ((1, 2), (5, 2), (8, 2), (20, 5)):  # template lines and own lines of a page
+        h = f"h{s}"
+        template[h] = [line() for _ in range(s)]
+        rows += [("\n".join(template[h][: s // 2] + [line() for _ in range(own)] + template[h][s // 2:]), h) for _ in range(80)]
+        for size in (60, 30):  # copies without a template: one word of any line is edited
+            base = [line() for _ in range(6)]
+            for _ in range(size):
+                copy = [x.split(" ") for x in base]
+                w = r.choice(copy)
+                w[r.randrange(len(w))] = r.choice(vocabulary)
+                rows.append(("\n".join(map(" ".join, copy)), h))
+    alike = [line() for _ in range(9)]
+    rows += [("\n".join(alike + [f"page {i}"]), "alike") for i in range(40)]  # next to nothing of their own
+    df = frame(spark, [(i, *x) for i, x in enumerate(rows)], "doc_id long, text string, source string")
+    got = {(x["host"], x["line"]) for x in qr.boilerplate(qr.measures(df, ["source"]), "source").collect()}
+    assert got == {(h, number(x)) for h, lines in template.items() for x in lines}
+
+
+def test_many_documents_of_a_large_host(spark):
+    rows = [(i, ("A line of some of them\n" if i % 100 == 0 else "") + f"only {i} has this\nand also {i} this", "h") for i in range(1200)]
+    df = qr.measures(frame(spark, rows, "doc_id long, text string, source string"), ["source"])
+    marked = lambda **x: [y["line"] for y in qr.boilerplate(df, "source", min_share=0.5, **x).collect()]
+    assert marked() == [] and marked(many_documents=13) == [] and marked(many_documents=12) == [number("a line of some of them")]

@@ -91,7 +91,7 @@ _REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\bcon
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(src, dst) nodes of every canonical link and refresh redirect that the
     pages declare. Pages without one, or with a null url or html, give none."""
-    tags = F.array(F.regexp_extract(html, _CANONICAL, 1), F.regexp_extract(html, _REFRESH, 1))
+    tags = F.concat(*[F.regexp_extract_all(html, F.lit(p), F.lit(1)) for p in (_CANONICAL, _REFRESH)])
     return (pages.where(F.rlike(html, F.lit(r"(?i)canonical|http-equiv")))
             .select(F.col(url).alias("base"), F.explode(tags).alias("href")).where("href != ''")
             .select(node_of(F.col("base")).alias("src"), node_of(_absolute(F.regexp_replace("href", "&amp;", "&"), F.col("base"))).alias("dst"))

@@ -73,6 +73,21 @@ def test_aliases(spark):
                    (6, "block", "rule", "v"), (7, "allow", "default", "v"), (8, "allow", "default", "v"), (9, "allow", "default", "v")]
 
 
+def test_every_tag_of_a_page(spark):
+    pages = [
+        (1, "http://a.org/x", '<link rel="canonical" href="http://a.org/x"> <LINK href="https://m.example.com/en/7" rel="canonical">'),  # itself first
+        (2, "http://b.org/x", '<meta http-equiv="refresh" content="9; url=/x"><meta http-equiv="refresh" content="0; url=http://n.net/fr/1">'),
+        (3, "http://c.org/x", '<link rel="canonical" href="/y"><link rel="canonical" href="/z"><meta http-equiv="refresh" content="0;url=w">'),
+        (4, "http://d.org/x", '<link rel="canonical" href="http://c.org/w">'),
+    ]
+    df = frame(spark, pages, "page_id long, url string, html string")
+    edges = sorted(tuple(r) for r in uf.link_edges(df).collect())
+    assert edges == [("http://a.org/x", "https://m.example.com/en/7"), ("http://b.org/x", "http://n.net/fr/1"), *[("http://c.org/x", f"http://c.org/{x}") for x in "wyz"],
+                     ("http://d.org/x", "http://c.org/w")]
+    got = sorted((r["page_id"], r["verdict"], r["source"]) for r in uf.judge(df, RULES, uf.link_edges(df), ["page_id"]).collect())
+    assert got == [(1, "block", "alias"), (2, "block", "alias"), (3, "allow", "default"), (4, "allow", "default")]
+
+
 def test_empty(spark):
     df = frame(spark, [], "page_id long, url string, html string")
     assert uf.judge(df, RULES, uf.link_edges(df), ["page_id"]).collect() == []

@@ -5,7 +5,10 @@ affix, character n-gram and lexicon features (hashed to a fixed table), the
 transitions between the languages of neighbouring words are learned with them,
 and forward-backward gives each word's language probabilities. So a
 code-switched text is labelled word by word; the text's language is the one
-with most expected words among the words that have a letter.
+with most expected words among the words that have a letter. A run of more than
+LETTERS letters without a space, as scripts without spaces have, is cut into
+blocks of at most so many letters, each a word of its own here: every letter
+is read and a long run weighs by its length.
 
 The field is fitted on a sample of labelled texts whose size is a parameter
 (``per_language`` texts of each label, the first by a hash of the text); all
@@ -31,6 +34,7 @@ TABLE = 1 << 17  # rows of the weight table
 PER_LANGUAGE = 150  # labelled texts of each language that the field is fitted on
 MOST_LANGUAGES = 64  # more labels than these are an error, not a silent cut
 BLOCK = 512  # words of a text that a chain advances over by itself
+LETTERS = 22  # most letters of a position of the chain
 _NO_LETTER = re.compile(r"[\W\d_]+")
 _SEED = arrays.salts(8, 303)
 
@@ -47,13 +51,28 @@ class Field:
     first: np.ndarray  # [languages]
 
 
-def _codes(words: list[str], width: int = 24) -> tuple[np.ndarray, np.ndarray]:
+def words_of(text: str) -> list[str]:
+    """The words of a text; one with more than LETTERS letters as its letters in
+    blocks of nearly equal size."""
+    words = text.split()
+    if max(map(len, words), default=0) <= LETTERS:
+        return words
+    out = []
+    for w in words:
+        clean = _NO_LETTER.sub("", w.lower()) if len(w) > LETTERS else ""
+        if len(clean) <= LETTERS:
+            out.append(w)
+            continue
+        n = -(-len(clean) // LETTERS)
+        out += [clean[len(clean) * i // n: len(clean) * (i + 1) // n] for i in range(n)]
+    return out
+
+
+def _codes(words: list[str], width: int = LETTERS + 2) -> tuple[np.ndarray, np.ndarray]:
     """Code points of the lower-cased letters of each word between two border
-    marks, padded to ``width``; longer words keep their first and last letters
-    (the middle of such a word tells little)."""
+    marks, padded to ``width``; words_of gives none that is longer."""
     clean = ["^" + _NO_LETTER.sub("", w.lower()) + "$" for w in words]
-    half = width // 2
-    clean = [w if len(w) <= width else w[:half] + w[-half:] for w in clean]
+    width = max([width, *map(len, clean)])
     lengths = np.array([len(w) for w in clean], dtype=np.int64)
     flat = np.frombuffer("".join(w.ljust(width, "\0") for w in clean).encode("utf-32-le"), dtype="<u4")
     return flat.reshape(len(clean), width), lengths
@@ -209,7 +228,7 @@ def fit(texts: list[str], labels: list[str], seed: int = 7, epochs: int = 12, ra
     known: dict[str, int] = {}
     runs = []
     for t, lab in zip(texts, labels):
-        ids = [known.setdefault(w, len(known)) for w in t.split() if _has_letter(w)]
+        ids = [known.setdefault(w, len(known)) for w in words_of(t) if _has_letter(w)]
         at = 0
         while at < len(ids):
             size = int(r.integers(5, 61))
@@ -293,7 +312,7 @@ def _word_rows(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     positions, first = [], [0]
     for t in texts:
         ids = []
-        for w in t.split():
+        for w in words_of(t):
             i = known.get(w)
             if i is None:
                 i = known[w] = len(letter)

@@ -76,3 +76,18 @@ def test_odd_tables(spark):
     empty = frame(spark, [], "doc_id long, text string, lang string")
     assert li.identify(empty, F.lit(True)).collect() == []
     assert li.identify(df.select("doc_id", "text", "lang"), F.lit(False)).select("lang_pred").distinct().collect()[0][0] == "und"
+
+
+def test_every_letter_of_a_long_run_counts():
+    import random
+    r = random.Random(2)
+    run = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    one, two = "กขคงจฉชซ", "ดตถทธนบป"
+    field = li.fit([run(a, 400) for a in (one, two) for _ in range(20)], ["a"] * 20 + ["b"] * 20)
+    for middle, ends, want in ((one, two, 0), (two, one, 1)):
+        text = run(ends, 40) + run(middle, 5000) + "x1" * 3 + run(ends, 40)
+        known, words, first = li._word_rows([text])
+        m = li.forward_backward(li.emissions(field.weights, known)[words], first, field.first, field.moves)
+        assert "".join(known[i] for i in words) == text.replace("1", "") and all(len(known[i]) <= 22 for i in words)
+        assert m.sum(axis=0).argmax() == want and m[0].argmax() == m[-1].argmax() == 1 - want
+    assert li.words_of("a " + "b" * 22 + " " + "c" * 45 + " " + "1" * 50) == ["a", "b" * 22, "c" * 15, "c" * 15, "c" * 15, "1" * 50]

@@ -15,17 +15,8 @@ from affordspark.plans.common import round_doubles
 from affordspark.schema import KEY
 from affordspark.sources.io import read_table
 
-# Baselines run with the learners' own defaults. A full search (20 draws x 3
-# folds x top 2 of up to 500 trees, the functions' defaults) takes hours on one
-# machine, so the registered training flow passes these smaller budgets.
-FLOW = {"n_iter": 2, "folds": 3, "base_params": {"Random_Forest": {"n_estimators": 20, "max_depth": 8},
-                                                 "Gradient_Boosting": {"n_estimators": 10, "max_depth": 4}, "Decision_Tree": {"max_depth": 8}}}
-FLOW_SPACES = {
-    T.CLS: {"Random_Forest": {"n_estimators": [10, 20], "max_depth": [5, 8]}, "Decision_Tree": {"max_depth": [5, 8], "min_samples_split": [2, 10]},
-            "Logistic_Regression": {"C": [0.1, 1, 10], "penalty": ["l2"]}, "Gradient_Boosting": {"n_estimators": [5, 10], "max_depth": [3]}},
-    T.REG: {"Random_Forest": {"n_estimators": [10, 20], "max_depth": [5, 8]}, "Decision_Tree": {"max_depth": [5, 8], "min_samples_split": [2, 10]},
-            "Linear_Regression": {"fit_intercept": [True, False]}, "Gradient_Boosting": {"n_estimators": [5, 10], "max_depth": [3]}},
-}
+# Every query runs the functions' and learners' own defaults: 20 draws x 3
+# folds x top 2 from the whole search spaces.
 
 
 def prepared(spark, sf_dir):
@@ -100,8 +91,8 @@ def q_tune_top(spark, sf_dir):
     out = []
     for task in (T.CLS, T.REG):
         _, train, val = _inputs(spark, sf_dir, task)
-        res = T.train_baseline(task, train, val, base_params=FLOW["base_params"])
-        T.tune_top(res, train, val, top_n=2, n_iter=FLOW["n_iter"], folds=FLOW["folds"], distributions=FLOW_SPACES[task])
+        res = T.train_baseline(task, train, val)
+        T.tune_top(res, train, val)
         out += res.rows
     return spark.createDataFrame(out, T.RUN_METRICS_SCHEMA)
 
@@ -117,8 +108,8 @@ def _flow(spark, sf_dir, task):
     folder = f"{checkpoint_dir(spark).rstrip('/')}/tables/flow-{task}-{uuid.uuid4().hex}"
     delete_at_exit(spark, folder)
     return T.run_task(spark, task, train, val, model_table(spark, sf_dir, p, task, ["train", "val"], smote),
-                      model_table(spark, sf_dir, p, task, ["test"], None), folder, distributions=FLOW_SPACES[task],
-                      smote_applied=bool(smote) if task == T.CLS else None, **FLOW)
+                      model_table(spark, sf_dir, p, task, ["test"], None), folder,
+                      smote_applied=bool(smote) if task == T.CLS else None)
 
 
 @register("final_fit_eval")
@@ -137,8 +128,8 @@ def q_score_batch(spark, sf_dir):
     p = prepared(spark, sf_dir)
     cls_in = model_table(spark, sf_dir, p, T.CLS, ["train", "val"], "smote")
     reg_in = model_table(spark, sf_dir, p, T.REG, ["train", "val"], None)
-    clf = models.model_factory("Random_Forest", T.CLS, FLOW["base_params"]["Random_Forest"]).fit(cls_in)
-    reg = models.model_factory("Random_Forest", T.REG, FLOW["base_params"]["Random_Forest"]).fit(reg_in)
+    clf = models.model_factory("Random_Forest", T.CLS).fit(cls_in)
+    reg = models.model_factory("Random_Forest", T.REG).fit(reg_in)
     test = T.model_input(p, T.CLS, ["test"], None)
     return models.score_batch(test, clf, reg, [r["label"] for r in
                                                p.label_classes.orderBy("idx").collect()])
@@ -148,5 +139,5 @@ def q_score_batch(spark, sf_dir):
 def q_feature_importance(spark, sf_dir):
     p = prepared(spark, sf_dir)
     reg_in = model_table(spark, sf_dir, p, T.REG, ["train"], None)
-    reg = models.model_factory("Random_Forest", T.REG, FLOW["base_params"]["Random_Forest"]).fit(reg_in)
+    reg = models.model_factory("Random_Forest", T.REG).fit(reg_in)
     return models.feature_importance_topk(reg, p.feature_cols, 10, spark)

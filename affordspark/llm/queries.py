@@ -260,3 +260,27 @@ def op11(spark, sf_dir):
     tokens = tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"), "ids")
     back = decoded(tokens, *vocabulary, ["doc_id", "n_tokens", "ids_sha256"])
     return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+@query("op13_ranked_search")
+def op13(spark, sf_dir):
+    from affordspark.llm.ranked_search import search
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+_TERMS = r"regexp_extract_all({t}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+ORACLES["op13_ranked_search"] = rf"""
+WITH d AS (SELECT doc_id, {_TERMS.format(t=_LOWER.format(t="coalesce(text, '')"))} AS w FROM documents),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS.format(t=_LOWER.format(t="coalesce(text, '')"))}) AS term FROM benchmark),
+s AS (SELECT CAST(count(*) FILTER (WHERE len(w) > 0) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS total FROM d),
+t AS (
+  SELECT doc_id, n, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY ALL
+), f AS (SELECT term, CAST(count(*) AS BIGINT) AS df FROM t GROUP BY term),
+g AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM f, s),
+x AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // total)))) AS BIGINT) AS score
+  FROM q JOIN t USING (term) JOIN g USING (term), s GROUP BY ALL
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM x WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
+"""

@@ -38,6 +38,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def appended(spark: SparkSession, frames, name: str, schema) -> DataFrame:
+    """Write frames, one after the other, into one table of the shared folder
+    and read it back. frames gives (frame, broadcasts that it alone uses);
+    none give an empty table."""
+    from affordspark.sources.io import delete_at_exit
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    delete_at_exit(spark, path)
+    spark.createDataFrame([], schema).write.parquet(path)
+    for df, sent in frames:
+        df.write.mode("append").parquet(path)
+        for b in sent:
+            b.destroy()
+    out = spark.read.schema(schema).parquet(path)
+    out._written_path = path
+    return out
+
+
 def dropped(*frames: DataFrame) -> None:
     """Delete tables made by written() that nothing reads any more."""
     for df in frames:

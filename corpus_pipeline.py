@@ -21,8 +21,9 @@ SAMPLES, SEED = 2, 11
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes the boilerplate lines of each source from its texts and drops
-    documents that fail the base rules or lose most of their words with them."""
-    return quality_rules.cleaned(docs)
+    documents that fail the base rules or lose most of their words with them.
+    Lines of copy groups stay: near copies are the third stage's."""
+    return quality_rules.cleaned(docs, min_surroundings=0.5)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,20 +1,21 @@
 """Quality rules with cross-document line frequency. DataFrame functions only.
 
-A line of a host (the source) is boilerplate if it stands in many of the host's
-documents that have nothing else in common: normalised lines are hashed, and
-for each host and line two numbers are counted, the distinct documents with the
-line and the distinct *surroundings* among them. Surroundings come from a
-document's own lines only, those that few documents of the host share, so that
-several template lines do not pass for each other's surroundings. A line is
-known by its sketch, the three least hashes of its three-word shingles, of which
-an edited line mostly keeps one: in a group of copies, exact or edited, the
-edited lines still count as shared. A document's surroundings are the least hash
-of its own lines; documents with next to no own words are near copies of each
-other and have one and the same surroundings, none. So a line of many unrelated
-documents has about as many surroundings as documents, while a line of a large
-group of copies has few, and copies are left to deduplication.
-``cleaned`` removes boilerplate lines from the texts; a document that loses most
-of its words is rejected.
+Normalised lines are hashed and the distinct documents of a host (the source)
+that hold each line are counted; lines above the limits are boilerplate, and a
+document that loses most of its words with them is rejected. ``cleaned`` takes
+the boilerplate lines out of the texts.
+
+Large groups of near copies look like boilerplate. Where a later stage is to
+find them, ``min_surroundings`` (0: off) exempts their lines: a line must then
+also have that many distinct *surroundings* for each document. Surroundings come
+from a document's own lines, those that few documents of the host share. A line
+is known by its sketch, the three least hashes of its three-word shingles, of
+which an edited line mostly keeps one, so in a group of copies, exact or edited,
+the edited lines still count as shared. A document's surroundings are the least
+hash of its own lines; documents with next to no own words are near copies of
+each other and have one and the same surroundings, none. Lines of many unrelated
+documents have about as many surroundings as documents, lines of a group of
+copies few; pages that are nearly nothing but boilerplate then pass, too.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ SHINGLE, SKETCH = 3, 3  # words of a shingle, hashes of a line's sketch
 MIN_DOCUMENTS, MIN_SHARE, MANY_DOCUMENTS = 10, 0.01, 1000
 # share of own words: documents with less are alike by a Jaccard similarity of 0.8, (1 - 0.8) / (1 + 0.8)
 MIN_OWN = 1 / 9
-MIN_SURROUNDINGS = 0.5  # surroundings for each document
+MIN_SURROUNDINGS = 0.0  # surroundings for each document; 0: lines of copies count like any other
 LEAST_LEFT = 0.3  # share of the words that must remain
 
 
@@ -65,10 +66,10 @@ def _without(c: Column, chars: str) -> Column:
     return c
 
 
-def measures(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+def measures(docs: DataFrame, keep: list[str], text: str = "text", sketches: bool = False) -> DataFrame:
     """keep columns plus n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words (long), content (hash of the text) and lines (hash, words
-    and sketch of each line with a word), computed row by row."""
+    n_repeat_words (long), content (hash of the text) and lines (hash and words
+    of each line with a word, and its sketch if asked for), computed row by row."""
     t = F.coalesce(F.col(text), F.lit(""))
     df = docs.select(*keep, t.alias("t_"))
     df = df.select(*keep, "t_", _trimmed(F.col("t_")).alias("trim_"))
@@ -83,7 +84,7 @@ def measures(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
         (F.size("l_") - F.size(F.array_distinct("l_"))).cast("long").alias("n_dup_lines"),
         F.xxhash64("t_").alias("content"), hashes.alias("h_"),
         F.transform("l_", lambda x: F.struct(_line(x).alias("line"), F.size(F.split(_trimmed(x), _RUN)).alias("words"),
-                                             _sketch(x).alias("sketch"))).alias("lines"))
+                                             *([_sketch(x).alias("sketch")] if sketches else []))).alias("lines"))
     rest = [*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "content", "lines"]
     df = df.select(*rest, F.size("h_").alias("windows_"),
                    # only where a window occurs twice: windows by hash and place
@@ -105,15 +106,20 @@ def base_failed() -> Column:
 def boilerplate(measured: DataFrame, host: str, min_documents: int = MIN_DOCUMENTS, min_share: float = MIN_SHARE,
                 min_surroundings: float = MIN_SURROUNDINGS, many_documents: int = MANY_DOCUMENTS, min_own: float = MIN_OWN) -> DataFrame:
     """(host, line) of the lines above the limits. Equal texts of a host are
-    one document. Counts are pre-aggregated by surroundings, so the commonest
-    line of the largest host is no hot key."""
-    contents = (measured.select(F.col(host).alias("host"), F.xxhash64(host, "content").alias("doc"), "lines").dropDuplicates(["doc"])
-                .select("host", "doc", F.transform("lines", lambda x: F.struct(
-                    x["line"].alias("line"), x["words"].alias("words"),
-                    F.transform(x["sketch"], lambda y: F.xxhash64("host", y)).alias("sketch"))).alias("lines")))
+    one document. Counts are pre-aggregated, so the commonest line of the
+    largest host is no hot key. With min_surroundings the lines of measured
+    need their sketches."""
+    contents = measured.select(F.col(host).alias("host"), F.xxhash64(host, "content").alias("doc"), "lines").dropDuplicates(["doc"])
     sizes = contents.groupBy("host").agg(F.count(F.lit(1)).alias("of_host"))
     n = F.col("documents")
     above = (n >= min_documents) & ((n >= min_share * F.col("of_host")) | (n >= many_documents))
+    if not min_surroundings:
+        lines = contents.select("host", F.explode(F.array_distinct(F.col("lines.line"))).alias("line"))
+        counts = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents")).where(n >= min_documents)
+        return counts.join(sizes, "host").where(above).select("host", "line")
+    contents = contents.select("host", "doc", F.transform("lines", lambda x: F.struct(
+        x["line"].alias("line"), x["words"].alias("words"),
+        F.transform(x["sketch"], lambda y: F.xxhash64("host", y)).alias("sketch"))).alias("lines"))
     # first the hashes that many documents share, then each document's own lines, those without one
     hashes = contents.select("host", "doc", F.explode(F.array_distinct(F.flatten("lines.sketch"))).alias("hash"))
     shared = (hashes.groupBy("hash").agg(F.min("host").alias("host"), F.count(F.lit(1)).alias("documents")).where(n >= min_documents)
@@ -135,7 +141,7 @@ def boilerplate(measured: DataFrame, host: str, min_documents: int = MIN_DOCUMEN
 def judge(docs: DataFrame, keep: list[str], host: str = "source", least_left: float = LEAST_LEFT, **limits) -> DataFrame:
     """keep columns plus n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, n_words_left and kept for every row of docs
-    (text and the host column).
+    (text and the host column). limits are those of boilerplate().
 
     A null text is empty and fails the base rules; rows with a null host are a
     host of their own; repeated rows get the same verdict; an empty table gives
@@ -151,7 +157,8 @@ def _judged(docs: DataFrame, keep: list[str], host: str, least_left: float, **li
     named = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.coalesce(F.col(host), F.lit("")).alias("host"),
                         F.when(F.col(host).isNull(), True).alias("lines"), F.col("text").alias("text_"))
     named = named.withColumn("host", F.concat(F.when(F.col("lines"), "").otherwise("="), "host")).drop("lines")
-    measured = written(measures(named, [*names, "host"], "text_"), "measures")
+    sketches = bool(limits.get("min_surroundings", MIN_SURROUNDINGS))
+    measured = written(measures(named, [*names, "host"], "text_", sketches), "measures")
     marked = boilerplate(measured, "host", **limits)
     lost = (measured.where(~base_failed()).select("host", "content", "lines").dropDuplicates(["host", "content"])
             .select("host", "content", F.explode("lines").alias("l")).select("host", "content", F.col("l.line").alias("line"), F.col("l.words").alias("words"))

@@ -30,7 +30,7 @@ def test_names_and_columns(stages):
 
 
 def test_quality_stage(stages):
-    want = [r[0] for r in quality_brute([r[:3] for r in rows(stages[0])], 10, 0.01)[0] if r[-1]]
+    want = [r[0] for r in quality_brute([r[:3] for r in rows(stages[0])], 10, 0.01, 0.5)[0] if r[-1]]
     assert sorted(r[0] for r in rows(stages[1])) == sorted(want)
 
 

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import pytest
 import xxhash
 from affordspark.llm import quality_rules as qr
 
@@ -25,7 +26,7 @@ def base(text):
     return (len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered))
 
 
-def brute(rows, min_documents, min_share):
+def brute(rows, min_documents, min_share, surroundings=0.0):
     per, docs, kinds = Counter(), Counter(), {}
     norm = lambda x: " ".join(WORD.findall(x)).lower()
     lines = lambda t: [norm(x) for x in t.split("\n") if WORD.search(x)]
@@ -37,7 +38,7 @@ def brute(rows, min_documents, min_share):
             others = [y for z, y in units if z != x]
             docs[s, x] += 1
             kinds.setdefault((s, x), set()).add(min(others, default=None))
-    marked = {k for k, n in docs.items() if n >= min_documents and n >= min_share * per[k[0]] and len(kinds[k]) >= 0.5 * n}
+    marked = {k for k, n in docs.items() if n >= min_documents and n >= min_share * per[k[0]] and len(kinds[k]) >= surroundings * n}
     out = []
     for d, t, s in rows:
         b = base(t)
@@ -72,15 +73,17 @@ def corpus():
     return [(i, t, s) for i, (t, s) in enumerate(rows)]
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("surroundings", [0.0, 0.5])
+def test_against_brute_force(spark, surroundings):
     rows = corpus() + corpus()[-3:]
+    limits = {"min_documents": 10, "min_share": 0.05, "min_surroundings": surroundings}
     df = frame(spark, [(*r, 7, "x") for r in rows], "doc_id long, text string, source string, kept int, host string").repartition(5)
-    got = sorted((tuple(x) for x in qr.judge(df, ["doc_id"], min_documents=10, min_share=0.05).collect()), key=str)
-    want, marked = brute(rows, 10, 0.05)
+    got = sorted((tuple(x) for x in qr.judge(df, ["doc_id"], **limits).collect()), key=str)
+    want, marked = brute(rows, 10, 0.05, surroundings)
     assert got == want
-    assert len(marked) == 2 and {s for s, _ in marked} == {"h1"}
+    assert len(marked) == (2 if surroundings else 3) and {s for s, _ in marked} == {"h1"}
     assert any(not x[-1] and not x[6] for x in got) and sum(x[-1] for x in got) > 100
-    both = qr.judge(df, ["doc_id", "kept", "host"], min_documents=10, min_share=0.05)
+    both = qr.judge(df, ["doc_id", "kept", "host"], **limits)
     assert both.columns[:3] == ["doc_id", "kept_in", "host_in"]
 
 
@@ -92,6 +95,25 @@ def test_cleaned_keeps_rows_and_columns(spark):
     assert got.columns == df.columns and sorted(r["doc_id"] for r in got.collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("template,own", [(12, 30), (30, 30), (12, 4)])
+def test_depleted_documents_go(spark, template, own):
+    """Pages that are nearly nothing but boilerplate are rejected, those of
+    other hosts stay."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    line = lambda n: " ".join(word() for _ in range(n))
+    head = "\n".join(line(10) for _ in range(template))
+    rows = [(i, head + "\n" + line(own), "h") for i in range(200)] + [(200 + i, "\n".join(line(12) for _ in range(5)), "other") for i in range(50)]
+    got = {x["doc_id"] for x in qr.judge(frame(spark, rows, "doc_id long, text string, source string"), ["doc_id"]).collect() if x["kept"]}
+    assert got == set(range(200, 250)) == {x[0] for x in brute(rows, 10, 0.01)[0] if x[-1]}
+
+
+def test_very_long_text(spark):
+    rows = [(i, "\n".join(f"line {j} of a long text {i}" for j in range(60_000)), "h") for i in range(2)]
+    got = qr.judge(frame(spark, rows, "doc_id long, text string, source string"), ["doc_id"]).collect()
+    assert all(x["n_words"] == 420_000 and x["kept"] for x in got)
+
+
 def test_only_jvm_functions_and_empty(spark):
     df = frame(spark, [], "doc_id long, text string, source string")
     out = qr.judge(df, ["doc_id"])
@@ -104,14 +126,14 @@ def test_cleaned_texts_against_brute_force(spark):
     rows.append((len(rows), rows[1][1] + "\n\n \nlast line\n", "h1"))  # blank lines and the end stay
     rows += [(len(rows) + i, *rows[1][1:]) for i in range(3)]
     df = frame(spark, [(d, t, s, -1 if t is None else len(t)) for d, t, s in rows], "doc_id long, text string, source string, n_chars int")
-    judged, marked = brute(rows, 10, 0.05)
+    judged, marked = brute(rows, 10, 0.05, 0.5)
     norm = lambda x: " ".join(WORD.findall(x)).lower()
     want = []
     for (d, t, s), v in zip(sorted(rows, key=lambda r: r[0]), sorted(judged, key=lambda x: x[0])):
         if v[-1]:
             t = "\n".join(x for x in t.split("\n") if (s, norm(x)) not in marked)
             want.append((d, t, s, len(t)))
-    got = qr.cleaned(df, min_documents=10, min_share=0.05)
+    got = qr.cleaned(df, min_documents=10, min_share=0.05, min_surroundings=0.5)
     assert got.schema.simpleString() == df.schema.simpleString() and sorted(map(tuple, got.collect())) == want
     texts = {d: t for d, t, _ in rows}
     assert sum(t != texts[d] for d, t, _, _ in want) > 40 and sum(t == texts[d] for d, t, _, _ in want) > 40
@@ -137,7 +159,7 @@ def test_templates_of_several_lines_next_to_copies(spark):
     alike = [line() for _ in range(9)]
     rows += [("\n".join(alike + [f"page {i}"]), "alike") for i in range(40)]  # next to nothing of their own
     df = frame(spark, [(i, *x) for i, x in enumerate(rows)], "doc_id long, text string, source string")
-    got = {(x["host"], x["line"]) for x in qr.boilerplate(qr.measures(df, ["source"]), "source").collect()}
+    got = {(x["host"], x["line"]) for x in qr.boilerplate(qr.measures(df, ["source"], sketches=True), "source", min_surroundings=0.5).collect()}
     assert got == {(h, number(x)) for h, lines in template.items() for x in lines}
 
 

@@ -15,8 +15,8 @@ from affordspark.plans.common import round_doubles
 from affordspark.schema import KEY
 from affordspark.sources.io import read_table
 
-# Every query runs the functions' and learners' own defaults: 20 draws x 3
-# folds x top 2 from the whole search spaces.
+# Every query runs the functions' and learners' own defaults; a search is 20
+# draws x 3 folds x top 2 from the whole search spaces.
 
 
 def prepared(spark, sf_dir):
@@ -86,40 +86,55 @@ def q_train_reg(spark, sf_dir):
     return T.train_baseline(T.REG, train, val).metrics_frame(spark)
 
 
+def _flow_folder(spark, sf_dir, task) -> str:
+    """Folder of a task's trainer: one for each source and code version."""
+    from affordspark.sources.io import stage_path
+    return stage_path(spark, f"flow-{task}", [f"{sf_dir}/orders.parquet", f"{sf_dir}/customer.parquet"])[0]
+
+
+def _exists(spark, path: str) -> bool:
+    from affordspark.sources.io import _fs
+    fs, p = _fs(spark, f"{path}/_SUCCESS")
+    return fs.exists(p)
+
+
 @register("tune_top")
 def q_tune_top(spark, sf_dir):
+    """The trainer of both tasks with the whole search. Its saved parameters
+    are what the final trainer reads from then on."""
     out = []
     for task in (T.CLS, T.REG):
         _, train, val = _inputs(spark, sf_dir, task)
-        res = T.train_baseline(task, train, val)
-        T.tune_top(res, train, val)
+        res = T.train_task(spark, task, train, val, _flow_folder(spark, sf_dir, task), smote_applied=True if task == T.CLS else None)
         out += res.rows
     return spark.createDataFrame(out, T.RUN_METRICS_SCHEMA)
 
 
 def _flow(spark, sf_dir, task):
-    """The training flow of one task, written under a folder of its own."""
-    import uuid
-
-    from affordspark.session import checkpoint_dir
-    from affordspark.sources.io import delete_at_exit
-    p, train, val = _inputs(spark, sf_dir, task)
-    smote = "smote" if task == T.CLS else None
-    folder = f"{checkpoint_dir(spark).rstrip('/')}/tables/flow-{task}-{uuid.uuid4().hex}"
-    delete_at_exit(spark, folder)
-    return T.run_task(spark, task, train, val, model_table(spark, sf_dir, p, task, ["train", "val"], smote),
-                      model_table(spark, sf_dir, p, task, ["test"], None), folder,
-                      smote_applied=bool(smote) if task == T.CLS else None)
+    """The final trainer of one task, once per source and code version. Where
+    nobody has run the search (hours, see README), the trainer saves the best
+    baseline first."""
+    folder = _flow_folder(spark, sf_dir, task)
+    if not _exists(spark, f"{folder}/params"):
+        _, train, val = _inputs(spark, sf_dir, task)
+        T.train_task(spark, task, train, val, folder, tune=False, smote_applied=True if task == T.CLS else None)
+    if not _exists(spark, f"{folder}/predictions"):
+        p = prepared(spark, sf_dir)
+        smote = "smote" if task == T.CLS else None
+        return T.final_task(spark, task, model_table(spark, sf_dir, p, task, ["train", "val"], smote),
+                            model_table(spark, sf_dir, p, task, ["test"], None), folder)
+    return T.final_outcome(spark, folder)
 
 
 @register("final_fit_eval")
 def q_final_fit_eval(spark, sf_dir):
-    """Metrics log of the whole flow of both tasks: baseline, tuning, final."""
+    """Metrics log of the trainer and the final trainer of both tasks."""
     return _flow(spark, sf_dir, T.CLS)[0].unionByName(_flow(spark, sf_dir, T.REG)[0])
 
 
 @register("sink_predictions")
 def q_predictions(spark, sf_dir):
+    """Actual and predicted instalment of the test rows, as written."""
     return _flow(spark, sf_dir, T.REG)[1]
 
 

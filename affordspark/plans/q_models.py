@@ -35,17 +35,43 @@ def q_smote(spark, sf_dir):
     return resample.smote(tr, KEY, "label", "x")
 
 
-@register("smote_embeddings")
+# nearest rows of the same class by plain pairs; ties by id
+_NEAR_CTES = """e AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS v FROM embeddings),
+d AS (SELECT a.vec_id, a.label, b.vec_id AS nn_id, list_distance(a.v, b.v) AS dist FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id),
+near AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY dist, nn_id) AS INT) AS rank FROM d) WHERE rank <= 5)"""
+
+
+@register("smote_embeddings", f"""WITH {_NEAR_CTES},
+n AS (SELECT label, count(*) AS n, max(count(*)) OVER () - count(*) AS need FROM e GROUP BY label),
+p AS (SELECT *, need // n AS q, need % n AS rem, least(5, n - 1) AS k,
+  CASE WHEN gcd(1000003, n) = 1 THEN 1000003 WHEN gcd(1000033, n) = 1 THEN 1000033 WHEN gcd(1000037, n) = 1 THEN 1000037 ELSE 1000039 END AS stride FROM n WHERE need > 0),
+r AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS r FROM e),
+c AS (SELECT vec_id, label, k, unnest(range(1, q + CASE WHEN (r * stride) % n < rem THEN 2 ELSE 1 END)) AS copy_no FROM r JOIN p USING (label)),
+h AS (SELECT *, md5(concat('42|', vec_id, '|', copy_no)) AS h FROM c),
+s AS (SELECT h.vec_id, h.label, copy_no, nn_id, CAST('0x' || substr(h, 9, 8) AS BIGINT) / 4294967296.0 AS u
+  FROM h JOIN near ON near.vec_id = h.vec_id AND near.rank = CAST('0x' || substr(h, 1, 8) AS BIGINT) % k + 1),
+o AS (
+  SELECT vec_id, label, v, vec_id AS base_id, 0 AS copy_no, false AS synthetic FROM e
+  UNION ALL SELECT -1, s.label, list_transform(list_zip(x.v, y.v), lambda z: z[1] + u * (z[2] - z[1])), s.vec_id, copy_no, true
+  FROM s JOIN e x ON x.vec_id = s.vec_id JOIN e y ON y.vec_id = nn_id
+)
+SELECT vec_id, label, base_id, CAST(copy_no AS INT) AS copy_no, synthetic,
+  array_to_string(list_transform(v, lambda x: CAST(CAST(round(x * 1000000) AS BIGINT) AS VARCHAR)), ',') AS micro FROM o""")
 def q_smote_embeddings(spark, sf_dir):
-    """SMOTE on the embedding vectors, classes = ``label``."""
+    """SMOTE on the embedding vectors, classes = ``label``; vectors in millionths,
+    vec_id -1 for synthetic rows."""
     e = read_table(spark, sf_dir, "embeddings")
-    return resample.smote(e, "vec_id", "label", "embedding")
+    micro = F.array_join(F.transform("embedding", lambda x: F.round(x * 1000000).cast("bigint").cast("string")), ",")
+    return resample.smote(e, "vec_id", "label", "embedding").select(
+        F.coalesce("vec_id", F.lit(-1).cast("bigint")).alias("vec_id"), "label", "base_id", "copy_no", "synthetic", micro.alias("micro"))
 
 
-@register("knn_within_class")
+@register("knn_within_class", f"WITH {_NEAR_CTES} SELECT vec_id, label, rank, nn_id, {S.R('dist')} AS dist FROM near")
 def q_knn(spark, sf_dir):
     e = read_table(spark, sf_dir, "embeddings")
-    return resample.knn_within_class(e, "vec_id", "label", "embedding", k=5)
+    near = resample.knn_within_class(e, "vec_id", "label", "embedding", k=5)
+    near = near.select("vec_id", "label", F.posexplode(F.arrays_zip("nn_ids", "nn_dist")).alias("i", "nn"))
+    return round_doubles(near.select("vec_id", "label", (F.col("i") + 1).alias("rank"), F.col("nn.nn_ids").alias("nn_id"), F.col("nn.nn_dist").alias("dist")))
 
 
 @register("class_weights", S.with_(S.CLEAN_CTES, select=f"""

@@ -16,12 +16,12 @@ from affordspark.operators import features, metrics, selection, validate
 from affordspark.plans import sqlparts as S
 from affordspark.plans.catalog import parsed_apps, raw_apps, register
 from affordspark.plans.common import round_doubles
-from affordspark.plans.q_prepare import _LABEL_SQL
+from affordspark.plans.q_prepare import LABEL_SQL
 from affordspark.operators import clean
 from affordspark.sources.io import read_table
 
 # rule "models" (same text on Spark and DuckDB)
-ACTUAL = _LABEL_SQL
+ACTUAL = LABEL_SQL
 PRED = "CAST(CASE WHEN Credit_Score >= 700 THEN 0 WHEN Credit_Score >= 500 THEN 1 ELSE 2 END AS INTEGER)"
 PRED_TUNED = "CAST(CASE WHEN Credit_Score >= 650 THEN 0 WHEN Credit_Score >= 450 THEN 1 ELSE 2 END AS INTEGER)"
 P0 = "floor((Credit_Score - 250) / 650 / 1.5 * 100) / 100"

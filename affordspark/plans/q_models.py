@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from affordspark.operators import models, resample
 from affordspark.plans import prepare
+from affordspark.plans import q_prepare as P
 from affordspark.plans import sqlparts as S
 from affordspark.plans import train as T
 from affordspark.plans.catalog import raw_apps, register
 from affordspark.plans.common import round_doubles
-from affordspark.schema import KEY
+from affordspark.schema import CATEGORICAL_COLS, KEY
 from affordspark.sources.io import read_table
 
 # Every query runs the functions' and learners' own defaults; a search is 20
@@ -25,48 +26,63 @@ def prepared(spark, sf_dir):
     return prepare.prepared_stage(spark, sf_dir, lambda: raw_apps(spark, sf_dir))
 
 
-@register("smote")
+def _near_sql(key: str, labels: str = "") -> str:
+    """Nearest rows of the same class by plain pairs of e(key, label, v); ties by key."""
+    return f"""d AS (SELECT a.{key}, a.label, b.{key} AS nn_id, list_distance(a.v, b.v) AS dist FROM e a JOIN e b ON a.label = b.label AND a.{key} <> b.{key} {labels}),
+near AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY {key} ORDER BY dist, nn_id) AS INT) AS rank FROM d) WHERE rank <= 5)"""
+
+
+def _smote_sql(key: str, number: str) -> str:
+    """CTEs over e and the result; ``number`` makes an integer of a coordinate z."""
+    return f"""n AS (SELECT label, count(*) AS n, max(count(*)) OVER () - count(*) AS need FROM e GROUP BY label),
+p AS (SELECT *, need // n AS q, need % n AS rem, least(5, n - 1) AS k,
+  CASE WHEN gcd(1000003, n) = 1 THEN 1000003 WHEN gcd(1000033, n) = 1 THEN 1000033 WHEN gcd(1000037, n) = 1 THEN 1000037 ELSE 1000039 END AS stride FROM n WHERE need > 0),
+{_near_sql(key, "AND a.label IN (SELECT label FROM p)")},
+r AS (SELECT {key}, label, row_number() OVER (PARTITION BY label ORDER BY {key}) - 1 AS r FROM e),
+c AS (SELECT {key}, label, k, unnest(range(1, q + CASE WHEN (r * stride) % n < rem THEN 2 ELSE 1 END)) AS copy_no FROM r JOIN p USING (label)),
+h AS (SELECT *, md5(concat('42|', {key}, '|', copy_no)) AS h FROM c),
+s AS (SELECT h.{key}, h.label, copy_no, nn_id, CAST('0x' || substr(h, 9, 8) AS BIGINT) / 4294967296.0 AS u
+  FROM h JOIN near ON near.{key} = h.{key} AND near.rank = CAST('0x' || substr(h, 1, 8) AS BIGINT) % k + 1),
+o AS (
+  SELECT {key}, label, v, {key} AS base_id, 0 AS copy_no, false AS synthetic FROM e
+  UNION ALL SELECT -1, s.label, list_transform(list_zip(x.v, y.v), lambda z: z[1] + u * (z[2] - z[1])), s.{key}, copy_no, true
+  FROM s JOIN e x ON x.{key} = s.{key} JOIN e y ON y.{key} = nn_id
+)
+SELECT {key}, label, base_id, CAST(copy_no AS INT) AS copy_no, synthetic,
+  array_to_string(list_transform(v, lambda z: CAST(CAST({number} AS BIGINT) AS VARCHAR)), ',') AS vector FROM o"""
+
+
+def _as_text(df, key: str, vec: str, number):
+    """Resampled rows with whole numbers for coordinates, key -1 for synthetic rows."""
+    text = F.array_join(F.transform(vec, lambda z: number(z).cast("bigint").cast("string")), ",")
+    return df.select(F.coalesce(key, F.lit(-1).cast("bigint")).alias(key), "label", "base_id", "copy_no", "synthetic", text.alias("vector"))
+
+
+_EMBEDDINGS = "e AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS v FROM embeddings)"
+_FEATURES = "WITH " + P.ENG_SPLIT_CTES + ",\n" + P.PARAMS_CTE + ",\ne AS (SELECT CAST(application_id AS BIGINT) AS application_id, " + P.LABEL_SQL + " AS label, [" + ", ".join(
+    [f"CAST((sp.{c} - params.m_{c}) / params.s_{c} AS DOUBLE)" for c in P.NUM9]
+    + [f"CASE WHEN {c} = '{v}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END" for c in CATEGORICAL_COLS for v in P.CATS[c]]
+    + [f"CAST({c} AS DOUBLE)" for c in S.ENG_COLS]) + "] AS v FROM sp CROSS JOIN params WHERE split = 'train')"
+
+
+@register("smote", _FEATURES + ",\n" + _smote_sql("application_id", "floor(z * 10000 + 0.501)"))
 def q_smote(spark, sf_dir):
     """Oversampled training split of the model-ready table (all classes
-    brought to the majority count)."""
+    brought to the majority count), features in ten-thousandths."""
     p = prepared(spark, sf_dir)
     tr = p.table.where(F.col("split") == "train") \
         .select(KEY, F.array(*p.feature_cols).alias("x"), "label")
-    return resample.smote(tr, KEY, "label", "x")
-
-
-# nearest rows of the same class by plain pairs; ties by id
-_NEAR_CTES = """e AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS v FROM embeddings),
-d AS (SELECT a.vec_id, a.label, b.vec_id AS nn_id, list_distance(a.v, b.v) AS dist FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id),
-near AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY dist, nn_id) AS INT) AS rank FROM d) WHERE rank <= 5)"""
+    return _as_text(resample.smote(tr, KEY, "label", "x"), KEY, "x", lambda z: F.floor(z * 10000 + 0.501))
 
 
-@register("smote_embeddings", f"""WITH {_NEAR_CTES},
-n AS (SELECT label, count(*) AS n, max(count(*)) OVER () - count(*) AS need FROM e GROUP BY label),
-p AS (SELECT *, need // n AS q, need % n AS rem, least(5, n - 1) AS k,
-  CASE WHEN gcd(1000003, n) = 1 THEN 1000003 WHEN gcd(1000033, n) = 1 THEN 1000033 WHEN gcd(1000037, n) = 1 THEN 1000037 ELSE 1000039 END AS stride FROM n WHERE need > 0),
-r AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS r FROM e),
-c AS (SELECT vec_id, label, k, unnest(range(1, q + CASE WHEN (r * stride) % n < rem THEN 2 ELSE 1 END)) AS copy_no FROM r JOIN p USING (label)),
-h AS (SELECT *, md5(concat('42|', vec_id, '|', copy_no)) AS h FROM c),
-s AS (SELECT h.vec_id, h.label, copy_no, nn_id, CAST('0x' || substr(h, 9, 8) AS BIGINT) / 4294967296.0 AS u
-  FROM h JOIN near ON near.vec_id = h.vec_id AND near.rank = CAST('0x' || substr(h, 1, 8) AS BIGINT) % k + 1),
-o AS (
-  SELECT vec_id, label, v, vec_id AS base_id, 0 AS copy_no, false AS synthetic FROM e
-  UNION ALL SELECT -1, s.label, list_transform(list_zip(x.v, y.v), lambda z: z[1] + u * (z[2] - z[1])), s.vec_id, copy_no, true
-  FROM s JOIN e x ON x.vec_id = s.vec_id JOIN e y ON y.vec_id = nn_id
-)
-SELECT vec_id, label, base_id, CAST(copy_no AS INT) AS copy_no, synthetic,
-  array_to_string(list_transform(v, lambda x: CAST(CAST(round(x * 1000000) AS BIGINT) AS VARCHAR)), ',') AS micro FROM o""")
+@register("smote_embeddings", f"WITH {_EMBEDDINGS},\n" + _smote_sql("vec_id", "round(z * 1000000)"))
 def q_smote_embeddings(spark, sf_dir):
-    """SMOTE on the embedding vectors, classes = ``label``; vectors in millionths,
-    vec_id -1 for synthetic rows."""
+    """SMOTE on the embedding vectors, classes = ``label``; in millionths."""
     e = read_table(spark, sf_dir, "embeddings")
-    micro = F.array_join(F.transform("embedding", lambda x: F.round(x * 1000000).cast("bigint").cast("string")), ",")
-    return resample.smote(e, "vec_id", "label", "embedding").select(
-        F.coalesce("vec_id", F.lit(-1).cast("bigint")).alias("vec_id"), "label", "base_id", "copy_no", "synthetic", micro.alias("micro"))
+    return _as_text(resample.smote(e, "vec_id", "label", "embedding"), "vec_id", "embedding", lambda z: F.round(z * 1000000))
 
 
-@register("knn_within_class", f"WITH {_NEAR_CTES} SELECT vec_id, label, rank, nn_id, {S.R('dist')} AS dist FROM near")
+@register("knn_within_class", f"WITH {_EMBEDDINGS},\n{_near_sql('vec_id')} SELECT vec_id, label, rank, nn_id, {S.R('dist')} AS dist FROM near")
 def q_knn(spark, sf_dir):
     e = read_table(spark, sf_dir, "embeddings")
     near = resample.knn_within_class(e, "vec_id", "label", "embedding", k=5)

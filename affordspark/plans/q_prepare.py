@@ -112,12 +112,12 @@ def q_onehot_encode(spark, sf_dir):
     return encode.onehot_encode(df, cats, CATEGORICAL_COLS).select("application_id", *OHE_COLS)
 
 
-_LABEL_SQL = ("CAST(CASE Emi_Eligibility WHEN 'Eligible' THEN 0 WHEN 'High_Risk' THEN 1 "
+LABEL_SQL = ("CAST(CASE Emi_Eligibility WHEN 'Eligible' THEN 0 WHEN 'High_Risk' THEN 1 "
               "WHEN 'Not_Eligible' THEN 2 END AS INTEGER)")
 
 
 @register("label_encode", "WITH " + ENG_SPLIT_CTES + f"""
-SELECT application_id, Emi_Eligibility, {_LABEL_SQL} AS label FROM sp""")
+SELECT application_id, Emi_Eligibility, {LABEL_SQL} AS label FROM sp""")
 def q_label_encode(spark, sf_dir):
     df = engineered_split(spark, sf_dir)
     classes = encode.label_fit(df.where(F.col("split") == "train"), TARGET_CLF)
@@ -160,7 +160,7 @@ _REMAINDER = S.ENG_COLS
           + ", ".join(f"CASE WHEN {c} = '{v}' THEN 1.0 ELSE 0.0 END AS \"{c}_{v}\""
                       for c in CATEGORICAL_COLS for v in CATS[c]) + ", "
           + ", ".join(f"{S.R(c)} AS {c}" for c in _REMAINDER)
-          + f", {S.R('Max_Monthly_Emi')} AS Max_Monthly_Emi, {_LABEL_SQL} AS label"
+          + f", {S.R('Max_Monthly_Emi')} AS Max_Monthly_Emi, {LABEL_SQL} AS label"
           + " FROM sp CROSS JOIN params")
 def q_fe_full(spark, sf_dir):
     cleaned = prepare.clean_stage(raw_apps(spark, sf_dir))

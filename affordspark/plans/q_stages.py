@@ -11,7 +11,7 @@ from affordspark.plans import sqlparts as S
 from affordspark.plans.catalog import ORACLE, parsed_apps, raw_apps, register
 from affordspark.plans.common import round_doubles
 from affordspark.plans.q_prepare import NUM9, SPLIT_SQL, engineered_split
-from affordspark.schema import RAW_CSV_SCHEMA
+from affordspark.schema import NA_TOKENS, RAW_CSV_SCHEMA
 from affordspark.session import checkpoint_dir
 from affordspark.sources import io
 
@@ -37,6 +37,45 @@ def q_limit_scan(spark, sf_dir):
                       "emi_scenario", "emi_eligibility")
 
 
+def _raw_csv(spark, sf_dir, name):
+    """The raw applications as a headered CSV of several files, blanks kept."""
+    path = _folder(spark, name)
+    raw_apps(spark, sf_dir).write.options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return path
+
+
+_TEXT_RAW = "SELECT " + ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in S.RAW_COLS) + " FROM raw"
+_NA_SQL = ", ".join(f"'{x}'" for x in NA_TOKENS)
+
+
+def _kind_sql(c: str) -> str:
+    """Type of a column by counts of what its values are."""
+    v = f"CASE WHEN {c} NOT IN ({_NA_SQL}) THEN {c} END"
+    return f"""SELECT '{c}' AS col, count(v) AS n, CASE WHEN count(*) = 0 THEN 'string' WHEN count(v) = 0 THEN 'double'
+    WHEN count(v) = count(*) AND count(*) FILTER (WHERE regexp_matches(v, '^[+-]?[0-9]+$') AND TRY_CAST(v AS BIGINT) IS NOT NULL) = count(*) THEN 'bigint'
+    WHEN count({S.num('v')}) = count(v) THEN 'double' ELSE 'string' END AS type FROM (SELECT {v} AS v FROM t)"""
+
+
+@register("scan_csv_types", S.with_(S.RAW_CTE, f"t AS ({_TEXT_RAW})", select=" UNION ALL ".join(_kind_sql(c) for c in S.RAW_COLS)))
+def q_scan_csv_types(spark, sf_dir):
+    """Inferred type and number of values of every column of the raw CSV."""
+    df = io.scan_csv(spark, _raw_csv(spark, sf_dir, "types"), infer=True)
+    n = df.agg(*[F.count(c).alias(c) for c in df.columns])
+    types = F.create_map(*[x for f in df.schema.fields for x in (F.lit(f.name), F.lit(f.dataType.simpleString()))])
+    return n.select(F.explode(F.create_map(*[x for c in df.columns for x in (F.lit(c), F.col(c))])).alias("col", "n")).withColumn("type", F.element_at(types, F.col("col")))
+
+
+@register("scan_csv_typed", S.with_(S.RAW_CTE, select="SELECT application_id, CASE WHEN age IN ('', 'NULL') THEN NULL ELSE age END AS age, "
+          "CASE WHEN gender IN ('') THEN NULL ELSE gender END AS gender, monthly_salary, "
+          + ", ".join(f"{S.R(c)} AS {c}" for c in ("years_of_employment", "credit_score", "emergency_fund", "requested_amount", "requested_tenure", "max_monthly_emi"))
+          + " FROM raw"))
+def q_scan_csv_typed(spark, sf_dir):
+    """The raw CSV with inferred types: numbers come back as numbers."""
+    df = io.scan_csv(spark, _raw_csv(spark, sf_dir, "typed"), infer=True)
+    return round_doubles(df.select("application_id", "age", "gender", "monthly_salary", "years_of_employment", "credit_score", "emergency_fund",
+                                   "requested_amount", "requested_tenure", "max_monthly_emi"))
+
+
 @register("sink_snapshot", S.with_(S.RAW_CTE, S.PARSED_CTE, S.DROPPED_CTE, select=f"SELECT {S.rnd(S.CLEAN_COLS)} FROM dropped"))
 def q_sink_snapshot(spark, sf_dir):
     path = io.sink_snapshot(parsed_apps(spark, sf_dir), _folder(spark, "snapshot"))

@@ -80,6 +80,9 @@ NA_TOKENS = [
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 
+# Words a CSV reader takes for booleans by default.
+TRUE_FALSE = ["True", "TRUE", "true", "False", "FALSE", "false"]
+
 # Allowed form values (scoring form).
 FORM_ENUMS = {
     "Gender": ["M", "F"],
@@ -116,12 +119,6 @@ FORM_RANGES = {
 # Single-row validator: required field names and messages.
 VALIDATE_REQUIRED = ["Age", "Income", "Loan_Amount_Request", "Loan_Tenure_Months"]
 
-# ---------------------------------------------------------------------------
-# Schemas (ours)
-# ---------------------------------------------------------------------------
-
-KEY = "application_id"
-
 RAW_COLUMNS = [
     "age", "gender", "marital_status", "education", "monthly_salary", "employment_type",
     "years_of_employment", "company_type", "house_type", "monthly_rent", "family_size",
@@ -131,17 +128,23 @@ RAW_COLUMNS = [
     "max_monthly_emi", "emi_eligibility",
 ]
 
+ENGINEERED_COLS = [
+    "Total_Expenses", "Expense_Salary_Ratio", "Emi_Salary_Ratio", "Liquidity_Score",
+    "Household_Load", "Requested_Amount_Ratio", "Expected_Emi_If_Approved",
+]
+
+# ---------------------------------------------------------------------------
+# Schemas (ours)
+# ---------------------------------------------------------------------------
+
+KEY = "application_id"
+
 # Raw CSV is read with every column as text; parsing happens in the cleaner.
 RAW_CSV_SCHEMA = T.StructType(
     [T.StructField(KEY, T.StringType(), True)]
     + [T.StructField(c, T.StringType(), True) for c in RAW_COLUMNS]
 )
 
-ENGINEERED_COLS = [
-    "Total_Expenses", "Expense_Salary_Ratio", "Emi_Salary_Ratio", "Liquidity_Score",
-    "Household_Load", "Requested_Amount_Ratio", "Expected_Emi_If_Approved",
-]
-
 RULES_SCHEMA = T.StructType([
     T.StructField("Emi_Scenario", T.StringType(), False),
     T.StructField("amount_min", T.DoubleType(), False),

@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from affordspark.functions.scalar import na_to_null
-from affordspark.schema import RAW_CSV_SCHEMA
+from affordspark.functions.scalar import na_to_null, to_numeric_safe
+from affordspark.schema import RAW_CSV_SCHEMA, TRUE_FALSE
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -196,28 +196,101 @@ def _delete_made(spark: SparkSession, key: str) -> None:
 # ---- scan_csv / scan_na_tokens ------------------------------------------------
 
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
-             nrows: int | None = None) -> DataFrame:
-    """Headered CSV read with every column as text (no inference pass over
-    the data); typing is the cleaner's job. ``nrows`` keeps the first rows in
-    file order (``limit_scan``). A missing path is an error raised by Spark at
-    planning."""
+             nrows: int | None = None, infer: bool = False) -> DataFrame:
+    """Headered CSV read. By default every column is text (no pass over the
+    data) and typing is the cleaner's job; with ``infer`` the columns are those
+    of the header and get the types of ``inferred_types``, found in one pass
+    over the whole of what is read. ``nrows`` keeps the first rows in file order
+    (``limit_scan``). A missing path is an error raised by Spark at planning."""
     reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
-    reader = reader.schema(schema or RAW_CSV_SCHEMA)
-    df = reader.csv(path)
-    if nrows is not None:
-        df = first_rows(df, nrows)
-    return scan_na_tokens(spread(df))
-
-
-def first_rows(df: DataFrame, n: int) -> DataFrame:
-    """The first n rows of a file scan, files in order of their paths. A top-n
-    over (path, block, row in the block): partial per task, no full sort."""
-    where = ["_metadata.file_path", "_metadata.file_block_start", "row_"]
-    placed = df.select("*", F.col(where[0]).alias("path_"), F.col(where[1]).alias("block_"),
+    if schema or not infer:
+        reader = reader.schema(schema or RAW_CSV_SCHEMA)
+    df = reader.csv(path) if nrows is None else first_rows(spark, reader.csv, path, nrows)
+    df = scan_na_tokens(spread(df))
+    return typed(df, inferred_types(df)) if infer else df
+
+
+def data_files(spark: SparkSession, path: str) -> list[str]:
+    """The data files under a path, in order of their paths."""
+    fs, p = _fs(spark, path)
+    if fs.getFileStatus(p).isFile():
+        return [path]
+    root, out = fs.makeQualified(p).toString().rstrip("/"), []
+    files = fs.listFiles(p, True)
+    while files.hasNext():
+        f = files.next().getPath().toString()
+        if not any(x.startswith(("_", ".")) for x in f[len(root):].strip("/").split("/")):
+            out.append(f)
+    return sorted(out)
+
+
+def first_rows(spark: SparkSession, read, path: str, n: int) -> DataFrame:
+    """The first n rows of the files under ``path``, files in order of their
+    paths. Files are counted in that order only until n rows are found, none
+    beyond them is opened; their rows are put in order by (path, block, row in
+    the block), a top-n that is partial per task."""
+    files, used, found = data_files(spark, path), [], 0
+    for f in files:
+        used.append(f)
+        found += read([f]).limit(n - found).count()
+        if found >= n:
+            break
+    df = read(used or path)
+    if n <= 0:
+        return df.limit(0)
+    placed = df.select("*", F.col("_metadata.file_path").alias("path_"), F.col("_metadata.file_block_start").alias("block_"),
                        F.monotonically_increasing_id().alias("row_"))
     return placed.orderBy("path_", "block_", "row_").limit(n).select(*df.columns)
 
 
+# what the values of a text column are, as bits: the kinds of two parts of a
+# file are merged by bitwise or
+_MISSING, _INTEGER, _DOUBLE, _BOOLEAN, _TEXT = 1, 2, 4, 8, 16
+
+
+def value_kind(c) -> "F.Column":
+    """Bit of one value of a text column."""
+    c = F.col(c) if isinstance(c, str) else c
+    whole = c.rlike(r"^\s*[+-]?\d+\s*$") & F.trim(c).try_cast("bigint").isNotNull()
+    return (F.when(c.isNull(), _MISSING).when(whole, _INTEGER).when(to_numeric_safe(c).isNotNull(), _DOUBLE)
+            .when(c.isin(*TRUE_FALSE), _BOOLEAN).otherwise(_TEXT))
+
+
+def inferred_types(df: DataFrame) -> dict[str, str]:
+    """{column: type} of text columns, by all of their values (NULL: missing):
+    ``bigint``, ``double``, ``boolean`` or ``string``. Whole numbers next to
+    missing values, or beyond 64 bits, are doubles, as are columns with nothing
+    but missing values; booleans next to missing values or numbers are text, and
+    so are the columns of an empty table. One aggregate for all columns."""
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if not texts:
+        return {}
+    row = df.agg(*[F.bit_or(value_kind(F.col(f"`{c}`"))).alias(str(i)) for i, c in enumerate(texts)]).first()
+    return {c: _type_of(row[i] or 0) for i, c in enumerate(texts)}
+
+
+def _type_of(bits: int) -> str:
+    if bits & _TEXT or not bits or (bits & _BOOLEAN and bits != _BOOLEAN):
+        return "string"
+    if bits == _BOOLEAN:
+        return "boolean"
+    return "bigint" if bits == _INTEGER else "double"
+
+
+def typed(df: DataFrame, types: dict[str, str]) -> DataFrame:
+    """Text columns cast to their inferred types, in one projection."""
+    def cast(c):
+        x, kind = F.col(f"`{c}`"), types.get(c, "string")
+        if kind == "double":
+            x = to_numeric_safe(x)
+        elif kind == "bigint":
+            x = F.trim(x).try_cast("bigint")
+        elif kind == "boolean":
+            x = F.lower(x) == "true"
+        return x.alias(c)
+    return df.select(*[cast(c) for c in df.columns])
+
+
 def scan_na_tokens(df: DataFrame) -> DataFrame:
     """Map the usual missing-value spellings to NULL on every string column,
     in one projection. A lone blank stays a value."""

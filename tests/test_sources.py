@@ -25,6 +25,46 @@ def test_scan_csv_tokens_and_limit(spark, tmpdir_path):
     assert io.scan_csv(spark, p, schema, nrows=2).count() == 2
 
 
+def test_inferred_types(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "typed.csv")
+    with open(p, "w") as f:
+        f.write("i,with missing,d,big,b,b2,t,none,mixed,spaces\n"
+                "1,1,1.5,1,True,true,x,NA,1, 7\n"
+                "-2,NA,2e3,99999999999999999999,false,,2,,True,8 \n"
+                "+3,3,.5,3,TRUE,FALSE,3,null,2,9\n")
+    df = io.scan_csv(spark, p, infer=True)
+    assert dict(df.dtypes) == {"i": "bigint", "with missing": "double", "d": "double", "big": "double", "b": "boolean", "b2": "string",
+                               "t": "string", "none": "double", "mixed": "string", "spaces": "bigint"}
+    assert sorted(tuple(r) for r in df.select("i", "with missing", "d", "b", "spaces").collect()) == [(-2, None, 2000.0, False, 8), (1, 1.0, 1.5, True, 7), (3, 3.0, 0.5, True, 9)]
+    # the kinds of any two parts merge to those of the whole
+    parts = [io.scan_csv(spark, p, infer=True, nrows=n) for n in (1, 2)]
+    assert dict(parts[0].dtypes)["with missing"] == "bigint" and dict(parts[1].dtypes)["with missing"] == "double"
+    with open(p, "w") as f:
+        f.write("a,b\n")
+    assert set(dict(io.scan_csv(spark, p, infer=True).dtypes).values()) == {"string"}
+
+
+def test_first_rows_open_no_further_file(spark, tmpdir_path):
+    schema = "a long, b string"
+    for i in range(5):
+        with open(os.path.join(tmpdir_path, f"part-{i}.csv"), "w") as f:
+            f.write("a,b\n" + "".join(f"{i * 10 + j},x\n" for j in range(10)))
+    os.makedirs(os.path.join(tmpdir_path, "_temporary"))
+    with open(os.path.join(tmpdir_path, "_temporary", "part-0.csv"), "w") as f:
+        f.write("a,b\n-1,x\n")
+    opened = []
+
+    def read(paths):
+        opened.extend([paths] if isinstance(paths, str) else paths)
+        return spark.read.option("header", True).schema(schema).csv(paths)
+    for n, last in ((3, 0), (10, 0), (11, 1), (25, 2), (500, 4), (0, 0)):
+        opened.clear()
+        got = io.first_rows(spark, read, tmpdir_path, n)
+        assert sorted(r["a"] for r in got.collect()) == list(range(min(n, 50)))
+        assert {os.path.basename(f) for f in opened} == {f"part-{i}.csv" for i in range(last + 1)}
+        assert {os.path.basename(f) for f in got.inputFiles()} <= {f"part-{i}.csv" for i in range(last + 1)}
+
+
 def test_stage_and_split_round_trip(spark, tmpdir_path):
     df = spark.range(100).select(F.col("id").alias("application_id"),
                                  F.when(F.col("id") < 70, "train").when(F.col("id") < 85, "val")

@@ -1,10 +1,11 @@
-"""Fitted encoders as small parameter tables.
-
-``*_fit`` runs one aggregate over the (train) rows and returns a small
-DataFrame whose size is bounded by the number of columns / categories, never
-by the number of rows. ``*_encode`` / ``robust_scale`` read those few rows on
-the driver (bounded) and apply them as one projection of literals, so the
-transform is a map-only stage with no join and no shuffle.
+"""Fitted encoders as parameter tables.
+
+``*_fit`` runs one aggregate over the (train) rows. Scaler tables have one row
+per column and are applied as literals, a map-only projection. Dictionaries
+(categories, labels) have one row per value, however many there are: their
+ranks come from a range sort and partition counts, never from the driver. A
+small dictionary goes into the expression, a larger one is joined, broadcast or
+shuffled as its size allows.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from pyspark.sql import types as T
 
 from affordspark.schema import LABELS
 
-MAX_CATEGORIES = 10_000  # one-hot width guard: each category becomes a column
+MAX_CATEGORIES = 10_000  # columns that onehot_encode may make; onehot_indices has no such bound
+MAP_ROWS = 64  # dictionary rows that go into an expression
 
 SCALER_SCHEMA = T.StructType([T.StructField("col", T.StringType()),
                               T.StructField("center", T.DoubleType()),
@@ -104,21 +106,54 @@ def bounded_rows(df: DataFrame, what: str, most: int = MAX_CATEGORIES) -> list:
     return rows
 
 
+def dictionary(df: DataFrame, cols) -> DataFrame:
+    """(col, idx, category): the distinct non-NULL values of every column as
+    text, numbered in their sorted order. Written once, of any size."""
+    from affordspark.operators.split import ordered_index
+    placed = ordered_index(distinct_values(df, cols), ["col", "category"])
+    first = placed.groupBy("col").agg(F.min("_idx").alias("_first"))  # one row per column
+    return placed.join(F.broadcast(first), "col").select("col", (F.col("_idx") - F.col("_first")).cast("int").alias("idx"), "category")
+
+
 def onehot_fit(df: DataFrame, cols) -> DataFrame:
     """Sorted distinct categories per column -> (col, idx, category)."""
-    rows = bounded_rows(distinct_values(df, cols), "categories")
-    by_col = {c: [] for c in cols}
-    for r in rows:
-        by_col[r["col"]].append(r["category"])
-    out = [(c, i, v) for c in cols for i, v in enumerate(sorted(by_col[c]))]
-    return df.sparkSession.createDataFrame(out, OHE_SCHEMA)
+    return dictionary(df, cols)
+
+
+def looked_up(df: DataFrame, value, table: DataFrame, out: str) -> DataFrame:
+    """df plus ``out``: the second column of ``table`` where its first (unique,
+    not NULL) equals ``value``; NULL where there is none."""
+    few = table.take(MAP_ROWS + 1)
+    if len(few) <= MAP_ROWS:
+        kind = table.schema[1].dataType
+        pairs = [x for k, v in few for x in (F.lit(k), F.lit(v).cast(kind))]
+        found = F.try_element_at(F.create_map(*pairs), value) if pairs else F.lit(None).cast(kind)
+        return df.withColumn(out, found)
+    import uuid
+    k, v = (f"{x}_{uuid.uuid4().hex[:8]}" for x in "kv")
+    return df.join(table.toDF(k, v), value == F.col(k), "left").select(*[F.col(f"`{c}`") for c in df.columns if c != out], F.col(v).alias(out))
+
+
+def onehot_indices(df: DataFrame, cats: DataFrame, cols, out: str = "indices") -> tuple[DataFrame, int]:
+    """(df plus ``out``, width): the one-hot vector of ``cols`` in sparse form,
+    the ascending places of its ones among ``width`` columns, in the order of
+    ``onehot_columns``. Unknown or NULL values have no place."""
+    import uuid
+    sizes = {r["col"]: r["count"] for r in cats.groupBy("col").count().collect()}  # one row per column
+    at, made = 0, []
+    for c in cols:
+        made.append(f"i_{uuid.uuid4().hex[:8]}")
+        table = cats.where(F.col("col") == c).select("category", (F.col("idx") + at).cast("int").alias("place"))
+        df = looked_up(df, F.col(f"`{c}`").cast("string"), table, made[-1])
+        at += sizes.get(c, 0)
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in made and c != out], F.array_compact(F.array(*made)).alias(out)), at
 
 
 def _ohe_map(cats) -> dict:
     if isinstance(cats, dict):
         return cats
     m: dict = {}
-    for r in sorted(cats.collect(), key=lambda r: (r["col"], r["idx"])):
+    for r in sorted(bounded_rows(cats, "categories; onehot_indices has no such bound"), key=lambda r: (r["col"], r["idx"])):
         m.setdefault(r["col"], []).append(r["category"])
     return m
 
@@ -140,38 +175,27 @@ def onehot_encode(df: DataFrame, cats, cols, keep_source: bool = False) -> DataF
 # ---- labels -------------------------------------------------------------------
 
 def label_fit(df: DataFrame, target: str) -> DataFrame:
-    """Sorted distinct labels -> (idx, label)."""
-    rows = bounded_rows(df.select(F.col(target).cast("string").alias("label")).where(F.col("label").isNotNull())
-                        .distinct(), "labels")
-    labels = sorted(r["label"] for r in rows)
-    return df.sparkSession.createDataFrame(list(enumerate(labels)), LABEL_SCHEMA)
+    """Sorted distinct labels -> (idx, label), however many."""
+    return dictionary(df, [target]).select("idx", F.col("category").alias("label"))
 
 
 def label_classes(spark: SparkSession, labels=None) -> DataFrame:
     return spark.createDataFrame(list(enumerate(labels or LABELS)), LABEL_SCHEMA)
 
 
-def _label_list(classes) -> list:
-    if isinstance(classes, (list, tuple)):
-        return list(classes)
-    return [r["label"] for r in sorted(classes.collect(), key=lambda r: r["idx"])]
+def _classes(df: DataFrame, classes) -> DataFrame:
+    return classes if isinstance(classes, DataFrame) else label_classes(df.sparkSession, list(classes))
 
 
 def label_encode(df: DataFrame, target: str, classes, out: str = "label") -> DataFrame:
     """Label text -> int index of the sorted label list (NULL if unseen)."""
-    labels = _label_list(classes)
-    expr = F.lit(None).cast("int")
-    for i, v in reversed(list(enumerate(labels))):
-        expr = F.when(F.col(target) == F.lit(v), F.lit(i)).otherwise(expr)
-    return df.withColumn(out, expr.cast("int"))
+    return looked_up(df, F.col(target).cast("string"), _classes(df, classes).select("label", "idx"), out)
 
 
 def label_decode(df: DataFrame, idx_col: str, classes, out: str = "eligibility_label") -> DataFrame:
     """Class index -> label; an index outside the table gives 'Unknown'."""
-    labels = _label_list(classes)
-    m = F.create_map(*[x for i, v in enumerate(labels) for x in (F.lit(i), F.lit(v))])
-    return df.withColumn(out, F.coalesce(F.try_element_at(m, F.col(idx_col).cast("int")),
-                                         F.lit("Unknown")))
+    found = looked_up(df, F.col(idx_col).cast("int"), _classes(df, classes).select("idx", "label"), out)
+    return found.withColumn(out, F.coalesce(out, F.lit("Unknown")))
 
 
 def unseen_labels(df: DataFrame, target: str, classes: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from affordspark.plans import sqlparts as S
 from affordspark.plans.catalog import raw_apps, register
 from affordspark.plans.common import round_doubles
 from affordspark.schema import CATEGORICAL_COLS, LABELS, TARGET_CLF
+from affordspark.sources.io import read_table
 
 NUM9 = ["Age", "Monthly_Salary", "Years_Of_Employment", "Current_Emi_Amount", "Credit_Score",
         "Bank_Balance", "Emergency_Fund", "Requested_Amount", "Requested_Tenure"]
@@ -132,6 +133,37 @@ def q_label_fit(spark, sf_dir):
     return encode.label_fit(df.where(F.col("split") == "train"), TARGET_CLF)
 
 
+_ORDERS = f"o AS (SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS cust, o_orderpriority, {SPLIT_SQL.replace('application_id', 'o_orderkey')} AS split FROM orders)"
+
+
+def _places(col, name):
+    return f"{name} AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS i FROM (SELECT DISTINCT {col} AS v FROM o WHERE split = 'train'))"
+
+
+def _orders(spark, sf_dir):
+    df = read_table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("cust"), "o_orderpriority")
+    return split.split_70_15_15(df, "o_orderkey")
+
+
+@register("index_encode", f"WITH {_ORDERS}, {_places('cust', 'd')} SELECT o_orderkey, cust, coalesce(i, -1) AS idx FROM o LEFT JOIN d ON v = cust")
+def q_index_encode(spark, sf_dir):
+    """Sorted-label index of a column with thousands of values, fitted on the
+    training rows; values that these lack have none (-1 here)."""
+    df = _orders(spark, sf_dir)
+    classes = encode.label_fit(df.where(F.col("split") == "train"), "cust")
+    return encode.label_encode(df, "cust", classes, "idx").select("o_orderkey", "cust", F.coalesce("idx", F.lit(-1)).alias("idx"))
+
+
+@register("onehot_indices", f"""WITH {_ORDERS}, {_places('cust', 'd')}, {_places('o_orderpriority', 'p')}
+SELECT o_orderkey, concat_ws(',', d.i, (SELECT count(*) FROM d) + p.i) AS places FROM o LEFT JOIN d ON d.v = cust LEFT JOIN p ON p.v = o_orderpriority""")
+def q_onehot_indices(spark, sf_dir):
+    """Sparse one-hot places over a column with thousands of values and a small one."""
+    df = _orders(spark, sf_dir)
+    cols = ["cust", "o_orderpriority"]
+    out, _ = encode.onehot_indices(df, encode.onehot_fit(df.where(F.col("split") == "train"), cols), cols)
+    return out.select("o_orderkey", F.array_join(F.col("indices").cast("array<string>"), ",").alias("places"))
+
+
 @register("label_decode", S.with_(S.RAW_CTE, select="""
 SELECT application_id, CAST(application_id % 4 AS INTEGER) AS class_idx,
   CASE application_id % 4 WHEN 0 THEN 'Eligible' WHEN 1 THEN 'High_Risk' WHEN 2 THEN 'Not_Eligible'

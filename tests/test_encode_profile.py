@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from affordspark.operators import encode, features, profile, split
@@ -103,3 +104,26 @@ def test_sample_is_repeatable(spark):
     a = [r["k"] for r in profile.sample_n(df.repartition(5), "k", 100).collect()]
     b = [r["k"] for r in profile.sample_n(df.repartition(2), "k", 100).collect()]
     assert a == b and len(a) == 100
+
+
+def test_fifty_thousand_categories(spark):
+    """Dictionaries beyond any bound of columns or expression branches; one
+    value holds a third of the rows."""
+    n = 50_000
+    df = spark.range(3 * n).select(F.col("id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("v"), F.col("id") % n)).alias("c"),
+                                   F.when(F.col("id") % 2 == 0, "a").when(F.col("id") % 5 == 0, None).otherwise("b").alias("d"))
+    cats = encode.onehot_fit(df, ["c", "d"])
+    values = sorted({"hot" if i % 3 == 0 else f"v{i % n}" for i in range(3 * n)})
+    place = {v: i for i, v in enumerate(values)}
+    assert {(r["idx"], r["category"]) for r in cats.where("col = 'c'").collect()} == {(i, v) for v, i in place.items()}
+    got, width = encode.onehot_indices(df, cats, ["c", "d"])
+    assert width == len(values) + 2 and got.columns == ["id", "c", "d", "indices"]
+    small = {"a": [0], "b": [1], None: []}
+    assert all(r["indices"] == [place[r["c"]]] + [len(values) + i for i in small[r["d"]]] for r in got.collect())
+    classes = encode.label_fit(df, "c")
+    coded = encode.label_encode(df.union(spark.createDataFrame([(-1, "new", "a"), (-2, None, "a")], df.schema)), "c", classes)
+    back = encode.label_decode(coded, "label", classes, "c2").collect()
+    assert len(back) == 3 * n + 2
+    assert all((r["label"], r["c2"]) == ((place[r["c"]], r["c"]) if r["id"] >= 0 else (None, "Unknown")) for r in back)
+    with pytest.raises(ValueError):
+        encode.onehot_encode(df, cats, ["c"])

@@ -18,6 +18,7 @@ from affordspark.plans.catalog import parsed_apps, raw_apps, register
 from affordspark.plans.common import round_doubles
 from affordspark.plans.q_prepare import LABEL_SQL
 from affordspark.operators import clean
+from affordspark.schema import MODEL_NAME_CLASSIFICATION, MODEL_NAME_REGRESSION, PROMOTION_STAGE
 from affordspark.sources.io import read_table
 
 # rule "models" (same text on Spark and DuckDB)
@@ -357,3 +358,34 @@ FROM dropped"""))
 def q_report_text(spark, sf_dir):
     df = parsed_apps(spark, sf_dir).withColumn("confidence", F.col("Credit_Score") / 1000.0)
     return features.report_text(df, "Emi_Eligibility", emi="Max_Monthly_Emi").select("application_id", "report")
+
+
+def _wide(task, metric_names):
+    return "SELECT '" + task + "' AS task, model, " + ", ".join(f"max(CASE WHEN metric = '{m}' THEN value END) AS {m}" for m in metric_names) + f" FROM seg WHERE task = '{task}' GROUP BY model"
+
+
+@register("promotions", SEG_PREFIX + _segment_sql(False) + f"""
+SELECT '{MODEL_NAME_CLASSIFICATION}' AS name, CAST(row_number() OVER (ORDER BY model) AS INTEGER) AS version, task, model,
+  printf('%.4f', accuracy) AS main, printf('%.4f', f1_score) AS second, '{PROMOTION_STAGE}' AS stage
+FROM ({_wide('classification', ['accuracy', 'f1_score'])}) WHERE accuracy > 0.32
+UNION ALL
+SELECT '{MODEL_NAME_REGRESSION}', CAST(row_number() OVER (ORDER BY model) AS INTEGER), task, model,
+  printf('%.2f', rmse), printf('%.4f', r2_score), '{PROMOTION_STAGE}'
+FROM ({_wide('regression', ['rmse', 'r2_score'])}) WHERE rmse < 192000""")
+def q_promotions(spark, sf_dir):
+    """Every segment's rule is put before the gate in turn; the promotions are
+    read back from the table. (Thresholds of its own: the rules are no models.)"""
+    import uuid
+
+    from affordspark.operators import promotions
+    from affordspark.session import checkpoint_dir
+    from affordspark.sources.io import delete_at_exit
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/promotions-{uuid.uuid4().hex}"
+    delete_at_exit(spark, path)
+    by: dict = {}
+    for r in round_doubles(segment_metrics(spark, sf_dir)).collect():  # a few metrics a segment
+        by.setdefault((r["task"], r["model"]), {})[r["metric"]] = r["value"]
+    for (task, model), m in sorted(by.items()):
+        promotions.promote(spark, path, f"run:{model}", task, model, m, acc=0.32, rmse=192_000.0)
+    out, tag = promotions.promotions(spark, path), lambda c, r: F.when(F.col("task") == "classification", F.col("tags")[c]).otherwise(F.col("tags")[r])
+    return out.select("name", "version", "task", "model", tag("accuracy", "rmse").alias("main"), tag("f1_score", "r2_score").alias("second"), F.col("tags")["stage"].alias("stage"))

@@ -71,6 +71,15 @@ RANDOM_STATE = 42
 CLASSIFICATION_ACCURACY_THRESHOLD = 0.90
 REGRESSION_RMSE_THRESHOLD = 2000.0
 
+# Registered names, and the formatted metrics and stage that a promotion carries
+MODEL_NAME_REGRESSION = "emi_max_monthly_predictor"
+MODEL_NAME_CLASSIFICATION = "emi_eligibility_classifier"
+PROMOTION_TAGS = {
+    "regression": [("rmse", "{:.2f}"), ("r2_score", "{:.4f}")],
+    "classification": [("accuracy", "{:.4f}"), ("f1_score", "{:.4f}")],
+}
+PROMOTION_STAGE = "production_candidate"
+
 # Class index -> label (sorted label order)
 LABELS = ["Eligible", "High_Risk", "Not_Eligible"]
 

@@ -6,15 +6,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from affordspark.operators import models, resample
+from affordspark.operators import linear, models, resample
+from affordspark.operators.validate import DEFAULT_FIELDS
 from affordspark.plans import prepare
 from affordspark.plans import q_prepare as P
 from affordspark.plans import sqlparts as S
 from affordspark.plans import train as T
 from affordspark.plans.catalog import raw_apps, register
 from affordspark.plans.common import round_doubles
-from affordspark.schema import CATEGORICAL_COLS, KEY
+from affordspark.schema import CATEGORICAL_COLS, KEY, TARGET_REG
 from affordspark.sources.io import read_table
+from affordspark.streaming import score
 
 # Every query runs the functions' and learners' own defaults; a search is 20
 # draws x 3 folds x top 2 from the whole search spaces.
@@ -198,3 +200,74 @@ def q_feature_importance(spark, sf_dir):
     reg_in = model_table(spark, sf_dir, p, T.REG, ["train"], None)
     reg = models.model_factory("Random_Forest", T.REG).fit(reg_in)
     return models.feature_importance_topk(reg, p.feature_cols, 10, spark)
+
+
+# ---- scoring from raw applications -----------------------------------------------
+
+_NUMBERS = P.NUM9 + S.ENG_COLS
+_FEATURE_NAMES = P.NUM9 + P.OHE_COLS + S.ENG_COLS
+
+
+def _features_sql(t: str) -> list[str]:
+    """SQL of every model feature over the engineered columns of ``t``."""
+    return ([f"CAST(({t}.{c} - params.m_{c}) / params.s_{c} AS DOUBLE)" for c in P.NUM9]
+            + [f"CASE WHEN {t}.{c} = '{v}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END" for c in CATEGORICAL_COLS for v in P.CATS[c]]
+            + [f"CAST({t}.{c} AS DOUBLE)" for c in S.ENG_COLS])
+
+
+_AS = lambda t: ", ".join(f"{x} AS x{i}" for i, x in enumerate(_features_sql(t)))
+_ERRORS = ("concat_ws('; ', " + ", ".join(f"CASE WHEN {c} IS NULL THEN 'Missing required field: {n}' END" for n, c in DEFAULT_FIELDS.items())
+           + ", CASE WHEN Age < 18 OR Age > 100 THEN 'Age must be between 18 and 100' END, CASE WHEN Monthly_Salary <= 0 THEN 'Income must be greater than 0' END,"
+           + " CASE WHEN Requested_Amount <= 0 THEN 'Loan amount must be greater than 0' END,"
+           + " 'Missing value: ' || nullif(concat_ws(', ', " + ", ".join(f"CASE WHEN {c} IS NULL THEN '{c}' END" for c in _NUMBERS) + "), ''))")
+_RAW_PARSED = S.PARSED_CTE.split("FROM raw WHERE")[0].replace("parsed AS", "form AS") + "FROM raw)"
+_SCORING = ("WITH " + P.ENG_SPLIT_CTES + ",\n" + P.PARAMS_CTE + ",\n" + _RAW_PARSED + ",\n" + S.engineered_cte("form", "feng")
+            + f",\nchecked AS (SELECT *, {_ERRORS} AS errors FROM feng)")
+
+
+@register("score_features", _SCORING + "\nSELECT application_id, " + ", ".join(f'{S.R(x)} AS "{n}"' for n, x in zip(_FEATURE_NAMES, _features_sql("checked")))
+          + " FROM checked CROSS JOIN params WHERE errors = ''")
+def q_score_features(spark, sf_dir):
+    """Model features of the valid raw applications, with the parameters fitted
+    on the training rows and without the cleaning caps."""
+    df = score.score_features(raw_apps(spark, sf_dir), prepared(spark, sf_dir))
+    return round_doubles(df.where("is_valid").drop("is_valid", "errors", "raw"))
+
+
+@register("score_rejects", _SCORING + "\nSELECT application_id, errors FROM checked WHERE errors <> ''")
+def q_score_rejects(spark, sf_dir):
+    """Raw applications that cannot be scored, with the reasons."""
+    return score.reject_frame(raw_apps(spark, sf_dir), prepared(spark, sf_dir)).select(KEY, "errors")
+
+
+def _linear_sql() -> str:
+    k, n = range(3), range(len(_FEATURE_NAMES))
+    stats = [f"avg(x{i}) FILTER (WHERE label = {c}) AS m{c}_{i}" for c in k for i in n]
+    stats += ["(" + " + ".join(f"count(*) FILTER (WHERE label = {c}) * var_pop(x{i}) FILTER (WHERE label = {c})" for c in k) + f") / count(*) AS s{i}" for i in n]
+    stats += [f"count(*) FILTER (WHERE label = {c}) / count(*) AS prior{c}" for c in k]
+    stats += [f"regr_slope(y, x{i}) AS b{i}, regr_intercept(y, x{i}) AS a{i}, var_pop(x{i}) AS v{i}" for i in n]
+    margin = lambda c: f"ln(prior{c}) + " + " + ".join(f"CASE WHEN s{i} > {linear.VARIANCE} THEN (x.x{i} - m{c}_{i} / 2) * m{c}_{i} / s{i} ELSE 0 END" for i in n)
+    used = " + ".join(f"CASE WHEN v{i} > {linear.VARIANCE} THEN 1 ELSE 0 END" for i in n)
+    amount = "(" + " + ".join(f"CASE WHEN v{i} > {linear.VARIANCE} THEN a{i} + b{i} * x.x{i} ELSE 0 END" for i in n) + f") / ({used})"
+    top = "greatest(z0, z1, z2)"
+    total = f"(exp(z0 - {top}) + exp(z1 - {top}) + exp(z2 - {top}))"
+    return _SCORING + f""",
+f AS (SELECT {P.LABEL_SQL} AS label, Max_Monthly_Emi AS y, {_AS('sp')} FROM sp CROSS JOIN params WHERE split = 'train'),
+st AS (SELECT {', '.join(stats)} FROM f),
+x AS (SELECT application_id, {_AS('checked')} FROM checked CROSS JOIN params WHERE errors = ''),
+z AS (SELECT application_id, {', '.join(f'{margin(c)} AS z{c}' for c in k)}, {amount} AS amount FROM x CROSS JOIN st),
+r AS (SELECT application_id, amount, {', '.join(f'exp(z{c} - {top}) / {total} AS p{c}' for c in k)}, CASE WHEN z0 >= z1 AND z0 >= z2 THEN 0 WHEN z1 >= z2 THEN 1 ELSE 2 END AS c FROM z)
+SELECT application_id, CAST(c AS INTEGER) AS eligibility_class, CASE c WHEN 0 THEN 'Eligible' WHEN 1 THEN 'High_Risk' ELSE 'Not_Eligible' END AS eligibility_label,
+  {S.R('greatest(p0, p1, p2)')} AS confidence, {S.R('CASE WHEN c < 2 THEN amount ELSE 0.0 END')} AS emi_amount,
+  {S.R('p0')} AS "prob_Eligible", {S.R('p1')} AS "prob_High_Risk", {S.R('p2')} AS "prob_Not_Eligible" FROM r"""
+
+
+@register("score_linear", _linear_sql())
+def q_score_linear(spark, sf_dir):
+    """Raw applications scored by two linear models that are fitted on the
+    training rows and compiled to one projection."""
+    p = prepared(spark, sf_dir)
+    train = p.table.where(F.col("split") == "train")
+    cls = linear.diagonal_discriminant(train, p.feature_cols, "label", 3)
+    reg = linear.averaged_slopes(train, p.feature_cols, TARGET_REG)
+    return round_doubles(score.score_frame(raw_apps(spark, sf_dir), p, cls, reg))

@@ -7,6 +7,7 @@ import math
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
 
@@ -73,25 +74,94 @@ def test_oracle_agreement(spark, name):
     assert _digest(sp) == _digest(dd)
 
 
-def test_score_stream(spark, tmpdir_path):
+@pytest.fixture(scope="module")
+def fitted(spark):
     from affordspark.operators import models
     from affordspark.plans import prepare
     from affordspark.plans import train as T
     from affordspark.plans.catalog import raw_apps
-    from affordspark.streaming.score import score_frame, score_stream
-
     raw = raw_apps(spark, SF_SMALL)
     p = prepare.prepare_features(prepare.clean_stage(raw))
     cls_in = T.model_input(p, T.CLS, ["train", "val"], None)
     reg_in = T.model_input(p, T.REG, ["train", "val"], None)
-    clf = models.model_factory("Decision_Tree", T.CLS, {"max_depth": 4}).fit(cls_in)
-    reg = models.model_factory("Decision_Tree", T.REG, {"max_depth": 4}).fit(reg_in)
-    src = os.path.join(tmpdir_path, "incoming")
-    raw.write.mode("overwrite").parquet(src)
-    q = score_stream(spark, src, raw.schema, p, clf, reg, sink="memory", query_name="scored_t",
-                     checkpoint=os.path.join(tmpdir_path, "ckpt"))
+    fit = lambda name, task, df, **k: models.model_factory(name, task, k).fit(df)
+    return {"raw": raw, "prepared": p, "trees": (fit("Decision_Tree", T.CLS, cls_in, max_depth=4), fit("Decision_Tree", T.REG, reg_in, max_depth=4)),
+            "linear": (fit("Logistic_Regression", T.CLS, cls_in, max_iter=20), fit("Linear_Regression", T.REG, reg_in))}
+
+
+def test_linear_models_as_one_expression(spark, fitted):
+    """The compiled expressions give what the Spark ML models give, and the plan
+    has neither a join nor a Python worker."""
+    from affordspark.operators.linear import linear_parts
+    from affordspark.streaming.score import score_frame
+    p, models_ = fitted["prepared"], fitted["linear"]
+    want = {r["application_id"]: r for r in score_frame(fitted["raw"], p, *models_).collect()}
+    compiled = score_frame(fitted["raw"], p, *[linear_parts(m, p.feature_cols) for m in models_])
+    got = {r["application_id"]: r for r in compiled.collect()}
+    assert set(got) == set(want) and len(got) > 1000
+    for k, r in got.items():
+        assert (r["eligibility_class"], r["eligibility_label"]) == (want[k]["eligibility_class"], want[k]["eligibility_label"])
+        assert all(math.isclose(r[c], want[k][c], rel_tol=1e-6, abs_tol=1e-6) for c in compiled.columns if isinstance(r[c], float))
+    plan = compiled._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Python" not in plan and "Exchange" not in plan
+
+
+def test_discriminant_and_slopes(spark):
+    import random
+
+    import numpy as np
+    from affordspark.operators import linear
+    r = random.Random(2)
+    rows = [(float(c + r.gauss(0, 1)), float(r.gauss(0, 2)), 5.0, c) for c in (0, 1) for _ in range(50)]
+    df = spark.createDataFrame([(*x, 3 * x[0] + 1) for x in rows], "a double, b double, k double, c int, y double")
+    m = linear.diagonal_discriminant(df, ["a", "b", "k"], "c", 3)
+    x, c = np.array([x[:2] for x in rows]), np.array([x[3] for x in rows])
+    var = np.mean([x[c == i].var(axis=0) for i in (0, 1)], axis=0)
+    for i in (0, 1):
+        assert np.allclose(m.coefficients[i], [*(x[c == i].mean(axis=0) / var), 0.0])
+    assert m.intercepts[2] == -1e30 and m.coefficients[2] == [0.0] * 3  # a class without rows never wins
+    s = linear.averaged_slopes(df, ["a", "k"], "y")  # the constant has no say
+    assert np.allclose(s.coefficients, [[3.0, 0.0]]) and np.allclose(s.intercepts, [1.0])
+
+
+@pytest.mark.parametrize("kind", ["trees", "linear"])
+def test_score_stream_restarts(spark, tmpdir_path, fitted, kind, monkeypatch):
+    """Three files, three micro-batches; the second batch fails after its scored
+    table was written. After the restart and a fourth file every row is there
+    once, scored or rejected."""
+    from affordspark.operators.linear import linear_parts
+    from affordspark.streaming import score
+    raw, p, models_ = fitted["raw"], fitted["prepared"], fitted[kind]
+    if kind == "linear":
+        models_ = [linear_parts(m, p.feature_cols) for m in models_]
+    source, out, checkpoint = (os.path.join(tmpdir_path, x) for x in ("incoming", "out", "checkpoint"))
+    part = lambda i: raw.where(F.col("application_id") % 4 == i).coalesce(1).write.mode("append").parquet(source)
+    for i in range(3):
+        part(i)
+    args = (spark, source, raw.schema, p, *models_, out, checkpoint)
+    with pytest.raises(ValueError):
+        score.score_stream(*args[:-1], "")
+    rejected = score.reject_frame
+    calls = []
+
+    def failing(*a, **k):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        return rejected(*a, **k)
+    monkeypatch.setattr(score, "reject_frame", failing)
+    q = score.score_stream(*args, query_name=f"first_{kind}", files_per_batch=1)
+    with pytest.raises(Exception):
+        q.awaitTermination(300)
+    monkeypatch.setattr(score, "reject_frame", rejected)
+    part(3)
+    q = score.score_stream(*args, query_name=f"second_{kind}", files_per_batch=1)
     q.awaitTermination(300)
-    streamed = spark.table("scored_t")
-    batch = score_frame(raw, p, clf, reg)
-    assert streamed.count() == batch.count() > 0
-    assert streamed.exceptAll(batch).count() == 0
+    scored, bad = (spark.read.parquet(os.path.join(out, x)) for x in ("scored", "rejected"))
+    assert scored.select("batch").distinct().count() == 4
+    ids = [r["application_id"] for r in scored.select("application_id").union(bad.select("application_id")).collect()]
+    assert len(ids) == len(set(ids)) == raw.count() and bad.count() > 0
+    want = score.score_frame(raw, p, *models_)
+    assert scored.drop("batch").exceptAll(want).count() == 0 and scored.count() == want.count()
+    some = bad.first()
+    assert some["errors"] and f'"application_id":{some["application_id"]}' in some["raw"]

@@ -157,10 +157,11 @@ def class_distribution(df: DataFrame, label: str) -> DataFrame:
 
 
 def target_summary(df: DataFrame, reg: str, clf: str) -> DataFrame:
-    """min / max of the regression target, row count, sorted distinct classes."""
-    return df.agg(F.count(F.lit(1)).alias("n"), F.min(reg).alias("reg_min"),
-                  F.max(reg).alias("reg_max"),
-                  F.array_sort(F.collect_set(F.col(clf))).alias("classes"))
+    """min / max of the regression target, row count, sorted distinct classes
+    (not NULL). Reduced to a row a class first."""
+    per = df.groupBy(F.col(clf).alias("class")).agg(F.count(F.lit(1)).alias("n"), F.min(reg).alias("reg_min"), F.max(reg).alias("reg_max"))
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.min("reg_min").alias("reg_min"), F.max("reg_max").alias("reg_max"),
+                   F.array_sort(F.collect_list("class")).alias("classes"))
 
 
 def metric_rows(wide: DataFrame, id_cols, metric_cols) -> DataFrame:

@@ -19,7 +19,7 @@ from affordspark.plans.common import round_doubles
 from affordspark.plans.q_prepare import LABEL_SQL
 from affordspark.operators import clean
 from affordspark.schema import MODEL_NAME_CLASSIFICATION, MODEL_NAME_REGRESSION, PROMOTION_STAGE
-from affordspark.sources.io import read_table
+from affordspark.sources.io import materialize, read_table
 
 # rule "models" (same text on Spark and DuckDB)
 ACTUAL = LABEL_SQL
@@ -188,22 +188,31 @@ def q_pred_range(spark, sf_dir):
 
 # ---- selection over per-segment metrics ---------------------------------------
 
-def segment_metrics(spark, sf_dir, tuned: bool = False):
-    """Long (task, model, metric, value): each market segment / loan scenario
-    plays one candidate model."""
+def segment_metrics_of(spark, sf_dir, variants):
+    """Long (variant, task, model, metric, value): each market segment / loan
+    scenario plays one candidate model; the rule sets ``variants`` (base, tuned)
+    are measured in the same pass over the rows."""
+    def stacked(df, column):
+        both = {"base": f"{column}_base" if column == "yhat" else column, "tuned": column if column == "yhat" else f"{column}_tuned"}
+        return F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), F.col(both[v]).alias("p")) for v in variants])).alias("v")
     op = order_predictions(spark, sf_dir)
-    reg = metrics.reg_metrics(op, "y", "yhat" if tuned else "yhat_base", by=["c_mktsegment"]) \
-        .withColumnRenamed("c_mktsegment", "model")
+    op = op.select(F.col("c_mktsegment").alias("model"), "y", stacked(op, "yhat")).select("model", "y", "v.*")
+    reg = metrics.reg_metrics(op, "y", "p", by=["variant", "model"])
     sc = scored_apps(spark, sf_dir)
-    cls = metrics.cls_metrics(sc, "actual", "predicted_tuned" if tuned else "predicted",
-                              by=["Emi_Scenario"]).withColumnRenamed("Emi_Scenario", "model")
-    r = metrics.metric_rows(reg.withColumn("task", F.lit("regression")), ["task", "model"],
+    sc = sc.select(F.col("Emi_Scenario").alias("model"), "actual", stacked(sc, "predicted")).select("model", "actual", "v.*")
+    cls = metrics.cls_metrics(sc, "actual", "p", by=["variant", "model"])
+    r = metrics.metric_rows(reg.withColumn("task", F.lit("regression")), ["variant", "task", "model"],
                             ["rmse", "mae", "r2_score", "mape"])
-    c = metrics.metric_rows(cls.withColumn("task", F.lit("classification")), ["task", "model"],
+    c = metrics.metric_rows(cls.withColumn("task", F.lit("classification")), ["variant", "task", "model"],
                             ["accuracy", "precision", "recall", "f1_score"])
     return r.unionByName(c)
 
 
+def segment_metrics(spark, sf_dir, tuned: bool = False):
+    """Long (task, model, metric, value) of one rule set."""
+    return segment_metrics_of(spark, sf_dir, ["tuned" if tuned else "base"]).drop("variant")
+
+
 def _segment_sql(tuned: bool) -> str:
     yhat = "yhat" if tuned else "yhat_base"
     pred = "predicted_tuned" if tuned else "predicted"
@@ -265,9 +274,8 @@ FROM (SELECT * FROM seg WHERE {pick}) b LEFT JOIN (SELECT * FROM seg2 WHERE {pic
 
 @register("tuned_replaces", _tuned_sql())
 def q_tuned_replaces(spark, sf_dir):
-    base = round_doubles(segment_metrics(spark, sf_dir))
-    tuned = round_doubles(segment_metrics(spark, sf_dir, tuned=True))
-    return selection.tuned_replaces(base, tuned)
+    both = materialize(round_doubles(segment_metrics_of(spark, sf_dir, ["base", "tuned"])), "segments")  # a few rows a segment
+    return selection.tuned_replaces(*[both.where(F.col("variant") == v).drop("variant") for v in ("base", "tuned")])
 
 
 @register("promotion_gate", SEG_PREFIX + _segment_sql(True) + """

@@ -12,7 +12,7 @@ from affordspark.plans import prepare
 from affordspark.plans import q_prepare as P
 from affordspark.plans import sqlparts as S
 from affordspark.plans import train as T
-from affordspark.plans.catalog import raw_apps, register
+from affordspark.plans.catalog import parsed_apps, raw_apps, register
 from affordspark.plans.common import round_doubles
 from affordspark.schema import CATEGORICAL_COLS, KEY, TARGET_REG
 from affordspark.sources.io import read_table
@@ -54,10 +54,10 @@ SELECT {key}, label, base_id, CAST(copy_no AS INT) AS copy_no, synthetic,
   array_to_string(list_transform(v, lambda z: CAST(CAST({number} AS BIGINT) AS VARCHAR)), ',') AS vector FROM o"""
 
 
-def _as_text(df, key: str, vec: str, number):
+def _as_text(df, key: str, vec: str, number, *more):
     """Resampled rows with whole numbers for coordinates, key -1 for synthetic rows."""
     text = F.array_join(F.transform(vec, lambda z: number(z).cast("bigint").cast("string")), ",")
-    return df.select(F.coalesce(key, F.lit(-1).cast("bigint")).alias(key), "label", "base_id", "copy_no", "synthetic", text.alias("vector"))
+    return df.select(F.coalesce(key, F.lit(-1).cast("bigint")).alias(key), "label", "base_id", "copy_no", "synthetic", text.alias("vector"), *more)
 
 
 _EMBEDDINGS = "e AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS v FROM embeddings)"
@@ -84,6 +84,19 @@ def q_smote_embeddings(spark, sf_dir):
     return _as_text(resample.smote(e, "vec_id", "label", "embedding"), "vec_id", "embedding", lambda z: F.round(z * 1000000))
 
 
+_FOLDED = _EMBEDDINGS.replace("e AS", "e0 AS") + """, f AS (SELECT *, CAST((row_number() OVER (PARTITION BY label ORDER BY md5('42|' || CAST(vec_id AS VARCHAR)), vec_id) - 1) % 3 AS INTEGER) AS fold FROM e0)"""
+
+
+@register("smote_per_fold", f"WITH {_FOLDED} " + " UNION ALL ".join(
+    f"SELECT {i} AS for_fold, * FROM (WITH e AS (SELECT vec_id, label, v FROM f WHERE fold <> {i}), {_smote_sql('vec_id', 'round(z * 1000000)')})" for i in range(3)))
+def q_smote_per_fold(spark, sf_dir):
+    """Embeddings resampled for each of three stratified folds by itself."""
+    from affordspark.operators import split
+    e = split.cv_folds(read_table(spark, sf_dir, "embeddings"), 3, label="label", key="vec_id", exact=True)
+    out = resample.smote_per_fold(e, "vec_id", "label", "embedding")
+    return _as_text(out, "vec_id", "embedding", lambda z: F.round(z * 1000000), "for_fold")
+
+
 @register("knn_within_class", f"WITH {_EMBEDDINGS},\n{_near_sql('vec_id')} SELECT vec_id, label, rank, nn_id, {S.R('dist')} AS dist FROM near")
 def q_knn(spark, sf_dir):
     e = read_table(spark, sf_dir, "embeddings")
@@ -97,7 +110,7 @@ SELECT application_id, Emi_Eligibility,
   {S.R("CAST(count(*) OVER () AS DOUBLE) / (3 * count(*) OVER (PARTITION BY Emi_Eligibility))")} AS weight
 FROM cleaned"""))
 def q_class_weights(spark, sf_dir):
-    c = prepare.clean_stage(raw_apps(spark, sf_dir)).select(KEY, "Emi_Eligibility")
+    c = parsed_apps(spark, sf_dir).select(KEY, "Emi_Eligibility")  # the caps drop no row and leave labels alone
     return round_doubles(resample.class_weights(c, "Emi_Eligibility"))
 
 

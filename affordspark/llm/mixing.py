@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from affordspark.llm.quality_rules import _trimmed, _words
-from affordspark.llm.storage import written
+from affordspark.llm.storage import dropped, tagged, written
 
 DIGITS = 3  # hex digits of the coarse order: 4096 sums a leaf
 MOST_BROADCAST = 200_000  # leaves up to which the table of cuts is broadcast
@@ -117,20 +117,25 @@ def mix(docs: DataFrame, levels: dict[str, Column | None], weights: list, budget
     tokens = word_tokens() if tokens is None else tokens
     new = [n for n in names if levels[n] is not None]
     taken = {*new, "n_tokens", "epoch"}
-    named = {c: f"{c}_in" if c in taken else c for c in docs.columns}
     value = {n: F.col(n) if levels[n] is None else levels[n] for n in names}
-    inner = [f"n{i}_" for i in range(len(names))]
+    # inside, all columns have names that docs cannot have
+    inner, mine, level = (tagged(*[f"{x}{i}" for i in range(n)]) for x, n in (("n", len(names)), ("d", len(docs.columns)), ("l", len(new))))
+    size, number, key_ = tagged("tokens", "times", "key")
     node = [F.concat(F.when(value[n].isNull(), "").otherwise("="), F.coalesce(value[n].cast("string"), F.lit(""))).alias(c) for n, c in zip(names, inner)]
-    full = docs.select(*[F.col(c).alias(x) for c, x in named.items()], *[levels[n].alias(n) for n in new], *node, tokens.alias("n_tokens"))
-    rows = written(full.select(*inner, F.col(named[key]).alias("key_"), F.col("n_tokens").alias("tokens")), "mix")
+    whole = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(docs.columns, mine)], *[levels[n].alias(x) for n, x in zip(new, level)],
+                        F.col(f"`{key}`").alias(key_), *node, tokens.alias(size))
+    rows = written(whole.select(*inner, F.col(key_).alias("key_"), F.col(size).alias("tokens")), "mix")
     # inside, a value is "=" and its text, or "" for null
     plain = {n: F.when(F.col(c) != "", F.substr(F.col(c), F.lit(2))) for n, c in zip(names, inner)}
     decided = written(cuts(rows, inner, [w(plain) for w in weights], budget, seed, max_epochs, "key_"), "cuts")
-    joined = full.join(_small(decided.select(*inner, "full", "cut", "budget")), inner)
-    more = F.coalesce((_place(seed, F.col("full"), F.col(named[key])) <= F.col("cut")).cast("int"), F.lit(0))
+    dropped(rows)
+    joined = whole.join(_small(decided.select(*inner, "full", "cut", "budget")), inner)
+    more = F.coalesce((_place(seed, F.col("full"), F.col(key_)) <= F.col("cut")).cast("int"), F.lit(0))
     n = F.when(F.col("budget") > 0, F.col("full") + more).otherwise(0).cast("int")
-    out = joined.withColumn("n_", n).where("n_ > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("n_") - 1)))
-    return out.select(*named.values(), *new, "n_tokens", "epoch")
+    out = joined.withColumn(number, n).where(F.col(number) > 0)
+    return out.select(*[F.col(x).alias(f"{c}_in" if c in taken else c) for c, x in zip(docs.columns, mine)],
+                      *[F.col(x).alias(c) for c, x in zip(new, level)], F.col(size).alias("n_tokens"),
+                      F.explode(F.sequence(F.lit(0), F.col(number) - 1)).alias("epoch"))
 
 
 def by_name(level: str, table: dict[str, float], default: float):

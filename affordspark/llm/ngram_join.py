@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from affordspark.llm import arrays
 from affordspark.llm.components import connected_components
-from affordspark.llm.storage import dropped, parts_for, text_bytes_of, written
+from affordspark.llm.storage import dropped, parts_for, tagged, text_bytes_of, written
 
 U64 = np.uint64
 ORDER_BUCKETS = 1 << 22  # counters of the n-gram order: 16 MB, fixed
@@ -271,8 +271,9 @@ def _shared_postings(reps: DataFrame, bits: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, threshold: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id, text_hash) for every row of docs
-    (doc_id, text); text_hash is xxhash64 of the text.
+    """(doc_id, n_shingles, component_id, text_hash, component) for every row of
+    docs (doc_id, text); text_hash is xxhash64 of the text, component a name of
+    the row's component that is null for the empty set alone.
 
     component_id is the smallest doc_id reachable by links, the row's own
     included. A null, empty or word-free text has the empty set and links with
@@ -329,28 +330,30 @@ def jaccard_components(docs: DataFrame, k: int = 4, threshold: int = 85) -> Data
              .select("cls", F.coalesce("component", "comp").alias("comp")))
     named = classes.select("cls", "least").join(final, "cls")
     least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    names = named.join(least, "comp").select("cls", "component_id")
+    names = named.join(least, "comp").select("cls", "component_id", F.col("comp").alias("component"))
     out = (made.select("doc_id", "th", "n", F.when(F.col("n") > 0, F.xxhash64("n", "set_a", "set_b")).alias("cls"))
            .join(names, "cls", "left")
            .select("doc_id", F.col("n").alias("n_shingles"),
-                   F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("th").alias("text_hash")))
+                   F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("th").alias("text_hash"), "component"))
     dropped(lists, links, more, members)
     return out
 
 
 def one_of_each(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     """docs (doc_id, text and any other columns) with one row of each component
-    of near copies: the one with the least doc_id; a row that stands there
-    several times stays once. Rows without words have no copies and all stay,
-    and so do rows with a null doc_id that are linked to no row with one. An
+    of near copies: the one with the least doc_id (null comes last), of several
+    texts of that id the one with the least hash; a row that stands there
+    several times stays once. Rows without words have no copies and all stay. An
     empty table stays empty."""
     parts = written(jaccard_components(docs.select("doc_id", "text"), k, threshold), "near")
-    stay = (parts.where((F.col("n_shingles") == 0) | F.col("component_id").eqNullSafe(F.col("doc_id")))
-            .select(F.col("doc_id").alias("d_"), F.col("text_hash").alias("h_")).distinct())
+    first = parts.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("r"))
+    i, x, d, h = tagged("id", "text", "d", "h")
+    stay = (first.select("r.doc_id", "r.text_hash").unionByName(parts.where("n_shingles = 0").select("doc_id", "text_hash"))
+            .select(F.col("doc_id").alias(d), F.col("text_hash").alias(h)).distinct())
     repeated = not parts.where("n_shingles > 0").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).isEmpty()
-    keyed = docs.withColumns({"x_": F.xxhash64("text"), "i_": F.col("doc_id").cast("long")})
-    kept = keyed.join(stay, F.col("i_").eqNullSafe(F.col("d_")) & (F.col("x_") == F.col("h_")), "left_semi")
+    keyed = docs.withColumns({x: F.xxhash64("text"), i: F.col("doc_id").cast("long")})
+    kept = keyed.join(stay, F.col(i).eqNullSafe(F.col(d)) & (F.col(x) == F.col(h)), "left_semi")
     if repeated:
-        worded = F.col("text").isNotNull() & (F.btrim("text", F.lit(" \t\n\x0b\x0c\r")) != "") & F.col("doc_id").isNotNull()
-        kept = kept.where(~F.coalesce(worded, F.lit(False))).unionByName(kept.where(worded).dropDuplicates(["i_", "x_"]))
-    return kept.drop("x_", "i_")
+        worded = F.col("text").isNotNull() & (F.btrim("text", F.lit(" \t\n\x0b\x0c\r")) != "")
+        kept = kept.where(~F.coalesce(worded, F.lit(False))).unionByName(kept.where(worded).dropDuplicates([i, x]))
+    return kept.drop(x, i)

@@ -65,6 +65,12 @@ def dropped(*frames: DataFrame) -> None:
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def tagged(*names: str) -> list[str]:
+    """Column names of our own that no table has."""
+    tag = uuid.uuid4().hex[:8]
+    return [f"{n}_{tag}" for n in names]
+
+
 def parts_for(nbytes: int, each: int, least: int) -> int:
     return max(least, math.ceil(nbytes / each))
 

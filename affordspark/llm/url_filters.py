@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from affordspark.llm.components import connected_components
-from affordspark.llm.storage import written
+from affordspark.llm.storage import tagged, written
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -110,15 +110,16 @@ def judge(pages: DataFrame, rules: list[Rule], edges: DataFrame, keep: list[str]
     table leaves the rules; kept columns named like a result get the suffix
     _in."""
     made = {"host", "path", "rule", "verdict", "source"}
-    named = pages.select(*[F.col(c).alias(f"{c}_in" if c in made else c) for c in keep], F.col(url).alias("u_"))
-    judged = with_rules(named, rules, "u_")
+    mine = tagged(*[f"k{i}" for i in range(len(keep))])
+    u, node = tagged("url", "node")
+    named = pages.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(keep, mine)], F.col(url).alias(u))
+    judged = with_rules(named, rules, u)
     comps = connected_components(edges, "src", "dst")
     of = written(with_rules(comps, rules, "node").select("node", "component", F.col("verdict").alias("own")), "aliases")
     by = of.groupBy("component").agg(F.bool_or(F.col("own") == "allow").alias("allowed"), F.bool_or(F.col("own") == "block").alias("blocked"))
-    verdicts = of.join(by, "component").select("node", F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").alias("alias_verdict"))
+    verdicts = of.join(by, "component").select(F.col("node").alias(node), F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").alias("alias_verdict"))
     # only pages without a rule look at the aliases; null nodes meet none
-    out = judged.withColumn("n_", F.when(F.col("verdict").isNull(), node_of(F.col("u_")))).join(
-        verdicts.where("alias_verdict IS NOT NULL").withColumnRenamed("node", "n_"), "n_", "left")
-    return out.select(*[c for c in named.columns if c != "u_"], "host", "path", "rule",
+    out = judged.withColumn(node, F.when(F.col("verdict").isNull(), node_of(F.col(u)))).join(verdicts.where("alias_verdict IS NOT NULL"), node, "left")
+    return out.select(*[F.col(x).alias(f"{c}_in" if c in made else c) for c, x in zip(keep, mine)], "host", "path", "rule",
                       F.coalesce("verdict", "alias_verdict", F.lit(default)).alias("verdict"),
                       F.when(F.col("rule").isNotNull(), "rule").when(F.col("alias_verdict").isNotNull(), "alias").otherwise("default").alias("source"))

@@ -11,8 +11,9 @@ segmentation, in descending order, and nothing is searched in vain.
 
 The lattice's mass comes from a backward log-sum over the pieces that start at
 each character. It factors at places that no piece crosses (before a run of
-spaces), so equal words share one lattice; all lattices of a slice of texts and
-all paths through them are built together with numpy. Random numbers are hashes
+spaces), so equal words share one lattice, which a worker remembers; the new
+lattices of a slice of texts are built together, and all paths through them are
+walked together with numpy. Random numbers are hashes
 of the row key, so neither partitions nor batches change a sample.
 
 Piece weights are Zipf's law over the model's merge ranks (-score):
@@ -22,8 +23,7 @@ is trained.
 
 from __future__ import annotations
 
-from collections import defaultdict
-from itertools import count
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,9 @@ _SPREAD = U64(0xD1342543DE82EF95)
 _A, _B = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
 # second counters of the draws that are not steps of a walk
 _ROOT, _NODE, _PICK, _REST = (x << 40 for x in (1, 2, 3, 4))
-SLICE = 1 << 20  # text bytes whose lattices are built together; a longer text is a slice of its own
+SLICE = 1 << 20  # text bytes whose paths are searched together; a longer text is a slice of its own
+MOST_EDGES, MOST_UNITS = 3_000_000, 300_000  # remembered by a worker; the slice at hand may need more
+WALKED = 1 << 17  # units that are walked at a time
 _DECODED = 1 << 16  # tokens decoded at a time, unless a run has more
 _FIRST = 512  # edges of a path whose nodes are made with those of the other paths
 _HIGHEST = 38.0  # above -log(-log u) for the largest u that _uniform gives
@@ -142,14 +144,15 @@ class Vocabulary:
 
 
 def split_units(units: list[str], v: Vocabulary):
-    """Units cut at all places that no piece crosses. Returns the code points
-    and lengths of the distinct parts, the parts of all units one after the
-    other, and where each unit's begin. Parts are told apart by 64-bit hashes."""
+    """Units cut at all places that no piece crosses. Returns the code points,
+    lengths and hashes of the distinct parts, the parts of all units one after
+    the other, and where each unit's begin. Parts are told apart by 64-bit
+    hashes."""
     lengths = np.array([len(u) for u in units], dtype=np.int64)
     ends = np.cumsum(lengths)
     code = np.frombuffer("".join(units).encode("utf-32-le"), dtype="<u4").astype(np.int64)
     if not len(code):
-        return code, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(units) + 1, np.int64)
+        return code, np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(len(units) + 1, np.int64)
     pair = (code[:-1] << 32) | code[1:]
     at = np.minimum(np.searchsorted(v.inside, pair), len(v.inside) - 1)
     begins = np.ones(len(code), dtype=bool)
@@ -160,11 +163,11 @@ def split_units(units: list[str], v: Vocabulary):
     with np.errstate(over="ignore"):
         sums = np.concatenate([np.zeros(1, U64), np.cumsum(arrays.mix(code.astype(U64)) * arrays._power(arrays._BASE, len(code)))])
         h = (sums[start + size] - sums[start]) * arrays._power(arrays._INVERSE, len(code))[start] + size.astype(U64)
-    _, one, parts = np.unique(h, return_index=True, return_inverse=True)
+    told, one, parts = np.unique(h, return_index=True, return_inverse=True)
     part_size = size[one]
     upto = np.cumsum(part_size)
     chars = code[np.repeat(start[one] - (upto - part_size), part_size) + np.arange(upto[-1])]
-    return chars, part_size, parts, np.append(np.searchsorted(start, ends - lengths), len(start))
+    return chars, part_size, told, parts, np.append(np.searchsorted(start, ends - lengths), len(start))
 
 
 def vocabulary(path: str, temperature: float) -> Vocabulary:
@@ -275,6 +278,10 @@ class Lattice:
         """Random paths from each position to its unit's end: edges in order
         and the number of edges of each. ``which`` numbers the units within
         their text."""
+        made = [self._walked(*(x[a:a + WALKED] for x in (position, key)), sample, which[a:a + WALKED]) for a in range(0, len(position), WALKED)]
+        return tuple(np.concatenate(x) for x in zip(*made)) if made else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+
+    def _walked(self, position: np.ndarray, key: np.ndarray, sample: int, which: np.ndarray):
         n = len(position)
         at = position.copy()
         live = np.flatnonzero(self.row[at + 1] > self.row[at])
@@ -294,14 +301,83 @@ class Lattice:
             at[live] = self.dst[e]
             live = live[self.row[at[live] + 1] > self.row[at[live]]]
             step += 1
-        ends = np.cumsum(counts)
-        out = np.empty(int(ends[-1]) if n else 0, dtype=np.int64)
-        begin = ends - counts
+        begin = np.cumsum(counts) - counts
+        out = np.empty(int(counts.sum()), dtype=np.int32)
         for i, (who, e) in enumerate(steps):
             out[begin[who] + i] = e
         return out, counts
 
 
+class Memo:
+    """Lattices of the units that a worker has met, one growing lattice; begun
+    anew when it is large. Equal parts share their place whatever the unit."""
+
+    def __init__(self, v: Vocabulary):
+        self.v = v
+        self.clear()
+
+    def clear(self) -> None:
+        self.unit: dict[str, int] = {}
+        self.part: dict[int, int] = {}
+        self.n = {"begin": 0, "row": 1, "edge": 0, "part": 0, "part_at": 1}  # used of the arrays
+        self.held = {"begin": np.zeros(1 << 10, np.int64), "row": np.zeros(1 << 10, np.int64), "part": np.zeros(1 << 10, np.int64), "part_at": np.zeros(1 << 10, np.int64)}
+        self.held |= {n: np.zeros(1 << 10, t) for n, t in _EDGES.items()}
+
+    def _put(self, name: str, count: str, new: np.ndarray) -> None:
+        have, n = self.held[name], self.n[count]
+        if n + len(new) > len(have):
+            grown = np.zeros(max(2 * len(have), n + len(new)), have.dtype)
+            grown[:n] = have[:n]
+            self.held[name] = have = grown
+        have[n:n + len(new)] = new
+
+    def _add(self, lat: Lattice) -> None:
+        positions, edges = self.n["row"] - 1, self.n["edge"]
+        self._put("begin", "begin", lat.begin[:-1] + positions)
+        self._put("row", "row", lat.row[1:] + edges)
+        for name in _EDGES:
+            self._put(name, "edge", getattr(lat, name) + (positions if name == "dst" else 0))
+        self.n["begin"] += len(lat.begin) - 1
+        self.n["row"] += len(lat.row) - 1
+        self.n["edge"] += len(lat.dst)
+
+    def lattice(self) -> Lattice:
+        out = Lattice.__new__(Lattice)
+        out.begin, out.row = self.held["begin"][:self.n["begin"]], self.held["row"][:self.n["row"]]
+        for name in _EDGES:
+            setattr(out, name, self.held[name][:self.n["edge"]])
+        return out
+
+    def units(self, texts: list[str]) -> list[np.ndarray]:
+        """Unit numbers of every text; new units are made."""
+        if self.n["edge"] > MOST_EDGES or len(self.unit) > MOST_UNITS:
+            self.clear()
+        words = [((_words(t) if self.v.words_stand_alone else [t]) if t else ()) for t in texts]
+        known = self.unit
+        new = list(set(chain.from_iterable(words)).difference(known))
+        if new:
+            known.update(zip(new, range(len(known), len(known) + len(new))))
+            chars, sizes, told, parts, part_at = split_units([_SPACE + w.replace(" ", _SPACE) for w in new], self.v)
+            number, fresh = np.empty(len(told), dtype=np.int64), np.zeros(len(told), dtype=bool)
+            for i, h in enumerate(told.tolist()):
+                n = self.part.get(h)
+                if n is None:
+                    n = self.part[h] = len(self.part)
+                    fresh[i] = True
+                number[i] = n
+            if fresh.any():
+                self._add(Lattice(chars[np.repeat(fresh, sizes)], sizes[fresh], self.v))
+            self._put("part_at", "part_at", part_at[1:] + self.n["part"])
+            self._put("part", "part", number[parts])
+            self.n["part_at"] += len(new)
+            self.n["part"] += len(parts)
+        return [np.fromiter(map(known.__getitem__, ws), dtype=np.int64, count=len(ws)) for ws in words]
+
+
+_EDGES = {"dst": np.int32, "piece": np.int32, "log_q": np.float64, "upto": np.float64, "log_others": np.float64, "q": np.float64}
+_memos: dict[tuple[str, float], Memo] = {}
+
+
 def _mixed(key, sample):
     with np.errstate(over="ignore"):
         return arrays.mix(np.asarray(key, dtype=U64) * U64(0xD1342543DE82EF95) + U64(sample))
@@ -407,13 +483,11 @@ def add_paths(lat: Lattice, new: list, wanted: int):
         x[0].extend(lat, len(x[0].found) - 1, x[4], [values[e - n:e]], float(a), x[4] + int(n), 4 * _FIRST, wanted)
 
 
-def sample(texts: list[str], keys: np.ndarray, k: int, v: Vocabulary):
+def sample(texts: list[str], keys: np.ndarray, k: int, v: Vocabulary, memo: Memo | None = None):
     """For each text its Paths with up to k segmentations, and the lattice."""
-    known: defaultdict[str, int] = defaultdict(count().__next__)
-    number = known.__getitem__
-    units = [np.fromiter(map(number, (_words(t) if v.words_stand_alone else [t]) if t else ()), dtype=np.int64) for t in texts]
-    chars, sizes, parts, part_at = split_units([_SPACE + w.replace(" ", _SPACE) for w in known], v)
-    lat = Lattice(chars, sizes, v)
+    memo = memo or Memo(v)
+    units = memo.units(texts)
+    lat, parts, part_at = memo.lattice(), memo.held["part"], memo.held["part_at"]
     flat = np.concatenate(units) if units else np.zeros(0, dtype=np.int64)
     amount = part_at[flat + 1] - part_at[flat]
     ends = np.cumsum(amount)
@@ -428,7 +502,7 @@ def sample(texts: list[str], keys: np.ndarray, k: int, v: Vocabulary):
         for d, p in enumerate(paths):
             if s == 0:
                 g = float(-np.log(-np.log(_uniform(_mixed(p.key, 0), 0, _ROOT))))
-                plan[d] = (g, np.zeros(0, dtype=np.int64), 0, None, 0)
+                plan[d] = (g, np.zeros(0, dtype=np.int32), 0, None, 0)
                 continue
             node = p.pop() if len(p.found) == s else None
             if node is None:
@@ -437,7 +511,7 @@ def sample(texts: list[str], keys: np.ndarray, k: int, v: Vocabulary):
             e = p.branch(lat, value, parent, j)
             counts = p.found[parent][2]
             unit = int(np.searchsorted(np.cumsum(counts), j, side="right"))
-            plan[d] = (value, np.append(p.found[parent][1][:j], e), unit, parent, int(lat.dst[e]))
+            plan[d] = (value, np.append(p.found[parent][1][:j], np.int32(e)), unit, parent, int(lat.dst[e]))
         if not plan:
             break
         ask = np.concatenate([np.arange(first[d] + x[2], first[d + 1]) for d, x in plan.items()]) if plan else np.zeros(0, dtype=np.int64)
@@ -447,7 +521,7 @@ def sample(texts: list[str], keys: np.ndarray, k: int, v: Vocabulary):
         for (d, x), o in zip(plan.items(), offset):
             if x[3] is not None:
                 position[o] = x[4]
-        owner = np.repeat([paths[d].key for d in plan], sizes_now).astype(U64) if len(ask) else np.zeros(0, U64)
+        owner = np.repeat(np.array([paths[d].key for d in plan], dtype=U64), sizes_now)
         edges, counts = lat.walk(position, owner, s, which[ask].astype(U64))
         ends = np.concatenate([[0], np.cumsum(counts)])
         new = []
@@ -464,7 +538,7 @@ def sample(texts: list[str], keys: np.ndarray, k: int, v: Vocabulary):
 
 
 def _ids(lat: Lattice, v: Vocabulary, edges: np.ndarray) -> np.ndarray:
-    ids = lat.piece[edges].astype(np.int64)
+    ids = lat.piece[edges]
     bare = np.flatnonzero(ids < 0)
     if not len(bare):
         return ids
@@ -475,7 +549,7 @@ def _ids(lat: Lattice, v: Vocabulary, edges: np.ndarray) -> np.ndarray:
     out, at = [], 0
     for i in bare:
         out.append(ids[at:i])
-        out.append(np.array([v.bytes_at[b] for b in chr(-int(ids[i]) - 1).encode("utf-8", "surrogatepass")], dtype=np.int64))
+        out.append(np.array([v.bytes_at[b] for b in chr(-int(ids[i]) - 1).encode("utf-8", "surrogatepass")], dtype=np.int32))
         at = i + 1
     return np.concatenate([*out, ids[at:]])
 
@@ -501,7 +575,9 @@ def sampled_segmentations(docs: DataFrame, model: str, k: int = 2, seed: int = 0
     def rows_of(part: pa.RecordBatch, v: Vocabulary) -> pa.RecordBatch:
         texts = [t or "" for t in part.column("t_").to_pylist()]
         keys = np.asarray(part.column("h_")).astype(np.int64).view(U64)
-        paths, lat = sample(texts, keys, k, v)
+        if (model, temperature) not in _memos:
+            _memos[model, temperature] = Memo(v)
+        paths, lat = sample(texts, keys, k, v, _memos[model, temperature])
         row, number, ids, logs, values, score = [], [], [], [], [], []
         for d, p in enumerate(paths):
             kappa = p.best()
@@ -517,12 +593,12 @@ def sampled_segmentations(docs: DataFrame, model: str, k: int = 2, seed: int = 0
         del paths, lat
         sizes = [len(x) for x in ids]
         first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int64)
+        flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
         marked = [((_SPACE + t) if t else "").replace(" ", _SPACE).encode() for t in texts]
         same = [x == marked[d] for x, d in zip(v.decode(flat, first), row)]
         return pa.RecordBatch.from_arrays([
             part.column("k_").take(pa.array(row, pa.int64())), pa.array(number, pa.int32()), pa.array(sizes, pa.int64()),
-            pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(flat.astype(np.int32))), pa.array(logs, pa.float64()),
+            pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(flat.astype(np.int32, copy=False))), pa.array(logs, pa.float64()),
             pa.array(values, pa.float64()), pa.array(score, pa.float64()), pa.array(same, pa.bool_())], schema.fieldNames())
 
     def run(batches):

@@ -17,11 +17,11 @@ other texts are only read. Prediction is a stream over the partitions.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -32,10 +32,9 @@ from affordspark.llm import arrays
 U64 = np.uint64
 TABLE = 1 << 17  # rows of the weight table
 PER_LANGUAGE = 150  # labelled texts of each language that the field is fitted on
-MOST_LANGUAGES = 64  # more labels than these are an error, not a silent cut
 BLOCK = 512  # words of a text that a chain advances over by itself
 LETTERS = 22  # most letters of a position of the chain
-_NO_LETTER = re.compile(r"[\W\d_]+")
+_NO_LETTER = regex.compile(r"[^\p{L}\p{M}]+")  # vowel signs and other marks belong to the letters
 _SEED = arrays.salts(8, 303)
 
 
@@ -280,27 +279,19 @@ def fit(texts: list[str], labels: list[str], seed: int = 7, epochs: int = 12, ra
 def training_sample(docs: DataFrame, train, per_language: int = PER_LANGUAGE) -> tuple[list[str], list[str]]:
     """At most ``per_language`` whole texts of each non-null label among the
     rows where ``train`` holds: the first by a hash of the text, repeated texts
-    once. Collected: per_language x labels texts."""
+    once. Collected: per_language x labels texts. There is no limit of labels;
+    the field has TABLE weights for each."""
     rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    labels = [r["lang"] for r in rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()]
-    if len(labels) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     # the least hashes of each label first, then their texts
     least = rows.select("lang", F.xxhash64("text").alias("h")).distinct()
-    if not labels:
-        return [], []
-    cut = {r["lang"]: r["c"] for r in least.groupBy("lang").agg(F.count(F.lit(1)).alias("c")).collect()}
-    share = F.lit(None).cast("double")
-    for lab, c in cut.items():  # a band of hashes that holds about three times what is taken
-        share = F.when(F.col("lang") == lab, F.lit(min(1.0, (3 * per_language + 30) / c))).otherwise(share)
-    low = least.where((F.col("h") / F.lit(2.0 ** 64) + 0.5) <= share)
+    sizes = least.groupBy("lang").agg(F.count(F.lit(1)).alias("c"))  # one row a label
+    # a band of hashes that holds about three times what is taken
+    low = least.join(F.broadcast(sizes), "lang").where((F.col("h") / F.lit(2.0 ** 64) + 0.5) * F.col("c") <= 3 * per_language + 30)
     top = (low.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= per_language)
-           .select("lang", "h"))
-    wanted = {(r["lang"], r["h"]) for r in top.collect()}
-    hashes = sorted({h for _, h in wanted})
-    found = (rows.withColumn("h", F.xxhash64("text")).where(F.col("h").isin(hashes))
+           .select("lang", "h"))  # at most per_language a label
+    found = (rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(top), ["lang", "h"])
              .groupBy("lang", "h").agg(F.min("text").alias("text")).collect())
-    picked = sorted((r["lang"], r["h"], r["text"]) for r in found if (r["lang"], r["h"]) in wanted)
+    picked = sorted((r["lang"], r["h"], r["text"]) for r in found)
     return [t for _, _, t in picked], [lab for lab, _, _ in picked]
 
 

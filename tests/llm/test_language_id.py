@@ -91,3 +91,26 @@ def test_every_letter_of_a_long_run_counts():
         assert "".join(known[i] for i in words) == text.replace("1", "") and all(len(known[i]) <= 22 for i in words)
         assert m.sum(axis=0).argmax() == want and m[0].argmax() == m[-1].argmax() == 1 - want
     assert li.words_of("a " + "b" * 22 + " " + "c" * 45 + " " + "1" * 50) == ["a", "b" * 22, "c" * 15, "c" * 15, "c" * 15, "1" * 50]
+
+
+def test_more_than_64_labels(spark):
+    """No limit of labels: 70 languages of three words each."""
+    import random
+    r = random.Random(5)
+    vocabularies = [["".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(3)] for _ in range(70)]
+    rows = [(i * 10 + j, " ".join(r.choice(v) for _ in range(12)), f"l{i:02d}") for i, v in enumerate(vocabularies) for j in range(8)]
+    got = li.identify(frame(spark, rows, "doc_id long, text string, lang string"), F.col("doc_id") % 10 < 6, ["doc_id", "lang"]).collect()
+    held = [x for x in got if x["doc_id"] % 10 >= 6]
+    assert len(held) == 140 and sum(x["lang"] == x["lang_pred"] for x in held) >= 133
+
+
+def test_marks_belong_to_the_letters():
+    """Words that differ in vowel signs alone are told apart."""
+    from affordspark.llm.language_id import _codes
+    one, two = "कि", "कु"
+    assert (_codes([one])[0] != _codes([two])[0]).any()
+    field = li.fit([" ".join([one] * 30)] * 12 + [" ".join([two] * 30)] * 12, ["a"] * 12 + ["b"] * 12)
+    for word, want in ((one, 0), (two, 1)):
+        known, words, first = li._word_rows([" ".join([word] * 9)])
+        assert li.forward_backward(li.emissions(field.weights, known)[words], first, field.first, field.moves).sum(axis=0).argmax() == want
+    assert li._word_rows(["123 ² -- \u0301"])[1].tolist() == []

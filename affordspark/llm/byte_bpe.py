@@ -35,6 +35,7 @@ LONG = 1 << 20  # characters of a text that is matched in parts
 _NONE = np.int32(2**31 - 1)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _opened: dict[tuple[str, str], "Codec"] = {}
+_vocabularies: dict[str, "Vocabulary"] = {}
 
 
 class PairTable:
@@ -78,17 +79,31 @@ class PairTable:
         return out
 
 
+def ranks_of(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+class Vocabulary:
+    """Bytes of every id; all that decoding needs."""
+
+    def __init__(self, path: str):
+        ranks = ranks_of(path)
+        self.bytes_of: list = [None] * (max(ranks.values()) + 1)
+        for token, i in ranks.items():
+            self.bytes_of[i] = token
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+
+
 class Codec:
-    """A vocabulary of byte strings by rank, and the pattern of its matches."""
+    """Byte strings by rank, and the pattern of the matches they encode."""
 
     def __init__(self, path: str, pattern: str):
         import regex
-        with open(path, "rb") as f:
-            self.id_of = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.id_of = ranks_of(path)
         self.matches = regex.compile(pattern)
-        self.bytes_of = [b""] * (max(self.id_of.values()) + 1)
-        for token, i in self.id_of.items():
-            self.bytes_of[i] = token
         self.byte_ids = np.array([self.id_of[bytes([i])] for i in range(256)], dtype=np.int32)
         pairs = [(a, b, i) for token, i in self.id_of.items() for k in range(1, len(token))
                  if (a := self.id_of.get(token[:k])) is not None and (b := self.id_of.get(token[k:])) is not None]
@@ -252,9 +267,6 @@ class Codec:
                 out[i] = np.concatenate(parts)
         return out
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
-
 
 def codec(path: str, pattern: str) -> Codec:
     if (path, pattern) not in _opened:
@@ -262,6 +274,12 @@ def codec(path: str, pattern: str) -> Codec:
     return _opened[path, pattern]
 
 
+def vocabulary(path: str) -> Vocabulary:
+    if path not in _vocabularies:
+        _vocabularies[path] = Vocabulary(path)
+    return _vocabularies[path]
+
+
 def encoded(docs: DataFrame, ranks: str, pattern: str, keep: list[str], text: str | Column = "text", ids: str = "ids") -> DataFrame:
     """keep columns plus ids (array of int), the tokens of every whole text.
 
@@ -291,7 +309,7 @@ def encoded(docs: DataFrame, ranks: str, pattern: str, keep: list[str], text: st
     return out.select(*[F.col(n).alias(c) for n, c in zip(inner, keep)], F.col("i_").alias(ids))
 
 
-def decoded(tokens: DataFrame, ranks: str, pattern: str, keep: list[str], ids: str = "ids", out: str = "bytes") -> DataFrame:
+def decoded(tokens: DataFrame, ranks: str, keep: list[str], ids: str = "ids", out: str = "bytes") -> DataFrame:
     """keep columns plus the bytes that the ids stand for. Null ids give null;
     an id that the vocabulary lacks is an error; a kept column may have the
     name of the result, which then gets the suffix _out."""
@@ -300,7 +318,7 @@ def decoded(tokens: DataFrame, ranks: str, pattern: str, keep: list[str], ids: s
     schema = T.StructType([T.StructField(n, tokens.schema[c].dataType) for n, c in zip(inner, keep)] + [T.StructField("b_", T.BinaryType())])
 
     def run(batches):
-        c = codec(ranks, pattern)
+        c = vocabulary(ranks)
         for batch in batches:
             lists = batch.column("i_")
             for a in range(0, len(lists), 1000):

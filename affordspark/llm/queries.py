@@ -254,11 +254,11 @@ def op11(spark, sf_dir):
     from pyspark.sql import functions as F
 
     from affordspark.llm.byte_bpe import decoded, encoded
-    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    tokens = encoded(table(spark, sf_dir, "documents"), *vocabulary, ["doc_id"])
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    tokens = encoded(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, ["doc_id"])
     digits = F.concat_ws(" ", F.col("ids").cast("array<string>"))
     tokens = tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"), "ids")
-    back = decoded(tokens, *vocabulary, ["doc_id", "n_tokens", "ids_sha256"])
+    back = decoded(tokens, ranks, ["doc_id", "n_tokens", "ids_sha256"])
     return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
 
 

@@ -34,13 +34,31 @@ def word_tokens(text: str = "text") -> Column:
 def _filled(nodes: DataFrame, parent: list[str], name: str, budget: str) -> DataFrame:
     """nodes (parent columns, name, weight, limit, ``budget`` of the parent)
     plus share: the children's budgets. The level w * t is the highest of the
-    levels that fill the first i children by limit / weight."""
-    by = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))
-    order = by.orderBy(F.col("limit") / F.col("weight"), name)
-    used = F.coalesce(F.sum("limit").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    level = nodes.withColumn("level", (F.col(budget) - used) / rest).withColumn("level", F.max("level").over(by))
-    return level.withColumn("share", F.least("limit", F.greatest(F.lit(0.0), F.col("weight") * F.col("level")))).drop("level")
+    levels that fill the first i children by limit / weight.
+
+    A parent may have millions of children: they are sorted by ranges, and the
+    sums before and after a child are those of its task's rows and of the other
+    tasks' totals, one row a task and parent."""
+    order = ["ratio", name]
+    placed = written(nodes.withColumn("ratio", F.col("limit") / F.col("weight")).repartitionByRange(*parent, *order)
+                     .sortWithinPartitions(*parent, *order).withColumn("task", F.spark_partition_id()), "siblings")
+    by = [*parent, "task"]
+    tasks = Window.partitionBy(*(parent or [F.lit(0)])).orderBy("task")
+    up_to, after = (Window.unboundedPreceding, -1), (1, Window.unboundedFollowing)
+    totals = placed.groupBy(*by).agg(F.sum("limit").alias("t_limit"), F.sum("weight").alias("t_weight"))
+    totals = totals.select(*by, F.coalesce(F.sum("t_limit").over(tasks.rowsBetween(*up_to)), F.lit(0.0)).alias("used_before"),
+                           F.coalesce(F.sum("t_weight").over(tasks.rowsBetween(*after)), F.lit(0.0)).alias("rest_after"))
+    own = Window.partitionBy(*by).orderBy(*order)
+    used = F.coalesce(F.sum("limit").over(own.rowsBetween(*up_to)), F.lit(0.0)) + F.col("used_before")
+    rest = F.sum("weight").over(own.rowsBetween(Window.currentRow, Window.unboundedFollowing)) + F.col("rest_after")
+    levels = placed.join(_small(totals), by).withColumn("level", (F.col(budget) - used) / rest)
+    if parent:
+        highest = _small(written(levels.groupBy(*parent).agg(F.max("level").alias("level")), "levels"))
+        out = placed.join(highest, parent)
+    else:
+        out = placed.withColumn("level", F.lit(levels.agg(F.max("level")).first()[0]).cast("double"))
+    share = F.least("limit", F.greatest(F.lit(0.0), F.col("weight") * F.col("level")))
+    return out.withColumn("share", share).drop("level", "ratio", "task")
 
 
 def leaf_budgets(leaves: DataFrame, levels: list[str], weights: list[Column], budget: Column, max_epochs: int) -> DataFrame:

@@ -90,3 +90,17 @@ def test_native_and_empty(spark):
     df = frame(spark, [], "doc_id long, text string, d string, lang string, source string")
     out = mixing.mix(df, {"d": None, "lang": None, "source": None}, [mixing.by_name(k, v, 1) for k, v in WEIGHTS.items()], F.col("available"))
     assert out.collect() == [] and "Python" not in out._jdf.queryExecution().toString()
+
+
+def test_many_siblings(spark):
+    """Thousands of sources under one parent, dealt over several tasks."""
+    r = random.Random(4)
+    rows = [(i, " ".join(["w"] * r.randint(1, 9)), "web", "en", f"s{i % 3000}") for i in range(6000)]
+    weights = {f"s{i}": r.choice([1, 2, 5, 40]) for i in range(0, 3000, 7)}
+    df = frame(spark, rows, "doc_id long, text string, d string, lang string, source string").repartition(6)
+    functions = [mixing.by_name("d", {}, 1), mixing.by_name("lang", {}, 1),
+                 lambda plain: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), plain["source"]), F.lit(1)).cast("double")]
+    got = mixing.mix(df, {"d": None, "lang": None, "source": None}, functions, F.floor(F.col("available") * 0.6), 5, 2)
+    want, _ = brute(rows, lambda p: weights.get(p[-1], 1) if len(p) == 3 else 1, lambda n: int(n * 0.6), 5, 2)
+    assert sorted(((x["doc_id"], x["epoch"]) for x in got.collect()), key=str) == want
+    assert len({x[2] for x in got.select("doc_id", "epoch", "source").collect()}) > 1000

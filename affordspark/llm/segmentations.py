@@ -23,7 +23,9 @@ is trained.
 
 from __future__ import annotations
 
-from itertools import chain
+import math
+from collections import defaultdict
+from itertools import compress, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +43,8 @@ _SPREAD = U64(0xD1342543DE82EF95)
 _A, _B = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
 # second counters of the draws that are not steps of a walk
 _ROOT, _NODE, _PICK, _REST = (x << 40 for x in (1, 2, 3, 4))
-SLICE = 1 << 20  # text bytes whose paths are searched together; a longer text is a slice of its own
-MOST_EDGES, MOST_UNITS = 3_000_000, 300_000  # remembered by a worker; the slice at hand may need more
+SLICE = 2 << 20  # text bytes whose paths are searched together; a longer text is a slice of its own
+MOST_EDGES, MOST_UNITS = 5_000_000, 500_000  # remembered by a worker; the slice at hand may need more
 WALKED = 1 << 17  # units that are walked at a time
 _DECODED = 1 << 16  # tokens decoded at a time, unless a run has more
 _FIRST = 512  # edges of a path whose nodes are made with those of the other paths
@@ -144,13 +146,15 @@ class Vocabulary:
 
 
 def split_units(units: list[str], v: Vocabulary):
-    """Units cut at all places that no piece crosses. Returns the code points,
+    """Units, each with the space that the model puts before it, cut at all
+    places that no piece crosses. Returns the code points,
     lengths and hashes of the distinct parts, the parts of all units one after
     the other, and where each unit's begin. Parts are told apart by 64-bit
     hashes."""
-    lengths = np.array([len(u) for u in units], dtype=np.int64)
+    lengths = np.fromiter(map(len, units), dtype=np.int64, count=len(units)) + 1
     ends = np.cumsum(lengths)
-    code = np.frombuffer("".join(units).encode("utf-32-le"), dtype="<u4").astype(np.int64)
+    marked = (_SPACE + _SPACE.join(units)).replace(" ", _SPACE) if units else ""
+    code = np.frombuffer(marked.encode("utf-32-le"), dtype="<u4").astype(np.int64)
     if not len(code):
         return code, np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(len(units) + 1, np.int64)
     pair = (code[:-1] << 32) | code[1:]
@@ -264,7 +268,6 @@ class Lattice:
             others[close[ok]] += q[e[ok]]
         with np.errstate(divide="ignore"):
             self.log_others = np.log(others)
-        self.q = q
 
     @staticmethod
     def _fallback(v: Vocabulary) -> int:
@@ -283,28 +286,34 @@ class Lattice:
 
     def _walked(self, position: np.ndarray, key: np.ndarray, sample: int, which: np.ndarray):
         n = len(position)
-        at = position.copy()
-        live = np.flatnonzero(self.row[at + 1] > self.row[at])
-        steps, counts = [], np.zeros(n, dtype=np.int64)
-        step = 0
-        base = _mixed(key, sample)
-        while len(live):
-            u = _uniform(base[live], which[live], step)
-            e = self.row[at[live]]
-            last = self.row[at[live] + 1] - 1
-            todo = np.flatnonzero((e < last) & (self.upto[e] <= u))
-            while len(todo):
-                e[todo] += 1
-                todo = todo[(e[todo] < last[todo]) & (self.upto[e[todo]] <= u[todo])]
-            steps.append((live, e))
-            counts[live] += 1
-            at[live] = self.dst[e]
-            live = live[self.row[at[live] + 1] > self.row[at[live]]]
+        more = self.row[1:] > self.row[:-1]  # positions before a unit's end
+        who = np.flatnonzero(more[position])
+        at = position[who]
+        with np.errstate(over="ignore"):
+            base = (_mixed(key, sample) + which * _A)[who]
+        steps, counts, step = [], np.zeros(n, dtype=np.int64), 0
+        while len(who):
+            u = _uniform(base, 0, step)
+            e = self.row.take(at)
+            todo = np.flatnonzero(self.upto.take(e) <= u)
+            if len(todo):
+                last = self.row.take(at[todo] + 1) - 1
+                todo, last = todo[e[todo] < last], last[e[todo] < last]
+                while len(todo):
+                    e[todo] += 1
+                    on = (e[todo] < last) & (self.upto.take(e[todo]) <= u[todo])
+                    todo, last = todo[on], last[on]
+            steps.append((who, e))
+            counts[who] += 1
+            at = self.dst.take(e).astype(np.int64)
+            on = more.take(at)
+            if not on.all():
+                who, at, base = who[on], at[on], base[on]
             step += 1
         begin = np.cumsum(counts) - counts
         out = np.empty(int(counts.sum()), dtype=np.int32)
-        for i, (who, e) in enumerate(steps):
-            out[begin[who] + i] = e
+        for i, (x, e) in enumerate(steps):
+            out[begin[x] + i] = e
         return out, counts
 
 
@@ -317,7 +326,7 @@ class Memo:
         self.clear()
 
     def clear(self) -> None:
-        self.unit: dict[str, int] = {}
+        self.unit: defaultdict[str, int] = defaultdict(count().__next__)
         self.part: dict[int, int] = {}
         self.n = {"begin": 0, "row": 1, "edge": 0, "part": 0, "part_at": 1}  # used of the arrays
         self.held = {"begin": np.zeros(1 << 10, np.int64), "row": np.zeros(1 << 10, np.int64), "part": np.zeros(1 << 10, np.int64), "part_at": np.zeros(1 << 10, np.int64)}
@@ -353,28 +362,27 @@ class Memo:
         if self.n["edge"] > MOST_EDGES or len(self.unit) > MOST_UNITS:
             self.clear()
         words = [((_words(t) if self.v.words_stand_alone else [t]) if t else ()) for t in texts]
-        known = self.unit
-        new = list(set(chain.from_iterable(words)).difference(known))
+        known, before = self.unit, len(self.unit)
+        numbers = [np.fromiter(map(known.__getitem__, ws), dtype=np.int64, count=len(ws)) for ws in words]  # a new unit gets the next number
+        new = list(islice(known, before, None))
         if new:
-            known.update(zip(new, range(len(known), len(known) + len(new))))
-            chars, sizes, told, parts, part_at = split_units([_SPACE + w.replace(" ", _SPACE) for w in new], self.v)
-            number, fresh = np.empty(len(told), dtype=np.int64), np.zeros(len(told), dtype=bool)
-            for i, h in enumerate(told.tolist()):
-                n = self.part.get(h)
-                if n is None:
-                    n = self.part[h] = len(self.part)
-                    fresh[i] = True
-                number[i] = n
+            chars, sizes, told, parts, part_at = split_units(new, self.v)
+            told = told.tolist()
+            number = np.fromiter((self.part.get(h, -1) for h in told), dtype=np.int64, count=len(told))
+            fresh = number < 0
             if fresh.any():
+                first = len(self.part)
+                number[fresh] = np.arange(first, first + int(fresh.sum()))
+                self.part.update(zip(compress(told, fresh), range(first, first + int(fresh.sum()))))
                 self._add(Lattice(chars[np.repeat(fresh, sizes)], sizes[fresh], self.v))
             self._put("part_at", "part_at", part_at[1:] + self.n["part"])
             self._put("part", "part", number[parts])
             self.n["part_at"] += len(new)
             self.n["part"] += len(parts)
-        return [np.fromiter(map(known.__getitem__, ws), dtype=np.int64, count=len(ws)) for ws in words]
+        return numbers
 
 
-_EDGES = {"dst": np.int32, "piece": np.int32, "log_q": np.float64, "upto": np.float64, "log_others": np.float64, "q": np.float64}
+_EDGES = {"dst": np.int32, "piece": np.int32, "log_q": np.float64, "upto": np.float64, "log_others": np.float64}
 _memos: dict[tuple[str, float], Memo] = {}
 
 
@@ -383,6 +391,24 @@ def _mixed(key, sample):
         return arrays.mix(np.asarray(key, dtype=U64) * U64(0xD1342543DE82EF95) + U64(sample))
 
 
+_ALL = 2**64 - 1
+
+
+def _mix1(x: int) -> int:
+    """arrays.mix of one number."""
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _ALL
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _ALL
+    return x ^ (x >> 31)
+
+
+def _mixed1(key: int, sample: int) -> int:
+    return _mix1((key * 0xD1342543DE82EF95 + sample) & _ALL)
+
+
+def _uniform1(base: int, a: int, b: int) -> float:
+    return ((_mix1((base + a * int(_A) + b * int(_B)) & _ALL) >> 11) + 0.5) * 2.0 ** -53
+
+
 def _truncated(phi, bound, u):
     """Gumbel of location phi below the bound."""
     with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
@@ -407,16 +433,17 @@ class Paths:
         the place where that bound is below ``wanted`` known values are not
         made."""
         value, edges, _ = self.found[s]
-        base = _mixed(self.key, s)
+        base = None
         while True:
             known = np.concatenate(values) if len(values) > 1 else values[0]
             if at >= len(edges) or len(known) >= wanted and np.partition(known, -wanted)[-wanted] > before + _HIGHEST:
                 break
+            base = base or _mixed1(self.key, s)
             part = edges[at:at + size]
             logs = lat.log_q[part]
             sums = np.cumsum(logs)
             phi = before + (sums - logs) + lat.log_others[part]
-            values.append(_truncated(phi, value, _uniform(base, np.arange(at, at + len(part)), _NODE)))
+            values.append(_truncated(phi, value, _uniform(U64(base), np.arange(at, at + len(part)), _NODE)))
             before += float(sums[-1])
             at += len(part)
             size *= 4
@@ -444,15 +471,17 @@ class Paths:
         gone = self.ruled_out.setdefault((s, j), [int(edges[j])])
         a = int(np.searchsorted(lat.row, edges[j], side="right")) - 1
         left = [e for e in range(int(lat.row[a]), int(lat.row[a + 1])) if e not in gone]
-        q = lat.q[left]
-        u = float(_uniform(_mixed(self.key, len(self.found)), j, _PICK)) * q.sum()
+        q = np.exp(lat.log_q[left])
+        base = _mixed1(self.key, len(self.found))
+        u = _uniform1(base, j, _PICK) * q.sum()
         e = left[min(int(np.searchsorted(np.cumsum(q), u, side="right")), len(left) - 1)]
         gone.append(e)
         left.remove(e)
         if left:
             logs = lat.log_q[edges[:j]].sum()
-            phi = logs + np.log(lat.q[left].sum()) if lat.q[left].sum() > 0 else -np.inf
-            again = _truncated(np.array([phi]), value, _uniform(_mixed(self.key, len(self.found)), np.array([j]), _REST))
+            q = np.exp(lat.log_q[left])
+            phi = logs + np.log(q.sum()) if q.sum() > 0 else -np.inf
+            again = _truncated(np.array([phi]), value, np.array([_uniform1(base, j, _REST)]))
             for entry in self.queue:
                 if entry[0] == s and entry[1] <= j:
                     entry[2][j - entry[1]] = again[0]
@@ -474,7 +503,7 @@ def add_paths(lat: Lattice, new: list, wanted: int):
     skip = sums[ends - 1] - np.add.reduceat(logs, ends - sizes)  # before each path's first edge here
     before = np.array([float(lat.log_q[x[2][:x[4]]].sum()) if x[4] else 0.0 for x in new])
     fresh = np.array([x[4] for x in new], dtype=np.int64)
-    base = np.array([_mixed(x[0].key, len(x[0].found) - 1) for x in new], dtype=U64)
+    base = np.array([_mixed1(x[0].key, len(x[0].found) - 1) for x in new], dtype=U64)
     phi = sums - logs + np.repeat(before - skip, sizes) + lat.log_others[edges]
     index = np.arange(len(edges)) + np.repeat(fresh - (ends - sizes), sizes)
     values = _truncated(phi, np.repeat([x[1] for x in new], sizes), _uniform(np.repeat(base, sizes), index, _NODE))
@@ -501,7 +530,7 @@ def sample(texts: list[str], keys: np.ndarray, k: int, v: Vocabulary, memo: Memo
         plan = {}
         for d, p in enumerate(paths):
             if s == 0:
-                g = float(-np.log(-np.log(_uniform(_mixed(p.key, 0), 0, _ROOT))))
+                g = -math.log(-math.log(_uniform1(_mixed1(p.key, 0), 0, _ROOT)))
                 plan[d] = (g, np.zeros(0, dtype=np.int32), 0, None, 0)
                 continue
             node = p.pop() if len(p.found) == s else None
@@ -537,21 +566,57 @@ def sample(texts: list[str], keys: np.ndarray, k: int, v: Vocabulary, memo: Memo
     return paths, lat
 
 
-def _ids(lat: Lattice, v: Vocabulary, edges: np.ndarray) -> np.ndarray:
+def _ids(lat: Lattice, v: Vocabulary, edges: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids of runs of edges, characters without a piece as their bytes (or
+    unknown); and where each run's begin."""
     ids = lat.piece[edges]
     bare = np.flatnonzero(ids < 0)
     if not len(bare):
-        return ids
+        return ids, first
+    code = -ids[bare].astype(np.int64) - 1
     if not v.bytes_at:
-        ids = ids.copy()
         ids[bare] = v.unknown
-        return ids
-    out, at = [], 0
-    for i in bare:
-        out.append(ids[at:i])
-        out.append(np.array([v.bytes_at[b] for b in chr(-int(ids[i]) - 1).encode("utf-8", "surrogatepass")], dtype=np.int32))
-        at = i + 1
-    return np.concatenate([*out, ids[at:]])
+        return ids, first
+    n = Lattice._byte_counts(code, v)
+    sizes = np.ones(len(ids), dtype=np.int64)
+    sizes[bare] = n
+    ends = np.cumsum(sizes)
+    out = np.repeat(ids, sizes)
+    lead = np.array([0, 0, 0xC0, 0xE0, 0xF0])[n]
+    of = np.array([v.bytes_at[b] for b in range(256)], dtype=ids.dtype)
+    for j in range(4):  # the j-th byte of those that have one
+        has = n > j
+        raw = (code[has] >> (6 * (n[has] - 1 - j))) & (0x3F if j else 0x7F)
+        out[(ends - sizes)[bare[has]] + j] = of[raw | (0x80 if j else lead[has])]
+    return out, np.concatenate([[0], ends])[first]
+
+
+def _rows_of(part: pa.RecordBatch, k: int, v: Vocabulary, memo: Memo, names: list[str]) -> pa.RecordBatch:
+    texts = [t or "" for t in part.column("t_").to_pylist()]
+    keys = np.asarray(part.column("h_")).astype(np.int64).view(U64)
+    paths, lat = sample(texts, keys, k, v, memo)
+    row, number, ids, logs, values, score = [], [], [], [], [], []
+    for d, p in enumerate(paths):
+        kappa = p.best()
+        for s, (value, edges, _) in enumerate(p.found):
+            log_p = float(lat.log_q[edges].sum())
+            x = log_p - kappa
+            row.append(d)
+            number.append(s + 1)
+            ids.append(edges)
+            logs.append(log_p)
+            values.append(value)
+            score.append(0.0 if x > 30 else x if x < -30 else float(np.log(-np.expm1(-np.exp(x)))))
+    first = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
+    flat, first = _ids(lat, v, np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32), first)
+    del paths, lat, ids
+    sizes = np.diff(first)
+    marked = [((_SPACE + t) if t else "").replace(" ", _SPACE).encode() for t in texts]
+    same = [x == marked[d] for x, d in zip(v.decode(flat, first), row)]
+    return pa.RecordBatch.from_arrays([
+        part.column("k_").take(pa.array(row, pa.int64())), pa.array(number, pa.int32()), pa.array(sizes, pa.int64()),
+        pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(flat.astype(np.int32, copy=False))), pa.array(logs, pa.float64()),
+        pa.array(values, pa.float64()), pa.array(score, pa.float64()), pa.array(same, pa.bool_())], names)
 
 
 def sampled_segmentations(docs: DataFrame, model: str, k: int = 2, seed: int = 0, temperature: float = 1.0, key: str = "doc_id",
@@ -572,40 +637,12 @@ def sampled_segmentations(docs: DataFrame, model: str, k: int = 2, seed: int = 0
         ("sample", T.IntegerType()), ("n_pieces", T.LongType()), ("ids", T.ArrayType(T.IntegerType())), ("log_prob", T.DoubleType()),
         ("perturbed", T.DoubleType()), ("log_inclusion", T.DoubleType()), ("round_trip", T.BooleanType()))])
 
-    def rows_of(part: pa.RecordBatch, v: Vocabulary) -> pa.RecordBatch:
-        texts = [t or "" for t in part.column("t_").to_pylist()]
-        keys = np.asarray(part.column("h_")).astype(np.int64).view(U64)
-        if (model, temperature) not in _memos:
-            _memos[model, temperature] = Memo(v)
-        paths, lat = sample(texts, keys, k, v, _memos[model, temperature])
-        row, number, ids, logs, values, score = [], [], [], [], [], []
-        for d, p in enumerate(paths):
-            kappa = p.best()
-            for s, (value, edges, _) in enumerate(p.found):
-                log_p = float(lat.log_q[edges].sum())
-                x = log_p - kappa
-                row.append(d)
-                number.append(s + 1)
-                ids.append(_ids(lat, v, edges))
-                logs.append(log_p)
-                values.append(value)
-                score.append(0.0 if x > 30 else x if x < -30 else float(np.log(-np.expm1(-np.exp(x)))))
-        del paths, lat
-        sizes = [len(x) for x in ids]
-        first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
-        marked = [((_SPACE + t) if t else "").replace(" ", _SPACE).encode() for t in texts]
-        same = [x == marked[d] for x, d in zip(v.decode(flat, first), row)]
-        return pa.RecordBatch.from_arrays([
-            part.column("k_").take(pa.array(row, pa.int64())), pa.array(number, pa.int32()), pa.array(sizes, pa.int64()),
-            pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(flat.astype(np.int32, copy=False))), pa.array(logs, pa.float64()),
-            pa.array(values, pa.float64()), pa.array(score, pa.float64()), pa.array(same, pa.bool_())], schema.fieldNames())
-
     def run(batches):
         v = vocabulary(model, temperature)
+        memo = _memos.setdefault((model, temperature), Memo(v))
         for batch in batches:
             for part in arrays.row_slices(batch, "t_", SLICE):
-                yield rows_of(part, v)
+                yield _rows_of(part, k, v, memo, schema.fieldNames())
 
     return docs.select(F.col(key).alias("k_"), F.xxhash64(F.lit(seed), F.col(key)).alias("h_"), F.col(text).alias("t_")).mapInArrow(run, schema)
 

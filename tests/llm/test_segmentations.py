@@ -42,7 +42,7 @@ def every(text, v):
 
 def samples(text, key, k, v):
     paths, lat = sg.sample([text], np.array([key], dtype=np.uint64), k, v)
-    return [(value, tuple(sg._ids(lat, v, e)), float(lat.log_q[e].sum())) for value, e, _ in paths[0].found], paths[0].best()
+    return [(value, tuple(sg._ids(lat, v, e, np.array([0, len(e)]))[0]), float(lat.log_q[e].sum())) for value, e, _ in paths[0].found], paths[0].best()
 
 
 @pytest.mark.parametrize("text", ["the", "a b", "ing é", "日x", "no  on", "tion"])

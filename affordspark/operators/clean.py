@@ -273,20 +273,22 @@ def dedup_exact(df: DataFrame, key: str | None = KEY) -> DataFrame:
 # ---- the whole cleaning chain (clean_pipeline) --------------------------------
 
 def clean_applications(df: DataFrame, rules: dict | None = None, quantile_method: str = "select",
-                       parse_all_numeric: bool = False, dedup: bool = False) -> DataFrame:
+                       parse_all_numeric: bool = False, dedup: bool = False, cut: bool = True) -> DataFrame:
     """drop_na -> names -> parse -> drop_na -> scenario_cap -> domain_clip -> p99.
 
-    The p99 caps read the clipped table more than once (quantile passes,
-    then the projection); ``winsorize_p99`` writes it once first."""
+    The p99 caps read the clipped table more than once (quantile passes, then
+    the projection), so it is written once before (unless ``cut`` is off)."""
     out = drop_na_rows(df)
     out = normalize_columns(out)
     out = parse_and_cast(out, parse_all_numeric=parse_all_numeric)
     parsed = parsed_columns(out, parse_all_numeric)
     out = domain_clip(scenario_cap(out, rules))
-    # clamps preserve NULL-ness, so the second NULL drop can follow them and
-    # run on the written table (plain IS NOT NULL at the scan, parse once)
+    # Clamps keep NULL as NULL and non-NULL as non-NULL, so dropping the rows
+    # the parser nulled can wait until after the clamps: on the written table
+    # it is a plain IS NOT NULL pushed into the parquet reader, instead of a
+    # filter that Catalyst pushes below the parse and evaluates it twice.
     from affordspark.sources.io import materialize
-    out = drop_na_rows(materialize(out, "clipped"), subset=parsed)
+    out = drop_na_rows(materialize(out, "clipped") if cut else out, subset=parsed)
     if dedup:
         out = dedup_exact(out)
     return winsorize_p99(out, method=quantile_method, materialize=False)

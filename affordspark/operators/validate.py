@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affordspark.schema import FORM_ENUMS, FORM_RANGES
+from affordspark.schema import FORM_ENUMS, FORM_RANGES, VALIDATE_MESSAGES, VALIDATE_MISSING
 
 # Form field -> table column (the single-row validator's names are configurable).
 DEFAULT_FIELDS = {"Age": "Age", "Income": "Monthly_Salary",
@@ -22,15 +22,15 @@ def validate_input(df: DataFrame, fields: dict | None = None) -> DataFrame:
     f = fields or DEFAULT_FIELDS
     msgs = []
     for name, col in f.items():
-        msgs.append(F.when(F.col(col).isNull(), F.lit(f"Missing required field: {name}")))
+        msgs.append(F.when(F.col(col).isNull(), F.lit(VALIDATE_MISSING + name)))
     if "Age" in f:
         a = F.col(f["Age"])
-        msgs.append(F.when((a < 18) | (a > 100), F.lit("Age must be between 18 and 100")))
+        msgs.append(F.when((a < 18) | (a > 100), F.lit(VALIDATE_MESSAGES["Age"])))
     if "Income" in f:
-        msgs.append(F.when(F.col(f["Income"]) <= 0, F.lit("Income must be greater than 0")))
+        msgs.append(F.when(F.col(f["Income"]) <= 0, F.lit(VALIDATE_MESSAGES["Income"])))
     if "Loan_Amount_Request" in f:
         msgs.append(F.when(F.col(f["Loan_Amount_Request"]) <= 0,
-                           F.lit("Loan amount must be greater than 0")))
+                           F.lit(VALIDATE_MESSAGES["Loan_Amount_Request"])))
     errors = F.concat_ws("; ", *msgs)
     return df.select("*", (errors == F.lit("")).alias("is_valid"), errors.alias("errors"))
 

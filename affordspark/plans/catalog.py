@@ -17,6 +17,7 @@ from affordspark.functions.scalar import extract_number, to_numeric_safe
 from affordspark.operators import clean, features
 from affordspark.plans import sqlparts as S
 from affordspark.plans.common import round_doubles
+from affordspark.schema import COLS_TO_DROP
 from affordspark.sources.fixtures import applications
 from affordspark.session import prepare
 from affordspark.sources.io import read_table, scan_na_tokens
@@ -257,9 +258,7 @@ def q_scan_csv(spark, sf_dir):
 # features group
 # ---------------------------------------------------------------------------
 
-_ENG_KEEP = [c for c in S.CLEAN_COLS if c not in
-             ("Monthly_Rent", "School_Fees", "College_Fees", "Travel_Expenses", "Groceries_Utilities",
-              "Other_Monthly_Expenses", "Family_Size", "Dependents")]
+_ENG_KEEP = [c for c in S.CLEAN_COLS if c not in COLS_TO_DROP]
 
 
 @register("engineered_features", S.with_(S.CLEAN_CTES, S.engineered_cte("cleaned"), select=f"""

@@ -2,8 +2,8 @@
 fitted encoders -> model-ready table (survey ids ``clean_pipeline`` and
 ``fe_pipeline``).
 
-Stage outputs that are read more than once are cut with ``checkpoint()``
-into the shared checkpoint folder, so each source scan and parse runs once
+Stage outputs that are read more than once are written as tables into the
+shared checkpoint folder, so each source scan and parse runs once
 and a lost executor recomputes from the last cut, not from the raw CSV.
 """
 
@@ -29,20 +29,8 @@ def cut(df: DataFrame, enabled: bool = True) -> DataFrame:
 
 def clean_stage(raw: DataFrame, rules: dict | None = None, quantile_method: str = "select",
                 materialize: bool = True) -> DataFrame:
-    """The cleaning chain; the clipped table is written once before the
-    multi-pass p99 caps (inside ``winsorize_p99``)."""
-    out = clean.drop_na_rows(raw)
-    out = clean.normalize_columns(out)
-    out = clean.parse_and_cast(out)
-    parsed = clean.parsed_columns(out)
-    out = clean.domain_clip(clean.scenario_cap(out, rules))
-    # Clamps keep NULL as NULL and non-NULL as non-NULL, so dropping the rows
-    # the parser nulled can wait until after the clamps: on the written table
-    # it is a plain IS NOT NULL pushed into the parquet reader, instead of a
-    # filter that Catalyst pushes below the parse and evaluates it twice.
-    out = cut(out, materialize)
-    out = clean.drop_na_rows(out, subset=parsed)
-    return clean.winsorize_p99(out, method=quantile_method, materialize=False)
+    """The cleaning chain as a stage of the preparation."""
+    return clean.clean_applications(raw, rules, quantile_method, cut=materialize)
 
 
 @dataclass

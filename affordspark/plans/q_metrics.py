@@ -296,17 +296,9 @@ def _unchecked(spark, sf_dir):
 _UNCHECKED_SQL = S.PARSED_CTE.replace(f"FROM raw WHERE {S.not_null(S.RAW_COLS)}", "FROM raw")
 
 
-@register("validate_input", S.with_(S.RAW_CTE, _UNCHECKED_SQL, select="""
+@register("validate_input", S.with_(S.RAW_CTE, _UNCHECKED_SQL, select=f"""
 SELECT application_id, msgs = '' AS is_valid, msgs AS errors FROM (
-  SELECT application_id, concat_ws('; ',
-    CASE WHEN Age IS NULL THEN 'Missing required field: Age' END,
-    CASE WHEN Monthly_Salary IS NULL THEN 'Missing required field: Income' END,
-    CASE WHEN Requested_Amount IS NULL THEN 'Missing required field: Loan_Amount_Request' END,
-    CASE WHEN Requested_Tenure IS NULL THEN 'Missing required field: Loan_Tenure_Months' END,
-    CASE WHEN Age < 18 OR Age > 100 THEN 'Age must be between 18 and 100' END,
-    CASE WHEN Monthly_Salary <= 0 THEN 'Income must be greater than 0' END,
-    CASE WHEN Requested_Amount <= 0 THEN 'Loan amount must be greater than 0' END) AS msgs
-  FROM parsed) t"""))
+  SELECT application_id, concat_ws('; ', {', '.join(S.input_checks())}) AS msgs FROM parsed) t"""))
 def q_validate_input(spark, sf_dir):
     return validate.validate_input(_unchecked(spark, sf_dir)).select("application_id", "is_valid", "errors")
 

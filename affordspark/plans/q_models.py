@@ -7,7 +7,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from affordspark.operators import linear, models, resample
-from affordspark.operators.validate import DEFAULT_FIELDS
 from affordspark.plans import prepare
 from affordspark.plans import q_prepare as P
 from affordspark.plans import sqlparts as S
@@ -229,10 +228,8 @@ def _features_sql(t: str) -> list[str]:
 
 
 _AS = lambda t: ", ".join(f"{x} AS x{i}" for i, x in enumerate(_features_sql(t)))
-_ERRORS = ("concat_ws('; ', " + ", ".join(f"CASE WHEN {c} IS NULL THEN 'Missing required field: {n}' END" for n, c in DEFAULT_FIELDS.items())
-           + ", CASE WHEN Age < 18 OR Age > 100 THEN 'Age must be between 18 and 100' END, CASE WHEN Monthly_Salary <= 0 THEN 'Income must be greater than 0' END,"
-           + " CASE WHEN Requested_Amount <= 0 THEN 'Loan amount must be greater than 0' END,"
-           + " 'Missing value: ' || nullif(concat_ws(', ', " + ", ".join(f"CASE WHEN {c} IS NULL THEN '{c}' END" for c in _NUMBERS) + "), ''))")
+_MISSING = ", ".join(f"CASE WHEN {c} IS NULL THEN '{c}' END" for c in _NUMBERS)
+_ERRORS = f"concat_ws('; ', {', '.join(S.input_checks())}, 'Missing value: ' || nullif(concat_ws(', ', {_MISSING}), ''))"
 _RAW_PARSED = S.PARSED_CTE.split("FROM raw WHERE")[0].replace("parsed AS", "form AS") + "FROM raw)"
 _SCORING = ("WITH " + P.ENG_SPLIT_CTES + ",\n" + P.PARAMS_CTE + ",\n" + _RAW_PARSED + ",\n" + S.engineered_cte("form", "feng")
             + f",\nchecked AS (SELECT *, {_ERRORS} AS errors FROM feng)")

@@ -6,7 +6,8 @@ The oracles restate each operator in plain SQL over the same parquet views
 
 from __future__ import annotations
 
-from affordspark.schema import CATEGORICAL_COLS, NUMERIC_COLS
+from affordspark.operators.validate import DEFAULT_FIELDS
+from affordspark.schema import CATEGORICAL_COLS, NUMERIC_COLS, VALIDATE_MESSAGES, VALIDATE_MISSING
 from affordspark.sources.fixtures import APPLICATIONS_SQL
 
 NUM = r"'^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$'"
@@ -169,4 +170,12 @@ def with_(*ctes: str, select: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + select
 
 
+def input_checks() -> list[str]:
+    """Messages of the single-row validator, one expression each (NULL: none)."""
+    out = [f"CASE WHEN {c} IS NULL THEN '{VALIDATE_MISSING}{name}' END" for name, c in DEFAULT_FIELDS.items()]
+    for name, bad in (("Age", "{c} < 18 OR {c} > 100"), ("Income", "{c} <= 0"), ("Loan_Amount_Request", "{c} <= 0")):
+        out.append(f"CASE WHEN {bad.format(c=DEFAULT_FIELDS[name])} THEN '{VALIDATE_MESSAGES[name]}' END")
+    return out
+
+
 CAT_COLS = list(CATEGORICAL_COLS)

@@ -127,6 +127,12 @@ FORM_RANGES = {
 
 # Single-row validator: required field names and messages.
 VALIDATE_REQUIRED = ["Age", "Income", "Loan_Amount_Request", "Loan_Tenure_Months"]
+VALIDATE_MISSING = "Missing required field: "
+VALIDATE_MESSAGES = {
+    "Age": "Age must be between 18 and 100",
+    "Income": "Income must be greater than 0",
+    "Loan_Amount_Request": "Loan amount must be greater than 0",
+}
 
 RAW_COLUMNS = [
     "age", "gender", "marital_status", "education", "monthly_salary", "employment_type",

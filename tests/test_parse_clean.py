@@ -140,3 +140,18 @@ def test_select_quantiles_odd_values(spark):
     got = clean.select_quantiles_multi(df, [("x", i / 11) for i in range(11)], bins=4)
     assert [got[("x", i / 11)] for i in (0, 1, 9, 10)] == [-inf, -inf, inf, inf]
     assert got[("x", 2 / 11)] == -1e308 and abs(got[("x", 3 / 11)] + 1.0) < 1e-9 and got[("x", 0.0)] == -inf
+
+
+def test_cap_without_its_columns_passes_through(spark):
+    """require_columns: a table without the three columns is left as it is, with a warning."""
+    df = spark.createDataFrame([(1, 5.0)], "application_id long, Requested_Amount double")
+    with pytest.warns(UserWarning):
+        assert clean.scenario_cap(df).collect() == df.collect()
+
+
+def test_separate_targets(spark):
+    from affordspark.operators import features
+    df = spark.createDataFrame([(1, 2.0, 3.0, "Eligible"), (2, 4.0, 5.0, "High_Risk")], "application_id long, Age double, Max_Monthly_Emi double, Emi_Eligibility string")
+    x, y_reg, y_clf = features.separate_targets(df)
+    assert (x.columns, y_reg.columns, y_clf.columns) == (["application_id", "Age"], ["application_id", "Max_Monthly_Emi"], ["application_id", "Emi_Eligibility"])
+    assert x.join(y_reg, "application_id").join(y_clf, "application_id").select(*df.columns).exceptAll(df).count() == 0

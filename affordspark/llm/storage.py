@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,29 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch():
+    """Tables that written() and appended() make inside are deleted at the end,
+    but for those that the block takes off the list it is given."""
+    made: list[DataFrame] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes.remove(made)
+        dropped(*made)
+
+
+def _note(df: DataFrame, path: str) -> DataFrame:
+    df._written_path = path
+    if _scopes:
+        _scopes[-1].append(df)
+    return df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: the lineage ends
     in files that outlive any executor. They are deleted when the driver ends,
@@ -33,9 +57,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     delete_at_exit(spark, path)
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written_path = path
-    return out
+    return _note(spark.read.schema(df.schema).parquet(path), path)
 
 
 def appended(spark: SparkSession, frames, name: str, schema) -> DataFrame:
@@ -50,9 +72,7 @@ def appended(spark: SparkSession, frames, name: str, schema) -> DataFrame:
         df.write.mode("append").parquet(path)
         for b in sent:
             b.destroy()
-    out = spark.read.schema(schema).parquet(path)
-    out._written_path = path
-    return out
+    return _note(spark.read.schema(schema).parquet(path), path)
 
 
 def dropped(*frames: DataFrame) -> None:

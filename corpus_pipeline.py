@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affordspark.llm import language_id, mixing, ngram_join, quality_rules, queries, segmentations
-from affordspark.llm.storage import table, written
+from affordspark.llm.storage import dropped, scratch, table, written
 
 LEAST_SCORE = 0.5  # share of the words in the language that most words have
 MIX_SHARE, MIX_EPOCHS = 0.8, 2  # tokens of the mix for each token that is left; times that a document may be used
@@ -69,5 +69,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), "stage")
+        with scratch() as made:  # a stage's inner tables go when its result is written, and so does the one before
+            after = written(stage(spark, docs, sf_dir), "stage")
+            made.remove(after)
+        dropped(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)

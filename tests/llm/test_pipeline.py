@@ -67,3 +67,17 @@ def test_segments_and_run(spark, stages):
     assert {r["doc_id"] for r in stages[5].collect()} == {r[0] for r in rows(stages[4])}
     key = lambda r: (r["doc_id"], r["sample"], r["n_pieces"])
     assert sorted(map(key, corpus_pipeline.run(spark, SF).collect())) == sorted(map(key, stages[5].collect()))
+
+
+def test_run_leaves_one_table(spark):
+    """Of the tables that the stages write, the last stage's input alone stays."""
+    import os
+
+    import corpus_pipeline
+    from affordspark.llm.storage import shared_folder
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    out = corpus_pipeline.run(spark, SF)
+    assert out.count() > 0
+    left = [x for x in set(os.listdir(folder)) - before if any(f.endswith(".parquet") for _, _, fs in os.walk(os.path.join(folder, x)) for f in fs)]
+    assert len(left) == 1 and left[0].startswith("stage-")

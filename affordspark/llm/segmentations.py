@@ -43,7 +43,8 @@ _SPREAD = U64(0xD1342543DE82EF95)
 _A, _B = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
 # second counters of the draws that are not steps of a walk
 _ROOT, _NODE, _PICK, _REST = (x << 40 for x in (1, 2, 3, 4))
-SLICE = 2 << 20  # text bytes whose paths are searched together; a longer text is a slice of its own
+SLICE = 2 << 20  # text bytes whose paths are searched together; a longer text goes by blocks
+BLOCK_CHARS = 1 << 18  # characters of a block, unless a piece can cross all of its places
 MOST_EDGES, MOST_UNITS = 5_000_000, 500_000  # remembered by a worker; the slice at hand may need more
 WALKED = 1 << 17  # units that are walked at a time
 _DECODED = 1 << 16  # tokens decoded at a time, unless a run has more
@@ -566,15 +567,138 @@ def sample(texts: list[str], keys: np.ndarray, k: int, v: Vocabulary, memo: Memo
     return paths, lat
 
 
-def _ids(lat: Lattice, v: Vocabulary, edges: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Piece ids of runs of edges, characters without a piece as their bytes (or
-    unknown); and where each run's begin."""
-    ids = lat.piece[edges]
+class LongText:
+    """One text beyond a slice, a block of parts at a time. Its paths are kept
+    as pieces, the lattice of a block is made when the block is walked or
+    branched in and dropped again, and of a path's nodes only as many as can
+    still be taken are kept. Draws are those of the other texts."""
+
+    def __init__(self, text: str, v: Vocabulary):
+        self.v = v
+        self.code = np.frombuffer((_SPACE + text).replace(" ", _SPACE).encode("utf-32-le"), dtype="<u4")
+        begins = []
+        for a in range(0, len(self.code), BLOCK_CHARS):
+            code = self.code[max(0, a - 1):a + BLOCK_CHARS].astype(np.int64)
+            pair = (code[:-1] << 32) | code[1:]
+            at = np.minimum(np.searchsorted(v.inside, pair), len(v.inside) - 1)
+            begins.append(np.flatnonzero(v.inside[at] != pair) + max(1, a))
+        self.start = np.concatenate([[0], *begins, [len(self.code)]])  # of the parts, and the end
+        self.cuts = [0]  # first part of each block
+        n = len(self.start) - 1
+        while self.cuts[-1] < n:
+            self.cuts.append(max(self.cuts[-1] + 1, int(np.searchsorted(self.start, self.start[self.cuts[-1]] + BLOCK_CHARS, side="right")) - 1))
+        self.blocks = len(self.cuts) - 1
+
+    def lattice(self, b: int) -> tuple[Lattice, np.ndarray]:
+        """Of a block, and where its parts begin in it."""
+        start = self.start[self.cuts[b]:self.cuts[b + 1] + 1]
+        lat = Lattice(self.code[start[0]:start[-1]].astype(np.int64), np.diff(start), self.v)
+        return lat, lat.begin[:-1]
+
+
+class LongPath:
+    """A segmentation: per block its pieces and the number of each part's; the
+    log-probability before each block, and up to where the path is known."""
+
+    def __init__(self, value: float):
+        self.value, self.pieces, self.counts, self.logs, self.head_log = value, [], [], [0.0], 0.0
+
+
+def sample_long(text: str, key: int, k: int, v: Vocabulary) -> tuple[list[LongPath], float]:
+    """Up to k paths of a long text, best first, and the best value left."""
+    t = LongText(text, v)
+    found: list[LongPath] = []
+    nodes: list[tuple] = []  # (-value, path, edge number, block, place in the block, log-probability before)
+    gone: dict[tuple[int, int], list[int]] = {}
+
+    def finish(p: LongPath, b: int, lat: Lattice, begin: np.ndarray, part: int, position, head: np.ndarray, counts: np.ndarray):
+        """Walks the path from a part of block b, at ``position`` within it
+        (None: its begin), to the end; head: pieces of the block before."""
+        s, wanted = len(found) - 1, k + 1 - len(found) + 1
+        at, first = sum(map(len, p.pieces)), len(head)
+        base = _mixed1(key, s)
+        while True:
+            ask = np.array(begin[part:])
+            if position is not None:
+                ask[0] = position
+            which = np.arange(t.cuts[b] + part, t.cuts[b + 1], dtype=U64)
+            edges, own = lat.walk(ask, np.full(len(ask), key, dtype=U64), s, which)
+            if position is not None:
+                own[0] += len(head) - int(counts[:part].sum())
+                own = np.concatenate([counts[:part], own])
+            logs = lat.log_q[edges]
+            sums = np.cumsum(logs)
+            before = p.head_log + sums - logs
+            index = np.arange(at + first, at + first + len(edges))
+            values = _truncated(before + lat.log_others[edges], p.value, _uniform(U64(base), index, _NODE))
+            best = np.argpartition(-values, wanted - 1)[:wanted] if len(values) > wanted else np.arange(len(values))
+            nodes.extend((-float(values[i]), s, int(index[i]), b, first + int(i), float(before[i])) for i in best if values[i] > -np.inf)
+            p.pieces.append(np.concatenate([head, lat.piece[edges]]))
+            p.counts.append(own.astype(np.int32))
+            p.head_log += float(sums[-1]) if len(sums) else 0.0
+            p.logs.append(p.head_log)
+            at += len(p.pieces[-1])
+            b, part, position, head, first, counts = b + 1, 0, None, head[:0], 0, counts[:0]
+            if b == t.blocks:
+                return
+            del lat
+            lat, begin = t.lattice(b)
+
+    empty = np.zeros(0, dtype=np.int32)
+    for s in range(k):
+        if s == 0:
+            p = LongPath(-math.log(-math.log(_uniform1(_mixed1(key, 0), 0, _ROOT))))
+            found.append(p)
+            finish(p, 0, *t.lattice(0), 0, None, empty, empty)
+            continue
+        if not nodes:
+            break
+        node = min(nodes)
+        nodes.remove(node)
+        value, parent, j, b, place, before = -node[0], node[1], *node[2:]
+        old = found[parent]
+        lat, begin = t.lattice(b)
+        ends = np.cumsum(old.counts[b])
+        part = int(np.searchsorted(ends, place, side="right"))
+        position = int(begin[part])
+        for piece in old.pieces[b][int(ends[part] - old.counts[b][part]):place]:  # along the parent to the node
+            row = slice(int(lat.row[position]), int(lat.row[position + 1]))
+            position = int(lat.dst[row][lat.piece[row] == piece][0])
+        row = np.arange(int(lat.row[position]), int(lat.row[position + 1]))
+        out = gone.setdefault((parent, j), [int(old.pieces[b][place])])
+        left = row[~np.isin(lat.piece[row], out)]
+        q = np.exp(lat.log_q[left])
+        base = _mixed1(key, len(found))
+        taken = min(int(np.searchsorted(np.cumsum(q), _uniform1(base, j, _PICK) * q.sum(), side="right")), len(left) - 1)
+        e = int(left[taken])
+        out.append(int(lat.piece[e]))
+        left = np.delete(left, taken)
+        if len(left):
+            q = np.exp(lat.log_q[left])
+            phi = before + np.log(q.sum()) if q.sum() > 0 else -np.inf
+            again = float(_truncated(np.array([phi]), value, np.array([_uniform1(base, j, _REST)]))[0])
+            if again > -np.inf:
+                nodes.append((-again, parent, j, b, place, before))
+        p = LongPath(value)
+        p.pieces, p.counts, p.logs = old.pieces[:b], old.counts[:b], old.logs[:b + 1]
+        p.head_log = before + float(lat.log_q[e])
+        found.append(p)
+        head = np.append(old.pieces[b][:place], lat.piece[e])
+        counts = old.counts[b].astype(np.int64)
+        finish(p, b, lat, begin, part, int(lat.dst[e]), head, counts)
+    return found, -min(nodes)[0] if nodes else -np.inf
+
+
+def _ids(pieces: np.ndarray, v: Vocabulary, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids of runs of pieces, characters without a piece as their bytes
+    (or unknown); and where each run's begin."""
+    ids = pieces
     bare = np.flatnonzero(ids < 0)
     if not len(bare):
         return ids, first
     code = -ids[bare].astype(np.int64) - 1
     if not v.bytes_at:
+        ids = ids.copy()
         ids[bare] = v.unknown
         return ids, first
     n = Lattice._byte_counts(code, v)
@@ -591,30 +715,60 @@ def _ids(lat: Lattice, v: Vocabulary, edges: np.ndarray, first: np.ndarray) -> t
     return out, np.concatenate([[0], ends])[first]
 
 
+def _log_inclusion(log_p: float, kappa: float) -> float:
+    x = log_p - kappa
+    return 0.0 if x > 30 else x if x < -30 else float(np.log(-np.expm1(-np.exp(x))))
+
+
 def _rows_of(part: pa.RecordBatch, k: int, v: Vocabulary, memo: Memo, names: list[str]) -> pa.RecordBatch:
-    texts = [t or "" for t in part.column("t_").to_pylist()]
     keys = np.asarray(part.column("h_")).astype(np.int64).view(U64)
+    if part.num_rows == 1 and part.column("t_")[0].as_buffer() is not None and part.column("t_")[0].as_buffer().size > SLICE:
+        return _long_rows(part, int(keys[0]), k, v, names)
+    texts = [t or "" for t in part.column("t_").to_pylist()]
     paths, lat = sample(texts, keys, k, v, memo)
     row, number, ids, logs, values, score = [], [], [], [], [], []
     for d, p in enumerate(paths):
         kappa = p.best()
         for s, (value, edges, _) in enumerate(p.found):
-            log_p = float(lat.log_q[edges].sum())
-            x = log_p - kappa
             row.append(d)
             number.append(s + 1)
             ids.append(edges)
-            logs.append(log_p)
+            logs.append(float(lat.log_q[edges].sum()))
             values.append(value)
-            score.append(0.0 if x > 30 else x if x < -30 else float(np.log(-np.expm1(-np.exp(x)))))
+            score.append(_log_inclusion(logs[-1], kappa))
     first = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
-    flat, first = _ids(lat, v, np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32), first)
+    flat, first = _ids(lat.piece[np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)], v, first)
     del paths, lat, ids
-    sizes = np.diff(first)
     marked = [((_SPACE + t) if t else "").replace(" ", _SPACE).encode() for t in texts]
     same = [x == marked[d] for x, d in zip(v.decode(flat, first), row)]
+    return _batch(part, row, number, flat, first, logs, values, score, same, names)
+
+
+def _long_rows(part: pa.RecordBatch, key: int, k: int, v: Vocabulary, names: list[str]) -> pa.RecordBatch:
+    text = part.column("t_")[0].as_py()
+    found, kappa = sample_long(text, key, k, v)
+    marked = (_SPACE + text).replace(" ", _SPACE).encode()
+    del text
+    flat, first, same = [], [0], []
+    for p in found:
+        at, ok = 0, True
+        for pieces in p.pieces:
+            ids, _ = _ids(pieces, v, np.array([0, len(pieces)]))
+            raw = b"".join(v.decode(ids[a:a + _DECODED], np.array([0, len(ids[a:a + _DECODED])]))[0] for a in range(0, len(ids), _DECODED))
+            ok, at = ok and marked[at:at + len(raw)] == raw, at + len(raw)
+            flat.append(ids)
+        first.append(sum(map(len, flat)))
+        same.append(ok and at == len(marked))
+    logs, values = [p.logs[-1] for p in found], [p.value for p in found]
+    n = len(found)
+    del found, marked
+    return _batch(part, [0] * n, list(range(1, n + 1)), np.concatenate(flat), np.array(first, dtype=np.int64), logs, values,
+                  [_log_inclusion(x, kappa) for x in logs], same, names)
+
+
+def _batch(part, row, number, flat, first, logs, values, score, same, names) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([
-        part.column("k_").take(pa.array(row, pa.int64())), pa.array(number, pa.int32()), pa.array(sizes, pa.int64()),
+        part.column("k_").take(pa.array(row, pa.int64())), pa.array(number, pa.int32()), pa.array(np.diff(first), pa.int64()),
         pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(flat.astype(np.int32, copy=False))), pa.array(logs, pa.float64()),
         pa.array(values, pa.float64()), pa.array(score, pa.float64()), pa.array(same, pa.bool_())], names)
 

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import math
+import random
 import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -12,6 +14,7 @@ from affordspark.llm import segmentations as sg
 
 from .conftest import SF, frame
 
+ROOT = Path(__file__).resolve().parents[2]
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -42,7 +45,7 @@ def every(text, v):
 
 def samples(text, key, k, v):
     paths, lat = sg.sample([text], np.array([key], dtype=np.uint64), k, v)
-    return [(value, tuple(sg._ids(lat, v, e, np.array([0, len(e)]))[0]), float(lat.log_q[e].sum())) for value, e, _ in paths[0].found], paths[0].best()
+    return [(value, tuple(sg._ids(lat.piece[e], v, np.array([0, len(e)]))[0]), float(lat.log_q[e].sum())) for value, e, _ in paths[0].found], paths[0].best()
 
 
 @pytest.mark.parametrize("text", ["the", "a b", "ing é", "日x", "no  on", "tion"])
@@ -108,3 +111,42 @@ def test_odd_tables(spark):
     assert (empty["n_pieces"], empty["log_prob"], empty["log_inclusion"]) == (0, 0.0, 0.0)
     assert sg.sampled_segmentations(frame(spark, []), MODEL).collect() == []
     assert [r["text"] for r in sg.decoded(frame(spark, [(1, None), (2, [])], "k long, ids array<int>"), MODEL, "k").collect()] == [None, ""]
+
+
+@pytest.mark.parametrize("chars", [1, 40, 1 << 18])
+def test_long_texts_have_the_same_samples(monkeypatch, chars):
+    """A text by blocks gives what the text as a whole gives."""
+    monkeypatch.setattr(sg, "BLOCK_CHARS", chars)
+    v = sg.vocabulary(MODEL, 1.0)
+    r = random.Random(3)
+    texts = ["".join(r.choice(["hello", " ", "  ", "wörld", "日本語", "🙂", "ing", "\n", "▁", "aaaa", "the", "\x00"]) for _ in range(n)) for n in (1, 2, 5, 60, 60, 300)] + ["a", "x" * 500]
+    for i, t in enumerate(texts):
+        for k in (1, 2, 6):
+            paths, lat = sg.sample([t], np.array([i + 2**63], dtype=np.uint64), k, v)
+            found, kappa = sg.sample_long(t, i + 2**63, k, v)
+            assert [np.concatenate(p.pieces).tolist() for p in found] == [lat.piece[e].tolist() for _, e, _ in paths[0].found]
+            assert np.allclose([p.value for p in found], [x[0] for x in paths[0].found]) and np.isclose(kappa, paths[0].best())
+            assert np.allclose([p.logs[-1] for p in found], [lat.log_q[e].sum() for _, e, _ in paths[0].found])
+
+
+def test_very_long_text_in_bounded_memory(tmp_path):
+    """32 MB of words that are all new: at most 40 MB of memory a MB of text."""
+    import subprocess
+    import sys
+    code = f"""
+import random, resource, sys
+import numpy as np, pyarrow as pa
+sys.path.insert(0, {str(ROOT)!r})
+from affordspark.llm import segmentations as sg
+v = sg.vocabulary({MODEL!r}, 1.0)
+r = random.Random(1)
+text = " ".join("".join(r.choices("etaoinshrdlu", k=7)) for _ in range(4_000_000))
+part = pa.record_batch([pa.array([1]), pa.array([2]), pa.array([text])], ["k_", "h_", "t_"])
+size = len(text)
+del text
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+out = sg._rows_of(part, 2, v, sg.Memo(v), ["key", "sample", "n_pieces", "ids", "log_prob", "perturbed", "log_inclusion", "round_trip"])
+print(size, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) * 1024, out.column("round_trip").to_pylist())
+"""
+    size, used, *ok = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()
+    assert int(size) >= 31_000_000 and int(used) < 40 * int(size) and ok == ["[True,", "True]"]

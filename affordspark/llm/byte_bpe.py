@@ -28,7 +28,7 @@ from affordspark.llm import arrays
 
 WIDEST = 128  # bytes of the widest bucket
 CELLS = 1 << 20  # of a bucket's matrix at a time
-MEMO = 400_000  # matches remembered by a worker
+MEMO = 250_000  # matches remembered by a worker
 SLICE = 4 << 20  # text bytes matched at a time, unless a text has more
 MATCHES = 100_000  # of a longer text at a time
 LONG = 1 << 20  # characters of a text that is matched in parts

@@ -43,9 +43,9 @@ _SPREAD = U64(0xD1342543DE82EF95)
 _A, _B = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
 # second counters of the draws that are not steps of a walk
 _ROOT, _NODE, _PICK, _REST = (x << 40 for x in (1, 2, 3, 4))
-SLICE = 2 << 20  # text bytes whose paths are searched together; a longer text goes by blocks
-BLOCK_CHARS = 1 << 18  # characters of a block, unless a piece can cross all of its places
-MOST_EDGES, MOST_UNITS = 5_000_000, 500_000  # remembered by a worker; the slice at hand may need more
+SLICE = 1 << 20  # text bytes whose paths are searched together; a longer text goes by blocks
+BLOCK_CHARS = 1 << 17  # characters of a block, unless a piece can cross all of its places
+MOST_EDGES, MOST_UNITS = 2_500_000, 250_000  # remembered by a worker; the slice at hand may need more
 WALKED = 1 << 17  # units that are walked at a time
 _DECODED = 1 << 16  # tokens decoded at a time, unless a run has more
 _FIRST = 512  # edges of a path whose nodes are made with those of the other paths
@@ -336,7 +336,7 @@ class Memo:
     def _put(self, name: str, count: str, new: np.ndarray) -> None:
         have, n = self.held[name], self.n[count]
         if n + len(new) > len(have):
-            grown = np.zeros(max(2 * len(have), n + len(new)), have.dtype)
+            grown = np.zeros(max(len(have) * 5 // 4, n + len(new)), have.dtype)
             grown[:n] = have[:n]
             self.held[name] = have = grown
         have[n:n + len(new)] = new
@@ -375,7 +375,13 @@ class Memo:
                 first = len(self.part)
                 number[fresh] = np.arange(first, first + int(fresh.sum()))
                 self.part.update(zip(compress(told, fresh), range(first, first + int(fresh.sum()))))
-                self._add(Lattice(chars[np.repeat(fresh, sizes)], sizes[fresh], self.v))
+                chars, sizes = chars[np.repeat(fresh, sizes)], sizes[fresh]
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                cuts = [0]  # of the lattice's own arrays, some hundred bytes a character, no more than a block's at a time
+                while cuts[-1] < len(sizes):
+                    cuts.append(max(cuts[-1] + 1, int(np.searchsorted(ends, ends[cuts[-1]] + BLOCK_CHARS, side="right")) - 1))
+                for a, b in zip(cuts, cuts[1:]):
+                    self._add(Lattice(chars[ends[a]:ends[b]], sizes[a:b], self.v))
             self._put("part_at", "part_at", part_at[1:] + self.n["part"])
             self._put("part", "part", number[parts])
             self.n["part_at"] += len(new)

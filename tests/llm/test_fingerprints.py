@@ -70,3 +70,15 @@ def test_odd_tables(spark):
     assert len(same) == 5 and len({r["fingerprint"] for r in same}) == 1 and {r["near_next"] for r in same} == {1.0}
     plain = {r["doc_id"]: r["fingerprint"] for r in fp.fingerprint(frame(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (3, None)])).collect()}
     assert plain[1] == plain[2] and plain[3] == ""
+
+
+def test_short_texts_may_keep_no_hash(spark):
+    """The stated loss: (1 - fraction) to the number of shingles; equal texts stay alike."""
+    import random
+    r = random.Random(9)
+    for n in (3, 5, 8, 12, 20):
+        texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(n)) for _ in range(2000)]
+        empty = sum(len(x) == 0 for x in fp.sketches(pa.array(texts))) / 2000
+        assert abs(empty - (1 - fp.FRACTION) ** max(1, n - 4)) < 0.04
+    rows = fp.compare_with_edits(frame(spark, [(i, "only four words here") for i in range(3)] + [(9, "x")]), 100).collect()
+    assert {r["near_next"] for r in rows if r["doc_id"] in (1, 2)} == {1.0}

@@ -29,6 +29,7 @@ from itertools import compress, count, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,9 +44,9 @@ _SPREAD = U64(0xD1342543DE82EF95)
 _A, _B = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
 # second counters of the draws that are not steps of a walk
 _ROOT, _NODE, _PICK, _REST = (x << 40 for x in (1, 2, 3, 4))
-SLICE = 1 << 20  # text bytes whose paths are searched together; a longer text goes by blocks
+SLICE = 3 << 19  # text bytes whose paths are searched together; a longer text goes by blocks
 BLOCK_CHARS = 1 << 17  # characters of a block, unless a piece can cross all of its places
-MOST_EDGES, MOST_UNITS = 2_500_000, 250_000  # remembered by a worker; the slice at hand may need more
+MOST_EDGES, MOST_UNITS = 3_000_000, 300_000  # remembered by a worker; the slice at hand may need more
 WALKED = 1 << 17  # units that are walked at a time
 _DECODED = 1 << 16  # tokens decoded at a time, unless a run has more
 _FIRST = 512  # edges of a path whose nodes are made with those of the other paths
@@ -362,9 +363,20 @@ class Memo:
         """Unit numbers of every text; new units are made."""
         if self.n["edge"] > MOST_EDGES or len(self.unit) > MOST_UNITS:
             self.clear()
-        words = [((_words(t) if self.v.words_stand_alone else [t]) if t else ()) for t in texts]
-        known, before = self.unit, len(self.unit)
-        numbers = [np.fromiter(map(known.__getitem__, ws), dtype=np.int64, count=len(ws)) for ws in words]  # a new unit gets the next number
+        known, before = self.unit, len(self.unit)  # a new unit gets the next number
+        numbers: list = [None] * len(texts)
+        plain = [i for i, t in enumerate(texts) if t and self.v.words_stand_alone and not ("  " in t or _SPACE in t or t[0] == " ")]
+        if plain:  # single spaces alone: equal words of the slice are looked up once
+            cut = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), pattern=" ")
+            told = cut.values.dictionary_encode()
+            number = np.fromiter(map(known.__getitem__, told.dictionary.to_pylist()), dtype=np.int64, count=len(told.dictionary))
+            flat, ends = number[np.asarray(told.indices)], np.asarray(cut.offsets)
+            for i, a, b in zip(plain, ends[:-1].tolist(), ends[1:].tolist()):
+                numbers[i] = flat[a:b]
+        for i, t in enumerate(texts):
+            if numbers[i] is None:
+                words = (_words(t) if self.v.words_stand_alone else [t]) if t else ()
+                numbers[i] = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
         new = list(islice(known, before, None))
         if new:
             chars, sizes, told, parts, part_at = split_units(new, self.v)

@@ -78,6 +78,17 @@ def parse_and_cast(df: DataFrame, parse_all_numeric: bool = False) -> DataFrame:
     return df.select(*[exprs[c].alias(c) if c in exprs else F.col(c) for c in df.columns])
 
 
+def parsed_once(df: DataFrame, cols) -> DataFrame:
+    """The same table with ``cols`` worked out once a row. A filter or an
+    expression that reads a parsed column several times is otherwise put below
+    the projection with the whole parse in place of each mention; Spark moves
+    nothing below the one-row expansion. The other columns stay prunable."""
+    cols = [c for c in df.columns if c in set(cols)]
+    row = F.struct(*[F.col(f"`{c}`") for c in cols])
+    out = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in cols], F.inline(F.array(row)))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 # ---- scenario rules -----------------------------------------------------------
 
 def rules_frame(spark: SparkSession, rules: dict | None = None) -> DataFrame:

@@ -27,6 +27,7 @@ def checked(df: DataFrame, needed, apply_caps: bool = False, rules: dict | None
     clamps with the scenario rules and domain clips first."""
     out = clean.normalize_columns(df.select("*", F.to_json(F.struct("*")).alias("raw")))
     out = clean.parse_and_cast(out.withColumnRenamed("Raw", "raw"))
+    out = clean.parsed_once(out, clean.PARSED_COLS)  # the checks and features mention them dozens of times
     if apply_caps:
         out = clean.domain_clip(clean.scenario_cap(out, rules))
     out = validate.validate_input(out)

@@ -165,3 +165,14 @@ def test_score_stream_restarts(spark, tmpdir_path, fitted, kind, monkeypatch):
     assert scored.drop("batch").exceptAll(want).count() == 0 and scored.count() == want.count()
     some = bad.first()
     assert some["errors"] and f'"application_id":{some["application_id"]}' in some["raw"]
+
+
+def test_checks_parse_once(spark):
+    """The validity filter must not stand below the parse with a copy of the
+    regular expressions for each mention of a parsed column."""
+    from affordspark.sources.fixtures import applications_view
+    from affordspark.streaming.score import checked
+    raw = applications_view(spark, "/root/testdata/sf0.001")
+    valid = checked(raw, ["Age", "Bank_Balance", "Monthly_Salary"]).where("is_valid").drop("raw")
+    plan = valid._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("regexp_substr") == 4  # one a parsed column

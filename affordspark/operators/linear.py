@@ -3,8 +3,8 @@
 A linear model needs no model object to score: with the fitted scaler and
 categories its margins are sums over the columns of the application, so one
 projection scores any table or stream and SQL can restate it. Parts come from
-fitted Spark ML models or from the two closed-form fits below, each of which is
-one aggregate.
+fitted Spark ML models or from the two closed-form fits below, which are plain
+aggregates.
 """
 
 from __future__ import annotations
@@ -36,12 +36,11 @@ def linear_parts(model, features) -> Linear:
 
 def diagonal_discriminant(df: DataFrame, features, label: str, n_classes: int) -> Linear:
     """Linear discriminant with a diagonal covariance: class means, and the
-    variance within classes of every feature, from one aggregate. Features
+    variance within classes of every feature. Features
     without such variance have no say; a class without rows gets no margin
     that wins."""
     import math
-    aggs = [f(F.col(f"`{c}`")).alias(f"{n}{i}") for i, c in enumerate(features) for n, f in (("m", F.avg), ("v", F.var_pop))]
-    rows = {r[label]: r for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), *aggs).collect()}  # one row a class
+    rows = {c: r for (c,), r in _statistics(df, features, lambda i, x: [F.avg(x).alias(f"m{i}"), F.var_pop(x).alias(f"v{i}")], [label]).items()}
     total = sum(r["n"] for r in rows.values())
     within = [sum(r["n"] * r[f"v{i}"] for r in rows.values()) / total for i in range(len(features))] if total else []
     coefficients, intercepts = [], []
@@ -60,11 +59,23 @@ def diagonal_discriminant(df: DataFrame, features, label: str, n_classes: int) -
 VARIANCE = 1e-9  # of a feature, below which it counts as constant
 
 
+AT_ONCE = 6  # features of one aggregate: the code Java makes of more is too long for its compiler
+
+
+def _statistics(df: DataFrame, features, aggs_of, by=()) -> dict:
+    """{group: {name: value}} of ``aggs_of(i, column)`` for every feature: an
+    aggregate for each few of them, which reads their columns alone."""
+    out: dict = {}
+    for at in range(0, len(features), AT_ONCE):
+        aggs = [a for i in range(at, min(at + AT_ONCE, len(features))) for a in aggs_of(i, F.col(f"`{features[i]}`"))]
+        for r in df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *aggs).collect():  # a row a group
+            out.setdefault(tuple(r[c] for c in by), {}).update(r.asDict())
+    return out
+
+
 def averaged_slopes(df: DataFrame, features, y: str) -> Linear:
     """The mean of the simple regressions of y on every feature that varies."""
-    aggs = [f(F.col(y), F.col(f"`{c}`")).alias(f"{n}{i}") for i, c in enumerate(features) for n, f in (("b", F.regr_slope), ("a", F.regr_intercept))]
-    aggs += [F.var_pop(F.col(f"`{c}`")).alias(f"v{i}") for i, c in enumerate(features)]
-    r = df.agg(*aggs).first()
+    r = _statistics(df, features, lambda i, x: [F.regr_slope(F.col(y), x).alias(f"b{i}"), F.regr_intercept(F.col(y), x).alias(f"a{i}"), F.var_pop(x).alias(f"v{i}")]).get((), {})
     used = [i for i in range(len(features)) if r[f"v{i}"] is not None and r[f"v{i}"] > VARIANCE]
     m = max(1, len(used))
     return Linear(list(features), [[r[f"b{i}"] / m if i in used else 0.0 for i in range(len(features))]], [sum(r[f"a{i}"] for i in used) / m])

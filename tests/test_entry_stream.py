@@ -175,4 +175,33 @@ def test_checks_parse_once(spark):
     raw = applications_view(spark, "/root/testdata/sf0.001")
     valid = checked(raw, ["Age", "Bank_Balance", "Monthly_Salary"]).where("is_valid").drop("raw")
     plan = valid._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.lower().count("regexp_substr") == 4  # one a parsed column
+    checks = [line for line in plan.splitlines() if line.lstrip(" +-:").startswith("Filter") and "Missing" in line]
+    assert checks and not any("regexp" in line for line in checks)
+
+
+def test_linear_fits_in_small_aggregates(spark, monkeypatch):
+    """42 features in one aggregate make code too long to be compiled."""
+    from affordspark.operators import linear
+    names = [f"x{i}" for i in range(20)]
+    df = spark.range(300).select((F.col("id") % 3).cast("int").alias("c"), F.col("id").cast("double").alias("y"),
+                                 *[((F.col("id") * (i + 3)) % 17).cast("double").alias(n) for i, n in enumerate(names)])
+    widths, group = [], type(df.groupBy())
+    agg = group.agg
+    monkeypatch.setattr(group, "agg", lambda self, *e: widths.append(len(e)) or agg(self, *e))
+    s = linear.averaged_slopes(df, names, "y")
+    d = linear.diagonal_discriminant(df, names, "c", 3)
+    assert max(widths) <= 20
+    want = df.select(F.regr_slope("y", "x7").alias("b"), F.avg("x7").alias("m")).first()
+    assert abs(s.coefficients[0][7] * 19 - want["b"]) < 1e-12  # x14 is constant
+    assert len(d.coefficients) == 3 and len(d.coefficients[2]) == 20 and all(any(w) for w in d.coefficients)
+
+
+def test_limited_scan_makes_files_by_size(spark, monkeypatch):
+    from affordspark.plans import q_stages
+    monkeypatch.setattr(q_stages, "FILE_BYTES", 2000)
+    seen, scan = [], q_stages.io.scan_csv
+    monkeypatch.setattr(q_stages.io, "scan_csv", lambda s, path, *a, **k: seen.append(path) or scan(s, path, *a, **k))
+    got = [r["application_id"] for r in q_stages.q_limit_scan(spark, "/root/testdata/sf0.001").collect()]
+    assert len(q_stages.io.data_files(spark, seen[0])) > 4  # four tasks sorted everything, whatever the size
+    orders = [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select("o_orderkey").orderBy("o_orderkey").limit(500).collect()]
+    assert sorted(got) == orders

@@ -16,6 +16,7 @@ from affordspark.session import checkpoint_dir
 from affordspark.sources import io
 
 FIRST = 500  # rows of the limited scan: the feature
+FILE_BYTES = 4 << 20  # of the tables that one sorted CSV file is made from: some 400,000 orders
 
 
 def _folder(spark, name: str) -> str:
@@ -30,7 +31,8 @@ FROM raw ORDER BY application_id LIMIT {FIRST}"""))
 def q_limit_scan(spark, sf_dir):
     """First rows of a headered CSV that is sorted by the key, over several files."""
     path = _folder(spark, "limit")
-    raw_apps(spark, sf_dir).repartitionByRange(4, "application_id").sortWithinPartitions("application_id") \
+    size, _ = io.input_bytes(spark, [f"{sf_dir}/orders.parquet", f"{sf_dir}/customer.parquet"])
+    raw_apps(spark, sf_dir).repartitionByRange(max(4, -(-size // FILE_BYTES)), "application_id").sortWithinPartitions("application_id") \
         .write.option("header", True).csv(path)
     out = io.scan_csv(spark, path, RAW_CSV_SCHEMA, nrows=FIRST)
     return out.select(F.col("application_id").cast("bigint").alias("application_id"), "age", "marital_status",

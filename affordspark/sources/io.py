@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from affordspark.functions.scalar import na_to_null, to_numeric_safe
+from affordspark.functions.scalar import NUMBER_PATTERN, PLAIN_NUMBER, na_to_null, to_numeric_safe
 from affordspark.schema import RAW_CSV_SCHEMA, TRUE_FALSE
 
 
@@ -252,7 +252,10 @@ def value_kind(c) -> "F.Column":
     """Bit of one value of a text column."""
     c = F.col(c) if isinstance(c, str) else c
     whole = c.rlike(r"^\s*[+-]?\d+\s*$") & F.trim(c).try_cast("bigint").isNotNull()
-    return (F.when(c.isNull(), _MISSING).when(whole, _INTEGER).when(to_numeric_safe(c).isNotNull(), _DOUBLE)
+    # a plain number takes one match, text two that fail early
+    plain = F.when(~c.contains(".") & c.try_cast("bigint").isNotNull(), _INTEGER).otherwise(_DOUBLE)
+    other = F.when(whole, _INTEGER).when(to_numeric_safe(c).isNotNull(), _DOUBLE).otherwise(_TEXT)
+    return (F.when(c.isNull(), _MISSING).when(c.rlike(PLAIN_NUMBER), plain).when(c.rlike(NUMBER_PATTERN), other)
             .when(c.isin(*TRUE_FALSE), _BOOLEAN).otherwise(_TEXT))
 
 

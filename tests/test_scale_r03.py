@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from affordspark.functions.scalar import extracted_number, gender_code, to_numeric_safe
 from affordspark.session import RUNTIME, prepare
+from affordspark.sources import io
 
 
 def _plan(df) -> str:
@@ -35,3 +36,12 @@ def test_f13_numbers_as_before(spark):
 def test_f13_long_fused_stages_are_not_interpreted(spark):
     prepare(spark)
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000 and "spark.sql.codegen.hugeMethodLimit" in RUNTIME
+
+
+def test_f14_f16_kinds_of_values(spark):
+    given = {"1": 2, "-1": 2, " 5 ": 2, "9" * 25: 4, "1.5": 4, "1.": 4, "1e5": 4, "1e999": 16, "True": 8, "true": 8, "tRue": 16, "x": 16, "": 16,
+             "0" * 400: 2, "9" * 400: 16}
+    df = spark.createDataFrame([*given.items(), (None, 1)], "v string, kind int")
+    assert df.where(io.value_kind("v") != F.col("kind")).count() == 0
+    plan = _plan(df.select(io.value_kind("v")))
+    assert "\\z" in plan and plan.index("\\z") < plan.index("TRY_CAST" if "TRY_CAST" in plan else "try_cast")  # the cheap match comes first

@@ -11,6 +11,8 @@ import math
 import re
 import warnings
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -178,15 +180,45 @@ def select_quantiles(df: DataFrame, cols, q: float, bins: int = 4096) -> dict:
     return {c: got[(c, q)] for c in cols}
 
 
-def _bin(x, lo: float, hi: float, bins: int):
-    """Equal-width bin of x in [lo, hi]. lo and hi never share a bin, also
-    where they are infinite, NaN (the largest value) or next to each other."""
+def _bin(x: np.ndarray, lo: float, hi: float, bins: int) -> np.ndarray:
+    """Equal-width bins of ascending values in [lo, hi]. lo and hi never share
+    a bin, also where they are infinite, NaN (the largest value) or next to each other."""
     if math.isfinite(lo) and math.isfinite(hi) and (hi - lo) / bins > 0 and math.isfinite(hi - lo):
-        inner = F.floor((x - F.lit(lo)) / F.lit((hi - lo) / bins)).cast("int")
-        return F.when(x == F.lit(hi), bins - 1).when(x == F.lit(lo), 0).otherwise(F.least(F.greatest(inner, F.lit(0)), F.lit(bins - 1)))
-    middle = F.when(x == F.lit(lo), 1).when(x == F.lit(hi), 3).otherwise(2)
-    return (F.when(F.isnan(x), 5).when(x == F.lit(math.inf), 4).when(x == F.lit(-math.inf), 0)
-            .when(x < 0, middle if math.isfinite(hi - lo) else 2).otherwise(middle if math.isfinite(hi - lo) else 3))
+        inner = np.clip(np.floor((x - lo) / ((hi - lo) / bins)), 0, bins - 1).astype(np.int64)
+        return np.where(x == hi, bins - 1, np.where(x == lo, 0, inner))
+    middle = np.where(x == lo, 1, np.where(x == hi, 3, 2))
+    if not math.isfinite(hi - lo):
+        middle = np.where(x < 0, 2, 3)
+    return np.where(np.isnan(x), 5, np.where(x == math.inf, 4, np.where(x == -math.inf, 0, middle)))
+
+
+def _cells(df: DataFrame, x: dict, spans: list, bins: int) -> DataFrame:
+    """(span, bin, count, least, largest value) of the values within each span
+    (column, lo, hi). A batch's column is sorted once: a span is a slice of it and
+    a bin a run in the slice. A task adds its batches up and returns at most spans x bins rows."""
+    names = list(dict.fromkeys(c for c, _, _ in spans))
+    by = [[(s, lo, hi) for s, (c, lo, hi) in enumerate(spans) if c == name] for name in names]
+
+    def count(batches):
+        k = np.zeros((len(spans), max(bins, 6)), dtype=np.int64)
+        least, largest = np.full(k.shape, np.inf), np.full(k.shape, -np.inf)
+        for batch in batches:
+            for column, its in zip(batch.columns, by):
+                v = np.sort(column.drop_null().to_numpy(zero_copy_only=False))
+                for s, lo, hi in its:
+                    some = v[np.searchsorted(v, lo, "left"):np.searchsorted(v, hi, "right")]
+                    if len(some):
+                        b = _bin(some, lo, hi, bins)
+                        at = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
+                        end, b = np.r_[at[1:], len(some)], b[at]
+                        k[s, b] += end - at
+                        least[s, b] = np.minimum(least[s, b], some[at])
+                        largest[s, b] = np.maximum(largest[s, b], some[end - 1])
+        s, b = np.nonzero(k)
+        yield pa.RecordBatch.from_arrays([pa.array(z) for z in (s, b, k[s, b], least[s, b], largest[s, b])], ["s", "b", "k", "lo", "hi"])
+
+    return (df.select(*[x[c].alias(f"x{i}") for i, c in enumerate(names)]).mapInArrow(count, "s bigint, b bigint, k bigint, lo double, hi double")
+            .groupBy("s", "b").agg(F.sum("k").alias("k"), F.min("lo").alias("lo"), F.max("hi").alias("hi")))
 
 
 def select_quantiles_multi(df: DataFrame, targets, bins: int = 4096) -> dict:
@@ -220,12 +252,8 @@ def select_quantiles_multi(df: DataFrame, targets, bins: int = 4096) -> dict:
         if not bracket:
             break
         spans = list(dict.fromkeys((c, lo, hi) for (c, _), (lo, hi, _) in bracket.items()))
-        parts = [F.when((x[c] >= F.lit(lo)) & (x[c] <= F.lit(hi)),
-                        F.struct(F.lit(i).alias("s"), _bin(x[c], lo, hi, bins).alias("b"), x[c].alias("x")))
-                 for i, (c, lo, hi) in enumerate(spans)]
         cells = {}
-        for r in (df.select(F.explode(F.array_compact(F.array(*parts))).alias("h")).groupBy("h.s", "h.b")
-                  .agg(F.count(F.lit(1)).alias("k"), F.min("h.x").alias("lo"), F.max("h.x").alias("hi")).collect()):
+        for r in _cells(df, x, spans, bins).collect():
             cells.setdefault(r["s"], []).append((r["b"], r["k"], r["lo"], r["hi"]))
         for (c, rank), (lo, hi, below) in list(bracket.items()):
             for _, k, first, last in sorted(cells[spans.index((c, lo, hi))]):

@@ -48,26 +48,27 @@ def describe_numeric(df: DataFrame, cols, method: str = "select") -> DataFrame:
     distributed narrowing (``select``, bounded per task) or Spark
     ``percentile`` (``exact``). Reshaped to one row per column on the
     executors (``inline``)."""
-    aggs = []
-    quart = None
+    aggs, quart = [], None
     if method == "select":
         from affordspark.operators.clean import select_quantiles_multi
         quart = select_quantiles_multi(df, [(c, q) for c in cols for q in (0.25, 0.5, 0.75)])
     for c in cols:
         x = F.col(c).cast("double")
-        if quart is None:
-            qexpr = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        else:
-            qexpr = F.array(*[F.lit(quart[(c, q)]).cast("double") for q in (0.25, 0.5, 0.75)])
         aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
                  F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
-                 (qexpr if quart is None else F.first(qexpr)).alias(f"{c}__q"),
                  F.max(x).alias(f"{c}__max")]
+        if quart is None:
+            aggs.append(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"{c}__q"))
     wide = df.agg(*aggs)
+
+    def quartile(c, i):
+        # found before: an aggregate over such an array would turn all of them into object aggregates
+        return F.col(f"{c}__q")[i] if quart is None else F.lit(quart[(c, (0.25, 0.5, 0.75)[i])]).cast("double")
+
     rows = [F.struct(F.lit(c).alias("column"), F.col(f"{c}__count").alias("count"),
                      F.col(f"{c}__mean").alias("mean"), F.col(f"{c}__std").alias("std"),
-                     F.col(f"{c}__min").alias("min"), F.col(f"{c}__q")[0].alias("p25"),
-                     F.col(f"{c}__q")[1].alias("p50"), F.col(f"{c}__q")[2].alias("p75"),
+                     F.col(f"{c}__min").alias("min"), quartile(c, 0).alias("p25"),
+                     quartile(c, 1).alias("p50"), quartile(c, 2).alias("p75"),
                      F.col(f"{c}__max").alias("max")) for c in cols]
     return wide.select(F.inline(F.array(*rows)))
 

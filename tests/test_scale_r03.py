@@ -3,9 +3,14 @@ inference and the panels."""
 
 from __future__ import annotations
 
+import math
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from affordspark.functions.scalar import extracted_number, gender_code, to_numeric_safe
+from affordspark.operators import clean, profile
 from affordspark.session import RUNTIME, prepare
 from affordspark.sources import io
 
@@ -45,3 +50,25 @@ def test_f14_f16_kinds_of_values(spark):
     assert df.where(io.value_kind("v") != F.col("kind")).count() == 0
     plan = _plan(df.select(io.value_kind("v")))
     assert "\\z" in plan and plan.index("\\z") < plan.index("TRY_CAST" if "TRY_CAST" in plan else "try_cast")  # the cheap match comes first
+
+
+def test_f18_panel_has_plain_aggregates(spark):
+    df = spark.range(1000).selectExpr("id * 1.5D AS a", "id % 7 AS b")
+    plan = profile.describe_numeric(df, ["a", "b"])._jdf.queryExecution().sparkPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "ObjectHash" not in plan
+
+
+def test_f18_quantiles_of_odd_values(spark):
+    r = random.Random(3)
+    odd = [math.nan, math.inf, -math.inf, 0.0, -0.0, None, 1e308, -1e308, 5e-324, 1.0, 1.0 + 2**-52]
+    rows = [(r.choice(odd), r.choice(odd[3:]), r.gauss(0, 1), None) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(7)
+    targets = [(c, q) for c in "abcd" for q in (0.0, 0.01, 0.25, 0.5, 0.99, 1.0)]
+    got = clean.select_quantiles_multi(df, targets, bins=16)
+    want = df.agg(*[F.percentile(c, F.lit(q)) for c, q in targets]).first()
+    for (c, q), w in zip(targets, want):
+        g = got[(c, q)]
+        assert (g is None) == (w is None)
+        assert w is None or (math.isnan(w) and math.isnan(g)) or g == pytest.approx(w, rel=1e-12)
+    # rows are not multiplied by the columns any more
+    assert "Generate" not in _plan(clean._cells(df, {c: F.col(c) for c in "bc"}, [("b", -1.0, 1.0), ("c", -1.0, 1.0)], 16))

@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from itertools import compress, count, islice
+from itertools import compress, count, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -369,7 +369,8 @@ class Memo:
         if plain:  # single spaces alone: equal words of the slice are looked up once
             cut = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), pattern=" ")
             told = cut.values.dictionary_encode()
-            number = np.fromiter(map(known.__getitem__, told.dictionary.to_pylist()), dtype=np.int64, count=len(told.dictionary))
+            words = told.dictionary.to_numpy(zero_copy_only=False).tolist()  # (to_pylist makes a scalar of each first)
+            number = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
             flat, ends = number[np.asarray(told.indices)], np.asarray(cut.offsets)
             for i, a, b in zip(plain, ends[:-1].tolist(), ends[1:].tolist()):
                 numbers[i] = flat[a:b]
@@ -381,7 +382,7 @@ class Memo:
         if new:
             chars, sizes, told, parts, part_at = split_units(new, self.v)
             told = told.tolist()
-            number = np.fromiter((self.part.get(h, -1) for h in told), dtype=np.int64, count=len(told))
+            number = np.fromiter(map(self.part.get, told, repeat(-1)), dtype=np.int64, count=len(told))
             fresh = number < 0
             if fresh.any():
                 first = len(self.part)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import random
+import sys
 import time
 from collections import Counter
 from pathlib import Path
@@ -150,3 +151,18 @@ print(size, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) * 1024
 """
     size, used, *ok = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()
     assert int(size) >= 31_000_000 and int(used) < 40 * int(size) and ok == ["[True,", "True]"]
+
+
+def test_known_words_are_looked_up_without_python_steps():
+    """op3's CPU: no Python-level step for each new part of a slice."""
+    v = sg.vocabulary(MODEL, 1.0)
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(3000)]
+    memo, steps = sg.Memo(v), []
+    sys.setprofile(lambda frame, event, arg: steps.append(event) if event in ("call", "c_call") else None)
+    try:
+        numbers = memo.units([" ".join(words)])
+    finally:
+        sys.setprofile(None)
+    assert len(memo.unit) == len(set(words)) and [list(memo.unit)[i] for i in numbers[0][:50]] == words[:50]
+    assert len(steps) < 2000

@@ -31,21 +31,21 @@ def _small_star(e: DataFrame) -> DataFrame:
     return linked.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
+def connected_components(edges: DataFrame, a: str, b: str, parts: int | None = None) -> DataFrame:
     """(node, component): component is the least node reachable, for every
     node that has an edge to another one. Nulls and self-edges are ignored;
     an empty edge table gives an empty result. Nodes may be of any orderable
-    type."""
+    type. The edges of a round are written by at most parts tasks."""
     e = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     e = e.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    kept = written(e, "cc")
+    kept = written(e, "cc", parts)
     mark = None
     while True:
         now = kept.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == mark or now[0] == 0:
             break
         mark = tuple(now)
-        before, kept = kept, written(_small_star(_large_star(kept)), "cc")
+        before, kept = kept, written(_small_star(_large_star(kept)), "cc", parts)
         dropped(before)
     roots = kept.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return roots.union(kept.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

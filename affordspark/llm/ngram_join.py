@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from affordspark.llm import arrays
 from affordspark.llm.components import connected_components
-from affordspark.llm.storage import dropped, parts_for, tagged, text_bytes_of, written
+from affordspark.llm.storage import dropped, parts_for, tagged, text_bytes_of, text_parts, written
 
 U64 = np.uint64
 ORDER_BUCKETS = 1 << 22  # counters of the n-gram order: 16 MB, fixed
@@ -38,6 +38,7 @@ FILTER_BITS = 1 << 26  # bits of the filter before verification: 8 MB, fixed
 _SLICES = 32
 RANGE_BYTES = 4 << 20  # text bytes for each hash range of the postings
 MOST_RANGES = 1 << 16  # beyond 256 GB of text ranges grow instead of their number
+PART_PAIRS = 4096  # pairs of classes for each task that writes them, where that makes more tasks than the text does
 
 
 def least_size(n: int, threshold: int) -> int:
@@ -173,15 +174,16 @@ def _candidates(docs: DataFrame, wanted: DataFrame, used: list) -> DataFrame:
     return docs.select("doc_id", "th", "text").mapInArrow(keep, "doc_id long, th long, text string")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, threshold: int, parts: int) -> DataFrame:
     """The pairs (a, b) of classes whose texts link, by the exact sets; a
     written table."""
     used: list = []
-    pairs = written(pairs, "pairs")
+    pairs = written(pairs, "pairs", parts)
+    parts = parts_for(pairs.count(), PART_PAIRS, parts)
     row = classes.select("cls", F.struct("doc_id", "th").alias("row"))
     named = (pairs.join(row.withColumnsRenamed({"cls": "a", "row": "row_a"}), "a")
              .join(row.withColumnsRenamed({"cls": "b", "row": "row_b"}), "b"))
-    named = written(named, "named")
+    named = written(named, "named", parts)
     wanted = named.select("row_a.th").union(named.select("row_b.th"))
     # a repeated row stands for its class once
     texts = (_candidates(docs, wanted, used).select(F.struct("doc_id", "th").alias("row"), "text")
@@ -200,7 +202,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, thr
                     keep.append(100 * both >= threshold * (len(x) + len(y) - both))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    out = written(joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "links")
+    out = written(joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "links", parts)
     _destroyed(used)
     dropped(pairs, named)
     return out
@@ -283,6 +285,8 @@ def jaccard_components(docs: DataFrame, k: int = 4, threshold: int = 85) -> Data
     but names no component (null if no other row of it has an id). Other
     columns are ignored; an empty table gives an empty result."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("th", F.xxhash64("text"))
+    nbytes = text_bytes_of(docs)[1]
+    parts = text_parts(nbytes)
     order = _bucket_counts(docs, k)
     used: list = []
     made = written(_prefixes(docs, k, threshold, order, used), "prefixes")
@@ -292,16 +296,16 @@ def jaccard_components(docs: DataFrame, k: int = 4, threshold: int = 85) -> Data
     # equal sets: one class, named by a hash of the set; one of its rows stands for it
     keyed = made.where("n > 0").select("doc_id", "th", "n", F.xxhash64("n", "set_a", "set_b").alias("cls"), F.xxhash64("prefix").alias("head"))
     classes = written(keyed.groupBy("cls", "n", "head").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("row"))
-                      .select("cls", "n", "head", "least", "row.doc_id", "row.th"), "classes")
+                      .select("cls", "n", "head", "least", "row.doc_id", "row.th"), "classes", parts)
     # identical prefix and size: one group, named by its least class
     groups = classes.groupBy("n", "head").agg(F.min(F.struct("cls", "doc_id", "th")).alias("g"))
     members = written(classes.select("n", "head", "cls").join(groups.select("n", "head", F.col("g.cls").alias("gid")), ["n", "head"])
-                      .select("gid", "cls", "n"), "members")
+                      .select("gid", "cls", "n"), "members", parts)
 
     heads = groups.select(F.col("g.cls").alias("gid"), F.col("g.doc_id").alias("id"), F.col("g.th").alias("hash"))
     reps = (made.select("doc_id", "th", "n", "prefix").join(heads, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("hash")))
             .select("gid", "n", "prefix"))
-    bits = min(MOST_RANGES, parts_for(text_bytes_of(docs)[1], RANGE_BYTES, 1)).bit_length() - 1
+    bits = min(MOST_RANGES, parts_for(nbytes, RANGE_BYTES, 1)).bit_length() - 1
     lists = written(_shared_postings(reps, bits), "lists")
 
     # pass 1: in every list each group against the two hubs; in every group each member against its first
@@ -311,21 +315,21 @@ def jaccard_components(docs: DataFrame, k: int = 4, threshold: int = 85) -> Data
             .where((F.col("gid") != F.col("gid_h")) & _may_link("n", "pos", "n_h", "pos_h", threshold))
             .select(F.least("gid", "gid_h").alias("a"), F.greatest("gid", "gid_h").alias("b")).distinct())
     inner = members.where("gid != cls").select(F.col("gid").alias("a"), F.col("cls").alias("b"))
-    links = _verified(hubs.unionByName(inner), classes, docs, k, threshold)
-    comps = written(connected_components(links, "a", "b"), "components")
+    links = _verified(hubs.unionByName(inner), classes, docs, k, threshold, parts)
+    comps = written(connected_components(links, "a", "b", parts), "components", parts)
 
     # pass 2: pairs of one list (or group) that are not yet connected
     placed = written(members.join(comps.withColumnRenamed("node", "cls"), "cls", "left")
-                     .select("gid", "cls", "n", F.coalesce("component", "cls").alias("comp")), "placed")
+                     .select("gid", "cls", "n", F.coalesce("component", "cls").alias("comp")), "placed", parts)
     entries = lists.select("gram", "gid", "pos").join(placed, "gid").select("gram", "cls", "n", "pos", "comp")
     several = members.where("gid != cls").select("gid").distinct()
     within = placed.join(several, "gid").select(F.col("gid").alias("gram"), "cls", "n", F.lit(0).cast("long").alias("pos"), "comp")
     rest = _open_pairs(entries, threshold).unionByName(_open_pairs(within, threshold)).distinct()
-    more = _verified(rest, classes, docs, k, threshold)
+    more = _verified(rest, classes, docs, k, threshold, parts)
     ends = placed.select("cls", "comp")
     upper = connected_components(
         more.join(ends.select(F.col("cls").alias("a"), F.col("comp").alias("ca")), "a")
-        .join(ends.select(F.col("cls").alias("b"), F.col("comp").alias("cb")), "b"), "ca", "cb")
+        .join(ends.select(F.col("cls").alias("b"), F.col("comp").alias("cb")), "b"), "ca", "cb", parts)
     final = (ends.join(upper.withColumnRenamed("node", "comp"), "comp", "left")
              .select("cls", F.coalesce("component", "comp").alias("comp")))
     named = classes.select("cls", "least").join(final, "cls")
@@ -345,7 +349,8 @@ def one_of_each(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     texts of that id the one with the least hash; a row that stands there
     several times stays once. Rows without words have no copies and all stay. An
     empty table stays empty."""
-    parts = written(jaccard_components(docs.select("doc_id", "text"), k, threshold), "near")
+    most = text_parts(text_bytes_of(docs)[1])
+    parts = written(jaccard_components(docs.select("doc_id", "text"), k, threshold), "near", most)
     first = parts.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("r"))
     i, x, d, h = tagged("id", "text", "d", "h")
     stay = (first.select("r.doc_id", "r.text_hash").unionByName(parts.where("n_shingles = 0").select("doc_id", "text_hash"))
@@ -356,4 +361,4 @@ def one_of_each(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     if repeated:
         worded = F.col("text").isNotNull() & (F.btrim("text", F.lit(" \t\n\x0b\x0c\r")) != "")
         kept = kept.where(~F.coalesce(worded, F.lit(False))).unionByName(kept.where(worded).dropDuplicates([i, x]))
-    return kept.drop(x, i)
+    return kept.drop(x, i).coalesce(most)

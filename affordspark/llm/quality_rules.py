@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affordspark.llm.storage import written
+from affordspark.llm.storage import text_bytes_of, text_parts, written
 
 WINDOW = 8
 SPACES = " \t\n\x0b\f\r"
@@ -187,4 +187,4 @@ def cleaned(docs: DataFrame, host: str = "source", least_left: float = LEAST_LEF
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(F.col(out).isNull(), F.col("n_chars"))
                                .otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return kept.select(*docs.columns)
+    return kept.select(*docs.columns).coalesce(text_parts(text_bytes_of(docs)[1]))

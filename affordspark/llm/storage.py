@@ -48,15 +48,17 @@ def _note(df: DataFrame, path: str) -> DataFrame:
     return df
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
     """Write df once to the shared folder and read it back: the lineage ends
     in files that outlive any executor. They are deleted when the driver ends,
-    or by dropped() before."""
+    or by dropped() before. With parts, by at most so many tasks: where every
+    shuffle partition makes a file of a few rows, and the folder is a local one,
+    executors start three processes (chmod) for each."""
     from affordspark.sources.io import delete_at_exit
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     delete_at_exit(spark, path)
-    df.write.parquet(path)
+    (df.coalesce(parts) if parts else df).write.parquet(path)
     return _note(spark.read.schema(df.schema).parquet(path), path)
 
 
@@ -101,5 +103,13 @@ def text_bytes_of(df: DataFrame, column: str = "text") -> tuple[int, int]:
     return r["n"], r["b"] or 0
 
 
+PART_BYTES, LEAST_PARTS = 4 << 20, 16
+
+
+def text_parts(nbytes: int) -> int:
+    """Tasks that are enough to write a table made from so many bytes of text."""
+    return parts_for(nbytes, PART_BYTES, LEAST_PARTS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

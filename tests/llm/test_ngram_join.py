@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from affordspark.llm import ngram_join
+from affordspark.llm import components, ngram_join, storage
 
 from .conftest import frame, shingles
 
@@ -75,3 +75,26 @@ def test_one_of_each(spark, copies):
     assert got.columns == df.columns and ids.count(900) == 2 and ids.count(None) == 1
     empty = {d for d, n, _ in parts if not n}
     assert sorted(i for i in ids if i is not None and i != 900 and i not in empty) == want and empty <= set(ids)
+
+
+def test_small_tables_have_no_file_for_each_shuffle_partition(spark, copies, monkeypatch):
+    """Every file of a local folder costs executors three processes."""
+    files = {}
+    for module in (ngram_join, components):
+        def noted(df, name, *more, real=module.written):
+            out = real(df, name, *more)
+            files[name] = max(files.get(name, 0), len(out.inputFiles()))
+            return out
+        monkeypatch.setattr(module, "written", noted)
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        rows = [(i, t) for i, t in enumerate(copies * 2 + [c + " and a last line" for c in copies if c])]
+        out = sorted(map(tuple, ngram_join.one_of_each(frame(spark, rows, "doc_id long, text string"), 4, 85).select("doc_id").collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(out) == len(set(out)) > 10 and {"classes", "members", "pairs", "cc", "near"} <= set(files)
+    assert max(v for k, v in files.items() if k not in ("prefixes", "lists")) <= storage.LEAST_PARTS

@@ -9,11 +9,15 @@ partitioning or the worker process.
 
 from __future__ import annotations
 
+import ctypes
+import sys
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None  # glibc alone has it
 WINDOW = 1 << 20  # bytes hashed at a time; bounds the temporary arrays
 
 
@@ -121,6 +125,14 @@ def words(data: np.ndarray, offsets: np.ndarray, spans: bool = False):
     return (join(out, U64), first, starts, join(ends, np.int64)) if spans else (join(out, U64), first)
 
 
+def release() -> None:
+    """Give memory of freed arrays back to the system. Workers live on for later
+    stages, and the C library keeps what it once had."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def row_slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
     """Consecutive slices of a batch whose texts hold about ``most`` bytes (a
     longer row is a slice of its own)."""

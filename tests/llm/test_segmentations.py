@@ -166,3 +166,29 @@ def test_known_words_are_looked_up_without_python_steps():
         sys.setprofile(None)
     assert len(memo.unit) == len(set(words)) and [list(memo.unit)[i] for i in numbers[0][:50]] == words[:50]
     assert len(steps) < 2000
+
+
+def test_freed_memory_of_a_worker_goes_back_to_the_system():
+    """Workers live on; what the C library keeps counts as the executor's."""
+    import re
+    import sys
+    from pathlib import Path
+
+    import numpy as np
+    import pytest
+
+    from affordspark.llm import arrays
+    if sys.platform != "linux" or arrays._trim is None:
+        pytest.skip("glibc alone")
+
+    def held():
+        return int(re.search(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) // 1024
+
+    arrays.release()
+    before = held()
+    some = [np.ones(12_000) for _ in range(2000)]  # 192 MB below the size from which arrays get pages of their own
+    some = some[::200]  # the last ones hold the heap's end
+    kept = held()
+    arrays.release()
+    assert kept - before > 150 and held() - before < 60
+    assert len(some) == 10

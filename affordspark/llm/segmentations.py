@@ -46,7 +46,7 @@ _A, _B = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
 _ROOT, _NODE, _PICK, _REST = (x << 40 for x in (1, 2, 3, 4))
 SLICE = 3 << 19  # text bytes whose paths are searched together; a longer text goes by blocks
 BLOCK_CHARS = 1 << 17  # characters of a block, unless a piece can cross all of its places
-MOST_EDGES, MOST_UNITS = 1_500_000, 150_000  # remembered by a worker; the slice at hand may need more
+MOST_EDGES, MOST_UNITS = 2_000_000, 200_000  # remembered by a worker; the slice at hand may need more
 WALKED = 1 << 17  # units that are walked at a time
 _DECODED = 1 << 16  # tokens decoded at a time, unless a run has more
 _FIRST = 512  # edges of a path whose nodes are made with those of the other paths
@@ -814,8 +814,8 @@ def sampled_segmentations(docs: DataFrame, model: str, k: int = 2, seed: int = 0
         v = vocabulary(model, temperature)
         memo = _memos.setdefault((model, temperature), Memo(v))
         for batch in batches:
+            arrays.release()
             for part in arrays.row_slices(batch, "t_", SLICE):
-                arrays.release()
                 yield _rows_of(part, k, v, memo, schema.fieldNames())
         arrays.release()
 
